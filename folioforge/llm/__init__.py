@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op2_language, op3_license, op5_chat, op6_media, op8_toxicity, op10_tokens
+from . import op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens
 
-MODULES = [op2_language, op3_license, op5_chat, op6_media, op8_toxicity, op10_tokens]
+MODULES = [op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens]
 
 
 def queries() -> dict:

@@ -217,6 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
     return Model(terms, idf, ids, ys, vectors, prior, isotonic(points))
 
 
+def judge_of(m: Model):
+    """text -> (score, neighbours)."""
+    index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
+
+    def judge(text: str | None) -> tuple[float, list[tuple[float, int]]]:
+        found = index.search(vector(counted(text or "", m.terms, cache), m.idf), NEIGHBOURS) if m.terms else []
+        return min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found
+
+    return judge
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
     """One row per document, repeated rows included. Texts without a known term, empty and null ones too, get the calibrated base vote and no evidence."""
     given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
@@ -225,13 +236,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         import pyarrow as pa
 
         m = given.value
-        index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
+        judge = judge_of(m)
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in slices(batches, 2000):
             scores, proof = [], []
             for t in batch.column(2).to_pylist():
-                found = index.search(vector(counted(t or "", m.terms, cache), m.idf), NEIGHBOURS) if m.terms else []
-                scores.append(min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))))
+                value, found = judge(t)
+                scores.append(value)
                 proof.append([{"doc_id": m.ids[i], "label": m.labels[i], "cosine": c} for c, i in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(proof, evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -239,6 +250,21 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(work, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that aren't predicted toxic; a filter on each row alone, without a join."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        judge = judge_of(given.value)
+        for batch in slices(batches, 2000):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array([judge(t)[0] < THRESHOLD for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels"), fold_bucket("doc_id", 3) != 1))
