@@ -1,6 +1,8 @@
-"""Every query of the library by name, with its DuckDB equivalent."""
+"""Every query of the library by name, with its DuckDB equivalent where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import document_queries, relational_queries, text_queries
+
+QUERIES: dict = {**document_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES}
+ORACLES: dict[str, str] = {**document_queries.ORACLES, **text_queries.ORACLES, **relational_queries.ORACLES}
