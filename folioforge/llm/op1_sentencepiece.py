@@ -29,8 +29,6 @@ BLANK = "\u2581"
 LATTICE_UNITS, LATTICE_CHARS = 200_000, 60
 #: Units a worker counts before it hands its counts on, and units whose ids it remembers.
 COUNTED, REMEMBERED = 400_000, 300_000
-#: A blank next to a blank or at an end, and the two characters that the fast cut itself uses.
-_ODD = re.compile("  |^ | \\Z|\u2581|\0")
 _UNIT = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
 
@@ -74,7 +72,7 @@ def units(text: str) -> list[str]:
     """The units of a text, blanks as BLANK, with the blank that the model puts before a text."""
     if not text:
         return []
-    if _ODD.search(text):
+    if "  " in text or text[0] == " " or text[-1] == " " or BLANK in text or "\0" in text:
         return _UNIT.findall(BLANK + text.replace(" ", BLANK))
     return [u for u in (BLANK + text.replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")).split("\0") if u]
 
