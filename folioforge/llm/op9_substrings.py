@@ -61,17 +61,18 @@ def unpack(blobs: list[bytes], kind: list):
 
 
 def deal(rows, bucket) -> Iterator:
-    """Arrow batches (bucket, blob) of a structured array; bucket: the bucket of each row."""
+    """Arrow batches (bucket, blob) of a structured array; bucket: the bucket of each row. No rows, no batch."""
     import numpy as np
     import pyarrow as pa
 
+    if not len(rows):
+        return
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
-    firsts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.zeros(0, int)
+    firsts = np.flatnonzero(firsts_of(bucket))
     ends = np.append(firsts[1:], len(rows))
     blobs = [pack(rows[a:b]) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-    if blobs:
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def doc_bucket(docs, n: int):
@@ -149,7 +150,7 @@ def resolve_phrases(rows):
     known = rows["doc"] > earliest
     anchor = np.cumsum(anchor_new) - 1
     heads = np.flatnonzero(anchor_new)
-    several = np.add.reduceat(phrase_new, heads) > 1 if len(rows) else np.zeros(0, bool)
+    several = np.add.reduceat(phrase_new.astype(np.int64), heads) > 1 if len(rows) else np.zeros(0, bool)
     apart = np.minimum.reduceat(rows["doc"], heads) != np.maximum.reduceat(rows["doc"], heads) if len(rows) else np.zeros(0, bool)
     boundary = ~known & (several & apart)[anchor]
     keep = known | boundary
@@ -274,7 +275,7 @@ def find_duplicates(docs: DataFrame, finish: Callable, schema: str, carry: list[
         spans = spans[spans["sure"] == 1]
         spans = spans[np.lexsort((spans["v"], spans["doc"]))]
         heads = np.flatnonzero(firsts_of(spans["doc"], spans["v"])).tolist()
-        of = {(int(spans["doc"][a]), int(spans["v"][a])): spans[a:b] for a, b in zip(heads, [*heads[1:], len(spans)], strict=True)}
+        of = {(int(spans["doc"][a]), int(spans["v"][a])): spans[a:b] for a, b in zip(heads, [*heads[1:], len(spans)], strict=False)}
         out = []
         for batch in left.to_batches():
             texts = utf8(batch, "text")
