@@ -177,7 +177,7 @@ def header_importance(spark, d):
 
 
 @query("""SELECT l_orderkey, len(cells) AS n_rows, array_to_string(list_transform(cells, lambda r: array_to_string(r, ';')), '/') AS parsed FROM (
-SELECT l_orderkey, list([CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), l_returnflag] ORDER BY l_linenumber, l_partkey) AS cells FROM lineitem GROUP BY l_orderkey)""")
+SELECT l_orderkey, list([CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), l_returnflag] ORDER BY l_linenumber, l_partkey, l_returnflag) AS cells FROM lineitem GROUP BY l_orderkey)""")
 def md_table_parse(spark, d):
     row = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"), F.lit(" |"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))), lambda x: x["row"])
