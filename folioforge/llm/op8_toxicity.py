@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are lower-cased words and their first four and five characters. The examples are a bounded sample of labelled
-rows; the terms that tell the labels apart best are kept, again a bounded number, and their document frequencies are
-counted over all documents. The index keeps, for each term and block of examples, the largest weight; blocks are
+Terms are lower-cased words, and beginnings of words that clean examples don't have (insults are inflected; common
+words that begin alike aren't insults). The examples are a bounded sample of labelled rows; the terms that tell the
+labels apart best are kept, again a bounded number, and their document frequencies are counted over all documents. The index keeps, for each term and block of examples, the largest weight; blocks are
 visited by falling bound until no block can improve the k nearest. Votes weighted by distance are calibrated by
 isotonic regression on left-out examples.
 """
@@ -21,24 +21,29 @@ from pyspark.sql import functions as F
 from .common import fold_bucket, slices, table
 
 #: Bounds: examples of each label, terms, neighbours, examples a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 1500, 512, 8, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 512, 8, 64
+#: Lengths of beginnings; least examples of a term, and how many times commoner it is in label 1.
+PREFIXES, LEAST_EXAMPLES, LEAST_RATIO = (4, 5, 6, 7), 3, 6.0
 #: An example's text enters the sample up to this many characters (scored texts always count whole).
 EXAMPLE_CHARS = 20_000
 #: Weight of the base rate in a vote, in units of one perfect neighbour.
-PRIOR = 0.05
+PRIOR = 0.3
+#: Weight of the dimension of all other words.
+OTHERS = 3.0
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 CACHE = 200_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,label:int,cosine:double>>"
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(f"{word[:n]}*" for n in (4, 5) if len(word) >= n))
+def terms_of(word: str, clean: set[str] | frozenset[str] = frozenset()) -> tuple[str, ...]:
+    return (word,) if word in clean else (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
 
 
 @dataclass
 class Model:
     terms: dict[str, int]
+    clean: set[str]
     idf: list[float]
     ids: list[int]
     labels: list[int]
@@ -47,29 +52,33 @@ class Model:
     knots: list[tuple[float, float]]
 
 
-def sample_examples(labelled: DataFrame) -> list[tuple[int, str, int]]:
-    """At most EXAMPLES rows of (doc_id, text, label) for each label, drawn by a hash of the text; equal texts count once for a label."""
-    rows = labelled.filter("text is not null and label in (0, 1)")
+def sample_examples(texts: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
+    """At most EXAMPLES rows of (doc_id, text, label) for each label, drawn from the labels by a hash of the id; equal texts count once for a label.
+
+    Only ids are drawn, so texts are never shuffled: the drawn ids, bounded by EXAMPLES, are broadcast to the documents.
+    """
+    rows = labels.filter("doc_id is not null and label in (0, 1)").distinct()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * EXAMPLES / n))])
-    drawn = rows.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
-    drawn = drawn.groupBy("label", "h").agg(F.min_by(F.struct("doc_id", F.substring("text", 1, EXAMPLE_CHARS).alias("text")), "doc_id").alias("x"))
-    found: dict[int, list] = {}
-    for r in drawn.collect():
-        found.setdefault(r["label"], []).append((r["h"], r["x"]["doc_id"], r["x"]["text"]))
-    return [(i, t, k) for k in sorted(found) for _, i, t in sorted(found[k])[:EXAMPLES]]
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
+    found = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), F.substring("text", 1, EXAMPLE_CHARS).alias("text"))
+    by: dict[int, list] = {}
+    for r in found.groupBy("label", "h").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).collect():
+        by.setdefault(r["label"], []).append((r["h"], r["x"]["doc_id"], r["x"]["text"]))
+    return [(i, t, k) for k in sorted(by) for _, i, t in sorted(by[k])[:EXAMPLES]]
 
 
-def counted(text: str, terms: dict[str, int], cache: dict[str, tuple[int, ...]]) -> Counter:
-    """Frequencies of known terms in a whole text. cache: word -> its known terms, bounded."""
+def counted(text: str, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
+    """Frequencies of known terms in a whole text, and at -1 its number of words. cache: word -> its known terms, bounded."""
     got: Counter = Counter()
     words = Counter(WORD.findall(text.lower()))
+    got[-1] = words.total()
     for word, n in words.items():
         known = cache.get(word)
         if known is None:
-            known = tuple(terms[x] for x in terms_of(word) if x in terms)
+            known = tuple(terms[x] for x in terms_of(word, clean) if x in terms)
             if len(cache) < CACHE and len(word) < 64:
                 cache[word] = known
         for x in known:
@@ -78,35 +87,60 @@ def counted(text: str, terms: dict[str, int], cache: dict[str, tuple[int, ...]])
 
 
 def vector(counts: Counter, idf: list[float]) -> dict[int, float]:
-    """Unit TF-IDF vector with damped frequencies; empty if no term is known."""
-    got = {k: (1 + math.log(n)) * idf[k] for k, n in counts.items()}
+    """Unit TF-IDF vector, frequencies as damped shares of the text; empty if no term is known.
+
+    One more dimension stands for all other words, so a text with a single known word isn't like one full of them.
+    """
+    got = {k: math.log1p(100 * n / counts[-1]) * idf[k] for k, n in counts.items() if k >= 0}
+    if not got:
+        return {}
+    got[len(idf)] = OTHERS
     norm = math.sqrt(sum(x * x for x in got.values()))
-    return {k: x / norm for k, x in got.items()} if norm else {}
-
-
-def choose_terms(examples: list[tuple[int, str, int]]) -> dict[str, int]:
-    """The TERMS terms with the largest signed chi-square towards label 1 among terms of three examples or more."""
-    in_class = [Counter(), Counter()]
-    sizes = [0, 0]
-    for _, text, label in examples:
-        seen = {x for word in set(WORD.findall(text.lower())) for x in terms_of(word)}
-        in_class[label].update(seen)
+    return {k: x / norm for k, x in got.items()}
+
+
+def distinct_examples(examples: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Without near copies: an example goes if earlier ones hold over half of its five-word shingles."""
+    seen: set[int] = set()
+    out = []
+    for e in examples:
+        words = e[1].split()
+        shingles = {hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+        if 2 * len(shingles & seen) <= len(shingles):
+            out.append(e)
+        seen |= shingles
+    return out
+
+
+def choose_terms(examples: list[tuple[int, str, int]]) -> tuple[dict[str, int], set[str], list[int]]:
+    """(terms, clean words, positions of the examples that were measured).
+
+    The TERMS terms with the largest chi-square among those of label 1. Half of the clean examples say which words are
+    clean; beginnings are measured on the other half, where words are as new as in any text.
+    """
+    clean_at = [i for i, e in enumerate(examples) if e[2] == 0]
+    told = set(clean_at[::2])
+    clean = {w for i in told for w in WORD.findall(examples[i][1].lower())}
+    measured = [i for i in range(len(examples)) if i not in told]
+    in_class, sizes = [Counter(), Counter()], [0, 0]
+    for i in measured:
+        _, text, label = examples[i]
+        in_class[label].update({x for word in set(WORD.findall(text.lower())) for x in terms_of(word, clean)})
         sizes[label] += 1
-    n = sum(sizes)
-    ranked = []
+    n, ranked = sum(sizes), []
     for term, a in in_class[1].items():
         b = in_class[0][term]
-        if a + b >= 3 and a * sizes[0] > b * sizes[1]:
+        if a >= LEAST_EXAMPLES and a * sizes[0] >= LEAST_RATIO * (b + 0.5) * sizes[1]:
             c, d = sizes[1] - a, sizes[0] - b
-            chi = n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * sizes[0] * sizes[1])
-            if chi > 15:
-                ranked.append((-chi, term))
-    return {term: i for i, (_, term) in enumerate(sorted(ranked)[:TERMS])}
+            ranked.append((-n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * sizes[0] * sizes[1]), term))
+    terms = {term: i for i, (_, term) in enumerate(sorted(ranked)[:TERMS])}
+    starts = {t[:-1] for t in terms if t.endswith("*")}
+    return terms, {w for w in clean if any(w[:k] in starts for k in PREFIXES)}, measured
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, list[int]]:
+def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]) -> tuple[int, list[int]]:
     """Number of documents and, for each term, of those that hold it; over all documents, summed in each task before the shuffle."""
-    given = docs.sparkSession.sparkContext.broadcast(terms)
+    given = docs.sparkSession.sparkContext.broadcast((terms, clean))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -115,8 +149,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, l
         cache: dict = {}
         for batch in slices(batches, 2000):
             for text in batch.column(0).to_pylist():
-                df[-1] += 1
-                df.update(counted(text or "", given.value, cache).keys())
+                df.update(counted(text or "", *given.value, cache).keys())  # -1 is in each of them: the number of documents
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
 
     rows = docs.select("text").mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -199,30 +232,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if learn is not None:
         given = given.filter(learn)
-    examples = sample_examples(texts.join(given, "doc_id"))
+    examples = sample_examples(texts, given)
     prior = sum(e[2] for e in examples) / len(examples) if examples else 0.0
-    terms = choose_terms(examples)
+    examples = distinct_examples(examples)
+    terms, clean, measured = choose_terms(examples)
     if not terms:
-        return Model({}, [], [], [], [], prior, [])
-    n, df = document_frequencies(texts, terms)
+        return Model({}, set(), [], [], [], [], prior, [])
+    n, df = document_frequencies(texts, terms, clean)
     idf = [math.log((1 + n) / (1 + x)) + 1 for x in df]
     cache: dict = {}
-    made = [(i, y, vector(counted(t, terms, cache), idf)) for i, t, y in examples]
-    with_terms = [m for m in made if m[2]]
-    ids, ys, vectors = ([m[i] for m in with_terms] for i in range(3))
-    index = BlockMaxIndex(vectors, len(terms))
-    points = [(vote(index.search(v, NEIGHBOURS, skip=i), ys, prior), ys[i]) for i, v in enumerate(vectors)]
-    none = [m[1] for m in made if not m[2]]
-    points += [(vote([], ys, prior), y) for y in none]
-    return Model(terms, idf, ids, ys, vectors, prior, isotonic(points))
+    made = [(i, y, vector(counted(t, terms, clean, cache), idf)) for i, t, y in examples]
+    position = {k: j for j, k in enumerate(k for k, m in enumerate(made) if m[2])}
+    ids, ys, vectors = ([made[k][i] for k in position] for i in range(3))
+    index = BlockMaxIndex(vectors, len(terms) + 1)
+    points = [(vote(index.search(made[k][2], NEIGHBOURS, skip=position.get(k, -1)), ys, prior), made[k][1]) for k in measured]
+    return Model(terms, clean, idf, ids, ys, vectors, prior, isotonic(points))
 
 
 def judge_of(m: Model):
     """text -> (score, neighbours)."""
-    index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
+    index, cache = BlockMaxIndex(m.vectors, len(m.terms) + 1), {}
 
     def judge(text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        found = index.search(vector(counted(text or "", m.terms, cache), m.idf), NEIGHBOURS) if m.terms else []
+        found = index.search(vector(counted(text or "", m.terms, m.clean, cache), m.idf), NEIGHBOURS) if m.terms else []
         return min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found
 
     return judge
