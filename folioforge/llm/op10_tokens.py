@@ -7,14 +7,14 @@ files' own totals.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, table, tokenizer_path, utf8
+from .common import scratch, slices, table, tokenizer_path
 
 END_ID = 2
 #: Bytes of a row group and of a page: a reader that wants one document reads a page of ids, not a file.
@@ -22,66 +22,57 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 #: Words whose ids a worker remembers.
 CACHE = 500_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
-#: White space next to white space or at an end: there the words of a text can't be told by blanks alone.
-_ODD = re.compile(r"\s\s|^\s|\s\Z|\0|[^\S \n]")
+SIGNS = ".,;:!?"
 
 
-class WordCoder:
-    """text -> ids (little-endian uint32 bytes) with the tokenizers library, asked once for each distinct word.
+class WordCoder(dict):
+    """word -> ids (little-endian uint32 bytes) from the tokenizers library, asked once for each word that is remembered.
 
     The pre-tokenizer starts a new piece at every single blank and at either side of every single newline that
-    stand between other characters, and a piece's ids depend on nothing else. Texts with other white space are given to the library whole.
+    stand between other characters, and where signs follow letters; a piece's ids depend on nothing else. Texts with
+    other white space are given to the library whole.
     """
 
     def __init__(self, path: str, room: int = CACHE):
         import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.room, self.known = np, room, {}
+        super().__init__()
+        self.np, self.room = np, room
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.coder.no_padding()
         self.coder.no_truncation()
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [self.np.array(x.ids, "<u4").tobytes() for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        split: list[tuple[int, list[str]]] = []
-        known = self.known
-        for text in texts:
-            if _ODD.search(text):
-                out.append(None)
-            else:
-                split.append((len(out), text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []))
-                out.append(b"")
-        new = {w for _, words in split for w in words if w not in known}
-        fresh = list(new)
-        got = dict(zip(fresh, self._ask(fresh), strict=True)) if fresh else {}
-        if len(known) + len(got) <= self.room:
-            known.update(got)
-            got = known
-        else:
-            got = _Two(got, known)
-        find = got.__getitem__
-        for at, words in split:
-            out[at] = b"".join(map(find, words))
-        odd = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(odd, self._ask([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = x
-        return out
-
-
-class _Two(dict):
-    """Fresh words first, then the remembered ones."""
+        # one piece goes straight to the library's model, in its alphabet of printable bytes (a fixed rule of byte-level BPE)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+        self.piece = self.coder.model.tokenize
 
-    def __init__(self, fresh: dict, known: dict):
-        super().__init__(fresh)
-        self.known = known
+    def ask(self, text: str) -> bytes:
+        return self.np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        return self.known[word]
+        bare = word.lstrip(" ")
+        if bare.isalpha():
+            got = array("I", [t.id for t in self.piece(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        elif len(bare) > 1 and bare[-1] in SIGNS and bare[:-1].isalpha():
+            got = self[word[:-1]] + self[word[-1]]
+        else:
+            got = self.ask(word) if word else b""
+        if len(self) >= self.room:
+            self.clear()
+        if len(word) < 64:
+            self[word] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+            return self.ask(text)
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -111,7 +102,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         words, start, end = coder(tokens), 0, np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 200):
-            coded = words.encode([x.decode() for x in utf8(batch, "text")])
+            coded = [words.encode(x) for x in batch.column(1).to_pylist()]
             sizes = np.array([len(x) // 4 + 1 for x in coded], np.int64)
             flat = np.frombuffer(b"".join(x for c in coded for x in (c, end)), "<i4")
             bounds = np.concatenate([[0], np.cumsum(sizes)])
