@@ -165,3 +165,62 @@ def test_streams_give_what_tables_give(spark, data, tmp_path):
 def test_uploads_are_all_or_nothing(spark):
     u = spark.createDataFrame([(1, "application/pdf"), (1, "text/plain"), (2, "application/pdf"), (3, None)], "batch_id int, content_type string")
     assert {r["batch_id"]: r["accepted"] for r in tables.accept_uploads(u).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_pace_waits_once_the_bucket_is_empty():
+    from folioforge.operators.config import Pace
+
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    p = Pace(rate=4, tasks=2, capacity=3, clock=lambda: now[0], sleep=sleep)
+    for _ in range(6):
+        p.wait()
+    assert slept == pytest.approx([0.5, 0.5, 0.5])
+
+
+def test_unit_lists_of_four_shapes(spark):
+    from folioforge.operators.config import unit_list
+
+    u = '{"unit_id": "a", "content": "c"}'
+    for raw in (f"[{u}]", f'{{"units": [{u}]}}', f'{{"content_units": [{u}]}}', f'{{"a": {u}}}'):
+        assert [(x["unit_id"], x["content"]) for x in one(spark, unit_list, raw)] == [("a", "c")], raw
+    assert one(spark, unit_list, "nonsense") == [] and one(spark, unit_list, None) == []
+
+
+def test_kmeans_columns_split_where_the_gap_is(spark):
+    rows = [("d", 1, "text", float(x), float(x + 10), 600.0) for x in (0, 5, 10, 15, 20, 400, 405, 410, 415, 420)]
+    b = spark.createDataFrame(rows, "doc_id string, page int, type string, x0 double, x1 double, page_width double")
+    r = layout.detect_columns_kmeans(b).first()
+    assert r["layout"] == "two_column" and 25 < r["boundary"] < 405
+    assert layout.detect_columns_kmeans(b.limit(6)).first()["layout"] == "single"
+
+
+def test_zone_fallback_keeps_a_page_alive(spark):
+    kind = "doc_id string, page int, block_idx string, type string, x0 double, y0 double, x1 double, y1 double, text string"
+    b = spark.createDataFrame([("d", 1, "a", "text", 0.0, 0.0, 50.0, 20.0, "plain text"), ("d", 1, "b", "text", 10.0, 10.0, 20.0, 20.0, "plain text"), ("e", 1, "c", "text", 0.0, 0.0, 50.0, 20.0, "plain text"), ("e", 1, "d", "text", 0.0, 300.0, 50.0, 320.0, "plain text")], kind)
+    z = spark.createDataFrame([("d", 1, 0.0, 0.0, 45.0, 40.0), ("e", 1, 0.0, 0.0, 45.0, 40.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r["block_idx"] for r in layout.outside_zones(b, z).collect()) == ["a", "d"]
+
+
+def test_versions_and_sources(spark):
+    r = spark.createDataFrame([(1, 1, "v1", 7, 0.9), (1, 1, "v2", 8, 0.8), (1, 2, "v2", 9, 0.7)], "query_id long, rank int, version string, id long, score double")
+    got = {x["rank"]: (x["v1_id"], x["v2_id"]) for x in retrieval.compare_versions(r).collect()}
+    assert got == {1: (7, 8), 2: (None, 9)}
+    long = spark.createDataFrame([(1, 0.5, "word " * 200, "v2")], "id long, score double, text string, version string")
+    s = retrieval.sources(long).first()
+    assert s["snippet"].endswith("word...") and len(s["snippet"]) <= 403 and json.loads(s["metadata"]) == {"version": "v2"}
+
+
+def test_failing_hooks_become_rows(spark):
+    def broken(*_):
+        raise RuntimeError("no")
+
+    c = spark.createDataFrame([(1, "text", "why?")], "query_id long, context string, question string")
+    r = retrieval.answer(c, generate=broken).first()
+    assert (r["status"], r["answer"]) == ("error", None) and "RuntimeError" in r["error"]
+    w = spark.createDataFrame([("d", 0, "x")], "doc_id string, window int, content string")
+    assert "RuntimeError" in enrichment.generate(w, broken).first()["error"]
