@@ -22,6 +22,7 @@ BLOCK, SHORT = 512, 160
 #: A margin under this share of the second-best size is called narrow.
 NARROW = 0.01
 UNKNOWN = "und"
+#: Letters, and a few number signs that isalpha() then tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII signs and digits say nothing of a language: runs of them become one blank.
 FOLD = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
@@ -69,7 +70,7 @@ def classifier(dictionaries: dict[str, bytes]):
         coders.append(zs.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
     def classify(raw: bytes) -> tuple[str, float, bool, float]:
-        if not labels or not LETTER.search(raw.decode("utf-8", "replace")):
+        if not labels or not any(m[0].isalpha() for m in LETTER.finditer(raw.decode("utf-8", "replace"))):
             return UNKNOWN, 0.0, True, 0.0
         raw = folded(raw)
         if len(raw) < SHORT:  # the coder doesn't store small savings of small blocks; repeats make them visible

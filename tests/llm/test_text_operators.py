@@ -91,6 +91,8 @@ def test_language_edges(docs, empty):
     assert by[5]["lang_pred"] == by[6]["lang_pred"] == by[7]["lang_pred"] == "und"
     assert by[0]["lang_pred"] == by[1]["lang_pred"] in learned and by[0]["score"] == by[1]["score"]
     assert by[2]["held_out"] == (zlib.crc32(b"2") % 4 == 2)
+    classify = op2_language.classifier(learned)
+    assert classify("12 ² ½ !?".encode())[0] == "und" and classify("é".encode())[0] in learned
     assert op2_language.fit_dictionaries(empty) == {}
     assert {r["lang_pred"] for r in op2_language.identify(docs, {}).collect()} == {"und"}
 
