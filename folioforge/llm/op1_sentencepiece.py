@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +27,11 @@ from .common import materialise, slices, table, tokenizer_path
 
 BLANK = "\u2581"
 #: Units the relational lattice encodes, and characters of a unit that it takes (boundaries are the bits of a long).
-LATTICE_UNITS, LATTICE_CHARS = 200_000, 60
+LATTICE_UNITS, LATTICE_CHARS = 250_000, 60
 #: Units a worker counts before it hands its counts on, and units whose ids it remembers.
-COUNTED, REMEMBERED = 400_000, 300_000
+COUNTED, REMEMBERED = 300_000, 200_000
+#: Signs that are cut off behind a letter, if no piece of the model has a letter and then the sign.
+SIGNS = ".,;:!?"
 _UNIT = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
 
@@ -44,6 +47,7 @@ class Model:
     text: dict[str, int] = field(default_factory=dict)
     rank: dict[str, int] = field(default_factory=dict)
     longest: int = 1
+    signs: str = ""
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -61,6 +65,7 @@ class Model:
         order = {s: k for k, s in enumerate(sorted({model.scores[i] for i in model.text.values()}, reverse=True))}
         model.rank = {t: order[model.scores[i]] for t, i in model.text.items()}
         model.longest = max(map(len, model.text))
+        model.signs = "".join(c for c in SIGNS if not any(b == c and a.isalpha() for t in model.text for a, b in zip(t, t[1:], strict=False)))
         if any(BLANK in t.lstrip(BLANK) or "\n" in t for t in model.text):
             raise ValueError("a piece of this model crosses the units' boundaries")
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.normalizer_spec.add_dummy_prefix:
@@ -77,8 +82,14 @@ def units(text: str) -> list[str]:
     return [u for u in (BLANK + text.replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")).split("\0") if u]
 
 
-def count_units(docs: DataFrame) -> DataFrame:
-    """(unit, n) over all documents; tasks add up before the shuffle."""
+def cut_sign(unit: str, model: Model) -> tuple[str, str] | None:
+    """The unit without its last sign, and the sign, if the model has no piece across that cut."""
+    return (unit[:-1], unit[-1]) if len(unit) > 1 and unit[-1] in model.signs and unit[-2].isalpha() else None
+
+
+def count_units(docs: DataFrame, model: Model) -> DataFrame:
+    """(unit, n) over all documents, units without the signs behind them; tasks add up before the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -86,6 +97,12 @@ def count_units(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out():
+            for u in [u for u in seen if u[-1] in SIGNS]:
+                cut = cut_sign(u, shared.value)
+                if cut:
+                    n = seen.pop(u)
+                    seen[cut[0]] += n
+                    seen[cut[1]] += n
             got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
             seen.clear()
             return got
@@ -179,9 +196,31 @@ def _bytes_of(ch: str, model: Model) -> list[int]:
 
 
 def merge_unit(unit: str, model: Model) -> list[int]:
-    """The ids of one unit by the rule of fold_merges(), with a heap, for units of any length."""
+    """The ids of one unit by the rule of fold_merges(), for units of any length; long ones with a heap."""
     rank = model.rank
     n = len(unit)
+    if n <= LATTICE_CHARS:
+        symbols, none = list(unit), len(rank) + 1
+        get = rank.get
+        ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == none:
+                break
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] + symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = get(symbols[i] + symbols[i + 1], none)
+        out = []
+        for t in symbols:
+            if t in model.text:
+                out.append(model.text[t])
+            else:
+                out += _bytes_of(t, model)
+        return out
     ends = list(range(1, n + 1))  # where the symbol that begins here ends; 0 once it is merged away
     before = list(range(-1, n - 1))
     heap = []
@@ -235,50 +274,78 @@ def best_path(unit: str, model: Model) -> list[int]:
     return out
 
 
-def encode(docs: DataFrame, model_path: str | None = None, most: int = LATTICE_UNITS) -> DataFrame:
-    """(doc_id, ids, text) for every row of docs; null and empty texts have no ids. Other columns are ignored."""
-    path = model_path or tokenizer_path("piece_bpe_32k.model")
-    model = Model.load(path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = encode_units(frequent_units(materialise(count_units(rows)), most).repartition(parts, "unit"), model)  # few bytes, much work: not to be coalesced
-    held = {r["unit"]: b"".join(i.to_bytes(4, "little") for i in r["ids"]) for r in known.toLocalIterator()}  # at most ``most``
-    given, shared = rows.sparkSession.sparkContext.broadcast(held), rows.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        memory = _Units(given.value, shared.value)
-        for batch in slices(batches, 300):
-            texts = batch.column(1)
-            coded = [b"".join(map(memory.__getitem__, units(t or ""))) for t in texts.to_pylist()]
-            bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, texts], names=["doc_id", "ids", "text"])
-
-    return rows.mapInArrow(work, "doc_id long, ids array<int>, text string")
+def known_units(docs: DataFrame, model: Model, most: int = LATTICE_UNITS) -> dict[str, bytes]:
+    """unit -> ids as little-endian uint32 bytes, from the relational lattice: at most ``most`` units."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = frequent_units(materialise(count_units(docs, model)), most).repartition(parts, "unit")  # few bytes, much work: not to be coalesced
+    return {r["unit"]: array("I", r["ids"]).tobytes() for r in encode_units(frequent, model).toLocalIterator()}
 
 
 class _Units(dict):
     """unit -> ids as bytes: from the lattice, else folded here and remembered."""
 
     def __init__(self, known: dict[str, bytes], model: Model):
-        super().__init__()
+        super().__init__(known)
         self.known, self.model, self.fold = known, model, merge_unit if model.kind == "bpe" else best_path
 
     def __missing__(self, unit: str) -> bytes:
-        got = self.known.get(unit)
-        if got is None:
-            got = b"".join(i.to_bytes(4, "little") for i in self.fold(unit, self.model))
-            if len(unit) > LATTICE_CHARS:
-                return got
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[unit] = got
+        cut = cut_sign(unit, self.model)
+        got = self[cut[0]] + self[cut[1]] if cut else array("I", self.fold(unit, self.model)).tobytes()
+        if len(unit) <= LATTICE_CHARS:
+            if len(self) >= len(self.known) + REMEMBERED:
+                self.clear()
+                self.update(self.known)
+            self[unit] = got
         return got
 
 
+_MEMORY: dict[str, _Units] = {}
+
+
+def memory(key: str, given, shared) -> _Units:
+    """The worker's units for a broadcast lattice, kept from task to task; only the newest lattice's."""
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = _Units(given.value, shared.value)
+    return _MEMORY[key]
+
+
+def _encoded(docs: DataFrame, model_path: str | None, most: int, finish, schema: str) -> DataFrame:
+    """Rows made by finish(batch, coded, model): coded are the ids of each text as bytes. One pass over the documents."""
+    model = Model.load(model_path or tokenizer_path("piece_bpe_32k.model"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sc = rows.sparkSession.sparkContext
+    given, shared = sc.broadcast(known_units(rows, model, most)), sc.broadcast(model)
+    run = sc._jsc.sc().applicationId() + str(given._jbroadcast.id())
+
+    def work(batches: Iterator) -> Iterator:
+        held = memory(run, given, shared)
+        for batch in slices(batches, 200):
+            yield finish(batch, [b"".join(map(held.__getitem__, units(t or ""))) for t in batch.column(1).to_pylist()], shared.value)
+
+    return rows.mapInArrow(work, schema)
+
+
+def id_lists(coded: list[bytes]):
+    """Ids as bytes to an Arrow list column."""
+    import numpy as np
+    import pyarrow as pa
+
+    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+
+def encode(docs: DataFrame, model_path: str | None = None, most: int = LATTICE_UNITS) -> DataFrame:
+    """(doc_id, ids, text) for every row of docs; null and empty texts have no ids. Other columns are ignored."""
+
+    def finish(batch, coded, model):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([batch.column(0), id_lists(coded), batch.column(1)], names=["doc_id", "ids", "text"])
+
+    return _encoded(docs, model_path, most, finish, "doc_id long, ids array<int>, text string")
+
+
 def decoder(model: Model):
     """ids (list) -> text."""
     first = model.first_byte if model.first_byte is not None else -1
@@ -287,8 +354,10 @@ def decoder(model: Model):
         table[first : first + 256] = [bytes([b]) for b in range(256)]
     table[model.unknown] = " \u2047 ".encode()
 
+    find = table.__getitem__
+
     def decode(ids) -> str:
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(find, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
     return decode
@@ -309,10 +378,28 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids", "text").mapInArrow(work, "doc_id long, ids array<int>, text string, decoded string")
 
 
-def sentencepiece_round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256, lossless), one row per document; null texts count as empty."""
-    got = decode(encode(docs))
-    return got.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, most: int = LATTICE_UNITS) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256, lossless), one row per document; null texts count as empty.
+
+    Encoding and decoding share a pass, so a task needs one worker with one copy of the lattice's result.
+    """
+
+    def finish(batch, coded, model):
+        import pyarrow as pa
+
+        back = decoder(model)
+        ids = [array("I", x) for x in coded]
+        texts = [back(x) for x in ids]
+        given = batch.column(1).to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(map(len, ids), pa.int32()), id_lists(coded), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+                pa.array([t == (g or "") for t, g in zip(texts, given, strict=True)], pa.bool_()),
+            ],
+            names=["doc_id", "n_tokens", "ids", "decoded_sha256", "lossless"],
+        )
+
+    return _encoded(docs, model_path, most, finish, "doc_id long, n_tokens int, ids array<int>, decoded_sha256 string, lossless boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,10 @@ def library():
 def test_units_and_merges_give_the_library_s_ids(text, model, library):
     ids = [i for u in sp.units(text) for i in sp.merge_unit(u, model)]
     assert ids == library.encode(text)
+    cut = [i for u in sp.units(text) for p in (sp.cut_sign(u, model) or (u,)) for i in sp.merge_unit(p, model)]
+    assert cut == ids
+    long = "".join(sp.units(text * 9))
+    assert sp.merge_unit(long, model) == library.encode(text * 9) if "\n" not in long and long else True
     assert "".join(sp.units(text)) == ("▁" + text.replace(" ", "▁") if text else "")
 
 
