@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import fold_bucket, slices, table
 
 #: Bounds: examples of each label, terms, neighbours, examples a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 3000, 512, 8, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
 #: Lengths of beginnings; least examples of a term, and how many times commoner it is in label 1.
 PREFIXES, LEAST_EXAMPLES, LEAST_RATIO = (4, 5, 6, 7), 3, 6.0
 #: An example's text enters the sample up to this many characters (scored texts always count whole).
-EXAMPLE_CHARS = 20_000
+EXAMPLE_CHARS = 10_000
 #: Weight of the base rate in a vote, in units of one perfect neighbour.
 PRIOR = 0.3
 #: Weight of the dimension of all other words.
@@ -100,12 +101,13 @@ def vector(counts: Counter, idf: list[float]) -> dict[int, float]:
 
 
 def distinct_examples(examples: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Without near copies: an example goes if earlier ones hold over half of its five-word shingles."""
+    """Without near copies: an example goes if earlier ones hold over half of its five-word shingles (of a quarter of them, chosen by hash, which saves the driver memory)."""
     seen: set[int] = set()
     out = []
     for e in examples:
         words = e[1].split()
-        shingles = {hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+        hashes = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+        shingles = {h for h in hashes if h % 4 == 0} or hashes
         if 2 * len(shingles & seen) <= len(shingles):
             out.append(e)
         seen |= shingles
@@ -122,15 +124,21 @@ def choose_terms(examples: list[tuple[int, str, int]]) -> tuple[dict[str, int],
     told = set(clean_at[::2])
     clean = {w for i in told for w in WORD.findall(examples[i][1].lower())}
     measured = [i for i in range(len(examples)) if i not in told]
-    in_class, sizes = [Counter(), Counter()], [0, 0]
-    for i in measured:
-        _, text, label = examples[i]
-        in_class[label].update({x for word in set(WORD.findall(text.lower())) for x in terms_of(word, clean)})
-        sizes[label] += 1
+    sizes = [sum(examples[i][2] == k for i in measured) for k in (0, 1)]
+
+    def count(label: int, known: dict | None = None) -> Counter:
+        seen: Counter = Counter()
+        for i in measured:
+            if examples[i][2] == label:
+                seen.update({x for word in set(WORD.findall(examples[i][1].lower())) for x in terms_of(word, clean) if known is None or x in known})
+        return seen
+
+    toxic = {t: a for t, a in count(1).items() if a >= LEAST_EXAMPLES}
+    other = count(0, toxic)  # rare terms aren't counted again
     n, ranked = sum(sizes), []
-    for term, a in in_class[1].items():
-        b = in_class[0][term]
-        if a >= LEAST_EXAMPLES and a * sizes[0] >= LEAST_RATIO * (b + 0.5) * sizes[1]:
+    for term, a in toxic.items():
+        b = other[term]
+        if a * sizes[0] >= LEAST_RATIO * (b + 0.5) * sizes[1]:
             c, d = sizes[1] - a, sizes[0] - b
             ranked.append((-n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * sizes[0] * sizes[1]), term))
     terms = {term: i for i, (_, term) in enumerate(sorted(ranked)[:TERMS])}
