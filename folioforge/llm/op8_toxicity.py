@@ -2,7 +2,8 @@
 
 Terms are lower-cased words, and beginnings of words that clean examples don't have (insults are inflected; common
 words that begin alike aren't insults). The examples are a bounded sample of labelled rows; the terms that tell the
-labels apart best are kept, again a bounded number, and their document frequencies are counted over all documents. The index keeps, for each term and block of examples, the largest weight; blocks are
+labels apart best are kept, again a bounded number, and their document frequencies are counted over all documents.
+Examples count whole, like scored texts: executors count their words, and the driver gets only the kept terms. The index keeps, for each term and block of examples, the largest weight; blocks are
 visited by falling bound until no block can improve the k nearest. Votes weighted by distance are calibrated by
 isotonic regression on left-out examples.
 """
@@ -19,14 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, slices, table
+from .common import fold_bucket, materialise, slices, table
 
 #: Bounds: examples of each label, terms, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
 #: Lengths of beginnings; least examples of a term, and how many times commoner it is in label 1.
 PREFIXES, LEAST_EXAMPLES, LEAST_RATIO = (4, 5, 6, 7), 3, 6.0
-#: An example's text enters the sample up to this many characters (scored texts always count whole).
-EXAMPLE_CHARS = 10_000
 #: Weight of the base rate in a vote, in units of one perfect neighbour.
 PRIOR = 0.3
 #: Weight of the dimension of all other words.
@@ -53,28 +52,61 @@ class Model:
     knots: list[tuple[float, float]]
 
 
-def sample_examples(texts: DataFrame, labels: DataFrame) -> list[tuple[int, str, int]]:
-    """At most EXAMPLES rows of (doc_id, text, label) for each label, drawn from the labels by a hash of the id; equal texts count once for a label.
+def sample_examples(texts: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, list[tuple[int, int, int]]]:
+    """(features, examples): at most EXAMPLES rows of (doc_id, hash of the text, label) for each label, drawn from the labels by a hash of the id; equal texts count once for a label.
 
     Only ids are drawn, so texts are never shuffled: the drawn ids, bounded by EXAMPLES, are broadcast to the documents.
+    Features hold the word counts and shingles of whole texts; they are made where the texts are and stay with the executors.
     """
     rows = labels.filter("doc_id is not null and label in (0, 1)").distinct()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return None, []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * EXAMPLES / n))])
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
-    found = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), F.substring("text", 1, EXAMPLE_CHARS).alias("text"))
+    found = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 50):
+            words, sizes, shingles = [], [], []
+            for text in batch.column(3).to_pylist():
+                got = Counter(WORD.findall(text.lower()))
+                words.append(list(got))
+                sizes.append(list(got.values()))
+                shingles.append(shingles_of(text))
+            made = (pa.array(words, pa.list_(pa.string())), pa.array(sizes, pa.list_(pa.int32())), pa.array(shingles, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["doc_id", "label", "h", "words", "sizes", "shingles"])
+
+    features = materialise(found.mapInArrow(work, "doc_id long, label int, h long, words array<string>, sizes array<int>, shingles array<long>"))
     by: dict[int, list] = {}
-    for r in found.groupBy("label", "h").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).collect():
-        by.setdefault(r["label"], []).append((r["h"], r["x"]["doc_id"], r["x"]["text"]))
-    return [(i, t, k) for k in sorted(by) for _, i, t in sorted(by[k])[:EXAMPLES]]
+    for r in features.groupBy("label", "h").agg(F.min("doc_id").alias("doc_id")).collect():
+        by.setdefault(r["label"], []).append((r["h"], r["doc_id"]))
+    return features, [(i, h, k) for k in sorted(by) for h, i in sorted(by[k])[:EXAMPLES]]
+
+
+def shingles_of(text: str) -> list[int]:
+    """Hashes of a quarter of a whole text's five-word shingles, chosen by hash."""
+    words = text.split()
+    hashes = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+    return sorted({h for h in hashes if h % 4 == 0} or hashes)
+
+
+def at_places(features: DataFrame, examples: list[tuple[int, int, int]], **more: list[bool]) -> DataFrame:
+    """Features of the examples with their position, and further columns by position. Repeated rows stay: what is made of them may not depend on their number."""
+    rows = [(*e, k, *(x[k] for x in more.values())) for k, e in enumerate(examples)]
+    kind = "doc_id long, h long, label int, place int" + "".join(f", {name} boolean" for name in more)
+    return features.join(F.broadcast(features.sparkSession.createDataFrame(rows, kind)), ["doc_id", "h", "label"])
 
 
 def counted(text: str, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
     """Frequencies of known terms in a whole text, and at -1 its number of words. cache: word -> its known terms, bounded."""
+    return counted_words(Counter(WORD.findall(text.lower())), terms, clean, cache)
+
+
+def counted_words(words: Counter, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
     got: Counter = Counter()
-    words = Counter(WORD.findall(text.lower()))
     got[-1] = words.total()
     for word, n in words.items():
         known = cache.get(word)
@@ -100,21 +132,18 @@ def vector(counts: Counter, idf: list[float]) -> dict[int, float]:
     return {k: x / norm for k, x in got.items()}
 
 
-def distinct_examples(examples: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Without near copies: an example goes if earlier ones hold over half of its five-word shingles (of a quarter of them, chosen by hash, which saves the driver memory)."""
-    seen: set[int] = set()
-    out = []
-    for e in examples:
-        words = e[1].split()
-        hashes = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
-        shingles = {h for h in hashes if h % 4 == 0} or hashes
-        if 2 * len(shingles & seen) <= len(shingles):
-            out.append(e)
-        seen |= shingles
-    return out
+def distinct_examples(features: DataFrame, examples: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Without near copies: an example goes if earlier ones hold over half of its shingles, i.e. if fewer than half appear in it first."""
+    if not examples:
+        return []
+    placed = at_places(features, examples)
+    sizes = {r["place"]: r["n"] for r in placed.select("place", F.size("shingles").alias("n")).distinct().collect()}
+    first = placed.select("place", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("place").alias("place"))
+    fresh = {r["place"]: r["n"] for r in first.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    return [e for k, e in enumerate(examples) if 2 * (sizes[k] - fresh.get(k, 0)) <= sizes[k]]
 
 
-def choose_terms(examples: list[tuple[int, str, int]]) -> tuple[dict[str, int], set[str], list[int]]:
+def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]]) -> tuple[dict[str, int], set[str], list[int]]:
     """(terms, clean words, positions of the examples that were measured).
 
     The TERMS terms with the largest chi-square among those of label 1. Half of the clean examples say which words are
@@ -122,28 +151,44 @@ def choose_terms(examples: list[tuple[int, str, int]]) -> tuple[dict[str, int],
     """
     clean_at = [i for i, e in enumerate(examples) if e[2] == 0]
     told = set(clean_at[::2])
-    clean = {w for i in told for w in WORD.findall(examples[i][1].lower())}
     measured = [i for i in range(len(examples)) if i not in told]
     sizes = [sum(examples[i][2] == k for i in measured) for k in (0, 1)]
+    if not sizes[1]:
+        return {}, set(), measured
+    placed = at_places(features, examples, told=[i in told for i in range(len(examples))])
+    words = placed.select("place", "label", "told", F.explode("words").alias("word"))
+    clean = words.filter("told").select("word").distinct()
+    starts = [F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in PREFIXES]
+    made = F.when(F.col("_clean"), F.array("word")).otherwise(F.array_compact(F.array("word", *starts)))
+    rows = words.filter("not told").join(clean.withColumn("_clean", F.lit(True)), "word", "left")
+    seen = rows.select("place", "label", F.explode(made).alias("term")).distinct().groupBy("term").agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"))
+    seen = seen.filter((F.col("a") >= LEAST_EXAMPLES) & (F.col("a") * sizes[0] >= LEAST_RATIO * (F.col("b") + 0.5) * sizes[1]))
+    a, b, c, d = F.col("a"), F.col("b"), sizes[1] - F.col("a"), sizes[0] - F.col("b")
+    chi = F.lit(sum(sizes)) * (a * d - b * c) * (a * d - b * c) / F.greatest(F.lit(1), (a + b) * (c + d) * sizes[0] * sizes[1])
+    terms = {r["term"]: i for i, r in enumerate(seen.orderBy(F.desc(chi), "term").limit(TERMS).collect())}
+    known = [t[:-1] for t in terms if t.endswith("*")]
+    if not known:
+        return terms, set(), measured
+    like = [F.substring("word", 1, n).isin(known) for n in PREFIXES]
+    return terms, {r["word"] for r in clean.filter(like[0] | like[1] | like[2] | like[3]).collect()}, measured
+
+
+def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[Counter]:
+    """counted() of each example's whole text; at most TERMS + 1 numbers each come to the driver."""
+    given = features.sparkSession.sparkContext.broadcast((terms, clean))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cache: dict = {}
+        for batch in slices(batches, 50):
+            got = [counted_words(Counter(dict(zip(w, n, strict=True))), *given.value, cache) for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            lists = (pa.array([list(f(g)) for g in got], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["place", "terms", "n"])
 
-    def count(label: int, known: dict | None = None) -> Counter:
-        seen: Counter = Counter()
-        for i in measured:
-            if examples[i][2] == label:
-                seen.update({x for word in set(WORD.findall(examples[i][1].lower())) for x in terms_of(word, clean) if known is None or x in known})
-        return seen
-
-    toxic = {t: a for t, a in count(1).items() if a >= LEAST_EXAMPLES}
-    other = count(0, toxic)  # rare terms aren't counted again
-    n, ranked = sum(sizes), []
-    for term, a in toxic.items():
-        b = other[term]
-        if a * sizes[0] >= LEAST_RATIO * (b + 0.5) * sizes[1]:
-            c, d = sizes[1] - a, sizes[0] - b
-            ranked.append((-n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * sizes[0] * sizes[1]), term))
-    terms = {term: i for i, (_, term) in enumerate(sorted(ranked)[:TERMS])}
-    starts = {t[:-1] for t in terms if t.endswith("*")}
-    return terms, {w for w in clean if any(w[:k] in starts for k in PREFIXES)}, measured
+    rows = at_places(features, examples).select("place", "words", "sizes").mapInArrow(work, "place int, terms array<int>, n array<int>").collect()
+    by = {r["place"]: Counter(dict(zip(r["terms"], r["n"], strict=True))) for r in rows}
+    return [by[k] for k in range(len(examples))]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]) -> tuple[int, list[int]]:
@@ -240,16 +285,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if learn is not None:
         given = given.filter(learn)
-    examples = sample_examples(texts, given)
+    features, examples = sample_examples(texts, given)
     prior = sum(e[2] for e in examples) / len(examples) if examples else 0.0
-    examples = distinct_examples(examples)
-    terms, clean, measured = choose_terms(examples)
+    examples = distinct_examples(features, examples)
+    terms, clean, measured = choose_terms(features, examples)
     if not terms:
         return Model({}, set(), [], [], [], [], prior, [])
     n, df = document_frequencies(texts, terms, clean)
     idf = [math.log((1 + n) / (1 + x)) + 1 for x in df]
-    cache: dict = {}
-    made = [(i, y, vector(counted(t, terms, clean, cache), idf)) for i, t, y in examples]
+    made = [(i, y, vector(counts, idf)) for (i, _, y), counts in zip(examples, example_counts(features, examples, terms, clean), strict=True)]
     position = {k: j for j, k in enumerate(k for k, m in enumerate(made) if m[2])}
     ids, ys, vectors = ([made[k][i] for k in position] for i in range(3))
     index = BlockMaxIndex(vectors, len(terms) + 1)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from folioforge.llm import op2_language, op3_license, op5_chat, op6_media, op8_toxicity, op10_tokens
 from folioforge.llm.common import fold_bucket, table, tokenizer_path
 
+from .conftest import sentence
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -141,6 +143,17 @@ def test_toxicity_edges(spark, docs, empty):
     assert op8_toxicity.score(empty, nothing).collect() == [] and op8_toxicity.score(docs, nothing).count() == docs.count()
 
 
+def test_toxic_words_behind_a_long_beginning_are_learned(spark):
+    rows = [(i, f"{sentence(300 + i, 40)} " + sentence(400 + i, 1500) + (" grobian grobians blockhead" * 3 if i % 2 else " kindly"), i % 2) for i in range(24)]
+    assert min(len(t) for _, t, _ in rows) > 10_000
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    model = op8_toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "grobian" in model.terms and "blockhead" in model.terms
+    for (i, t, y), v in zip([next(r for r in rows if r[0] == i) for i in model.ids], model.vectors, strict=True):
+        assert v == op8_toxicity.vector(op8_toxicity.counted(t, model.terms, model.clean, {}), model.idf), (i, y)
+    assert set(model.ids) >= {i for i, _, y in rows if y}
+
+
 # --- chat
 
 
