@@ -86,11 +86,11 @@ def user_prompt(content: Column, tables: Column, counts: Column, hint: Column, m
     return F.concat(F.lit("CONTENT:\n"), F.substring(content, 1, most), F.lit("\n\nTABLES: "), tables.cast("string"), F.lit("\nNUMERIC PATTERNS: "), F.to_json(counts), F.lit("\nHINT: "), hint)
 
 
-def system_prompt(selected: DataFrame, domain: str) -> DataFrame:
-    """One row: instructions of the selected types in order, with the example of the domain where there is one."""
+def system_prompt(selected: DataFrame, domain: str, *keys: str) -> DataFrame:
+    """One row for each registry (all of ``selected`` without keys): instructions of the selected types in order, with the example of the domain where there is one."""
     line = F.concat(F.lit("- "), "type_id", F.lit(": "), "prompt_instructions", F.coalesce(F.concat(F.lit(" (e.g. "), F.try_element_at("examples", F.lit(domain)), F.lit(")")), F.lit("")))
-    rows = selected.select(F.struct("display_order", "type_id", line.alias("line")).alias("x"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("instructions"), F.count("*").alias("n_types"))
+    rows = selected.select(*keys, F.struct("display_order", "type_id", line.alias("line")).alias("x"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("instructions"), F.count("*").alias("n_types"))
 
 
 def recover_json(raw: Column) -> Column:

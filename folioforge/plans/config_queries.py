@@ -54,11 +54,19 @@ def window_prompt(spark, d):
 
 @query("SELECT string_agg('- ' || p_type || '_' || p_partkey || ': ' || p_name || CASE WHEN p_size > 25 THEN ' (e.g. ' || p_brand || ')' ELSE '' END, chr(10) ORDER BY p_size, p_type || '_' || p_partkey) AS instructions, count(*) AS n_types FROM part WHERE p_partkey <= 20")
 def system_prompt(spark, d):
-    """Twenty parts stand for a registry of types, which is small by nature."""
-    parts = table(spark, d, "part").filter("p_partkey <= 20")
+    """The registry that its SQL names: parts up to 20. system_prompt_registries reads all."""
+    return enrichment.system_prompt(part_types(table(spark, d, "part").filter("p_partkey <= 20")), "finance")
+
+
+def part_types(parts):
     examples = F.when(F.col("p_size") > 25, F.create_map(F.lit("finance"), F.col("p_brand"))).otherwise(F.create_map(F.lit("legal"), F.lit("x")))
-    types = parts.select(F.concat("p_type", F.lit("_"), s("p_partkey")).alias("type_id"), F.col("p_name").alias("prompt_instructions"), F.col("p_size").alias("display_order"), examples.alias("examples"))
-    return enrichment.system_prompt(types, "finance")
+    return parts.select("p_brand", "p_type", F.concat("p_type", F.lit("_"), s("p_partkey")).alias("type_id"), F.col("p_name").alias("prompt_instructions"), F.col("p_size").alias("display_order"), examples.alias("examples"))
+
+
+@query("SELECT p_brand, p_type, string_agg('- ' || p_type || '_' || p_partkey || ': ' || p_name || CASE WHEN p_size > 25 THEN ' (e.g. ' || p_brand || ')' ELSE '' END, chr(10) ORDER BY p_size, p_type || '_' || p_partkey) AS instructions, count(*) AS n_types FROM part GROUP BY p_brand, p_type")
+def system_prompt_registries(spark, d):
+    """Every part, with brand and type as the registry it belongs to."""
+    return enrichment.system_prompt(part_types(table(spark, d, "part")), "finance", "p_brand", "p_type")
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")

@@ -98,6 +98,16 @@ def column_detect(spark, d):
     return _int(layout.detect_columns(b).select("doc_id", "page", "layout"), "page")
 
 
+@query("""SELECT doc_id, page, CASE WHEN n >= 5 AND l > 3 AND r > 3 AND coalesce(rmin - lmax > 0.05 * 612, false) THEN 'two_column' ELSE 'single' END AS layout FROM (
+SELECT doc_id, page, count(*) AS n, count(*) FILTER (x < 306) AS l, count(*) FILTER (x >= 306) AS r, max(x) FILTER (x < 306) AS lmax, min(x) FILTER (x >= 306) AS rmin FROM (
+SELECT l_orderkey // 4 AS doc_id, l_linenumber % 2 AS page, (l_partkey % 40) * 10.0::DOUBLE + (50 + l_quantity * 4) / 2 AS x FROM lineitem) GROUP BY doc_id, page)""")
+def column_detect_all(spark, d):
+    """Every block, on pages small enough that some have two columns by themselves; column_detect keeps the filter of its SQL."""
+    x0 = (F.col("l_partkey") % 40) * 10.0
+    b = table(spark, d, "lineitem").select(F.expr("l_orderkey div 4").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), x0.alias("x0"), (x0 + 50 + F.col("l_quantity") * 4).alias("x1"), F.lit("text").alias("type"), F.lit(612.0).alias("page_width"))
+    return _int(layout.detect_columns(b).select("doc_id", "page", "layout"), "page")
+
+
 @query(f"""SELECT doc_id, page, block_idx, CASE WHEN (x0 + x1) / 2 < 306 THEN 'left' ELSE 'right' END || '_' || (row_number() OVER (PARTITION BY doc_id, page, (x0 + x1) / 2 < 306 ORDER BY y0, x0, block_idx) - 1) AS place FROM ({_BLOCKS})""")
 def unit_numbering(spark, d):
     b = blocks(spark, d)

@@ -44,6 +44,15 @@ def test_query(name, spark, data, con):
     assert rows(got.columns, found) == rows(want.columns, want.fetchall())
 
 
+def test_prompts_and_columns_hold_every_row(spark, data, con):
+    got = QUERIES["system_prompt_registries"](spark, data).collect()
+    n = con.sql("SELECT count(*) FROM part").fetchall()[0][0]
+    assert sum(r["n_types"] for r in got) == sum(len(r["instructions"].split("\n")) for r in got) == n > 20
+    pages = QUERIES["column_detect_all"](spark, data).collect()
+    assert len(pages) == con.sql("SELECT count(DISTINCT (l_orderkey // 4, l_linenumber % 2)) FROM lineitem").fetchall()[0][0]
+    assert {r["layout"] for r in pages} == {"single", "two_column"}
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as entry
 
