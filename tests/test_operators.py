@@ -224,3 +224,17 @@ def test_failing_hooks_become_rows(spark):
     assert (r["status"], r["answer"]) == ("error", None) and "RuntimeError" in r["error"]
     w = spark.createDataFrame([("d", 0, "x")], "doc_id string, window int, content string")
     assert "RuntimeError" in enrichment.generate(w, broken).first()["error"]
+
+
+def test_every_window_of_a_long_document_is_enriched(spark, tmp_path):
+    from folioforge.plans.registry import QUERIES
+
+    long = " ".join(f"w{i}" for i in range(20_000))  # over three windows of 10,000 tokens
+    rows = [(1, long), (2, " ".join(f"short{i}" for i in range(70))), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["enrichment_flow"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"1", "2", "3", "4"}
+    assert (got["1"]["anchored"], got["1"]["appendixed"]) == (4, 0) and len(long) // 4 > 3 * 8_500
+    assert (got["2"]["anchored"], got["2"]["appendixed"]) == (1, 0) and (got["3"]["anchored"], got["4"]["anchored"]) == (0, 0)
+    starts = [int(n.split(": **")[1].split()[1][1:]) for n in got["1"]["markdown"].split("\n") if n.startswith("[^")]
+    assert starts[0] == 0 and starts == sorted(starts) and starts[-1] > 14_000
