@@ -2,7 +2,7 @@
 
 Documents stream through the automaton word by word, which gives their matching statistics: at each word the length
 of the longest run ending there that some template holds. Runs that can't be extended are chained, template by
-template, into spans; a template whose words are covered well enough labels the document.
+template, into spans; every chain that covers its template's words well enough is a span and labels the document.
 """
 
 from __future__ import annotations
@@ -136,18 +136,19 @@ def scanner(base: tuple = tuple(BASE_PHRASES), notices: tuple = tuple(NOTICES)):
             if k < n_base:
                 continue
             chain_start, covered, doc_end, text_end = -1, 0, -1, -1
-            best = None
+            chain, chains = None, []
             for at, in_text, size in sorted(set(found)):
-                if chain_start < 0 or at - doc_end > MAX_GAP or in_text + size <= text_end:
-                    chain_start, covered, doc_end, text_end = at, 0, at, in_text
+                again = text_end - in_text - max(0, doc_end - at)  # words the chain has from another place
+                if chain_start < 0 or at - doc_end > MAX_GAP or in_text + size <= text_end or 2 * again > size >= MIN_COVER * sizes[k]:
+                    chains.append(chain)
+                    chain, chain_start, covered, doc_end, text_end = None, at, 0, at, in_text
                 cut = max(0, doc_end - at, text_end - in_text)  # what the chain already covers
                 covered += max(0, size - cut)
                 doc_end, text_end = max(doc_end, at + size), max(text_end, in_text + size)
                 share = covered / sizes[k]
-                if best is None or share > best[3]:
-                    best = (labels[k], chain_start, doc_end - 1, min(1.0, share))
-            if best and best[3] >= MIN_COVER:
-                spans.append(best)
+                if chain is None or share > chain[3]:
+                    chain = (labels[k], chain_start, doc_end - 1, min(1.0, share))
+            spans += [c for c in (*chains, chain) if c and c[3] >= MIN_COVER]
         starts = [at for at, _ in base_at]
         names = sorted({labels[k] for _, k in base_at})
         every = sorted({s[0] for s in spans})

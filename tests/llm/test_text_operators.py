@@ -66,6 +66,18 @@ def test_notices_are_labelled_from_most_of_their_words():
     assert scan("the of to a in license software")[5] == ""
 
 
+def test_every_place_of_a_notice_is_a_span():
+    label, notice = op3_license.NOTICES[3]
+    words, n = notice.split(), len(notice.split())
+    code = " x1 y2 z3" * 10
+    got = scan(f"{notice}{code} {notice}{code} {' '.join(words[: n - 3])} {notice}")
+    at = [0, n + 30, 2 * n + 60, 3 * n + 57]
+    assert [(s["label"], s["first"], s["last"]) for s in got[7]] == [(label, a, a + (n - 4 if i == 2 else n - 1)) for i, a in enumerate(at)]
+    assert got[5] == label and got[6] == 1.0
+    edited = " ".join([*words[:8], "new", *words[9:]])
+    assert [(s["first"], s["last"]) for s in scan(f"{edited} {edited} {edited}")[7]] == [(i * n, i * n + n - 1) for i in range(3)]
+
+
 def test_license_rows(docs, empty):
     got = op3_license.scan_licenses(docs).collect()
     want = sorted(((i, *expected_base(t)) for i, t in texts(docs)), key=str)
