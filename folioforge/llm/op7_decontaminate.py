@@ -2,13 +2,15 @@
 
 A benchmark item of m bytes that a document holds with at most k edits shares at least m - q + 1 - k*q of its q-grams
 with it, on diagonals that differ by at most k. Shared q-grams are counted by item and by overlapping diagonal bands
-of width 2k; bands that meet the bound are aligned within the band, and kept if k edits suffice.
+of width 2k; bands that meet the bound are aligned within the band, and kept if k edits suffice. Items too short for
+that are looked up word for word, without edits.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8
 
-#: Bytes of a q-gram, edits allowed for each byte of an item, and the smallest item (in bytes) that is looked for.
+#: Bytes of a q-gram, edits allowed for each byte of an item, and the smallest item (in bytes) that edits are allowed in.
 Q, EDIT_RATE, MIN_ITEM = 10, 0.08, 32
 #: Items are broadcast in blocks of at most so many bytes each; documents are read once for each block.
 BLOCK_BYTES = 32 << 20
@@ -24,6 +26,8 @@ BLOCK_BYTES = 32 << 20
 CHUNK = 1 << 18
 #: A-Z to lower case and white space to blanks, byte by byte, so that places in the text stay the same.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if 9 <= b <= 13 else b for b in range(256))
+#: Words and single signs of a folded text; bytes from 0x80 on belong to words.
+TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[^ 0-9a-z\x80-\xff]")
 SCHEMA = "doc_id long, item_id long, start long, end long, edits int, item_bytes int"
 
 
@@ -157,10 +161,43 @@ class Filter:
             batch, size = [], 0
 
 
+class ShortItems:
+    """Items under MIN_ITEM bytes, found as they are but for folding, without outer blanks and on word boundaries."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.sizes = [len(t) for _, t in items]
+        self.ids = [i for i, _ in items]
+        self.by: dict[bytes, list[tuple[int, bytes, bool]]] = {}  # by the first word: where it starts, the item does
+        for k, (_, t) in enumerate(items):
+            folded = t.translate(FOLD).strip(b" ")
+            tokens = TOKEN.findall(folded)
+            if tokens:
+                self.by.setdefault(tokens[0], []).append((k, folded, self.in_word(folded[-1:])))
+
+    @staticmethod
+    def in_word(byte: bytes) -> bool:
+        return byte.isalnum() or byte >= b"\x80"
+
+    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, place of the item in the given list, start, end); of overlapping places of an item the first."""
+        if not self.by:
+            return
+        get = self.by.get
+        for d, t in enumerate(texts):
+            text, free = t.translate(FOLD), {}
+            for m in TOKEN.finditer(text):
+                for k, item, word in get(m[0], ()):
+                    start, end = m.start(), m.start() + len(item)
+                    if start >= free.get(k, 0) and text.startswith(item, start) and not (word and self.in_word(text[end : end + 1])):
+                        free[k] = end
+                        yield d, k, start, end
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each place where a document holds a benchmark item within its edit budget; start and end are UTF-8 byte places in the text.
 
-    Null and empty texts hold nothing. Items that are null or shorter than MIN_ITEM bytes are not looked for. Repeated
+    Null and empty texts hold nothing. Items shorter than MIN_ITEM bytes must be held without edits and on word boundaries;
+    null items and those of white space alone are held by nothing. Repeated
     documents and repeated items give repeated rows; of places of one item that overlap, the best, then the first, stays.
     """
     spark = docs.sparkSession
@@ -176,11 +213,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         def work(batches: Iterator, given=given) -> Iterator:
             import pyarrow as pa
 
-            found = Filter(given.value)
+            found, short = Filter(given.value), ShortItems([x for x in given.value if len(x[1]) < MIN_ITEM])
             sizes = {i: len(t) for i, t in found.items}
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[d], i, a, b, e, sizes[i]) for d, i, a, b, e in found.search(utf8(batch, "text"))]
+                ids, texts = batch.column(0).to_pylist(), utf8(batch, "text")
+                rows = [(ids[d], i, a, b, e, sizes[i]) for d, i, a, b, e in found.search(texts)]
+                rows += [(ids[d], short.ids[k], a, b, 0, short.sizes[k]) for d, k, a, b in short.search(texts)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], names=["doc_id", "item_id", "start", "end", "edits", "item_bytes"])
 

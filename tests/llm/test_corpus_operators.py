@@ -207,6 +207,18 @@ def test_leak_edges(spark, docs, empty):
     assert leak.find_leaks(empty, items).collect() == [] and leak.find_leaks(docs, items.limit(0)).collect() == []
 
 
+def test_short_items_are_found_on_word_boundaries(spark):
+    items = [(1, "What is 2+2?"), (2, "cat"), (3, " the cat "), (4, "a a"), (5, "   "), (6, "é"), (7, "x" * 31), (8, "x" * 32), (9, "?!"), (9, "cat")]
+    rows = [(1, "so: WHAT IS\t2+2?yes"), (2, "concatenate cats"), (3, "The Cat"), (4, "a a a a"), (5, "caf\u00e9 \u00e9!"), (6, "x" * 31), (7, "x" * 32), (8, "what?!"), (9, None), (10, ""), (11, "cat cat")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in leak.find_leaks(docs, bench).collect())
+    texts, size = {i: (t or "").encode() for i, t in rows}, lambda t: len(t.encode())
+    want = [(1, 1, 4, 16, 0, 12), (3, 2, 4, 7, 0, 3), (3, 3, 0, 7, 0, 9), (3, 9, 4, 7, 0, 3), (4, 4, 0, 3, 0, 3), (4, 4, 4, 7, 0, 3), (5, 6, 6, 8, 0, size("é")), (6, 7, 0, 31, 0, 31), (6, 8, 0, 31, 1, 32), (7, 8, 0, 32, 0, 32), (8, 9, 4, 6, 0, 2), (11, 2, 0, 3, 0, 3), (11, 2, 4, 7, 0, 3), (11, 9, 0, 3, 0, 3), (11, 9, 4, 7, 0, 3)]
+    assert got == want
+    assert texts[5][6:8] == "é".encode()
+    assert sorted(r["doc_id"] for r in leak.remove_leaks(docs, bench).collect()) == [2, 9, 10]
+
+
 # --- substring dedup
 
 
