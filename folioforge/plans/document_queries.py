@@ -189,16 +189,37 @@ def anchor_find(spark, d):
 
 
 def anchored(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as anchors, found in documents by the hash of eight words before the text is searched: an equi join, not all pairs."""
+    """Benchmark passages as anchors, found in documents by the hash of eight words before the text is searched: an equi join, not all pairs.
+
+    The hashed words are the second to the ninth, which are whole words in a document if a tenth follows. Items of fewer
+    words are few in a benchmark; they are broadcast and searched for in each text.
+    """
     words = 8
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("anchor"))
     spaced = lambda c: F.split(F.regexp_replace(c, r"\s+", " "), " ")
     items = items.withColumn("w", spaced(F.col("anchor"))).withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    doc = table(spark, d, "documents").select("doc_id", "text").withColumn("w", spaced(F.col("text")))
+    texts = table(spark, d, "documents").select("doc_id", "text")
+    doc = texts.withColumn("w", spaced(F.col("text")))
     grams = doc.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("key"))
-    pairs = grams.join(items.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    found = pairs.join(doc.select("doc_id", "text"), "doc_id").join(items.select("item_id", "anchor"), "item_id")
-    return found.filter(F.contains("text", "anchor")).withColumn("position", F.instr("text", F.col("anchor")).cast("long"))
+    long, short = items.filter(F.size("w") >= words + 2), items.filter(F.size("w") < words + 2).select("item_id", "anchor")
+    pairs = grams.join(long.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    found = pairs.join(texts, "doc_id").join(long.select("item_id", "anchor"), "item_id").filter(F.contains("text", "anchor"))
+    found = found.select("item_id", "doc_id", "text", "anchor").unionByName(texts.join(F.broadcast(short), F.contains("text", "anchor")).select("item_id", "doc_id", "text", "anchor"))
+    return found.withColumn("position", F.instr("text", F.col("anchor")).cast("long"))
+
+
+_ANCHOR = "CASE doc_id % 5 WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN '  ' || trim(substr(text, 11, 40)) || '  ' WHEN 2 THEN upper(substr(text, 11, 40)) WHEN 3 THEN substr(text, 11, 30) || '~' ELSE '~' || substr(text, 11, 30) END"
+
+
+@query(f"""WITH a AS (SELECT doc_id, text AS t, {_ANCHOR} AS a FROM documents WHERE text IS NOT NULL), b AS (SELECT *, trim(a) AS b FROM a)
+SELECT doc_id, CASE WHEN a <> '' AND instr(t, a) > 0 THEN instr(t, a) WHEN b = '' THEN 0 WHEN instr(t, b) > 0 THEN instr(t, b) WHEN instr(lower(t), lower(b)) > 0 THEN instr(lower(t), lower(b)) WHEN instr(t, substr(b, 1, 30)) > 0 THEN instr(t, substr(b, 1, 30)) ELSE instr(t, right(b, 30)) END AS position FROM b""")
+def anchor_fallbacks(spark, d):
+    """A passage of each document's beginning as its anchor, altered so that each step of anchor_position is needed: exact, trimmed, any case, beginning, end."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    cut = lambda n: F.substring("text", 11, n)
+    k = F.col("doc_id") % 5
+    anchor = F.when(k == 0, cut(40)).when(k == 1, F.concat(F.lit("  "), F.trim(cut(40)), F.lit("  "))).when(k == 2, F.upper(cut(40))).when(k == 3, F.concat(cut(30), F.lit("~"))).otherwise(F.concat(F.lit("~"), cut(30)))
+    return docs.select("doc_id", enrichment.anchor_position(F.col("text"), anchor).cast("long").alias("position"))
 
 
 @query(f"SELECT doc_id, count(*) AS footnotes FROM ({_ANCHORS}) GROUP BY doc_id")

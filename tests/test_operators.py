@@ -238,3 +238,20 @@ def test_every_window_of_a_long_document_is_enriched(spark, tmp_path):
     assert (got["2"]["anchored"], got["2"]["appendixed"]) == (1, 0) and (got["3"]["anchored"], got["4"]["anchored"]) == (0, 0)
     starts = [int(n.split(": **")[1].split()[1][1:]) for n in got["1"]["markdown"].split("\n") if n.startswith("[^")]
     assert starts[0] == 0 and starts == sorted(starts) and starts[-1] > 14_000
+
+
+def test_short_anchors_are_found_and_fallbacks_hold(spark, tmp_path):
+    from folioforge.plans.registry import QUERIES
+
+    text = "zero one two three four five six seven eight nineteen ten eleven twelve"
+    spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, "two three"), (2, "one two three four five six seven eight nine"), (3, "zero one two three four five six seven eight nineteen ten"), (4, "hree four"), (5, "absent"), (6, None), (7, "nothing here")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r["item_id"], r["doc_id"], r["position"]) for r in QUERIES["anchor_find"](spark, str(tmp_path)).collect())
+    assert got == [(i, 1, text.index(t) + 1) for i, t in items[:4]] + [(7, 2, 1)]
+    assert {r["doc_id"]: r["footnotes"] for r in QUERIES["footnote_counts"](spark, str(tmp_path)).collect()} == {1: 4, 2: 1}
+    tries = ["four five", "  four five ", "FOUR Five", "four five six seven eight nineteen~", "~four five six seven eight nine", "five six seven eight nineteen!", "", "gone"]
+    rows = spark.createDataFrame([(i, text, a) for i, a in enumerate(tries)], "i int, text string, anchor string")
+    at = [r["p"] for r in rows.select("i", enrichment.anchor_position(F.col("text"), F.col("anchor")).alias("p")).orderBy("i").collect()]
+    four = text.index("four") + 1
+    assert at == [four, four, four, four, four, 0, 0, 0]
