@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
+"""Substring dedup by minimizer-anchored window hashing against an index of all documents.
 
-The corpus is its own reference. Every window of WINDOW words is anchored at the smallest hash among its GRAM-word
+This replaces a relative Lempel-Ziv parse; documents aren't factored greedily. Every window of WINDOW words is anchored at the smallest hash among its GRAM-word
 grams, so equal windows have equal anchors; the windows of one anchor and all their words form a phrase. Phrases are
 dealt by anchor to reference blocks (buckets) of the index. A document's phrase that an earlier document holds as a
-whole extends its factor without looking further; where a factor ends, i.e. where the anchor is known but the phrase
-is not, the single windows are checked against those of the other documents' phrases at such factor boundaries. What
-earlier documents cover then becomes duplicate spans.
+whole is a duplicate without looking further; where the anchor is known but the phrase is not, the single windows are
+checked against those of the other documents' phrases of that kind. What earlier documents cover then becomes
+duplicate spans.
 
 Everything that is dealt goes in packed blobs (sorted, zstd), one for each task and bucket.
 """
