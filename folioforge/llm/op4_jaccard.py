@@ -1,9 +1,9 @@
-"""Near-duplicate join: MinHash LSH forest over word shingles, then exact verification.
+"""Near-duplicate join: MinHash banding over word shingles, then exact verification.
 
 1. Every text becomes a set of shingles (SHINGLE words). Texts with equal sets form one class member, its representative
    being the smallest id; only representatives go on.
-2. A forest of TREES trees: a tree orders representatives by the prefix of DEPTH MinHash labels. The prefix that must
-   match is shortened from DEPTH until the expected recall at the threshold reaches RECALL. Nodes at that depth are
+2. TREES bands of MinHash values, in place of the tries of an LSH forest. A band's length is fixed by the constants: the
+   largest up to DEPTH at which the expected recall at the threshold reaches RECALL. Nodes, i.e. equal bands, are
    dealt by hash; in a node, members are compared by sketch and joined loosely, which gives candidate groups.
 3. Candidate groups are verified exactly from shingle sets: all pairs inside a group, block against block, counted
    where they are, so pairs never become rows. Links, and one spanning edge for each connected pair of parts, come out.
