@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import fold_bucket, slices, table, utf8
 
-#: Bound of the training sample: so many slices of so many characters for each language.
-SAMPLE_SLICES, SLICE_CHARS = 192, 600
+#: Bound of the training sample: so many slices of so many characters for each language, and so many languages.
+SAMPLE_SLICES, SLICE_CHARS, LABELS = 192, 600, 256
 BLOCK, SHORT = 512, 160
 #: A margin under this share of the second-best size is called narrow.
 NARROW = 0.01
@@ -31,19 +31,21 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejecte
 
 
 def fit_dictionaries(docs: DataFrame, text: str = "text", label: str = "lang", eligible: Column | None = None) -> dict[str, bytes]:
-    """Label -> dictionary, from at most SAMPLE_SLICES slices a label.
+    """Label -> dictionary, from at most SAMPLE_SLICES distinct texts, one slice of each, for each of the LABELS labels with most rows.
 
-    Rows are drawn by a hash of their text (so equal texts are drawn once and nothing depends on order); the share
-    that is drawn follows from a count over all eligible rows. Null labels, null texts and texts without a letter teach nothing.
+    Texts are drawn by a hash of themselves, so equal texts of a label are drawn once and nothing depends on order; the
+    share that is drawn follows from the number of distinct texts (estimated over all eligible rows), so a label with
+    fewer than SAMPLE_SLICES of them gives them all, however often they repeat. Null labels, null texts and texts
+    without a letter teach nothing. Two jobs run while this is called.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(label).alias("l"), (eligible if eligible is not None else F.lit(True)).alias("ok"))
-    rows = rows.filter("ok and l is not null and t is not null").withColumn("n", F.length("t")).filter("n >= 20")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = rows.filter("ok and l is not null and t is not null").filter(F.col("t").rlike(r"\p{L}")).withColumn("n", F.length("t")).withColumn("h", F.xxhash64("t"))
+    most = rows.groupBy("l").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("n")).orderBy(F.desc("rows"), "l").limit(LABELS)
+    counts = {r["l"]: r["n"] for r in most.collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * SAMPLE_SLICES / n))])
-    h = F.xxhash64("t")
-    drawn = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
+    drawn = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.col("n") - SLICE_CHARS)).cast("int") + 1
     cut = drawn.select("l", "h", F.substring("t", start, F.lit(SLICE_CHARS)).alias("s")).groupBy("l", "h").agg(F.max("s").alias("s"))
     found: dict[str, list[tuple[int, str]]] = {}
@@ -110,6 +112,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_dictionaries(docs, eligible=fold_bucket("doc_id", 4) != 2))
 
