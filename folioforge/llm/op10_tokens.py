@@ -23,6 +23,10 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 CACHE = 500_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 SIGNS = ".,;:!?"
+#: Every sign but the blank and the newline that Python or the library's pre-tokenizer takes for white space (fixed values).
+ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Texts of one file, aimed at; bounds what one task encodes and what a reader opens, whatever the corpus holds.
+FILE_BYTES = 256 << 20
 
 
 class WordCoder(dict):
@@ -30,7 +34,7 @@ class WordCoder(dict):
 
     The pre-tokenizer starts a new piece at every single blank and at either side of every single newline that
     stand between other characters, and where signs follow letters; a piece's ids depend on nothing else. Texts with
-    other white space are given to the library whole.
+    any other white space, with two white-space signs in a row, or with one at either end are given to the library whole.
     """
 
     def __init__(self, path: str, room: int = CACHE):
@@ -70,7 +74,8 @@ class WordCoder(dict):
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        # without odd space, there are as many words as separators and one only where every separator stands alone and inside
+        if any(c in text for c in ODD_SPACE) or len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
             return self.ask(text)
         return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
 
@@ -88,12 +93,14 @@ def coder(path: str) -> WordCoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Write (doc_id, part, local_start, n_tokens, ids) in ascending order of doc_id, null ids first, equal ids by text.
 
-    Null texts count as empty: they hold the end id alone. Ids are held for one slice of rows at a time.
+    Null texts count as empty: they hold the end id alone. Rows that repeat an id stay, each with its own ids; an empty
+    table gives files without rows; other columns of docs are left out. Ids are held for one slice of rows at a time.
+    Files are as many as the texts' bytes ask for (FILE_BYTES), and the shuffle setting at least.
     """
     tokens = tokenizer or tokenizer_path("byte_bpe_50k.json")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // FILE_BYTES))
     placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
 
     def work(batches: Iterator) -> Iterator:
@@ -151,6 +158,7 @@ def digest_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written while this query is built and digested from the files."""
     path = scratch(spark)
     write_tokens(table(spark, sf_dir, "documents"), path)
     return digest_tokens(spark, path)

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 
@@ -201,6 +202,12 @@ def test_mask_covers_answers_only(spark):
         assert len(ids) == len(mask) and mask.sum() == (3 if r["role"] == "assistant" else 0) and mask[-1] == 0
 
 
+def test_repeated_texts_still_fill_a_dictionary(spark):
+    rows = spark.range(200_000).selectExpr("concat(repeat(concat('wort', id % 20, 'schön '), 9), 'x') as text", "'de' as lang").unionByName(spark.createDataFrame([("ab", "en"), ("12", "no"), (None, "no")], "text string, lang string"))
+    got = op2_language.fit_dictionaries(rows)
+    assert sorted(got) == ["de", "en"] and len(got["de"].split(b"\n")) == 20 and got["en"] == b"ab"
+
+
 # --- media
 
 
@@ -247,6 +254,15 @@ def test_words_give_the_library_s_ids(text):
     assert coder.encode(text) == coder.ask(text)
 
 
+def test_every_white_space_gives_the_library_s_ids():
+    coder, rng = op10_tokens.coder(tokenizer_path("byte_bpe_50k.json")), random.Random(10)
+    told = ["a\tb\n\xa0", "price\xa05\n\xa0", "a\ta\ta\n\n", "a\r\rb\n\n\rb", "b\x0ba\n\n\x0bb\x0b", "a\n\n\u3000a\u3000b"]
+    signs = [*"ab,.!1é漢  \n\n", *op10_tokens.ODD_SPACE, "\0", "\x01", "\u200b", "\ufeff", "'s"]
+    made = ["".join(rng.choices(signs[: 8 + rng.randrange(len(signs) - 7)], k=rng.randrange(14))) for _ in range(10_000)]
+    assert [t for t in told + made if coder.encode(t) != coder.ask(t)] == []
+    assert {c for c in map(chr, range(0x110000)) if c.isspace()} - set(op10_tokens.ODD_SPACE) == {" ", "\n"}
+
+
 def test_a_small_cache_changes_nothing():
     path = tokenizer_path("byte_bpe_50k.json")
     small, text = op10_tokens.WordCoder(path, room=3), "one two, three one. four two! five"
