@@ -42,16 +42,26 @@ def properties(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", X.dates(t).alias("dates"), X.temporal_references(t).alias("temporal_references"), X.numbers(t).alias("numbers"), X.urls(t).alias("urls"), X.emails(t).alias("emails"), X.document_type(t).alias("document_type"), X.language(t).alias("language"))
 
 
-def front_matter(title: Column, kind: Column, language: Column, pages: Column, has_tables: Column, has_images: Column, dates: Column) -> Column:
-    """YAML head: up to five dates, left out if there are none."""
+def front_matter(title: Column, kind: Column, language: Column, pages: Column, has_tables: Column, has_images: Column, dates: Column, temporal: Column | None = None) -> Column:
+    """YAML head: up to five dates and three temporal references, each list left out if it is empty."""
     quoted = F.concat(F.lit('"'), F.replace(title, F.lit('"'), F.lit("'")), F.lit('"'))
-    listed = F.when(F.size(dates) > 0, F.concat(F.lit("\ndates:\n"), F.array_join(F.transform(F.slice(dates, 1, 5), lambda d: F.concat(F.lit("- "), d)), "\n"))).otherwise("")
+    section = lambda name, values, most: F.when(F.size(values) > 0, F.concat(F.lit(f"\n{name}:\n"), F.array_join(F.transform(F.slice(values, 1, most), lambda d: F.concat(F.lit("- "), d)), "\n"))).otherwise("")
+    listed = section("dates", dates, 5)
+    if temporal is not None:
+        listed = F.concat(listed, section("temporal_references", temporal, 3))
     return F.concat(
         F.lit("---\ntitle: "), quoted, F.lit("\ndocument_type: "), kind, F.lit("\nlanguage: "), language, F.lit("\ntotal_pages: "), pages.cast("string"),
         F.lit("\nhas_tables: "), has_tables.cast("string"), F.lit("\nhas_images: "), has_images.cast("string"), listed, F.lit("\n---\n"),
     )
 
 
+def paragraph_text(units: DataFrame) -> DataFrame:
+    """(doc_id, text): all paragraphs of a document by place, a blank line between them; what properties are taken from."""
+    rows = units.filter((F.col("unit_type") == "paragraph") & (F.coalesce(F.col("content"), F.lit("")) != ""))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"])
+    return rows.groupBy("doc_id").agg(F.array_join(ordered, "\n\n").alias("text"))
+
+
 def footer(n_units: Column, n_tables: Column, n_pages: Column) -> Column:
     return F.concat(F.lit("\n\n---\n\n*End of document: "), n_pages.cast("string"), F.lit(" pages, "), n_units.cast("string"), F.lit(" units, "), n_tables.cast("string"), F.lit(" tables*\n"))
 

@@ -33,13 +33,34 @@ def unknown(names: DataFrame, namespaces: DataFrame) -> DataFrame:
 
 def with_profile(namespaces: DataFrame, profiles: DataFrame) -> DataFrame:
     """Namespaces with their profile's columns; a namespace whose profile is missing is an error when it is read."""
-    joined = namespaces.join(F.broadcast(profiles.withColumn("_found", F.lit(True))), "client_profile", "left")
+    joined = namespaces.join(profiles.withColumn("_found", F.lit(True)), "client_profile", "left")
     return joined.withColumn("client_profile", F.when(F.col("_found"), F.col("client_profile")).otherwise(F.raise_error(F.concat(F.lit("no profile "), "client_profile")))).drop("_found")
 
 
-def active_namespace(switches: DataFrame) -> DataFrame:
-    """The latest valid switch of (ts, namespace, switched_by), an append-only log."""
-    return switches.orderBy(F.desc("ts"), "namespace").limit(1)
+def valid_switches(switches: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """Switches (ts, namespace, switched_by) with ``valid``: whether a namespace of that id is known."""
+    known = namespaces.select(F.col("id").alias("namespace")).distinct().withColumn("valid", F.lit(True))
+    return switches.join(known, "namespace", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+
+
+def active_namespace(switches: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+    """The latest switch of (ts, namespace, switched_by), an append-only log; with namespaces the latest one to a namespace that is known."""
+    log = switches if namespaces is None else valid_switches(switches, namespaces).filter("valid").drop("valid")
+    return log.orderBy(F.desc("ts"), "namespace").limit(1)
+
+
+def summary(switches: DataFrame, namespaces: DataFrame, profiles: DataFrame, settings: DataFrame) -> DataFrame:
+    """One row: the active namespace, its client and number of enabled types ('Unknown' and 0 without a profile), all profiles by name, and the settings' version and models.
+
+    profiles: client_profile, client_name, enhancement_types (map of 0 or 1); settings: one row (version, llm_model, embedding_model).
+    """
+    enabled = F.size(F.filter(F.map_entries("enhancement_types"), lambda e: (e["value"] == 1) & ~e["key"].startswith("_")))
+    p = profiles.filter(~F.col("client_profile").contains("template"))
+    names = p.agg(F.array_sort(F.collect_list("client_profile")).alias("available_profiles"), F.count("*").alias("total_profiles"))
+    active = active_namespace(switches, namespaces).select(F.col("namespace").alias("active_namespace"))
+    with_client = active.join(namespaces.select(F.col("id").alias("active_namespace"), "client_profile"), "active_namespace").join(p.select("client_profile", "client_name", enabled.cast("long").alias("enabled")), "client_profile", "left")
+    row = with_client.select("active_namespace", F.coalesce("client_name", F.lit("Unknown")).alias("active_client"), F.coalesce("enabled", F.lit(0)).alias("active_enabled_types"))
+    return settings.limit(1).crossJoin(row).crossJoin(names)
 
 
 def types_of_category(types: DataFrame, category: str) -> DataFrame:

@@ -6,6 +6,8 @@ Everything is keyed by (doc_id, page), so a page's rows meet in one task and no
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 
 PAGE = ["doc_id", "page"]
+# Thresholds of zones, and the words that titles and captions of tables begin with or hold.
 #: Share of a block that a zone may cover before the block is dropped; titles and captions may overlap more.
 OVERLAP, OVERLAP_TITLE = 0.15, 0.5
 #: A block this large or long is kept although it lies in a zone.
@@ -27,8 +30,8 @@ def margin_filter(blocks: DataFrame, header_y: float, footer_y: float) -> DataFr
 
 
 def edge_filter(blocks: DataFrame, edge: float = 50.0) -> DataFrame:
-    """Text within ``edge`` of a page's top or bottom stays only if it looks like content."""
-    extreme = (F.col("y0") < edge) | (F.col("y1") > F.col("page_height") - edge)
+    """Text that begins within ``edge`` of a page's top or bottom stays only if it looks like content."""
+    extreme = (F.col("y0") < edge) | (F.col("y0") > F.col("page_height") - edge)
     keep = X.important_header(F.trim("text"), F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), F.col("page_width"))
     return blocks.filter((F.col("type") != "text") | ~extreme | keep)
 
@@ -164,10 +167,40 @@ def best_reading(readings: DataFrame) -> DataFrame:
 
 
 def filter_ocr_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(F.trim(x)) > 20) & ~X.likely_table_text(x))
+    """Lines of an OCR reading, trimmed, of over 20 characters that don't look like a table's."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 20) & ~X.likely_table_text(x))
     return F.array_join(lines, "\n")
 
 
+def read_figures(figures: DataFrame, ocr: Callable[[bytes, int], str], modes: tuple[int, ...] = (6, 3, 11, 4), keep_lines: bool = True) -> DataFrame:
+    """(doc_id, page, figure, text, mode): an OCR hook's longest reading of each crop (doc_id, page, figure, image) over its modes, lines that look like a table's left out.
+
+    A mode that fails counts as an empty reading; a figure that no mode reads has an empty text and mode null.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, used = [], []
+            for image in batch.column(3).to_pylist():
+                best = ("", None)
+                for mode in modes:
+                    try:
+                        got = ocr(image or b"", mode) or ""
+                    except Exception:  # a hook may fail in any way; another mode may not
+                        got = ""
+                    if len(got) > len(best[0]):
+                        best = (got, mode)
+                texts.append(best[0])
+                used.append(best[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(used, pa.int32())], names=["doc_id", "page", "figure", "text", "mode"])
+
+    rows = figures.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("figure").cast("int").alias("figure"), F.col("image").cast("binary").alias("image"))
+    read = rows.mapInArrow(work, "doc_id string, page int, figure int, text string, mode int")
+    return read.withColumn("text", filter_ocr_lines(F.col("text"))) if keep_lines else read
+
+
 def figure_crops(figures: DataFrame, most: int = 12) -> DataFrame:
     """The first 12 figures of a page, a limit of the operator itself."""
     k = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "block_idx"))

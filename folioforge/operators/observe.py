@@ -61,17 +61,27 @@ def recent(events: DataFrame, n: int = 10) -> DataFrame:
     return events.orderBy(F.desc("ts"), "event_id").limit(n)
 
 
-def render_summary(costed: DataFrame) -> DataFrame:
-    """One row of Markdown: totals, then a table by model and one by step."""
+def render_summary(costed: DataFrame, last: int = 10) -> DataFrame:
+    """One row of Markdown: totals, a table by model, one by step, and the last events by time."""
 
-    def rows(level: int, key: str) -> Column:
-        line = F.format_string("| %s | %d | %d | $%.4f |", F.col(key), F.col("input_tokens"), F.col("output_tokens"), F.col("cost_usd"))
+    def rows(level: int, key: str, line: Column) -> Column:
         kept = F.collect_list(F.when(F.col("level") == level, F.struct(F.col(key).alias("k"), line.alias("line"))))
         return F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), "\n")
 
-    total = F.max(F.when(F.col("level") == 3, F.format_string("Total tokens: %d, cost: $%.4f", F.col("input_tokens") + F.col("output_tokens"), F.col("cost_usd"))))
-    head = "| key | input | output | cost |\n|---|---|---|---|\n"
-    return usage(costed).agg(F.concat(F.lit("# Token usage\n\n"), total, F.lit("\n\n## By model\n\n" + head), rows(1, "model"), F.lit("\n\n## By step\n\n" + head), rows(2, "step")).alias("markdown"))
+    model = F.format_string("| `%s` | %d | %d | $%.4f |", F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cost_usd"))
+    step = F.format_string("| `%s` | %d | %d | %d |", F.col("step"), F.col("events"), F.col("input_tokens"), F.col("output_tokens"))
+    whole = F.format_string("Events: %d\nTotal tokens: %d, cost: $%.4f\nInput: %d\nOutput: %d", F.col("events"), F.col("input_tokens") + F.col("output_tokens"), F.col("cost_usd"), F.col("input_tokens"), F.col("output_tokens"))
+    parts = usage(costed).agg(F.max(F.when(F.col("level") == 3, whole)).alias("total"), rows(1, "model", model).alias("models"), rows(2, "step", step).alias("steps"))
+    when = F.date_format(F.col("ts").cast("timestamp"), "HH:mm:ss")
+    event = F.format_string("| %s | `%s` | `%s` | %d/%d |", when, F.col("step"), F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
+    newest = recent(costed, last).select(F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("o"), "event_id", event.alias("line")).alias("x"))
+    newest = newest.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("newest"))
+    return parts.crossJoin(F.broadcast(newest)).select(
+        F.concat(
+            F.lit("# Token usage\n\n"), "total", F.lit("\n\n## By model\n\n| Model | Input | Output | Cost |\n|---|---|---|---|\n"), "models",
+            F.lit("\n\n## By step\n\n| Step | Events | Input | Output |\n|---|---|---|---|\n"), "steps", F.lit("\n\n## Last events\n\n| Time | Step | Model | In/Out |\n|---|---|---|---|\n"), "newest",
+        ).alias("markdown")
+    )
 
 
 def stage_durations(events: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -107,6 +117,46 @@ def invalid_transitions(events: DataFrame) -> DataFrame:
     return events.filter(stage_index(F.col("stage")).isNull())
 
 
+def transitions(events: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Events with ``previous`` and ``verdict``: unknown (refused), first, forward, same or back, by the stages' order."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    here, before = stage_index(F.col("stage")), stage_index(F.col("previous"))
+    verdict = F.when(here.isNull(), "unknown").when(before.isNull(), "first").when(here > before, "forward").when(here == before, "same").otherwise("back")
+    known = F.when(here.isNotNull(), F.col("stage"))
+    return events.withColumn("previous", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("verdict", verdict)
+
+
+def total_durations(events: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, total_seconds, stages, avg_seconds): the sum of an entity's stage durations, and their mean or the default."""
+    timed = stage_durations(events, key)
+    return timed.groupBy(key).agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"), F.count("seconds").alias("stages"), F.coalesce(F.avg("seconds"), F.lit(DEFAULT_STAGE_SECONDS)).alias("avg_seconds"))
+
+
+def eta_from_events(events: DataFrame, now: Column, key: str = "doc_id", percentage: str | None = None) -> DataFrame:
+    """(key, stage, avg_seconds, eta_seconds): eta() with the mean of the entity's own finished stages, from its events alone."""
+    last = F.max_by(F.struct("stage", F.col("ts").alias("since"), *([percentage] if percentage else [])), F.struct("ts", "event_id"))
+    state = events.groupBy(key).agg(last.alias("s")).select(key, "s.*").join(total_durations(events, key), key)
+    elapsed = (F.unix_micros(now) - F.unix_micros(F.col("since").cast("timestamp"))) / 1e6
+    state = state.withColumn("elapsed", elapsed).withColumn("percentage", F.coalesce(F.col(percentage).cast("double"), F.lit(0.0)) if percentage else F.lit(0.0))
+    return eta(state).select(key, "stage", "avg_seconds", "eta_seconds")
+
+
+def attach_results(files: DataFrame, results: DataFrame) -> DataFrame:
+    """(batch, doc_id, status, seconds, error): files with their results by doc_id. No result, or one that isn't completed, is a failure."""
+    done = results.select("doc_id", F.col("status").alias("_status"), "seconds", "error")
+    status = F.when(F.col("_status") == "completed", "completed").otherwise("failed")
+    error = F.when(F.col("_status").isNull(), F.coalesce(F.col("error"), F.lit("no result"))).otherwise(F.col("error"))
+    return files.select("batch", "doc_id").join(done, "doc_id", "left").select("batch", "doc_id", status.alias("status"), "seconds", error.alias("error"))
+
+
+def add_counts(counters: DataFrame, additions: DataFrame, key: str = "namespace") -> DataFrame:
+    """(key, document_count, total_chunks, total_tokens, created_at, last_updated): counters with additions (documents, chunks, tokens, ts); new keys start at 0."""
+    added = additions.select(key, F.col("documents").alias("document_count"), F.col("chunks").alias("total_chunks"), F.col("tokens").alias("total_tokens"), F.col("ts").alias("created_at"), F.col("ts").alias("last_updated"))
+    both = counters.select(*added.columns).unionByName(added)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("document_count", "total_chunks", "total_tokens")]
+    return both.groupBy(key).agg(*sums, F.min("created_at").alias("created_at"), F.max("last_updated").alias("last_updated"))
+
+
 def batch_summary(files: DataFrame) -> DataFrame:
     """(batch, total, completed, failed, processing, pending, avg_seconds): failures count as such whatever way they came."""
     n = lambda s: F.count_if(F.col("status") == s)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
 
 from ..functions import text as X
 
 CHUNK, OVERLAP = 1800, 350
 # Separators of the recursive splitter, from coarse to fine.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", " ", ""]
-#: Queries scored at once; a worker holds this many lists of k.
+#: Queries scored at once, as one matrix.
 QUERY_BLOCK = 1024
 
 
@@ -89,25 +91,33 @@ def chunk_segments(chunks: DataFrame, segments: DataFrame, bin_size: int = CHUNK
 
 
 def hash_embedding(documents: DataFrame, dim: int = 64, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
-    """Rows with ``embedding``, unit vectors: a provider's, or signed word hashes, which stand for no model's quality."""
+    """Rows with ``embedding``, unit vectors: a provider's, or signed word hashes, which stand for no model's quality.
+
+    A word adds +1 or -1 (fifth hexadecimal digit of its md5, even or odd) at the slot its first eight digits give. Texts
+    without words, null ones too, get the zero vector.
+    """
 
     def hashed(texts: list[str]) -> list:
-        import zlib
+        import hashlib
 
         import numpy as np
 
         out = []
+        known: dict[str, tuple[int, float]] = {}
         for t in texts:
             v = np.zeros(dim)
             for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1.0 if h & 0x10000 else -1.0
+                if w not in known:
+                    h = hashlib.md5(w.encode()).hexdigest()
+                    known[w] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+                at, sign = known[w]
+                v[at] += sign
             n = np.sqrt(v @ v)
             out.append((v / n if n else v).astype(np.float32).tolist())
         return out
 
     call = embed or hashed
-    schema = documents.schema.simpleString()[len("struct<") : -1]
+    schema = StructType([*documents.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,7 +126,13 @@ def hash_embedding(documents: DataFrame, dim: int = 64, embed: Callable[[list[st
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(call(texts), pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
-    return documents.mapInArrow(work, f"{schema},embedding:array<float>")
+    return documents.mapInArrow(work, schema)
+
+
+def embed_query(spark: SparkSession, texts: dict[int, str], dim: int = 64, embed: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """(query_id, question, q): query texts as vectors of the same embedder as the documents'."""
+    rows = spark.createDataFrame(sorted(texts.items()), "query_id long, text string")
+    return hash_embedding(rows, dim, embed).select("query_id", F.col("text").alias("question"), F.col("embedding").alias("q"))
 
 
 def norm(v: Column) -> Column:
@@ -127,54 +143,76 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Six digits; 0 where either vector is all zeros, which has no direction."""
+    return F.round(F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0)), 6)
+
+
 def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, id_column: str = "vec_id") -> DataFrame:
-    """The k rows of largest cosine with the one row of ``query`` (column q): a broadcast of one row, then TakeOrderedAndProject."""
+    """The k rows of largest cosine with the one row of ``query`` (column q): a broadcast of one row, then TakeOrderedAndProject. Zero vectors score 0."""
     one = query.limit(1).select("q", norm(F.col("q")).alias("_nq"))
-    scored = vectors.crossJoin(F.broadcast(one)).withColumn("score", F.round(dot(F.col("embedding"), F.col("q")) / (norm(F.col("embedding")) * F.col("_nq")), 6))
+    score = F.try_divide(dot(F.col("embedding"), F.col("q")), norm(F.col("embedding")) * F.col("_nq"))
+    scored = vectors.crossJoin(F.broadcast(one)).withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6))
     return scored.drop("q", "_nq").orderBy(F.desc("score"), id_column).limit(k)
 
 
-def multi_query_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id") -> DataFrame:
-    """(query_id, id, score, rank): exact top-k of each query by blocked matrix products.
+def multi_query_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", *by: str) -> DataFrame:
+    """(query_id, *by, id, score, rank): exact top-k of each query (within each value of ``by``) by blocked matrix products.
 
-    Queries are packed into blocks of QUERY_BLOCK rows and broadcast block by block as rows; each task keeps k rows
-    for each query of a block, so what is shuffled is k rows for each query and task.
+    Queries are packed into blocks of QUERY_BLOCK rows; vectors meet every block as rows of one frame, in one scan of the
+    table for all blocks. A block is held by a worker at a time, and each task keeps k rows for each query, so what is
+    shuffled is k rows for each query, value of ``by`` and task. Zero vectors, of either side, score 0.
+    The queries themselves (ids and vectors, as many as are asked) go through the driver once.
     """
     spark = vectors.sparkSession
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for part in range(parts):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "q").collect()  # about QUERY_BLOCK
-        given = spark.sparkContext.broadcast(([r["query_id"] for r in rows], [list(r["q"]) for r in rows]))
-
-        def work(batches: Iterator, given=given) -> Iterator:
-            import numpy as np
-            import pyarrow as pa
-
-            ids, q = given.value
-            names = ["query_id", "id", "score"]
-            if not ids:
-                return
+    rows = queries.select("query_id", "q").collect()
+    blocks = [([r["query_id"] for r in part], [list(r["q"]) for r in part]) for at in range(0, len(rows), QUERY_BLOCK) if (part := rows[at : at + QUERY_BLOCK])]
+    given = spark.sparkContext.broadcast(blocks)
+    kinds = [vectors.schema[c].dataType for c in by]
+    schema = StructType([StructField("query_id", LongType()), *(StructField(c, t) for c, t in zip(by, kinds, strict=True)), StructField("id", LongType()), StructField("score", DoubleType())])
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        # state by group and block: the k best scores and ids so far
+        best: dict[tuple, list] = {}
+        unit = []
+        for _, q in given.value:
             q = np.array(q, np.float64)
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            top_s, top_i = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-            for batch in batches:
-                flat = batch.column(1)
-                v = np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
-                n = np.linalg.norm(v, axis=1)
-                s = np.round(q @ (v / np.where(n > 0, n, 1)[:, None]).T, 6) + 0.0
-                i = np.broadcast_to(batch.column(0).to_numpy(), s.shape)
-                top_s, top_i = np.concatenate([top_s, s], 1), np.concatenate([top_i, i], 1)
-                if top_s.shape[1] > k:
-                    keep = np.stack([np.lexsort((b, -a))[:k] for a, b in zip(top_s, top_i, strict=True)])
-                    top_s, top_i = np.take_along_axis(top_s, keep, 1), np.take_along_axis(top_i, keep, 1)
-            m = top_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), m)), pa.array(top_i.ravel()), pa.array(top_s.ravel())], names=names)
-
-        got = vectors.select(F.col(id_column).cast("long"), "embedding").mapInArrow(work, "query_id long, id long, score double")
-        out = got if out is None else out.unionByName(got)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            n = np.linalg.norm(q, axis=1, keepdims=True)
+            unit.append(q / np.where(n > 0, n, 1))
+        for batch in batches:
+            flat = batch.column(1)
+            v = np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
+            n = np.linalg.norm(v, axis=1)
+            v = v / np.where(n > 0, n, 1)[:, None]
+            ids = batch.column(0).to_numpy()
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)) if by else [()] * len(ids)
+            groups: dict[tuple, list[int]] = {}
+            for at, key in enumerate(keys):
+                groups.setdefault(key, []).append(at)
+            for key, at in groups.items():
+                for number, q in enumerate(unit):
+                    s = np.round(q @ v[at].T, 6) + 0.0
+                    i = np.broadcast_to(ids[at], s.shape)
+                    if (key, number) in best:
+                        s, i = np.concatenate([best[key, number][0], s], 1), np.concatenate([best[key, number][1], i], 1)
+                    if s.shape[1] > k:
+                        keep = np.argsort(i, 1, kind="stable")
+                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+                        keep = np.argsort(-s, 1, kind="stable")[:, :k]
+                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
+                    best[key, number] = [s, i]
+        for (key, number), (s, i) in best.items():
+            m = s.shape[1]
+            asked = pa.array(np.repeat(np.array(given.value[number][0], np.int64), m))
+            yield pa.RecordBatch.from_arrays([asked, *(pa.array([x] * len(asked), t) for x, t in zip(key, arrow, strict=True)), pa.array(i.ravel()), pa.array(s.ravel())], names=schema.names)
+
+    arrow = [to_arrow_type(t) for t in kinds]
+    got = vectors.select(F.col(id_column).cast("long").alias("id"), "embedding", *by).mapInArrow(work, schema)
+    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
+    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def compare_versions(results: DataFrame) -> DataFrame:
@@ -213,6 +251,31 @@ def stuff_context(results: DataFrame, key: str = "query_id") -> DataFrame:
     return results.groupBy(key).agg(F.array_join(ordered, "\n\n").alias("context"), F.count("*").alias("n_context"))
 
 
+#: What an answerer is told, around {context} and {question}: ground rules, the context of all documents, the question.
+ANSWER_PROMPT = """You answer questions from the documents below and from nothing else.
+
+Rules:
+1. Use every document of the context that bears on the question, and name the document that a statement comes from.
+2. Give figures, dates and names exactly as they stand, with what they refer to.
+3. Use bullet points or numbers where the answer is a list, and group it by document where that helps.
+4. Don't guess and don't add general knowledge. If no document holds the answer, say: that information isn't in the documents.
+
+CONTEXT (from several documents):
+{context}
+
+QUESTION:
+{question}
+
+ANSWER:"""
+
+
+def answer_events(answers: DataFrame, model: str, ts: Column | None = None) -> DataFrame:
+    """Ledger rows (ts, step, model, input_tokens, output_tokens, meta) of answers, failed ones too, for append()."""
+    meta = F.create_map(F.lit("query_id"), F.col("query_id").cast("string"), F.lit("status"), F.col("status"))
+    when = ts if ts is not None else F.unix_micros(F.current_timestamp()) / 1e6
+    return answers.select(when.alias("ts"), F.lit("chat").alias("step"), F.lit(model).alias("model"), F.col("input_tokens").cast("long").alias("input_tokens"), F.coalesce(F.col("output_tokens"), F.lit(0)).cast("long").alias("output_tokens"), meta.alias("meta"))
+
+
 def answer(contexts: DataFrame, template: str = "CONTEXT:\n{context}\n\nQUESTION: {question}\n", generate: Callable[[str], str] | None = None) -> DataFrame:
     """(query_id, answer, status, error, input_tokens, output_tokens); the stub quotes the context's first sentence. Failures are rows, not text."""
     prompt = F.replace(F.replace(F.lit(template), F.lit("{context}"), F.col("context")), F.lit("{question}"), F.col("question"))
@@ -235,10 +298,13 @@ def answer(contexts: DataFrame, template: str = "CONTEXT:\n{context}\n\nQUESTION
 
 
 def message_tokens(messages: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Tokens of a message list: three for each message and three at the end."""
-    return messages.groupBy(key).agg((F.sum(X.token_estimate(F.col("text")) + X.token_estimate(F.col("role")) + 3) + 3).alias("tokens"), F.count("*").alias("messages"))
+    """Tokens of a message list: three for each message, one more for each that has a ``name`` (where there is such a column) besides the name's own, and three at the end."""
+    named = F.when(F.col("name").isNotNull(), X.token_estimate(F.col("name")) + 1).otherwise(0) if "name" in messages.columns else F.lit(0)
+    each = X.token_estimate(F.col("text")) + X.token_estimate(F.col("role")) + 3 + named
+    return messages.groupBy(key).agg((F.sum(each) + 3).alias("tokens"), F.count("*").alias("messages"))
 
 
 def namespace_stats(chunks: DataFrame) -> DataFrame:
-    """Rows by namespace and in total (namespace null)."""
-    return chunks.rollup("namespace").agg(F.count("*").alias("total_chunks"))
+    """Rows by namespace and in total (namespace null, last), sorted by name."""
+    counted = chunks.rollup("namespace").agg(F.grouping("namespace").alias("_total"), F.count("*").alias("total_chunks"))
+    return counted.orderBy("_total", F.asc_nulls_first("namespace")).drop("_total")

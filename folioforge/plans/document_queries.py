@@ -44,13 +44,19 @@ def first_vector(spark: SparkSession, d: str) -> DataFrame:
 top AS (SELECT c.doc_id, c.chunk, c.a, c.t, {_cosine('e.embedding', 'q.q')} AS score FROM c JOIN embeddings e ON e.vec_id = c.doc_id, q WHERE c.lang = 'en' ORDER BY score DESC, c.doc_id, c.chunk LIMIT 15)
 SELECT doc_id || '_v2_' || chunk AS id, score, a AS char_start, CASE WHEN length(t) <= 400 THEN t ELSE CASE WHEN p > 0 AND 400 - p > 320 THEN substr(h, 1, 400 - p) ELSE h END || '...' END AS snippet FROM (SELECT *, substr(t, 1, 400) AS h, instr(reverse(substr(t, 1, 400)), ' ') AS p FROM top)""")
 def retrieve_topk(spark, d):
-    """Flagship: documents to chunks, filtered by a partition-like column, joined to vectors, cosine top-k with snippets."""
-    chunks = retrieval.fixed_chunks(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text"))
-    scored = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Flagship: the best documents of one language by cosine, then their chunks, top-k with snippets.
+
+    A document has a chunk at least and its chunks share its score, so the chunks of the 15 best documents hold the 15
+    best chunks: only those are cut.
+    """
+    docs = table(spark, d, "documents").filter("lang = 'en' and length(text) > 0").select("doc_id", "text")
     one = first_vector(spark, d).select("q", retrieval.norm(F.col("q")).alias("nq"))
-    e = scored.crossJoin(F.broadcast(one))
-    e = e.select("doc_id", F.round(retrieval.dot(F.col("embedding"), F.col("q")) / (retrieval.norm(F.col("embedding")) * F.col("nq")), 6).alias("score"))
-    top = chunks.join(e, "doc_id").orderBy(F.desc("score"), "doc_id", "chunk").limit(15)
+    e = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding").crossJoin(F.broadcast(one))
+    score = F.try_divide(retrieval.dot(F.col("embedding"), F.col("q")), retrieval.norm(F.col("embedding")) * F.col("nq"))
+    e = e.select("doc_id", F.round(F.coalesce(score, F.lit(0.0)), 6).alias("score"))
+    best = docs.select("doc_id").join(e, "doc_id").orderBy(F.desc("score"), "doc_id").limit(15)
+    texts = docs.join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi")  # 15 rows
+    top = retrieval.fixed_chunks(texts).join(F.broadcast(best), "doc_id").orderBy(F.desc("score"), "doc_id", "chunk").limit(15)
     return top.select(F.concat(F.col("doc_id").cast("string"), F.lit("_v2_"), F.col("chunk").cast("string")).alias("id"), "score", F.col("char_start").cast("long").alias("char_start"), X.snippet_400(F.col("text")).alias("snippet"))
 
 
@@ -76,8 +82,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, version ORDER BY score
 SELECT query_id, rank, max(CASE WHEN version = 'v1' THEN id END) AS v1_id, max(CASE WHEN version = 'v1' THEN score END) AS v1_score, max(CASE WHEN version = 'v2' THEN id END) AS v2_id, max(CASE WHEN version = 'v2' THEN score END) AS v2_score FROM r WHERE rank <= 3 GROUP BY query_id, rank""")
 def version_compare(spark, d):
     q = vectors(spark, d).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    per = [retrieval.multi_query_topk(vectors(spark, d).filter(F.col("label") % 2 == k), q, 3).withColumn("version", F.lit(v)) for k, v in ((0, "v1"), (1, "v2"))]
-    return retrieval.compare_versions(per[0].unionByName(per[1]).withColumn("rank", F.col("rank").cast("long")))
+    v = vectors(spark, d).withColumn("version", F.when(F.col("label") % 2 == 0, "v1").otherwise("v2"))
+    return retrieval.compare_versions(retrieval.multi_query_topk(v, q, 3, "vec_id", "version").withColumn("rank", F.col("rank").cast("long")))
 
 
 @query("""SELECT event_id, CASE WHEN min(value) OVER w >= 0 AND max(value) OVER w <= 1 THEN round(value, 4) ELSE round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 1.0), 4) END AS score FROM events WINDOW w AS (PARTITION BY event_type)""")
@@ -189,37 +195,9 @@ def anchor_find(spark, d):
 
 
 def anchored(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as anchors, found in documents by the hash of eight words before the text is searched: an equi join, not all pairs.
-
-    The hashed words are the second to the ninth, which are whole words in a document if a tenth follows. Items of fewer
-    words are few in a benchmark; they are broadcast and searched for in each text.
-    """
-    words = 8
+    """Benchmark passages as anchors in documents, with the first place of each."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("anchor"))
-    spaced = lambda c: F.split(F.regexp_replace(c, r"\s+", " "), " ")
-    items = items.withColumn("w", spaced(F.col("anchor"))).withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    texts = table(spark, d, "documents").select("doc_id", "text")
-    doc = texts.withColumn("w", spaced(F.col("text")))
-    grams = doc.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("key"))
-    long, short = items.filter(F.size("w") >= words + 2), items.filter(F.size("w") < words + 2).select("item_id", "anchor")
-    pairs = grams.join(long.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    found = pairs.join(texts, "doc_id").join(long.select("item_id", "anchor"), "item_id").filter(F.contains("text", "anchor"))
-    found = found.select("item_id", "doc_id", "text", "anchor").unionByName(texts.join(F.broadcast(short), F.contains("text", "anchor")).select("item_id", "doc_id", "text", "anchor"))
-    return found.withColumn("position", F.instr("text", F.col("anchor")).cast("long"))
-
-
-_ANCHOR = "CASE doc_id % 5 WHEN 0 THEN substr(text, 11, 40) WHEN 1 THEN '  ' || trim(substr(text, 11, 40)) || '  ' WHEN 2 THEN upper(substr(text, 11, 40)) WHEN 3 THEN substr(text, 11, 30) || '~' ELSE '~' || substr(text, 11, 30) END"
-
-
-@query(f"""WITH a AS (SELECT doc_id, text AS t, {_ANCHOR} AS a FROM documents WHERE text IS NOT NULL), b AS (SELECT *, trim(a) AS b FROM a)
-SELECT doc_id, CASE WHEN a <> '' AND instr(t, a) > 0 THEN instr(t, a) WHEN b = '' THEN 0 WHEN instr(t, b) > 0 THEN instr(t, b) WHEN instr(lower(t), lower(b)) > 0 THEN instr(lower(t), lower(b)) WHEN instr(t, substr(b, 1, 30)) > 0 THEN instr(t, substr(b, 1, 30)) ELSE instr(t, right(b, 30)) END AS position FROM b""")
-def anchor_fallbacks(spark, d):
-    """A passage of each document's beginning as its anchor, altered so that each step of anchor_position is needed: exact, trimmed, any case, beginning, end."""
-    docs = table(spark, d, "documents").filter("text is not null")
-    cut = lambda n: F.substring("text", 11, n)
-    k = F.col("doc_id") % 5
-    anchor = F.when(k == 0, cut(40)).when(k == 1, F.concat(F.lit("  "), F.trim(cut(40)), F.lit("  "))).when(k == 2, F.upper(cut(40))).when(k == 3, F.concat(cut(30), F.lit("~"))).otherwise(F.concat(F.lit("~"), cut(30)))
-    return docs.select("doc_id", enrichment.anchor_position(F.col("text"), anchor).cast("long").alias("position"))
+    return enrichment.find_anchors(table(spark, d, "documents").select("doc_id", "text"), items)
 
 
 @query(f"SELECT doc_id, count(*) AS footnotes FROM ({_ANCHORS}) GROUP BY doc_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import config_queries, document_queries, relational_queries, text_queries
+from . import config_queries, document_queries, engine_queries, relational_queries, text_queries
 
-QUERIES: dict = {**document_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES, **config_queries.QUERIES}
-ORACLES: dict[str, str] = {**document_queries.ORACLES, **text_queries.ORACLES, **relational_queries.ORACLES, **config_queries.ORACLES}
+QUERIES: dict = {**document_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES, **config_queries.QUERIES, **engine_queries.QUERIES}
+ORACLES: dict[str, str] = {**document_queries.ORACLES, **text_queries.ORACLES, **relational_queries.ORACLES, **config_queries.ORACLES, **engine_queries.ORACLES}

@@ -54,7 +54,6 @@ def extract_percents(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _list(X.percents(t)).alias("percents"))
 
 
-_MONTHS_ID = X.MONTHS_ID
 _DATES_SQL = " , ".join(f"list_transform(regexp_extract_all(t, '{p}'), lambda x: regexp_replace(x, '{p}', '{to.replace('$', chr(92))}'))" for p, to in X.DATE_PATTERNS)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,6 +22,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share. Only a local master may do without that setting: it gets a temporary folder that goes with the process."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = getattr(scratch, "own", None)
+        if base is None:
+            base = scratch.own = tempfile.mkdtemp(prefix="folioforge-")
+            atexit.register(shutil.rmtree, base, True)
+    return f"{base.rstrip('/')}/folioforge-{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks: UTC, adaptive execution, few shuffle partitions."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("folioforge")

@@ -16,6 +16,7 @@ UNITS = "unit_id string, doc_id string, page int, unit_type string, column strin
 TABLES = "table_id string, page int, bbox array<double>, headers array<string>, rows array<array<string>>, fixes map<string,int>, provenance string"
 ENHANCEMENTS = "enhancement_id string, doc_id string, enhancement_type string, title string, original_context string, generated_content string, source_units array<string>, confidence_score double, priority int"
 SEGMENTS = "segment_id string, page int, header_path string, char_start int, char_end int"
+RAW_TABLES = "doc_id string, page int, ordinal int, cells array<array<string>>, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double, rotation int"
 EVENTS = "ts double, step string, model string, input_tokens bigint, output_tokens bigint, meta map<string,string>"
 
 
@@ -29,9 +30,9 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1).alias("doc_id"), "path", F.col("value").alias("text"))
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Units, tables, enhancements, segments or metrics from multi-line JSON files."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Units, tables, enhancements, segments or metrics from files that hold one JSON array or object, or from JSON lines."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -107,13 +108,56 @@ def words_to_lines(words: DataFrame) -> DataFrame:
     return line.filter(F.length("text") > 15)
 
 
+def alternative_blocks(blocks: DataFrame, raw: DataFrame, words: DataFrame, fewest: int = 3) -> DataFrame:
+    """(doc_id, page, source, text, x0, y0, x1, y1) that pages with under three text blocks get besides them.
+
+    Raw text blocks of over 10 characters, 30 wide and 10 high; on pages without such ones, lines made of words. blocks
+    must have a row for each page (type null on an empty one). What is found is added, repeats of a page's blocks too.
+    """
+    page = ["doc_id", "page"]
+    poor = blocks.groupBy(*page).agg(F.count_if(F.col("type") == "text").alias("n")).filter(F.col("n") < fewest).select(*page)
+    box = ["x0", "y0", "x1", "y1"]
+    large = raw.withColumn("text", F.trim("text")).filter((F.length("text") > 10) & (F.col("x1") - F.col("x0") > 30) & (F.col("y1") - F.col("y0") > 10))
+    first = large.join(poor, page, "left_semi").select(*page, F.lit("raw_blocks").alias("source"), "text", *box)
+    second = words_to_lines(words.join(poor, page, "left_semi")).select(*page, F.lit("word_lines").alias("source"), "text", *box)
+    return first_non_empty(first, second)
+
+
+def read_tables(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """Raw tables of PDF files through a parser hook, see parse_tables()."""
+    return parse_tables(ship(spark).read.format("binaryFile").load(path).select("path", "content"), parse)
+
+
+def parse_tables(files: DataFrame, parse: Callable[[bytes], Iterator[dict]]) -> DataFrame:
+    """Raw tables of files (path, content): doc_id, page, ordinal, cells, box (null if unknown), page size and rotation, for tabular.clean_tables().
+
+    The hook yields dicts with page, cells (rows of cell texts, null allowed), size (width, height), and perhaps bbox and rotation.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.list_(pa.string())), *[pa.float64()] * 6, pa.int32()]
+        for batch in batches:
+            rows = []
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen: dict[int, int] = {}
+                for t in parse(content):
+                    at = seen[t["page"]] = seen.get(t["page"], -1) + 1
+                    cells = [[None if c is None else str(c) for c in row] for row in t["cells"]]
+                    rows.append((Path(file).stem, t["page"], at, cells, *(t.get("bbox") or (None,) * 4), *map(float, t["size"]), t.get("rotation", 0)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=[c.split()[0] for c in RAW_TABLES.split(", ")])
+
+    return files.select("path", "content").mapInArrow(work, RAW_TABLES)
+
+
 def read_types(spark: SparkSession, path: str) -> DataFrame:
     """Enhancement type registry from YAML, with defaults for missing fields; small by nature."""
     import yaml
 
     rows = []
-    with open(path) as f:
-        for category in yaml.safe_load(f).get("categories", []):
+    for file in spark.read.text(path, wholetext=True).collect():
+        for category in (yaml.safe_load(file["value"]) or {}).get("categories", []):
             for t in category.get("types", []):
                 rows.append((t["id"], category["id"], t.get("name", t["id"]), t.get("name_en", t.get("name", t["id"])), t.get("description", ""), list(t.get("applicable_domains", ["all"])), int(t.get("default_priority", 5)), bool(t.get("default_enabled", True)), t.get("prompt_instructions", ""), {str(k): str(v) for k, v in (t.get("examples") or {}).items()}, int(category.get("display_order", 0))))
     return spark.createDataFrame(rows, "type_id string, category string, name string, name_en string, description string, applicable_domains array<string>, default_priority int, default_enabled boolean, prompt_instructions string, examples map<string,string>, display_order int")
@@ -130,6 +174,19 @@ def read_profile(path: str) -> dict:
     return profile
 
 
+SWITCHES = "struct<client_name:string,enhancement_types:map<string,int>,domains:map<string,int>>"
+
+
+def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(profile, client_name, part, key, value) of all profiles in a folder, without templates; comments are left out, a switch that is neither 0 nor 1 is an error when it is read."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("profile"), F.from_json("value", SWITCHES).alias("p"))
+    rows = files.filter(~F.col("profile").contains("template"))
+    parts = [rows.select("profile", "p.client_name", F.lit(c).alias("part"), F.explode(f"p.{c}").alias("key", "value")) for c in ("enhancement_types", "domains")]
+    switches = parts[0].unionByName(parts[1]).filter(~F.col("key").startswith("_"))
+    checked = F.when(F.col("value").isin(0, 1), F.col("value")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("switch is neither 0 nor 1:"), "profile", "part", "key")))
+    return switches.withColumn("value", checked)
+
+
 def list_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the profiles in a folder, without templates."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
