@@ -19,8 +19,8 @@ from .common import scratch, slices, table, tokenizer_path
 END_ID = 2
 #: Bytes of a row group and of a page: a reader that wants one document reads a page of ids, not a file.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-#: Words whose ids a worker remembers.
-CACHE = 500_000
+#: Words whose ids a worker remembers, in each of two generations.
+CACHE = 400_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 SIGNS = ".,;:!?"
 #: Every sign but the blank and the newline that Python or the library's pre-tokenizer takes for white space (fixed values).
@@ -29,8 +29,39 @@ ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\
 FILE_BYTES = 256 << 20
 
 
-class WordCoder(dict):
-    """word -> ids (little-endian uint32 bytes) from the tokenizers library, asked once for each word that is remembered.
+class Known(dict):
+    """word -> ids (little-endian uint32 bytes) of the word behind ``lead``, from the tokenizers library.
+
+    What is remembered is bounded: when ``room`` words are held they become the old generation, and words that are met
+    again are taken over from it, so frequent words stay however many rare ones pass by.
+    """
+
+    def __init__(self, owner: WordCoder, lead: str, room: int):
+        super().__init__()
+        self.owner, self.lead, self.room, self.old, self.joined = owner, lead, room, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        if word in self.old:
+            got = self.old[word]
+        elif word.isalpha():
+            got = self.owner.one_piece(self.lead + word)
+        elif len(word) > 1 and word[-1] in SIGNS and word[:-1].isalpha():
+            got = self[word[:-1]] + self.owner.sign(word[-1])
+            self.joined += 1
+            if 4 * self.joined > self.room:  # soon made again, so they take a quarter of the room at most
+                return got
+        else:
+            got = self.owner.ask(self.lead + word)
+        if len(word) < 64:
+            if len(self) >= self.room:
+                self.old, self.joined = dict(self), 0
+                self.clear()
+            self[word] = got
+        return got
+
+
+class WordCoder:
+    """Ids of whole texts, word by word; the tokenizers library is asked once for each word that is remembered.
 
     The pre-tokenizer starts a new piece at every single blank and at either side of every single newline that
     stand between other characters, and where signs follow letters; a piece's ids depend on nothing else. Texts with
@@ -41,8 +72,7 @@ class WordCoder(dict):
         import numpy as np
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.np, self.room = np, room
+        self.np = np
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         self.coder.no_padding()
@@ -53,31 +83,28 @@ class WordCoder(dict):
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self.piece = self.coder.model.tokenize
+        self.newline = self.ask("\n")
+        self.signs = {c: self.ask(c) for c in SIGNS}
+        self.sign = self.signs.__getitem__
+        self.first, self.later = Known(self, "", room), Known(self, " ", room)
 
     def ask(self, text: str) -> bytes:
         return self.np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        bare = word.lstrip(" ")
-        if bare.isalpha():
-            got = array("I", [t.id for t in self.piece(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-        elif len(bare) > 1 and bare[-1] in SIGNS and bare[:-1].isalpha():
-            got = self[word[:-1]] + self[word[-1]]
-        else:
-            got = self.ask(word) if word else b""
-        if len(self) >= self.room:
-            self.clear()
-        if len(word) < 64:
-            self[word] = got
-        return got
+    def one_piece(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.piece(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        # without odd space, there are as many words as separators and one only where every separator stands alone and inside
-        if any(c in text for c in ODD_SPACE) or len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        alone = text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
+        if not alone or any(c in text for c in ODD_SPACE):
             return self.ask(text)
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))
+        out, later = [], self.later.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(self.first[words[0]] + b"".join(map(later, words[1:])))
+        return self.newline.join(out)
 
 
 _CODERS: dict[str, WordCoder] = {}
