@@ -1,67 +1,120 @@
-"""Substring dedup by minimizer-anchored window hashing against an index of all documents.
+"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
 
-This replaces a relative Lempel-Ziv parse; documents aren't factored greedily. Every window of WINDOW words is anchored at the smallest hash among its GRAM-word
-grams, so equal windows have equal anchors; the windows of one anchor and all their words form a phrase. Phrases are
-dealt by anchor to reference blocks (buckets) of the index. A document's phrase that an earlier document holds as a
-whole is a duplicate without looking further; where the anchor is known but the phrase is not, the single windows are
-checked against those of the other documents' phrases of that kind. What earlier documents cover then becomes
+What a document repeats is a stretch of WINDOW words or more, so a document is parsed into factors: from a place on,
+the longest stretch that some document with a smaller id holds, found through an index of the reference's windows and
+extended word by word; where nothing of WINDOW words matches, one word is passed over. A factor ends at a boundary;
+the windows across it may stand in another document, so the parse goes on with the first of them. Factors become
 duplicate spans.
 
-Everything that is dealt goes in packed blobs (sorted, zstd), one for each task and bucket.
+No document meets every other one. Each window is anchored at the smallest hash among its GRAM-word grams, so equal
+windows have equal anchors, and the windows of one anchor with their words form a phrase of at most
+2 * WINDOW - GRAM words. Reference blocks hold the phrases of their anchors, and a document is factored phrase by phrase
+against the block of each:
+
+1. Tasks give the anchors of their documents to blocks of anchors, which say which ones several documents hold. An
+   anchor that a task itself meets twice needs no question, so a common anchor costs a block one entry a task.
+2. Documents, dealt by id, give the phrases of shared anchors, as words, to the reference blocks; of equal phrases in one
+   deal only the earliest document's goes, the others are factors of it (their words are compared). Anchors with a
+   large share of all phrases are dealt window by window, so no block gets all phrases of a common anchor.
+3. A block factors its phrases in the order of their documents, and adds each to its index.
+4. Factors go back to the documents.
+
+What is dealt goes in packed blobs, one for each task and block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import materialise, slices, table, utf8
 
 WINDOW, GRAM = 13, 5
 #: Documents of a task that are hashed at once, and entries a task gathers before it deals them out.
-ROWS, ENTRIES = 300, 1_000_000
-#: ``v`` is a checksum of the text: it tells rows apart that share an id but not their text.
-PHRASE = [("anchor", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("n", "<i2"), ("v", "<u2")]
-SPAN = [("doc", "<i8"), ("at", "<i4"), ("n", "<i2"), ("v", "<u2"), ("sure", "u1")]
-SINGLE = [("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("v", "<u2")]
-BLOB = "bucket int, blob binary"
-#: Text of a bucket that one group of rows holds, aimed at; a very large corpus gets larger buckets before it gets more.
-BUCKET_BYTES, BUCKETS, LARGE_BYTES = 2 << 20, 20_000, 64 << 20
+ROWS, ENTRIES = 300, 2_000_000
+#: An anchor with over 1 / COMMON of all anchors' places, and over LEAST_COMMON places, is dealt by its windows: COMMON anchors at most.
+COMMON, LEAST_COMMON = 100_000, 5_000
+PLACES = [("anchor", "<u8"), ("phrase", "<u8"), ("text", "<i8"), ("at", "<i4"), ("n", "<i4"), ("first", "<i8")]
+#: ``key``: the lower half of an anchor, its upper half chose the block. ``bucket``: the deal of the one document, -1 for several.
+ENTRY = [("key", "<u4"), ("count", "<u4"), ("bucket", "<i4")]
+REPLY = [("anchor", "<u8")]
+#: ``row``: hash of id and text. ``size``: bytes of the phrase's words, which follow the columns.
+PHRASE = [("key", "<u8"), ("doc", "<i8"), ("row", "<u8"), ("at", "<i4"), ("size", "<u4")]
+SPAN = [("row", "<u8"), ("at", "<i4"), ("n", "<i4")]
+BLOB = "bucket int, kind int, blob binary"
+ASKED, SHARED, HOT, WORDS, FOUND = range(5)
+#: Text of a deal that one group of rows holds, aimed at; a very large corpus gets larger deals before it gets more.
+BUCKET_BYTES, BUCKETS, LARGE_BYTES = 2 << 20, 20_000, 128 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def pack(rows) -> bytes:
-    """A structured array, column by column, compressed."""
+    """A structured array, column by column, the first one as differences, byte by byte, compressed."""
+    import numpy as np
     import zstandard
 
-    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(rows[c].tobytes() for c in rows.dtype.names), 1)
+    out = []
+    for k, c in enumerate(rows.dtype.names):
+        column = np.ascontiguousarray(rows[c])
+        if not k:
+            column = np.diff(column, prepend=column.dtype.type(0))
+        out.append(np.ascontiguousarray(column.view(np.uint8).reshape(len(rows), -1).T).tobytes())
+    return len(rows).to_bytes(4, "little") + zstandard.compress(b"".join(out), 1)
 
 
-def unpack(blobs: list[bytes], kind: list):
+def unpack_one(blob: bytes, kind: list):
     import numpy as np
     import zstandard
 
     kind = np.dtype(kind)
-    out = []
+    n = int.from_bytes(blob[:4], "little")
+    raw, at = zstandard.decompress(blob[4:]), 0
+    rows = np.empty(n, kind)
+    for k, c in enumerate(kind.names):
+        size = kind[c].itemsize
+        column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind[c]).ravel()
+        rows[c] = np.cumsum(column, dtype=kind[c]) if not k else column
+        at += n * size
+    return rows
+
+
+def unpack(blobs: list[bytes], kind: list):
+    import numpy as np
+
+    out = [unpack_one(b, kind) for b in blobs]
+    return np.concatenate(out) if out else np.empty(0, kind)
+
+
+def pack_words(rows, words: list[bytes]) -> bytes:
+    """PHRASE rows and their words."""
+    import zstandard
+
+    head = pack(rows)
+    return len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join(words), 3)
+
+
+def unpack_words(blobs: list[bytes]):
+    """(PHRASE rows, words of each)."""
+    import numpy as np
+    import zstandard
+
+    out, words = [], []
     for blob in blobs:
-        n = int.from_bytes(blob[:4], "little")
-        raw, at = zstandard.decompress(blob[4:]), 0
-        rows = np.empty(n, kind)
-        for c in kind.names:
-            size = n * kind[c].itemsize
-            rows[c] = np.frombuffer(raw, kind[c], n, at)
-            at += size
+        n = 4 + int.from_bytes(blob[:4], "little")
+        rows, raw = unpack_one(blob[4:n], PHRASE), zstandard.decompress(blob[n:])
+        ends = np.cumsum(rows["size"], dtype=np.int64)
+        words += [raw[a:b] for a, b in zip((ends - rows["size"]).tolist(), ends.tolist(), strict=True)]
         out.append(rows)
-    return np.concatenate(out) if out else np.empty(0, kind)
+    return (np.concatenate(out) if out else np.empty(0, PHRASE)), words
 
 
-def deal(rows, bucket) -> Iterator:
-    """Arrow batches (bucket, blob) of a structured array; bucket: the bucket of each row. No rows, no batch."""
+def deal(rows, bucket, kind: int, words: list[bytes] | None = None) -> Iterator:
+    """Arrow batches (bucket, kind, blob) of a structured array; bucket: the bucket of each row. No rows, no batch."""
     import numpy as np
     import pyarrow as pa
 
@@ -71,8 +124,15 @@ def deal(rows, bucket) -> Iterator:
     rows, bucket = rows[order], bucket[order]
     firsts = np.flatnonzero(firsts_of(bucket))
     ends = np.append(firsts[1:], len(rows))
-    blobs = [pack(rows[a:b]) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+    cuts = list(zip(firsts.tolist(), ends.tolist(), strict=True))
+    blobs = [pack(rows[a:b]) for a, b in cuts] if words is None else [pack_words(rows[a:b], [words[k] for k in order[a:b].tolist()]) for a, b in cuts]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[firsts].astype(np.int32), pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def as_table(batches):
+    import pyarrow as pa
+
+    return pa.Table.from_batches(list(batches), pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]))
 
 
 def doc_bucket(docs, n: int):
@@ -81,217 +141,360 @@ def doc_bucket(docs, n: int):
 
 
 def bucket_column(n: int):
-    """The bucket of a row's id; rows without id are spread by their text."""
+    """The deal of a row's id; rows without id are spread by their text."""
     i = F.col("doc_id")
     return F.coalesce(F.pmod(i.bitwiseXOR(F.shiftright(i, 15)), F.lit(n)), F.pmod(F.xxhash64("text"), F.lit(n))).cast("int")
 
 
-def checksum(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFF
+def block_of(anchors, n: int):
+    import numpy as np
+
+    return ((anchors >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def row_key(doc: int, text: bytes) -> int:
+    """Tells rows apart that share an id but not their text."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text, seed=doc & 0xFFFFFFFFFFFFFFFF)
+
+
+def firsts_of(*keys):
+    """Whether each row of sorted keys begins a new group."""
+    import numpy as np
+
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
 
-def phrases(texts: list[list[bytes]], ids, sums):
-    """Structured PHRASE rows of all documents of a slice."""
+def places_of(words):
+    """PLACES of all texts of a slice: each run of windows with the same anchor place. first: its first word in the slice."""
     import numpy as np
 
-    from .wordhash import Words, grams, run_hashes
+    from .wordhash import grams, run_hashes
 
-    words = Words(texts)
     gram = grams(words.hashes[0], GRAM)
     per = WINDOW - GRAM + 1
     n = len(gram) - per + 1
     if n <= 0:
-        return np.empty(0, PHRASE)
+        return np.empty(0, PLACES)
     best, where = gram[:n].copy(), np.arange(n, dtype=np.int64)
     for j in range(1, per):
         less = gram[j : j + n] < best
         best[less] = gram[j : j + n][less]
         where[less] = np.flatnonzero(less) + j
-    doc = words.doc_of()
-    ok = doc[:n] == doc[WINDOW - 1 :][:n]
-    at = np.flatnonzero(ok)
+    text = words.doc_of()
+    at = np.flatnonzero(text[:n] == text[WINDOW - 1 :][:n])
     if not len(at):
-        return np.empty(0, PHRASE)
+        return np.empty(0, PLACES)
     where = where[at]
-    new = np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1)])
     last = np.append(first[1:], len(at)) - 1
     lo, hi = at[first], at[last]
-    rows = np.empty(len(first), PHRASE)
+    rows = np.empty(len(first), PLACES)
     rows["anchor"] = gram[where[first]]
     rows["phrase"] = run_hashes(words.hashes[1], lo, hi + WINDOW - 1) + (where[first] - lo).astype(np.uint64)
-    rows["doc"] = ids[doc[lo]]
-    rows["at"] = lo - words.starts[doc[lo]]
-    rows["n"] = hi - lo + 1
-    rows["v"] = sums[doc[lo]]
+    rows["text"], rows["first"], rows["n"] = text[lo], lo, hi - lo + 1
+    rows["at"] = lo - words.starts[text[lo]]
     return rows
 
 
-def firsts_of(*keys):
-    """Whether each row of sorted keys begins a new group."""
+def single_windows(rows, words):
+    """PLACES of the single windows of rows; a window's own hash is its anchor, so that windows are dealt one by one."""
     import numpy as np
 
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
+    from .wordhash import run_hashes
+
+    n = rows["n"].astype(np.int64)
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    out = np.repeat(rows, n)
+    out["at"] += inside.astype(np.int32)
+    out["first"] += inside
+    out["n"] = 1
+    for column, k in (("anchor", 0), ("phrase", 1)):
+        out[column] = run_hashes(words.hashes[k], out["first"], out["first"] + WINDOW - 1)
+    return out
+
+
+class Asked:
+    """Anchors of a task's documents: entries for blocks of anchors, and what the task can say by itself."""
+
+    def __init__(self, n: int):
+        self.n, self.held, self.size, self.rows = n, [], 0, 0
+
+    def add(self, anchors, texts, buckets) -> None:
+        import numpy as np
 
+        order = np.lexsort((texts, anchors))
+        anchors, texts, buckets = anchors[order], texts[order], buckets[order]
+        new = firsts_of(anchors, texts)
+        self.held.append((anchors[new], texts[new] + self.rows, buckets[new], np.diff(np.append(np.flatnonzero(new), len(new)))))
+        self.size += int(new.sum())
 
-def resolve_phrases(rows):
-    """SPAN rows of one reference block: phrases an earlier document holds (sure), and those whose windows are still to be checked."""
+    def flush(self) -> Iterator:
+        import numpy as np
+
+        if not self.size:
+            return
+        anchors, texts, buckets, counts = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        order = np.lexsort((texts, anchors))
+        anchors, buckets, counts = anchors[order], buckets[order], counts[order]
+        firsts = np.flatnonzero(firsts_of(anchors))
+        several = np.diff(np.append(firsts, len(anchors))) > 1
+        entries = np.empty(len(firsts), ENTRY)
+        entries["key"] = (anchors[firsts] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        entries["count"] = np.minimum(np.add.reduceat(counts, firsts), 1 << 31)
+        entries["bucket"] = np.where(several, -1, buckets[firsts])
+        block = block_of(anchors[firsts], self.n)
+        order = np.lexsort((entries["key"], block))
+        yield from deal(entries[order], block[order], ASKED)
+        known = np.repeat(several, np.diff(np.append(firsts, len(anchors))))
+        yield from shared_anchors(short_names(anchors[known], self.n), buckets[known])
+
+
+def shared_anchors(anchors, buckets) -> Iterator:
+    """Replies to deals: each anchor once a deal."""
     import numpy as np
 
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["phrase"], rows["anchor"]))]
-    anchor_new = firsts_of(rows["anchor"])
-    phrase_new = anchor_new | firsts_of(rows["phrase"])
-    group = np.cumsum(phrase_new) - 1
-    earliest = rows["doc"][np.flatnonzero(phrase_new)][group]
-    known = rows["doc"] > earliest
-    anchor = np.cumsum(anchor_new) - 1
-    heads = np.flatnonzero(anchor_new)
-    several = np.add.reduceat(phrase_new.astype(np.int64), heads) > 1 if len(rows) else np.zeros(0, bool)
-    apart = np.minimum.reduceat(rows["doc"], heads) != np.maximum.reduceat(rows["doc"], heads) if len(rows) else np.zeros(0, bool)
-    boundary = ~known & (several & apart)[anchor]
-    keep = known | boundary
-    out = np.empty(int(keep.sum()), SPAN)
-    for c in ("doc", "at", "n", "v"):
-        out[c] = rows[c][keep]
-    out["sure"] = known[keep]
-    return out
+    order = np.lexsort((anchors, buckets))
+    anchors, buckets = anchors[order], buckets[order]
+    new = firsts_of(anchors, buckets) if len(anchors) else np.zeros(0, bool)
+    rows = np.empty(int(new.sum()), REPLY)
+    rows["anchor"] = anchors[new]
+    yield from deal(rows, buckets[new], SHARED)
+
+
+def answer(bucket: int, entries):
+    """What a block of anchors replies: to single documents the anchors that others hold too, and (kind HOT, without a blob) how many places common anchors have.
+
+    An anchor's upper half isn't kept, so two anchors may be taken for one: documents then give phrases that nothing matches.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    entries = entries[np.argsort(entries["key"], kind="stable")]
+    firsts = np.flatnonzero(firsts_of(entries["key"]))
+    sizes = np.diff(np.append(firsts, len(entries)))
+    shared = np.maximum.reduceat(entries["bucket"] < 0, firsts) | (sizes > 1)
+    tell = entries[np.repeat(shared, sizes) & (entries["bucket"] >= 0)]
+    keys = tell["key"].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
+    said = as_table(shared_anchors(keys, tell["bucket"].astype(np.int64)))
+    counts = np.add.reduceat(entries["count"].astype(np.int64), firsts)
+    common = np.flatnonzero(counts > LEAST_COMMON)
+    names = entries["key"][firsts[common]].astype(np.uint64) | (np.uint64(bucket) << np.uint64(32))
+    hot = {"bucket": pa.array([0] * len(common), pa.int32()), "kind": pa.array([HOT] * len(common), pa.int32()), "anchor": pa.array(names.view(np.int64)), "places": pa.array(counts[common])}
+    return pa.concat_tables([said, pa.table(hot)], promote_options="default").select(["bucket", "kind", "blob", "anchor", "places"])
+
+
+def short_names(anchors, n: int):
+    """An anchor as blocks of anchors name it: block and lower half."""
+    import numpy as np
+
+    return (anchors & np.uint64(0xFFFFFFFF)) | (block_of(anchors, n).astype(np.uint64) << np.uint64(32))
 
 
-def windows_of(texts: list[list[bytes]], keys: list[tuple[int, int]], spans):
-    """SINGLE rows of the windows in spans; keys: (id, checksum) of each text."""
+def phrases_of(texts: list[list[bytes]], docs, rows, wanted, common, n: int):
+    """(PHRASE rows, words, SPAN rows): phrases of wanted anchors for the reference blocks, and factors that equal an earlier document's phrase of the same deal."""
     import numpy as np
 
-    from .wordhash import Words, run_hashes
+    from .wordhash import Words
 
     words = Words(texts)
-    row = {key: k for k, key in enumerate(keys)}
-    k = np.fromiter((row[key] for key in zip(spans["doc"].tolist(), spans["v"].tolist(), strict=True)), np.int64, len(spans))
-    n = spans["n"].astype(np.int64)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(spans["at"].astype(np.int64), n) + inside
-    first = words.starts[np.repeat(k, n)] + at
-    out = np.empty(len(at), SINGLE)
-    out["one"] = run_hashes(words.hashes[0], first, first + WINDOW - 1)
-    out["two"] = run_hashes(words.hashes[1], first, first + WINDOW - 1)
-    out["doc"], out["at"], out["v"] = np.repeat(spans["doc"], n), at, np.repeat(spans["v"], n)
+    found = places_of(words)
+    names = short_names(found["anchor"], n)
+    found, names = found[np.isin(names, wanted)], names[np.isin(names, wanted)]
+    if len(common):
+        often = np.isin(names, common)
+        found = np.concatenate([found[~often], single_windows(found[often], words)])
+    doc = docs[found["text"]]
+    order = np.lexsort((found["at"], doc, found["phrase"], found["anchor"]))
+    found, doc = found[order], doc[order]
+    new = firsts_of(found["anchor"], found["phrase"])
+    firsts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    later = doc > doc[firsts[group]]
+    for k in np.flatnonzero(later).tolist():  # equal hashes: the words must be equal too
+        a, b = found[k], found[firsts[group[k]]]
+        size = int(a["n"]) + WINDOW - 1
+        if a["n"] != b["n"] or texts[a["text"]][a["at"] : a["at"] + size] != texts[b["text"]][b["at"] : b["at"] + size]:
+            later[k] = False
+    spans = np.empty(int(later.sum()), SPAN)
+    spans["row"], spans["at"], spans["n"] = rows[found["text"][later]], found["at"][later], found["n"][later] + WINDOW - 1
+    given, doc = found[~later], doc[~later]
+    said = [b" ".join(texts[t][a : a + k + WINDOW - 1]) for t, a, k in zip(given["text"].tolist(), given["at"].tolist(), given["n"].tolist(), strict=True)]
+    out = np.empty(len(given), PHRASE)
+    out["key"], out["doc"], out["row"], out["at"] = given["anchor"], doc, rows[given["text"]], given["at"]
+    out["size"] = [len(x) for x in said]
+    return out, said, spans
+
+
+def factors(words: list[bytes], doc: int, index: dict) -> list[tuple[int, int]]:
+    """(place, words) of the factors of a phrase against the index of windows: window -> (document, words, place) of the first document that holds it."""
+    out: list[tuple[int, int]] = []
+    at, n = 0, len(words)
+    while at + WINDOW <= n:
+        there = index.get(b" ".join(words[at : at + WINDOW]))
+        if there is None or there[0] >= doc:
+            at += 1
+            continue
+        _, other, place = there
+        size = WINDOW
+        while at + size < n and place + size < len(other) and words[at + size] == other[place + size]:
+            size += 1
+        out.append((at, size))
+        at += size - WINDOW + 1  # the first window across the boundary
     return out
 
 
-def resolve_windows(rows):
-    """SPAN rows (sure, one window each) of windows that a document with a smaller id holds."""
+def factor_block(rows, words: list[bytes]):
+    """SPAN rows and their documents of a reference block: every phrase factored against those of the same anchor in documents with smaller ids."""
     import numpy as np
 
-    rows = rows[np.lexsort((rows["at"], rows["doc"], rows["two"], rows["one"]))]
-    new = firsts_of(rows["one"], rows["two"])
-    earliest = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(rows) else rows["doc"]
-    known = rows["doc"] > earliest
-    out = np.empty(int(known.sum()), SPAN)
-    out["doc"], out["at"], out["v"], out["n"], out["sure"] = rows["doc"][known], rows["at"][known], rows["v"][known], 1, 1
-    return out
+    order = np.lexsort((rows["at"], rows["doc"], rows["key"]))
+    rows, words = rows[order], [words[k] for k in order.tolist()]
+    firsts = np.flatnonzero(firsts_of(rows["key"])).tolist() if len(rows) else []
+    spans: list[tuple[int, int, int, int]] = []
+    docs, keys, ats = rows["doc"].tolist(), rows["row"].tolist(), rows["at"].tolist()
+    for a, b in zip(firsts, [*firsts[1:], len(rows)], strict=True):
+        if docs[a] == docs[b - 1]:
+            continue
+        index: dict = {}
+        whole: dict[bytes, tuple[int, int, list]] = {}  # phrase -> (document, words, its factors)
+        for k in range(a, b):
+            doc, text = docs[k], words[k]
+            known = whole.get(text)
+            if known is not None:
+                got = [(0, known[1])] if known[0] < doc else known[2]
+            else:
+                said = text.split(b" ")
+                got = factors(said, doc, index)
+                whole[text] = (doc, len(said), got)
+                for p in range(len(said) - WINDOW + 1):
+                    index.setdefault(b" ".join(said[p : p + WINDOW]), (doc, said, p))
+            spans += [(keys[k], ats[k] + p, size, doc) for p, size in got]
+    out = np.empty(len(spans), SPAN)
+    for c, i in (("row", 0), ("at", 1), ("n", 2)):
+        out[c] = [x[i] for x in spans]
+    return out, np.array([x[3] for x in spans], np.int64)
 
 
 def duplicate_words(n: int, spans):
-    """Which of a document's n words sure spans of windows cover."""
+    """Which of a document's n words spans cover."""
     import numpy as np
 
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, spans["at"].astype(np.int64), 1)
-    np.add.at(edge, np.minimum(spans["at"].astype(np.int64) + spans["n"] + WINDOW - 1, n), -1)
+    np.add.at(edge, np.minimum(spans["at"].astype(np.int64) + spans["n"], n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def as_table(batches):
-    import pyarrow as pa
-
-    return pa.Table.from_batches(list(batches), pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
-
-
-def find_duplicates(docs: DataFrame, finish: Callable, schema: str, carry: list[str] | None = None) -> DataFrame:
+def find_duplicates(docs: DataFrame, finish: Callable, schema: str | StructType, carry: bool = False) -> DataFrame:
     """The table that ``finish(batch, words, covered)`` makes of docs, batch by batch.
 
-    batch has doc_id, text and the columns in carry; words has each text's words; covered has, for each row, None or a
-    mask of the words to remove. Rows without id neither remove nor lose words, null and empty texts have none, equal
-    ids don't remove each other's words, and rows of one id with different texts are judged each by its own text.
+    batch has doc_id, text and, with ``carry``, the whole row as the struct _row, so columns of any name and type pass;
+    words has each text's words; covered has, for each row, None or a mask of the words to remove. Rows without id
+    neither remove nor lose words, null and empty texts have none, equal ids don't remove each other's words, and rows
+    of one id with different texts are judged each by its own text. Jobs run while this is called.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(carry or []))
+    own = [F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("_row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(parts, min(BUCKETS, -(-size // BUCKET_BYTES)), -(-size // LARGE_BYTES)) | 1
 
-    def index(batches: Iterator) -> Iterator:
+    def ask(batches: Iterator) -> Iterator:
         import numpy as np
 
-        held, size = [], 0
+        from .wordhash import Words
+
+        asked = Asked(n)
         for batch in slices(batches, ROWS):
             batch = batch.filter(batch.column(0).is_valid())
-            texts = utf8(batch, "text")
-            held.append(phrases([x.split() for x in texts], batch.column(0).to_numpy(), np.fromiter(map(checksum, texts), np.uint16, len(texts))))
-            size += len(held[-1])
-            if size >= ENTRIES:
-                got = np.concatenate(held)
-                yield from deal(got, (got["anchor"] % np.uint64(n)).astype(np.int64))
-                held, size = [], 0
-        if size:
-            got = np.concatenate(held)
-            yield from deal(got, (got["anchor"] % np.uint64(n)).astype(np.int64))
-
-    def phrase_block(table):
-        got = resolve_phrases(unpack(table.column("blob").to_pylist(), PHRASE))
-        return as_table(deal(got, doc_bucket(got["doc"], n)))
-
-    def window_block(table):
-        got = resolve_windows(unpack(table.column("blob").to_pylist(), SINGLE))
-        return as_table(deal(got, doc_bucket(got["doc"], n)))
-
-    def check(left, right):
+            found = places_of(Words([x.split() for x in utf8(batch, "text")]))
+            docs = batch.column(0).to_numpy()
+            asked.add(found["anchor"], found["text"], doc_bucket(docs, n)[found["text"]] if len(found) else np.zeros(0, np.int64))
+            asked.rows += len(docs)
+            if asked.size >= ENTRIES:
+                yield from asked.flush()
+        yield from asked.flush()
+
+    def reply(table):
+        return answer(table.column("bucket")[0].as_py(), unpack(table.column("blob").to_pylist(), ENTRY))
+
+    asked = materialise(rows.select("doc_id", "text").mapInArrow(ask, BLOB))
+    replied = materialise(asked.filter(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(reply, f"{BLOB}, anchor long, places long"))
+    given = spark.sparkContext.broadcast(_common(replied))  # COMMON anchors at most
+
+    def give(left, right):
         import numpy as np
 
-        spans = unpack(right.column("blob").to_pylist(), SPAN)
-        spans = spans[spans["sure"] == 0]
-        wanted = set(zip(spans["doc"].tolist(), spans["v"].tolist(), strict=True))
-        if not wanted:
+        wanted = np.unique(unpack(right.column("blob").to_pylist(), REPLY)["anchor"])
+        if not len(wanted) or not left.num_rows:
             return as_table([])
-        ids = {d for d, _ in wanted}
-        texts, keys = [], []
+        texts, ids, keys = [], [], []
         for batch in left.to_batches():
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i in ids and t and (key := (i, checksum(raw := t.encode()))) in wanted:
-                    wanted.discard(key)
+            for i, raw in zip(batch.column(0).to_pylist(), utf8(batch, "text"), strict=True):
+                if i is not None and raw:
                     texts.append(raw.split())
-                    keys.append(key)
-        got = windows_of(texts, keys, spans)
-        return as_table(deal(got, (got["one"] % np.uint64(n)).astype(np.int64)))
+                    ids.append(i)
+                    keys.append(row_key(i, raw))
+        said, words, spans = phrases_of(texts, np.array(ids, np.int64), np.array(keys, np.uint64), wanted, given.value, n)
+        here = int(right.column("bucket")[0].as_py())
+        order = np.argsort(said["key"], kind="stable")
+        out = list(deal(said[order], (said["key"][order] % np.uint64(n)).astype(np.int64), WORDS, [words[k] for k in order.tolist()]))
+        spans = spans[np.lexsort((spans["at"], spans["row"]))]
+        # factors found here go round with the phrases, so that one shuffle serves both
+        out += list(deal(spans, np.full(len(spans), here), FOUND))
+        return as_table(out)
+
+    def factor(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute  # noqa: F401
+
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        spans, docs = factor_block(*unpack_words([b for k, b in zip(kinds, blobs, strict=True) if k == WORDS]))
+        order = np.lexsort((spans["at"], spans["row"]))
+        passed = table.select(["bucket", "kind", "blob"]).filter(pa.compute.equal(table.column("kind"), FOUND))
+        return as_table([*deal(spans[order], doc_bucket(docs[order], n), FOUND), *passed.cast(as_table([]).schema).to_batches()])
 
     def last(left, right):
         import numpy as np
         import pyarrow as pa
 
         spans = unpack(right.column("blob").to_pylist(), SPAN)
-        spans = spans[spans["sure"] == 1]
-        spans = spans[np.lexsort((spans["v"], spans["doc"]))]
-        heads = np.flatnonzero(firsts_of(spans["doc"], spans["v"])).tolist()
-        of = {(int(spans["doc"][a]), int(spans["v"][a])): spans[a:b] for a, b in zip(heads, [*heads[1:], len(spans)], strict=False)}
+        spans = spans[np.argsort(spans["row"], kind="stable")]
+        heads = np.flatnonzero(firsts_of(spans["row"])).tolist()
+        of = {int(spans["row"][a]): spans[a:b] for a, b in zip(heads, [*heads[1:], len(spans)], strict=False)}
         out = []
         for batch in left.to_batches():
             texts = utf8(batch, "text")
             words = [x.split() for x in texts]
-            found = [of.get((i, checksum(t))) if i is not None else None for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+            found = [of.get(row_key(i, t)) if i is not None else None for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
             out.append(finish(batch, words, [None if f is None else duplicate_words(len(w), f) for w, f in zip(words, found, strict=True)]))
         return pa.Table.from_batches(out) if out else finish.empty()
 
-    spans = materialise(rows.select("doc_id", "text").mapInArrow(index, BLOB).groupBy("bucket").applyInArrow(phrase_block, BLOB))
-    dealt = rows.withColumn("bucket_", bucket_column(n))
     names = rows.columns
-    left = dealt.groupBy("bucket_")
+    left = rows.withColumn("_deal", bucket_column(n)).groupBy("_deal")
     narrow = lambda f: lambda a, b: f(a.select(names), b)
-    singles = left.cogroup(spans.groupBy("bucket")).applyInArrow(narrow(check), BLOB)
-    more = singles.groupBy("bucket").applyInArrow(window_block, BLOB)
-    return left.cogroup(spans.unionByName(more).groupBy("bucket")).applyInArrow(narrow(last), schema)
+    told = asked.unionByName(replied.select(*asked.columns)).filter(F.col("kind") == SHARED)
+    phrases = left.cogroup(told.groupBy("bucket")).applyInArrow(narrow(give), BLOB)
+    spans = phrases.groupBy("bucket").applyInArrow(factor, BLOB)
+    return left.cogroup(spans.groupBy("bucket")).applyInArrow(narrow(last), schema)
+
+
+def _common(replied: DataFrame):
+    """Common anchors with over 1 / COMMON of the places of all common anchors: COMMON of them at most, since each has over LEAST_COMMON places too."""
+    import numpy as np
+
+    hot = replied.filter(F.col("kind") == HOT)
+    total = hot.agg(F.coalesce(F.sum("places"), F.lit(0)).alias("n")).first()["n"]
+    return np.sort(np.array([r["anchor"] for r in hot.filter(F.col("places") > total // COMMON).select("anchor").collect()], np.int64).view(np.uint64))
 
 
 class _Digest:
@@ -334,43 +537,56 @@ def cut(text: bytes, mask) -> bytes:
 
 
 class _Rewrite:
-    """Rows of docs with their duplicate spans cut out; rows that lose their last word go, and untouched rows stay as they are."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
+    """Rows with their new text; rows that lose their last word go. _cut: whether the text has changed."""
 
     def __call__(self, batch, words, covered):
         import pyarrow as pa
 
-        text = [t if c is None else cut(t.encode(), c).decode() for t, c in zip(batch.column(1).to_pylist(), covered, strict=True)]
+        text = [None if c is None else cut(t, c).decode() for t, c in zip(utf8(batch, "text"), covered, strict=True)]
         keep = [c is None or not c.all() for c in covered]
-        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        columns["text"] = pa.array(text, pa.string())
-        if "n_chars" in columns:
-            size = [n if c is None else len(t) for n, t, c in zip(columns["n_chars"].to_pylist(), text, covered, strict=True)]
-            columns["n_chars"] = pa.array(size, columns["n_chars"].type)
-        return pa.RecordBatch.from_arrays([columns[n] for n in self.names], names=self.names).filter(pa.array(keep))
+        rows = pa.RecordBatch.from_arrays([batch.column(2), pa.array(text, pa.string()), pa.array([c is not None for c in covered])], names=["_row", "_text", "_cut"])
+        return rows.filter(pa.array(keep))
 
     def empty(self):
         raise AssertionError("a group has rows on one side at least, and blobs only for documents there are")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document with its word counts, kept words' digest and removed spans."""
+    """(doc_id, n_words, n_removed, kept_sha256, spans), one row per row of docs.
+
+    spans: first and last word of each removed stretch. Null and empty texts have no words; rows without id keep all of
+    theirs; rows that repeat an id don't remove each other's words. Other columns are ignored; an empty table gives no rows.
+    """
     return find_duplicates(docs, _Digest(), _Digest.SCHEMA)
 
 
 def cut_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with duplicate spans cut out of text and n_chars brought up to date."""
-    kept = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return find_duplicates(kept, _Rewrite(docs.columns), schema, carry)
+    """docs with duplicate spans cut out of text, and n_chars, if there is such a column, brought up to date.
+
+    Documents that lose their last word go. Rows without id, null and empty texts and rows without duplicates stay as
+    they are, whatever their columns' names and types; rows that repeat an id don't cut each other.
+    """
+    whole = StructType([StructField("_row", StructType(docs.schema.fields)), StructField("_text", StringType()), StructField("_cut", BooleanType())])
+    got = find_duplicates(docs, _Rewrite(), whole, carry=True)
+
+    def column(c: str):
+        old = F.col("_row").getField(c)
+        new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema[c].dataType)}.get(c)
+        return (old if new is None else F.when(F.col("_cut"), new).otherwise(old)).alias(c)
+
+    return got.select(*map(column, docs.columns))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    """Words that every document loses to documents with smaller ids."""
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_substring_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS pos, w FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL), k AS (SELECT r, doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS x FROM p),
+f AS (SELECT r, doc_id, pos, min(doc_id) OVER (PARTITION BY x) AS least FROM k), g AS (SELECT DISTINCT r, unnest(range(pos, pos + 13)) AS gone FROM f WHERE least < doc_id),
+e AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d), m AS (SELECT e.r, count(g.gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (g.gone IS NULL), '')) AS kept_sha256 FROM e LEFT JOIN g ON g.r = e.r AND g.gone = e.i GROUP BY e.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN m ON m.r = d.r"""
+}
