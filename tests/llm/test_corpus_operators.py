@@ -259,6 +259,41 @@ def test_substrings_of_shuffled_passages(spark):
     assert removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_removed(rows)
 
 
+def test_common_anchors_are_dealt_by_windows(spark, monkeypatch):
+    rng = random.Random(8)
+    often = sentence(900, 21).split()
+    rows = []
+    for i in range(120):  # one anchor in ever new surroundings, some of which repeat
+        a, b = rng.randrange(9), rng.randrange(12, 22)
+        rows.append((i, " ".join([sentence(1000 + rng.randrange(8), 30), *often[a:b], sentence(1100 + rng.randrange(8), 30), *often])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_removed(rows)
+    assert removed(docs) == want and sum(r[2] for r in want) > 1000
+    monkeypatch.setattr(sub, "LEAST_COMMON", 3)
+    assert removed(docs) == want
+
+
+def test_factors_are_greedy_and_go_on_at_boundaries():
+    words = [f"w{i}".encode() for i in range(40)]
+    index: dict = {}
+    for doc, (a, b) in enumerate([(0, 20), (10, 34)]):
+        part = words[a:b]
+        for p in range(len(part) - sub.WINDOW + 1):
+            index.setdefault(b" ".join(part[p : p + sub.WINDOW]), (doc, part, p))
+    assert sub.factors(words, 5, index) == [(0, 20), (8, 12), (10, 24)] or sub.factors(words, 5, index) == [(0, 20), (10, 24)]
+    assert sub.factors(words, 1, index) == [(0, 20)] and sub.factors(words, 0, index) == []
+
+
+def test_clashing_columns_of_any_type_pass(spark):
+    passage = sentence(77, 30)
+    rows = [(1, passage, 1, 2, 3, (4, "x"), {"k": [1]}), (2, f"{passage} more", 1, 2, 3, (5, None), None), (None, passage, None, None, None, None, None), (2, "other words", 1, 2, 3, None, {})]
+    kind = "doc_id int, text string, bucket_ int, `a.b` int, `_deal` int, s struct<`odd name`:int,`q``t`:string>, m map<string,array<int>>"
+    docs = spark.createDataFrame(rows, kind).withColumnRenamed("bucket_", "_row")
+    got = sorted(map(tuple, sub.cut_duplicates(docs).collect()), key=str)
+    assert sub.cut_duplicates(docs).schema == docs.schema
+    assert got == sorted([(*rows[0][:2], 1, 2, 3, (4, "x"), {"k": [1]}), (2, "more", 1, 2, 3, (5, None), None), rows[2], rows[3]], key=str)
+
+
 def test_cut_text_keeps_other_words_and_white_space(docs, empty):
     got = {r["doc_id"]: r for r in sub.cut_duplicates(docs).collect() if r["doc_id"] is not None}
     before = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] is not None}
