@@ -10,7 +10,8 @@
 4. From the histogram follows how many links the prefix has missed (a pair of similarity s meets with probability
    1 - (1 - s^depth)^TREES, so each link found stands for the inverse of that). While the recall measured so is under
    RECALL the prefix is shortened to the longest one that should reach it, and 2 and 3 run again; prefix_depth() is the
-   shortest ever needed, whatever the similarities.
+   shortest ever needed, whatever the similarities. What the sketches say of the longest prefix's pairs chooses the
+   first prefix that is verified in the same way, so that one verification is mostly enough.
 5. Connected components over the verified edges are the classes.
 """
 
@@ -152,8 +153,8 @@ class Union:
         return True
 
 
-def similar_neighbours(sketches, ids) -> list[tuple[int, int]]:
-    """Edges that connect what estimated similarity LOOSE connects: breadth first, so a member is compared with unvisited ones only."""
+def similar_neighbours(sketches, ids) -> list[tuple[int, int, int]]:
+    """Edges (id, id, equal bytes) that connect what estimated similarity LOOSE connects: breadth first, so a member is compared with unvisited ones only."""
     import numpy as np
 
     todo = np.arange(len(ids))
@@ -164,10 +165,11 @@ def similar_neighbours(sketches, ids) -> list[tuple[int, int]]:
         front, todo = [int(todo[0])], todo[1:]
         while front and len(todo):
             x = front.pop()
-            near = (sketches[todo] == sketches[x]).sum(axis=1) >= needed
+            equal = (sketches[todo] == sketches[x]).sum(axis=1)
+            near = equal >= needed
             found = todo[near]
             todo = todo[~near]
-            edges += [(int(ids[x]), int(ids[y])) for y in found]
+            edges += [(int(ids[x]), int(ids[y]), int(n)) for y, n in zip(found, equal[near], strict=True)]
             front += found.tolist()
     return edges
 
@@ -190,7 +192,7 @@ def runs_of(forest: DataFrame, depth: int) -> DataFrame:
 
 
 def candidate_edges(forest: DataFrame, depth: int) -> DataFrame:
-    """(a, b): edges between members (id, paths, sketch) whose connected groups hold every candidate pair of a prefix. At most runs' members in number."""
+    """(a, b, equal): edges between members (id, paths, sketch) whose connected groups hold every candidate pair of a prefix, and equal bytes of their sketches. At most runs' members in number."""
 
     def walk(batches: Iterator) -> Iterator:
         import numpy as np
@@ -200,7 +202,7 @@ def candidate_edges(forest: DataFrame, depth: int) -> DataFrame:
             return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
         def close(edges: list):
-            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in range(2)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "equal"])
 
         held = None
         for batch in batches:
@@ -224,13 +226,15 @@ def candidate_edges(forest: DataFrame, depth: int) -> DataFrame:
     parts = int(forest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = ["tree", "node", "low", "high"]
     trie = runs.repartitionByRange(parts, *key).sortWithinPartitions(*key, "path")
-    return trie.select("tree", "node", "low", "high", "id", "sketch").mapInArrow(walk, "a long, b long").distinct()
+    return trie.select("tree", "node", "low", "high", "id", "sketch").mapInArrow(walk, "a long, b long, equal int").groupBy("a", "b").agg(F.max("equal").alias("equal"))
 
 
 def with_least(edges: DataFrame, n_edges: int) -> DataFrame:
-    """(u, v, m): edges with the least v of their u. A u with many edges has its least v broadcast (there are few of them by their number of edges), so its edges stay where they are."""
-    hub = max(HUB, n_edges // BROADCAST_ROWS)
+    """(u, v, m): edges with the least v of their u. A u with many edges has its least v broadcast (there are few of them by their number of edges), so its edges stay where they are; few edges in all are written out with every least v broadcast."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+    if n_edges <= BROADCAST_ROWS:  # no more rows than edges
+        return edges.join(F.broadcast(least.select("u", "m")), "u").select("u", "v", "m")
+    hub = max(HUB, n_edges // BROADCAST_ROWS)
     hubs = F.broadcast(least.filter(F.col("_n") > hub).select("u", "m"))
     there = edges.join(hubs, "u", "left")
     few = there.filter("m is null").select("u", "v").join(least.filter(F.col("_n") <= hub).select("u", "m"), "u")
@@ -348,15 +352,20 @@ def verify(docs: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, int, float | None]:
     """(verify()'s rows, the depth of the prefix they come from, the recall measured there, None without links). Prefixes are shortened until the recall is RECALL."""
-    depth = DEPTH
+    forest, depth = members.select("id", "paths", "sketch"), DEPTH
+    edges = materialise(candidate_edges(forest, depth))
+    estimated = {min(1.0, max(0.0, (r["equal"] / SKETCH - 1 / 256) / (1 - 1 / 256))): r["n"] for r in edges.groupBy("equal").agg(F.count("*").alias("n")).collect()}  # SKETCH rows at most
+    first = next_depth({s: n for s, n in estimated.items() if s >= THRESHOLD}, depth)
+    if first != depth:
+        edges, depth = candidate_edges(forest, first), first
     while True:
-        groups = components(candidate_edges(members.select("id", "paths", "sketch"), depth))
+        groups = components(edges)
         checked = materialise(verify(docs, members.select("id", "doc_id", "h", "size"), groups))
         found = {(r["a"] + 0.5) / 100 if r["a"] < 100 else 1.0: r["n"] for r in checked.filter("kind = 'similar'").groupBy("a").agg(F.sum("b").alias("n")).collect()}  # 21 rows at most
         new = next_depth(found, depth)
         if new == depth:
             return checked, depth, sum(found.values()) / sum(n / meeting(s, depth) for s, n in found.items()) if found else None
-        depth = new
+        edges, depth = candidate_edges(forest, new), new
 
 
 def classified(docs: DataFrame) -> DataFrame:
