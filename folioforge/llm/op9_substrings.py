@@ -317,11 +317,11 @@ def phrases_of(texts: list[list[bytes]], docs, rows, wanted, common, n: int):
     firsts = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     later = doc > doc[firsts[group]]
-    for k in np.flatnonzero(later).tolist():  # equal hashes: the words must be equal too
-        a, b = found[k], found[firsts[group[k]]]
-        size = int(a["n"]) + WINDOW - 1
-        if a["n"] != b["n"] or texts[a["text"]][a["at"] : a["at"] + size] != texts[b["text"]][b["at"] : b["at"] + size]:
-            later[k] = False
+    again = np.flatnonzero(later)
+    both = (found[again], found[firsts[group[again]]])
+    at = ((r["text"].tolist(), r["at"].tolist(), (r["at"] + r["n"] + WINDOW - 1).tolist()) for r in both)
+    same = [texts[t][a:b] == texts[u][c:d] for t, a, b, u, c, d in zip(*(x for r in at for x in r), strict=True)]
+    later[again] = same  # equal hashes: the words must be equal too
     spans = np.empty(int(later.sum()), SPAN)
     spans["row"], spans["at"], spans["n"] = rows[found["text"][later]], found["at"][later], found["n"][later] + WINDOW - 1
     given, doc = found[~later], doc[~later]
@@ -332,12 +332,17 @@ def phrases_of(texts: list[list[bytes]], docs, rows, wanted, common, n: int):
     return out, said, spans
 
 
-def factors(words: list[bytes], doc: int, index: dict) -> list[tuple[int, int]]:
+def windows_of(words: list[bytes]) -> list[bytes]:
+    return [b" ".join(words[p : p + WINDOW]) for p in range(len(words) - WINDOW + 1)]
+
+
+def factors(words: list[bytes], doc: int, index: dict, windows: list[bytes] | None = None) -> list[tuple[int, int]]:
     """(place, words) of the factors of a phrase against the index of windows: window -> (document, words, place) of the first document that holds it."""
     out: list[tuple[int, int]] = []
+    windows = windows_of(words) if windows is None else windows
     at, n = 0, len(words)
     while at + WINDOW <= n:
-        there = index.get(b" ".join(words[at : at + WINDOW]))
+        there = index.get(windows[at])
         if there is None or there[0] >= doc:
             at += 1
             continue
@@ -362,6 +367,10 @@ def factor_block(rows, words: list[bytes]):
     for a, b in zip(firsts, [*firsts[1:], len(rows)], strict=True):
         if docs[a] == docs[b - 1]:
             continue
+        if len(set(words[a:b])) == 1:  # the first document's phrase is one factor of all others
+            size = words[a].count(b" ") + 1
+            spans += [(keys[k], ats[k], size, docs[k]) for k in range(a, b) if docs[k] > docs[a]]
+            continue
         index: dict = {}
         whole: dict[bytes, tuple[int, int, list]] = {}  # phrase -> (document, words, its factors)
         for k in range(a, b):
@@ -371,10 +380,11 @@ def factor_block(rows, words: list[bytes]):
                 got = [(0, known[1])] if known[0] < doc else known[2]
             else:
                 said = text.split(b" ")
-                got = factors(said, doc, index)
+                windows = windows_of(said)
+                got = factors(said, doc, index, windows)
                 whole[text] = (doc, len(said), got)
-                for p in range(len(said) - WINDOW + 1):
-                    index.setdefault(b" ".join(said[p : p + WINDOW]), (doc, said, p))
+                for p, window in enumerate(windows):
+                    index.setdefault(window, (doc, said, p))
             spans += [(keys[k], ats[k] + p, size, doc) for p, size in got]
     out = np.empty(len(spans), SPAN)
     for c, i in (("row", 0), ("at", 1), ("n", 2)):
