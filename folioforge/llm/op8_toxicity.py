@@ -1,11 +1,12 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are lower-cased words, and beginnings of words that clean examples don't have (insults are inflected; common
-words that begin alike aren't insults). The examples are a bounded sample of labelled rows; the terms that tell the
-labels apart best are kept, again a bounded number, and their document frequencies are counted over all documents.
-Examples count whole, like scored texts: executors count their words, and the driver gets only the kept terms. The index keeps, for each term and block of examples, the largest weight; blocks are
-visited by falling bound until no block can improve the k nearest. Votes weighted by distance are calibrated by
-isotonic regression on left-out examples.
+Terms are all words of the examples, lower-cased, and those beginnings of words that tell the labels apart (insults are
+inflected; words of clean examples have no beginnings). A term's weight in a text is its damped share of the text times
+its inverse document frequency over all documents, times RELEVANT for the words and beginnings that tell the labels
+apart. Words that no example has count in a text's norm, as unseen ones. The examples are a bounded sample of labelled
+rows; they count whole, like scored texts. The index keeps postings by term and block of examples, and each block's
+largest weight of the term; blocks that can't improve the k nearest are passed over. Votes weighted by distance are
+calibrated by isotonic regression on left-out examples; no document is its own neighbour.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 
 from .common import fold_bucket, materialise, slices, table
 
-#: Bounds: examples of each label, terms, neighbours, examples a block.
+#: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
-#: Lengths of beginnings; least examples of a term, and how many times commoner it is in label 1.
+#: Commonest terms whose postings lie in a table, if a share of the examples holds them.
+DENSE, DENSE_SHARE = 512, 1 / 64
+#: Lengths of beginnings; least examples of a term that tells the labels apart, and how many times commoner it is in label 1.
 PREFIXES, LEAST_EXAMPLES, LEAST_RATIO = (4, 5, 6, 7), 3, 6.0
 #: Weight of the base rate in a vote, in units of one perfect neighbour.
 PRIOR = 0.3
-#: Weight of the dimension of all other words.
-OTHERS = 3.0
+#: How much more than other terms those count that tell the labels apart.
+RELEVANT = 10.0
+#: Keys of counted(): words of the text, and sum of squares of the damped shares of words that are no terms.
+ALL, OTHER = -1, -2
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
 CACHE = 200_000
@@ -40,14 +45,34 @@ def terms_of(word: str, clean: set[str] | frozenset[str] = frozenset()) -> tuple
     return (word,) if word in clean else (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
 
 
+class Vectors:
+    """Sparse vectors end to end; each is read as a dict term -> weight."""
+
+    def __init__(self, rows: list[dict[int, float]]):
+        import numpy as np
+
+        self.ends = np.cumsum([len(v) for v in rows], dtype=np.int64)
+        self.terms = np.fromiter((k for v in rows for k in v), np.int32, int(self.ends[-1]) if rows else 0)
+        self.weights = np.fromiter((x for v in rows for x in v.values()), np.float64, len(self.terms))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, i: int) -> dict[int, float]:
+        if not 0 <= i < len(self.ends):
+            raise IndexError(i)
+        a, b = int(self.ends[i - 1]) if i else 0, int(self.ends[i])
+        return dict(zip(self.terms[a:b].tolist(), self.weights[a:b].tolist(), strict=True))
+
+
 @dataclass
 class Model:
     terms: dict[str, int]
     clean: set[str]
-    idf: list[float]
+    idf: list[float]  # weight of each term, at the end that of a word which is none
     ids: list[int]
     labels: list[int]
-    vectors: list[dict[int, float]]
+    vectors: Vectors
     prior: float
     knots: list[tuple[float, float]]
 
@@ -101,34 +126,40 @@ def at_places(features: DataFrame, examples: list[tuple[int, int, int]], **more:
 
 
 def counted(text: str, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
-    """Frequencies of known terms in a whole text, and at -1 its number of words. cache: word -> its known terms, bounded."""
+    """Frequencies of terms in a whole text, at ALL its number of words, at OTHER what its other words add to the norm. cache: word -> its terms, bounded."""
     return counted_words(Counter(WORD.findall(text.lower())), terms, clean, cache)
 
 
 def counted_words(words: Counter, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
     got: Counter = Counter()
-    got[-1] = words.total()
+    total = words.total()
+    others: Counter = Counter()  # frequencies of words that are no terms
+    got[ALL] = total
     for word, n in words.items():
         known = cache.get(word)
         if known is None:
             known = tuple(terms[x] for x in terms_of(word, clean) if x in terms)
+            if word not in terms:
+                known = (OTHER, *known)
             if len(cache) < CACHE and len(word) < 64:
                 cache[word] = known
         for x in known:
-            got[x] += n
+            if x == OTHER:
+                others[n] += 1
+            else:
+                got[x] += n
+    got[OTHER] = sum(m * math.log1p(100 * n / total) ** 2 for n, m in others.items())
     return got
 
 
 def vector(counts: Counter, idf: list[float]) -> dict[int, float]:
-    """Unit TF-IDF vector, frequencies as damped shares of the text; empty if no term is known.
-
-    One more dimension stands for all other words, so a text with a single known word isn't like one full of them.
-    """
-    got = {k: math.log1p(100 * n / counts[-1]) * idf[k] for k, n in counts.items() if k >= 0}
+    """Unit TF-IDF vector of a text, frequencies as damped shares of it; empty if it has no term. What isn't a term lengthens the vector before it is made one long."""
+    total = counts[ALL]
+    share = {n: math.log1p(100 * n / total) for n in {n for k, n in counts.items() if k >= 0}}
+    got = {k: share[n] * idf[k] for k, n in counts.items() if k >= 0}
     if not got:
         return {}
-    got[len(idf)] = OTHERS
-    norm = math.sqrt(sum(x * x for x in got.values()))
+    norm = math.sqrt(sum(x * x for x in got.values()) + counts[OTHER] * idf[-1] ** 2)
     return {k: x / norm for k, x in got.items()}
 
 
@@ -143,18 +174,19 @@ def distinct_examples(features: DataFrame, examples: list[tuple[int, int, int]])
     return [e for k, e in enumerate(examples) if 2 * (sizes[k] - fresh.get(k, 0)) <= sizes[k]]
 
 
-def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]]) -> tuple[dict[str, int], set[str], list[int]]:
-    """(terms, clean words, positions of the examples that were measured).
+def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]]) -> tuple[dict[str, int], int, set[str], list[int]]:
+    """(terms, how many tell the labels apart, clean words, positions of the examples that were measured).
 
-    The TERMS terms with the largest chi-square among those of label 1. Half of the clean examples say which words are
-    clean; beginnings are measured on the other half, where words are as new as in any text.
+    First come the TERMS words and beginnings with the largest chi-square among those of label 1, then all other words of
+    the examples by the alphabet. Half of the clean examples say which words are clean; beginnings are measured on the
+    other half, where words are as new as in any text.
     """
     clean_at = [i for i, e in enumerate(examples) if e[2] == 0]
     told = set(clean_at[::2])
     measured = [i for i in range(len(examples)) if i not in told]
     sizes = [sum(examples[i][2] == k for i in measured) for k in (0, 1)]
     if not sizes[1]:
-        return {}, set(), measured
+        return {}, 0, set(), measured
     placed = at_places(features, examples, told=[i in told for i in range(len(examples))])
     words = placed.select("place", "label", "told", F.explode("words").alias("word"))
     clean = words.filter("told").select("word").distinct()
@@ -166,29 +198,35 @@ def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]
     a, b, c, d = F.col("a"), F.col("b"), sizes[1] - F.col("a"), sizes[0] - F.col("b")
     chi = F.lit(sum(sizes)) * (a * d - b * c) * (a * d - b * c) / F.greatest(F.lit(1), (a + b) * (c + d) * sizes[0] * sizes[1])
     terms = {r["term"]: i for i, r in enumerate(seen.orderBy(F.desc(chi), "term").limit(TERMS).collect())}
+    apart = len(terms)
     known = [t[:-1] for t in terms if t.endswith("*")]
-    if not known:
-        return terms, set(), measured
     like = [F.substring("word", 1, n).isin(known) for n in PREFIXES]
-    return terms, {r["word"] for r in clean.filter(like[0] | like[1] | like[2] | like[3]).collect()}, measured
+    clean_words = {r["word"] for r in clean.filter(like[0] | like[1] | like[2] | like[3]).collect()} if known else set()
+    every = words.select("word").distinct()
+    for word in sorted(w for batch in every.toArrow().column("word").chunks for w in batch.to_pylist() if w not in terms):
+        terms[word] = len(terms)
+    return terms, apart, clean_words, measured
 
 
 def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[Counter]:
-    """counted() of each example's whole text; at most TERMS + 1 numbers each come to the driver."""
+    """counted() of each example's whole text."""
     given = features.sparkSession.sparkContext.broadcast((terms, clean))
 
     def work(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         cache: dict = {}
         for batch in slices(batches, 50):
             got = [counted_words(Counter(dict(zip(w, n, strict=True))), *given.value, cache) for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            lists = (pa.array([list(f(g)) for g in got], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values))
+            lists = [pa.array([np.fromiter(f(g), t).tobytes() for g in got], pa.binary()) for f, t in ((Counter.keys, np.int32), (Counter.values, np.float64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["place", "terms", "n"])
 
-    rows = at_places(features, examples).select("place", "words", "sizes").mapInArrow(work, "place int, terms array<int>, n array<int>").collect()
-    by = {r["place"]: Counter(dict(zip(r["terms"], r["n"], strict=True))) for r in rows}
-    return [by[k] for k in range(len(examples))]
+    import numpy as np
+
+    rows = at_places(features, examples).select("place", "words", "sizes").mapInArrow(work, "place int, terms binary, n binary").toArrow()
+    by = {p: (t, n) for p, t, n in zip(*(rows.column(c).to_pylist() for c in ("place", "terms", "n")), strict=True)}
+    return [Counter(dict(zip(np.frombuffer(by[k][0], np.int32).tolist(), np.frombuffer(by[k][1], np.float64).tolist(), strict=True))) for k in range(len(examples))]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]) -> tuple[int, list[int]]:
@@ -196,56 +234,104 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]
     given = docs.sparkSession.sparkContext.broadcast((terms, clean))
 
     def work(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        df: Counter = Counter()
+        known, clean = given.value
+        df, n = np.zeros(len(known), np.int64), 0
         cache: dict = {}
         for batch in slices(batches, 2000):
             for text in batch.column(0).to_pylist():
-                df.update(counted(text or "", *given.value, cache).keys())  # -1 is in each of them: the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
-
-    rows = docs.select("text").mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r["term"]: r["n"] for r in rows}
+                n += 1
+                held: set[int] = set()
+                for word in set(WORD.findall((text or "").lower())):
+                    of = cache.get(word)
+                    if of is None:
+                        of = tuple(known[x] for x in terms_of(word, clean) if x in known)
+                        if len(cache) < CACHE and len(word) < 64:
+                            cache[word] = of
+                    held.update(of)
+                df[list(held)] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist(), strict=True))
     return got.get(-1, 0), [got.get(i, 0) for i in range(len(terms))]
 
 
+def spread(starts, sizes):
+    """All places of ranges that start and are as long as said, end to end."""
+    import numpy as np
+
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 class BlockMaxIndex:
-    """Postings by term in blocks of BLOCK examples, each block with its largest weight. search() is exact."""
+    """Postings (example, weight) by term, in blocks of BLOCK examples; of each term and block the largest weight. search() is exact.
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    The postings of the commonest terms lie in a table, those of all others in lists. What the table gives an example is
+    a lower bound of its score; blocks whose upper bound is under the k-th largest lower bound are passed over.
+    """
+
+    def __init__(self, vectors, n_terms: int):
         import numpy as np
 
+        vectors = vectors if isinstance(vectors, Vectors) else Vectors(list(vectors))
         self.np, self.n = np, len(vectors)
         self.blocks = -(-self.n // BLOCK)
-        weights = np.zeros((n_terms, self.blocks * BLOCK))
-        for i, v in enumerate(vectors):
-            for k, x in v.items():
-                weights[k, i] = x
-        self.postings = weights.reshape(n_terms, self.blocks, BLOCK)
-        self.most = self.postings.max(axis=2)
+        example = np.repeat(np.arange(self.n), np.diff(vectors.ends, prepend=0)) if self.n else np.zeros(0, np.int64)
+        held = np.bincount(vectors.terms, minlength=n_terms)
+        common = np.argsort(-held, kind="stable")[:DENSE]
+        common = common[held[common] >= max(1, DENSE_SHARE * self.n)]
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[vectors.terms] >= 0
+        self.table = np.zeros((len(common), self.blocks * BLOCK))
+        self.table[self.row[vectors.terms[dense]], example[dense]] = vectors.weights[dense]
+        self.table_most = self.table.reshape(len(common), self.blocks, BLOCK).max(axis=2, initial=0.0)
+        order = np.lexsort((example, vectors.terms))
+        order = order[~dense[order]]
+        self.example, self.weight, term = example[order], vectors.weights[order], vectors.terms[order]
+        block = self.example // BLOCK
+        new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.zeros(0, bool)
+        self.first = np.flatnonzero(new)  # of each term and block, its first posting
+        self.size = np.diff(np.append(self.first, len(term)))
+        self.block = block[self.first]
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else np.zeros(0)
+        self.of_term = np.searchsorted(term[self.first], np.arange(n_terms + 1))
 
     def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine over 0, ties by position. skip: an example to leave out."""
         np = self.np
         if not query or not self.n:
             return []
-        terms, weights = np.fromiter(query, int, len(query)), np.fromiter(query.values(), float, len(query))
-        bounds = weights @ self.most[terms]
-        order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        for at in range(0, len(order), 4):
-            some = order[at : at + 4]
-            if bounds[some[0]] <= 1e-12 or len(best) >= k and bounds[some[0]] < -best[k - 1][0] - 1e-12:
-                break
-            scores = np.round(np.tensordot(weights, self.postings[terms][:, some], 1), 12)
-            where = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            scores = scores.ravel()
-            keep = scores > 0
-            if len(best) >= k:
-                keep &= scores >= -best[k - 1][0]
-            best = sorted(best + [(-s, int(i)) for s, i in zip(scores[keep].tolist(), where[keep].tolist(), strict=True) if i != skip])[:k]
-        return [(-s, i) for s, i in best]
+        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        row = self.row[terms]
+        whole = np.zeros(len(self.table))
+        whole[row[row >= 0]] = weights[row >= 0]
+        base = whole @ self.table
+        terms, weights = terms[row < 0], weights[row < 0]
+        begin = self.of_term[terms]
+        held = self.of_term[terms + 1] - begin
+        at, by = spread(begin, held), np.repeat(weights, held)
+        block = self.block[at]
+        bounds = np.bincount(block, by * self.most[at], self.blocks) + whole @ self.table_most
+        scores = base[: self.n]
+        if 0 <= skip < self.n:
+            scores[skip] = -1.0
+        least = max(1e-12, np.partition(scores, -k)[-k] - 1e-9) if self.n > k else 1e-12
+        wanted = bounds >= least
+        use = wanted[block]
+        size = self.size[at[use]]
+        places = spread(self.first[at[use]], size)
+        scores = np.round(scores + np.bincount(self.example[places], self.weight[places] * np.repeat(by[use], size), self.n), 12)
+        scores[~np.repeat(wanted, BLOCK)[: self.n]] = 0.0
+        if 0 <= skip < self.n:
+            scores[skip] = 0.0
+        where = np.flatnonzero(scores >= max(1e-12, np.partition(scores, -k)[-k])) if self.n > k else np.flatnonzero(scores > 0)
+        return [(-s, i) for s, i in sorted((-s, i) for s, i in zip(scores[where].tolist(), where.tolist(), strict=True))[:k]]
 
 
 def vote(found: list[tuple[float, int]], labels: list[int], prior: float) -> float:
@@ -280,7 +366,10 @@ def calibrate(x: float, knots: list[tuple[float, float]]) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: str = "text", label: str = "toxic") -> Model:
-    """Labels are taken only from rows where ``learn`` holds (over the column doc_id). Repeated label rows count once each; null labels never."""
+    """Labels are taken only from rows where ``learn`` holds (over the column doc_id). Repeated label rows count once each; null labels never.
+
+    Document frequencies are counted over all docs. Jobs run while this is called; without an example of label 1 the model scores everything alike.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if learn is not None:
@@ -288,33 +377,38 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
     features, examples = sample_examples(texts, given)
     prior = sum(e[2] for e in examples) / len(examples) if examples else 0.0
     examples = distinct_examples(features, examples)
-    terms, clean, measured = choose_terms(features, examples)
-    if not terms:
-        return Model({}, set(), [], [], [], [], prior, [])
+    terms, apart, clean, measured = choose_terms(features, examples)
+    if not apart:
+        return Model({}, set(), [], [], [], Vectors([]), prior, [])
     n, df = document_frequencies(texts, terms, clean)
-    idf = [math.log((1 + n) / (1 + x)) + 1 for x in df]
+    idf = [(math.log((1 + n) / (1 + x)) + 1) * (RELEVANT if k < apart else 1.0) for k, x in enumerate(df)] + [math.log(1 + n) + 1]
     made = [(i, y, vector(counts, idf)) for (i, _, y), counts in zip(examples, example_counts(features, examples, terms, clean), strict=True)]
     position = {k: j for j, k in enumerate(k for k, m in enumerate(made) if m[2])}
-    ids, ys, vectors = ([made[k][i] for k in position] for i in range(3))
-    index = BlockMaxIndex(vectors, len(terms) + 1)
+    ids, ys = ([made[k][i] for k in position] for i in range(2))
+    vectors = Vectors([made[k][2] for k in position])
+    index = BlockMaxIndex(vectors, len(terms))
     points = [(vote(index.search(made[k][2], NEIGHBOURS, skip=position.get(k, -1)), ys, prior), made[k][1]) for k in measured]
     return Model(terms, clean, idf, ids, ys, vectors, prior, isotonic(points))
 
 
 def judge_of(m: Model):
-    """text -> (score, neighbours)."""
-    index, cache = BlockMaxIndex(m.vectors, len(m.terms) + 1), {}
+    """(text, id) -> (score, neighbours); an example isn't its own neighbour."""
+    index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
+    own = {i: k for k, i in enumerate(m.ids)}
 
-    def judge(text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        found = index.search(vector(counted(text or "", m.terms, m.clean, cache), m.idf), NEIGHBOURS) if m.terms else []
+    def judge(text: str | None, doc_id: int | None = None) -> tuple[float, list[tuple[float, int]]]:
+        found = index.search(vector(counted(text or "", m.terms, m.clean, cache), m.idf), NEIGHBOURS, own.get(doc_id, -1)) if m.terms else []
         return min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found
 
     return judge
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
-    """One row per document, repeated rows included. Texts without a known term, empty and null ones too, get the calibrated base vote and no evidence."""
-    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    """One row per document, repeated rows included. Texts without a known term, empty and null ones too, get the calibrated base vote and no evidence.
+
+    An example is judged by the others. Rows without id have no fold of their own (that of the text ''). Other columns are ignored.
+    """
+    given = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and their words
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -324,8 +418,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in slices(batches, 2000):
             scores, proof = [], []
-            for t in batch.column(2).to_pylist():
-                value, found = judge(t)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                value, found = judge(t, i)
                 scores.append(value)
                 proof.append([{"doc_id": m.ids[i], "label": m.labels[i], "cosine": c} for c, i in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(proof, evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -334,8 +428,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(work, SCHEMA)
 
 
-def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that aren't predicted toxic; a filter on each row alone, without a join."""
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, that aren't predicted toxic; a filter on each row alone, without a join. Null texts and ids, repeated rows and columns of any name pass through it."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator) -> Iterator:
@@ -343,13 +437,14 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         judge = judge_of(given.value)
         for batch in slices(batches, 2000):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            yield batch.filter(pa.array([judge(t)[0] < THRESHOLD for t in texts], pa.bool_()))
+            texts, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, doc_id))
+            yield batch.filter(pa.array([judge(t, i)[0] < THRESHOLD for t, i in zip(texts, ids, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the folds that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels"), fold_bucket("doc_id", 3) != 1))
 
