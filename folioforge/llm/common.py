@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,22 +38,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, the one folder all executors share.
 
-    Only where that setting is missing (tests, local sessions) a temporary folder takes its place.
+    Only a local master may do without that setting: a temporary folder takes its place, which goes with the process.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(scratch, "own", None)
         if base is None:
             base = scratch.own = tempfile.mkdtemp(prefix="folioforge-")
             atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/folioforge-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/folioforge-{uuid.uuid4().hex}"
+    for held in _HELD:
+        held.append(path)
+    return path
+
+
+#: Folders made inside each open given_back().
+_HELD: list[list[str]] = []
+
+
+@contextmanager
+def given_back(spark: SparkSession):
+    """Delete at the end every folder that scratch() made meanwhile, but for those in the list that is given. What was read from them must be used up by then."""
+    keep: list[str] = []
+    made: list[str] = []
+    _HELD.append(made)
+    try:
+        yield keep
+    finally:
+        _HELD.remove(made)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in set(made) - set(keep):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def materialise(df: DataFrame, partitions: int | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    return written(df, partitions, **options)[0]
+
+
+def written(df: DataFrame, partitions: int | None = None, **options: str) -> tuple[DataFrame, str]:
+    """As materialise(), and the folder."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     (df.coalesce(partitions) if partitions else df).write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def fold_bucket(column: str, modulus: int):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import warnings
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -125,6 +126,8 @@ def frequent_units(counts: DataFrame, most: int = LATTICE_UNITS) -> DataFrame:
         if total + r["units"] > most:
             break
         least, total = r["n"], total + r["units"]
+    if least is None and sizes:
+        warnings.warn(f"{sizes[0]['units']} units share the highest count, over {most}: none goes through the lattice", stacklevel=2)
     return counts.filter(F.lit(False) if least is None else F.col("n") >= least).select("unit")
 
 
@@ -403,6 +406,7 @@ def sentencepiece_round_trip(docs: DataFrame, model_path: str | None = None, mos
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether they decode to it."""
     return sentencepiece_round_trip(table(spark, sf_dir, "documents"))
 
 

@@ -181,8 +181,20 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and spans of every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_license_scan": op3_license_scan}
-ORACLES: dict[str, str] = {}
+def license_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_license_scan that SQL can say."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+QUERIES = {"op3_license_scan": op3_license_scan, "license_base_columns": license_base_columns}
+_PLACES = "list_filter(range(1, len(w) + 1), lambda i: w[i:i + {last}] = {words})"
+ORACLES: dict[str, str] = {
+    "license_base_columns": rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, {_PLACES.format(last=3, words="['under', 'the', 'mit', 'license']")} AS a, {_PLACES.format(last=3, words="['apache', 'license', 'version', '2']")} AS b, {_PLACES.format(last=2, words="['cc', 'by', 'nc']")} AS c FROM d)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(a) + len(b) + len(c))::BIGINT AS n_base, list_min(list_concat(a, b, c)) - 1 AS first_word, list_max(list_concat(a, b, c)) - 1 AS last_word,
+array_to_string(list_filter([CASE WHEN len(b) > 0 THEN 'apache-2' ELSE '' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' ELSE '' END, CASE WHEN len(a) > 0 THEN 'mit' ELSE '' END], lambda x: x <> ''), ',') AS base_labels FROM p"""
+}

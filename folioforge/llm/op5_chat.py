@@ -142,11 +142,17 @@ def read_back(assembled: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one of control strings, formatted, tokenised and read back."""
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], ROWS)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(assemble(encode_turns(turns)))
+    return read_back(assemble(encode_turns(turns))).drop("n_tokens", "loss_tokens")
 
 
 QUERIES = {"op5_chat_format": op5_chat_format}
-ORACLES: dict[str, str] = {}
+_CONTROLS = r"<\\*(\|turn\|>|\|body\|>|\|end\|>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\])"
+ORACLES: dict[str, str] = {
+    "op5_chat_format": rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+sum(length('<|turn|><|body|><|end|>') + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROLS}')) + len(regexp_extract_all(text, '{_CONTROLS}')))::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+}

@@ -91,40 +91,82 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()) ->
         at += size
 
 
-def read_media(data: bytes) -> dict:
-    """Codec, duration, sample sizes and offsets, and key frames of the first track, from its tables alone."""
+def read_tracks(data: bytes) -> list[dict]:
+    """Of each track its codec, duration, sample sizes and offsets, and key frames, from its own tables alone.
+
+    Sample sizes may be equal, listed, or compact (4, 8 or 16 bits). Fragments keep their tables elsewhere: a file with
+    any is an error, as is a track without a table that it needs.
+    """
     import numpy as np
 
-    found: dict[bytes, tuple[int, int]] = {}
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, start, end in walk(data):
-        found.setdefault(path[-1], (start, end))
-
-    def u4(kind: bytes, skip: int, count: int, width: str = ">u4"):
-        return np.frombuffer(data, width, count, found[kind][0] + skip)
+        if path[-1] == b"moof":
+            raise ValueError("fragmented files aren't read")
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif tracks and b"trak" in path:
+            tracks[-1].setdefault(path[-1], (start, end))
+    return [_read_track(data, found, np) for found in tracks]
+
+
+def _read_track(data: bytes, found: dict[bytes, tuple[int, int]], np) -> dict:
+    for kind in (b"mdhd", b"stsd", b"stsc", b"stts"):
+        if kind not in found:
+            raise ValueError(f"a track has no {kind.decode()}")
+    if not {b"stsz", b"stz2"} & found.keys() or not {b"stco", b"co64"} & found.keys():
+        raise ValueError("a track has no sample sizes or no chunk offsets")
+
+    def numbers(kind: bytes, skip: int, count: int, width: str = ">u4"):
+        start, end = found[kind]
+        if start + skip + count * int(width[2:]) > end:
+            raise ValueError(f"table {kind.decode()} is cut short")
+        return np.frombuffer(data, width, count, start + skip)
+
+    def sample_sizes():
+        if b"stsz" in found:
+            size, count = (int(x) for x in numbers(b"stsz", 4, 2))
+            return np.full(count, size, np.int64) if size else numbers(b"stsz", 12, count).astype(np.int64)
+        bits, count = int(numbers(b"stz2", 4, 1)[0]) & 0xFF, int(numbers(b"stz2", 8, 1)[0])
+        if bits == 4:
+            pairs = numbers(b"stz2", 12, -(-count // 2), ">u1")
+            return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:count].astype(np.int64)
+        return numbers(b"stz2", 12, count, {8: ">u1", 16: ">u2"}[bits]).astype(np.int64)
 
     version = data[found[b"mdhd"][0]]
     scale, duration = struct.unpack_from(">IQ" if version else ">II", data, found[b"mdhd"][0] + (20 if version else 12))
     codec = struct.unpack_from(">4s", data, found[b"stsd"][0] + 12)[0].decode("latin-1")
-    size, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = np.full(count, size, np.int64) if size else u4(b"stsz", 12, count).astype(np.int64)
+    sizes = sample_sizes()
+    count = len(sizes)
     kind, width = (b"co64", ">u8") if b"co64" in found else (b"stco", ">u4")
-    chunks = int(u4(kind, 4, 1)[0])
-    offsets = u4(kind, 8, chunks, width).astype(np.int64)
-    runs = u4(b"stsc", 8, 3 * int(u4(b"stsc", 4, 1)[0])).reshape(-1, 3).astype(np.int64)
+    chunks = int(numbers(kind, 4, 1)[0])
+    offsets = numbers(kind, 8, chunks, width).astype(np.int64)
+    runs = numbers(b"stsc", 8, 3 * int(numbers(b"stsc", 4, 1)[0])).reshape(-1, 3).astype(np.int64)
     until = np.append(runs[1:, 0], chunks + 1)
     chunk_of = np.repeat(np.arange(chunks), np.repeat(runs[:, 1], until - runs[:, 0]))[:count]
+    if len(chunk_of) < count:
+        raise ValueError("samples without a chunk")
     before = np.cumsum(sizes) - sizes
     firsts = np.searchsorted(chunk_of, np.arange(chunks))
-    at = offsets[chunk_of] + before - before[firsts][chunk_of]
-    steps = u4(b"stts", 8, 2 * int(u4(b"stts", 4, 1)[0])).reshape(-1, 2).astype(np.int64)
-    keys = u4(b"stss", 8, int(u4(b"stss", 4, 1)[0])).astype(np.int64) - 1 if b"stss" in found else np.arange(count)
-    ends = np.append(firsts[1:], count) - 1
+    held = firsts < np.searchsorted(chunk_of, np.arange(chunks), side="right")
+    at = offsets[chunk_of] + before - before[firsts[held]][np.cumsum(held)[chunk_of] - 1] if count else np.zeros(0, np.int64)
+    steps = numbers(b"stts", 8, 2 * int(numbers(b"stts", 4, 1)[0])).reshape(-1, 2).astype(np.int64)
+    keys = numbers(b"stss", 8, int(numbers(b"stss", 4, 1)[0])).astype(np.int64) - 1 if b"stss" in found else np.arange(count)
+    ends = np.searchsorted(chunk_of, np.arange(chunks), side="right") - 1
     return {
         "codec": codec, "timescale": scale, "duration": duration, "ticks": int((steps[:, 0] * steps[:, 1]).sum()), "samples": int(count), "keys": np.stack([at[keys], sizes[keys]], 1),
-        "extents": [(int(at[a]), int(at[b] + sizes[b])) for a, b in zip(firsts, ends, strict=True)] if count else [],
+        "extents": [(int(at[a]), int(at[b] + sizes[b])) for a, b in zip(firsts[held], ends[held], strict=True)],
     }
 
 
+def read_media(data: bytes) -> dict:
+    """The first track, see read_tracks()."""
+    tracks = read_tracks(data)
+    if not tracks:
+        raise ValueError("no track")
+    return tracks[0]
+
+
 def encode_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every whole text, null as empty, stored losslessly. Equal texts give equal files."""
 
@@ -160,8 +202,16 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a media file, and what the file's boxes say."""
     return describe_media(encode_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_media_columns": op6_media_columns}
-ORACLES: dict[str, str] = {}
+def media_payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_media_columns that SQL can say."""
+    return op6_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES = {"op6_media_columns": op6_media_columns, "media_payload_columns": media_payload_columns}
+ORACLES: dict[str, str] = {
+    "media_payload_columns": """SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(t || repeat(' ', p - n)) AS payload_sha256 FROM (SELECT doc_id, t, n, 192 * greatest(1, (n + 191) // 192) AS p FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents))"""
+}

@@ -22,6 +22,8 @@ from .common import table, utf8
 Q, EDIT_RATE, MIN_ITEM = 10, 0.08, 32
 #: Items are broadcast in blocks of at most so many bytes each; documents are read once for each block.
 BLOCK_BYTES = 32 << 20
+#: q-grams of over so many places in a block of items aren't looked up for items that keep enough others.
+COMMON = 64
 #: Bytes of text hashed at once.
 CHUNK = 1 << 18
 #: A-Z to lower case and white space to blanks, byte by byte, so that places in the text stay the same.
@@ -34,35 +36,38 @@ SCHEMA = "doc_id long, item_id long, start long, end long, edits int, item_bytes
 def banded_edits(item: bytes, text: bytes, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of item in text among alignments that begin on diagonals low .. low + width, or None beyond budget.
 
-    Rows are the item's bytes, columns the text's; only cells whose diagonal is within budget of the band are filled.
+    Rows are the item's bytes, columns the text's; only cells whose diagonal is within budget of the band are filled, a
+    row at a time. A cell holds its edits and, below, how far its alignment begins from the end of the text, so of
+    alignments of equal edits the one that begins last wins. Insertions along a row are a running minimum.
     """
+    import numpy as np
+
     m, n = len(item), len(text)
     lo, hi = low - budget, low + width + budget
-    big = budget + 1
-    size = hi - lo + 1
-    cost, origin = [big] * size, [-1] * size
-    for d in range(max(low, 0), min(low + width, n) + 1):
-        cost[d - lo], origin[d - lo] = 0, d
+    size, one = hi - lo + 1, 1 << 40
+    none = (budget + 1) * one
+    raw = np.frombuffer(text, np.uint8)
+    step = np.arange(size, dtype=np.int64) * one
+    cost = np.full(size, none, np.int64)
+    first, last = max(low, 0), min(low + width, n)
+    if first <= last:
+        cost[first - lo : last - lo + 1] = n - np.arange(first, last + 1)
     for i in range(m):
-        c = item[i]
-        new, src = [big] * size, [-1] * size
-        alive = False
-        for x in range(size):
-            j = i + lo + x  # column of the byte that row i + 1 of this diagonal consumes
-            best, o = big, -1
-            if 0 <= j < n and cost[x] <= budget:
-                best, o = cost[x] + (text[j] != c), origin[x]
-            if x + 1 < size and cost[x + 1] + 1 < best:  # the item's byte isn't in the text
-                best, o = cost[x + 1] + 1, origin[x + 1]
-            if x and 0 <= j < n and new[x - 1] + 1 < best:  # the text's byte isn't in the item
-                best, o = new[x - 1] + 1, src[x - 1]
-            if best <= budget:
-                new[x], src[x], alive = best, o, True
-        if not alive:
+        new = np.full(size, none, np.int64)
+        a, b = max(0, -(i + lo)), min(size, n - i - lo)  # cells whose diagonal step consumes a byte of the text
+        if a < b:
+            new[a:b] = cost[a:b] + np.where(raw[i + lo + a : i + lo + b] != item[i], one, 0)
+        np.minimum(new[:-1], cost[1:] + one, out=new[:-1])  # the item's byte isn't in the text
+        if a < b:  # the text's byte isn't in the item; the cell before the text may begin such a run
+            c = max(0, a - 1)
+            new[c:b] = np.minimum.accumulate(new[c:b] - step[c:b]) + step[c:b]
+        new[new >= none] = none
+        if (new == none).all():
             return None
-        cost, origin = new, src
-    best = min(range(size), key=lambda x: (cost[x], x))
-    return (cost[best], origin[best], m + lo + best) if cost[best] <= budget else None
+        cost = new
+    at = int(np.argmin(cost >> 40))
+    edits = int(cost[at] >> 40)
+    return (edits, n - int(cost[at] & (one - 1)), m + lo + at) if edits <= budget else None
 
 
 class Filter:
@@ -81,9 +86,17 @@ class Filter:
             codes.append(got)
             owner.append(np.full(len(got), k))
             place.append(np.arange(len(got)))
-        every = np.concatenate(codes)
+        every, owner, place = np.concatenate(codes), np.concatenate(owner), np.concatenate(place)
+        # a q-gram of many items meets them all at each of its places; where an item can spare those, it needs as many less
+        _, kind, places = np.unique(every, return_inverse=True, return_counts=True)
+        common = places[kind] > COMMON
+        spared = np.bincount(owner[common], minlength=len(self.items))
+        can = 2 * spared <= self.needed if len(self.items) else np.zeros(0, bool)
+        self.needed = self.needed - np.where(can, spared, 0)
+        keep = ~(common & can[owner]) if len(every) else np.zeros(0, bool)
+        every, owner, place = every[keep], owner[keep], place[keep]
         order = np.argsort(every, kind="stable")
-        self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
+        self.owner, self.place = owner[order], place[order]
         self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.bits = min(28, max(16, (64 * max(1, len(self.keys))).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
@@ -193,22 +206,27 @@ class ShortItems:
                         yield d, k, start, end
 
 
+def item_blocks(benchmark: DataFrame) -> list:
+    """Broadcasts of the benchmark's items (id, UTF-8), of about BLOCK_BYTES / 2 each; items without id count as -1, null items are none."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
+    parts = (items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() for k in range(blocks))
+    return [spark.sparkContext.broadcast(sorted(((r["item_id"] if r["item_id"] is not None else -1), r["text"].encode()) for r in part)) for part in parts]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each place where a document holds a benchmark item within its edit budget; start and end are UTF-8 byte places in the text.
 
     Null and empty texts hold nothing. Items shorter than MIN_ITEM bytes must be held without edits and on word boundaries;
     null items and those of white space alone are held by nothing. Repeated
     documents and repeated items give repeated rows; of places of one item that overlap, the best, then the first, stays.
+    Other columns are ignored. The benchmark is read while this is called, and documents once for each block of items.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).filter("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // (BLOCK_BYTES // 2)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES / 2
-        given = spark.sparkContext.broadcast(sorted(((r["item_id"] if r["item_id"] is not None else -1), r["text"].encode()) for r in part))
+    for given in item_blocks(benchmark):
 
         def work(batches: Iterator, given=given) -> Iterator:
             import pyarrow as pa
@@ -228,12 +246,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; rows without id are kept."""
-    ids = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item, all columns; a filter on each row alone, so ids don't matter: rows without id and rows that repeat one are judged each by its own text.
+
+    Null and empty texts stay, columns of any name pass. Each block of items is one more filter in the same scan.
+    """
+    kept = docs
+    for given in item_blocks(benchmark):
+
+        def work(batches: Iterator, given=given) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            found, short = Filter(given.value), ShortItems([x for x in given.value if len(x[1]) < MIN_ITEM])
+            for batch in batches:
+                texts = utf8(batch, "text")
+                keep = np.ones(len(texts), bool)
+                keep[[d for d, *_ in found.search(texts)] + [d for d, *_ in short.search(texts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        kept = kept.mapInArrow(work, docs.schema)
+    return kept
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a benchmark item in every document."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -327,3 +327,89 @@ def test_pipeline_stage_by_stage(spark, data, tmp_path):
             items = [r["text"] for r in table(spark, data, "benchmark").collect()]
             assert not any(t in (x or "") for x in left.values() for t in items)
     assert toxic and np.mean([r["lossless"] for r in docs.collect()]) == 1
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item, passage = sentence(950, 20), sentence(951, 60)
+    rows = [
+        (1, sentence(960, 80), 1, "x"), (1, sentence(960, 80), 1, "x"), (1, sentence(961, 80), 2, None), (2, sentence(960, 80), 1, "y"), (None, sentence(960, 80), 1, "z"), (None, f"{sentence(962, 30)} {item}", 1, "z"),
+        (3, None, None, None), (4, "", 4, "x"), (4, None, 4, "x"), (5, f"{sentence(963, 40)} {passage}", 5, "x"), (6, f"{sentence(964, 40)} {passage} tail", 6, "x"), (7, f"{sentence(965, 50)} {item} {sentence(966, 9)}", 7, "x"), (8, "long " * 30_000, 8, "x"),
+    ]
+    kind = "doc_id long, text string, `_deal` long, `a.b` string"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 0), (9, 1), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, folder = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        schema = docs.schema
+        docs = stage(spark, docs, folder)
+        assert docs.schema == schema
+        kept[name] = sorted(map(tuple, docs.collect()), key=str)
+        docs = spark.createDataFrame(docs.collect(), schema)
+    assert len(kept["toxicity"]) == len(rows)
+    want = [rows[k] for k in (0, 2, 4, 5, 6, 7, 9, 10, 11, 12)]
+    assert [r for r in kept["near_duplicates"] if r[0] != 4] == sorted((r for r in want if r[0] != 4), key=str)
+    assert [r[2] for r in kept["near_duplicates"] if r[0] == 4] == [4]
+    cut = {r[0]: r[1] for r in kept["substrings"] if r[0] in (5, 6)}
+    assert cut == {5: rows[9][1], 6: f"{sentence(964, 40)} tail"}
+    assert {r[0] for r in kept["decontamination"]} == {None, 1, 3, 4, 5, 6, 8} and sum(r[0] is None for r in kept["decontamination"]) == 1
+    last = pipeline.STAGES[-1][1](spark, docs, folder).collect()
+    assert len(last) == len(kept["decontamination"]) and all(r["lossless"] for r in last)
+    none = tmp_path / "none"
+    spark.createDataFrame([], kind).write.parquet(str(none / "documents.parquet"))
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(none / f"{t}.parquet"))
+    assert pipeline.run(spark, str(none)).collect() == []
+
+
+def test_folders_are_given_back(spark):
+    import os
+
+    from folioforge.llm import common
+
+    with common.given_back(spark) as keep:
+        a, kept = common.written(spark.range(3))
+        common.materialise(spark.range(4))
+        keep.append(kept)
+        inside = [p for p in common._HELD[-1]]
+    assert [os.path.exists(p) for p in inside] == [True, False] and a.count() == 3
+
+
+def test_banded_alignment_against_the_whole_table():
+    rng = random.Random(12)
+    for _ in range(300):
+        item = bytes(rng.choices(b"abc", k=rng.randrange(1, 14)))
+        text = bytes(rng.choices(b"abc", k=rng.randrange(0, 25)))
+        low, width, budget = rng.randrange(-6, 20), rng.randrange(0, 6), rng.randrange(0, 5)
+        got = leak.banded_edits(item, text, low, width, budget)
+        # every alignment that begins at a place of the band and strays from the band by at most the budget
+        best = None
+        for start in range(max(low, 0), min(low + width, len(text)) + 1):
+            row = {0: 0}
+            row = {j: j for j in range(len(text) - start + 1)}
+            for i, c in enumerate(item, 1):
+                new = {0: i}
+                for j in range(1, len(text) - start + 1):
+                    new[j] = min(row[j - 1] + (text[start + j - 1] != c), row[j] + 1, new[j - 1] + 1)
+                row = new
+            best = min(filter(lambda x: x is not None, (best, min(row.values()))))
+        if best is None or best > budget:
+            assert got is None
+        else:
+            assert got is not None and got[0] == best and distance(item, text[got[1] : got[2]]) <= best
+
+
+def test_common_grams_are_spared_without_a_loss(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(k, f"question number one of the long list: {sentence(700 + k, 8)}") for k in range(30)]
+    rows = [(k, f"{sentence(800 + k, 9)} {dict(items)[rng.randrange(30)]} {sentence(850 + k, 9)}") for k in range(40)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, leak.find_leaks(docs, bench).collect()))
+    small = leak.Filter([(i, t.encode()) for i, t in items])
+    monkeypatch.setattr(leak, "COMMON", 8)
+    spared = leak.Filter([(i, t.encode()) for i, t in items])
+    assert len(spared.owner) < len(small.owner) and (spared.needed < small.needed).all()
+    places = [list(f.search([t.encode() for _, t in rows])) for f in (small, spared)]
+    assert places[0] == places[1] and len(want) >= 40

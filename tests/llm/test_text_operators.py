@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -156,6 +157,30 @@ def test_toxicity_edges(spark, docs, empty):
     assert op8_toxicity.score(empty, nothing).collect() == [] and op8_toxicity.score(docs, nothing).count() == docs.count()
 
 
+def test_no_document_is_its_own_neighbour(spark):
+    rows = [(i, f"{sentence(600 + i, 40)} {'grobian dolt' if i % 2 else 'kindly'}", i % 2) for i in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = op8_toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in op8_toxicity.score(docs, model).collect()}
+    assert set(model.ids) & set(got) and all(r["doc_id"] not in [e["doc_id"] for e in r["evidence"]] for r in got.values())
+    assert any(e["cosine"] > 0 for r in got.values() for e in r["evidence"])
+
+
+def test_vectors_hold_all_words_of_the_examples(spark):
+    rows = [(i, f"{sentence(620 + i, 30)} {'grobian' if i % 2 else 'kindly'}", i % 2) for i in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = op8_toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    by = {r[0]: r[1] for r in rows}
+    for i, v in zip(model.ids, model.vectors, strict=True):
+        assert {model.terms[w] for w in by[i].split()} <= set(v) and sum(x * x for x in v.values()) == pytest.approx(1.0)
+    # exact search over the whole vectors, for texts with unknown words too
+    index = op8_toxicity.BlockMaxIndex(model.vectors, len(model.terms))
+    for text in (by[3], f"{by[4]} never seen words", "grobian", "unknown"):
+        q = op8_toxicity.vector(op8_toxicity.counted(text, model.terms, model.clean, {}), model.idf)
+        want = sorted((-round(sum(x * v.get(k, 0.0) for k, x in q.items()), 10), k) for k, v in enumerate(model.vectors))
+        assert [round(s, 9) for s, _ in index.search(q, 5)] == pytest.approx([-s for s, _ in want if s < 0][:5], abs=1e-8)
+
+
 def test_toxic_words_behind_a_long_beginning_are_learned(spark):
     rows = [(i, f"{sentence(300 + i, 40)} " + sentence(400 + i, 1500) + (" grobian grobians blockhead" * 3 if i % 2 else " kindly"), i % 2) for i in range(24)]
     assert min(len(t) for _, t, _ in rows) > 10_000
@@ -232,6 +257,32 @@ def test_boxes_out_of_order_or_broken():
     assert list(op6_media.walk(wide)) == [((b"free",), 16, 19)]
 
 
+def test_tracks_are_read_each_by_its_own_tables():
+    def track(codec, sizes, chunk_at, keys=None, compact=None):
+        n = len(sizes)
+        entry = op6_media.box(codec, b"\0" * 28)
+        if compact == 4:
+            packed = bytes((sizes[i] << 4) | (sizes[i + 1] if i + 1 < n else 0) for i in range(0, n, 2))
+        else:
+            packed = b"".join(struct.pack(">H", x) for x in sizes)
+        size = op6_media.full(b"stz2", struct.pack(">II", compact, n), packed) if compact else op6_media.full(b"stsz", struct.pack(">II", 0, n), *(struct.pack(">I", x) for x in sizes))
+        parts = [op6_media.full(b"stsd", struct.pack(">I", 1), entry), op6_media.full(b"stts", struct.pack(">III", 1, n, 10)), op6_media.full(b"stsc", struct.pack(">IIII", 1, 1, n, 1)), size, op6_media.full(b"stco", struct.pack(">II", 1, chunk_at))]
+        if keys:
+            parts.append(op6_media.full(b"stss", struct.pack(">I", len(keys)), *(struct.pack(">I", k) for k in keys)))
+        mdia = op6_media.box(b"mdia", op6_media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 10 * n, 0, 0)), op6_media.box(b"minf", op6_media.box(b"stbl", *parts)))
+        return op6_media.box(b"trak", mdia)
+
+    data = op6_media.box(b"ftyp", b"isom") + op6_media.box(b"moov", track(b"aaaa", [3, 5, 7], 500), track(b"bbbb", [4, 15, 1], 600, [1, 3], 4), track(b"cccc", [300, 2], 700, [2], 16))
+    a, b, c = op6_media.read_tracks(data)
+    assert [t["codec"] for t in (a, b, c)] == ["aaaa", "bbbb", "cccc"] and op6_media.read_media(data)["codec"] == "aaaa"
+    assert a["keys"].tolist() == [[500, 3], [503, 5], [508, 7]] and a["extents"] == [(500, 515)]
+    assert b["keys"].tolist() == [[600, 4], [619, 1]] and c["keys"].tolist() == [[1000, 2]] and c["extents"] == [(700, 1002)]
+    with pytest.raises(ValueError):
+        op6_media.read_tracks(data + op6_media.box(b"moof"))
+    with pytest.raises(ValueError):
+        op6_media.read_media(op6_media.box(b"moov", op6_media.box(b"trak")))
+
+
 def test_media_rows(docs, empty):
     got = op6_media.describe_media(op6_media.encode_media(docs)).collect()
     want = []
