@@ -2,25 +2,28 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of
 documents, except for the last one. run() writes each stage's result as Parquet into the shared folder and rereads it.
+
+Null texts count as empty and are never dropped for it; rows without id are judged by their text alone; of rows that
+repeat an id and the words near_duplicates keeps one; columns of any name pass through all stages but the last; an
+empty table stays empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioforge.llm import op1_sentencepiece, op4_jaccard, op7_decontaminate, op8_toxicity, op9_substrings
-from folioforge.llm.common import materialise, table
+from folioforge.llm.common import given_back, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go. Rows are scored where they are, so ids don't matter."""
+    """Documents that the toxicity operator rejects go. It learns from all labels, and an example is judged by the others, never by its own label."""
     model = op8_toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return op8_toxicity.keep_clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one of the smallest id."""
+    """One document of each class of near duplicates stays, the one of the smallest id. Rows without id stay."""
     return op4_jaccard.keep_one(docs)
 
 
@@ -30,7 +33,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, rows without id too."""
     return op7_decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -52,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has written for itself is deleted once its result is there, and results but the last one when all is done."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return docs.select(*[F.col(c) for c in docs.columns])
+    with given_back(spark) as last:
+        for _, stage in STAGES:
+            with given_back(spark) as result:
+                docs, folder = written(stage(spark, docs, sf_dir))
+                result.append(folder)
+        last.append(folder)
+    return docs

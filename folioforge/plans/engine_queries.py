@@ -91,6 +91,13 @@ def paragraph_boxes(spark, d):
     return long(got.select("doc_id", "page", "paragraph", "text", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1"))), "page", "paragraph")
 
 
+@query(f"""SELECT doc_id, page, CASE WHEN count(*) >= 10 AND stddev_pop((x0 + x1) / 2) >= 50 THEN 'two_column' ELSE 'single' END AS layout FROM (SELECT * REPLACE (doc_id // 8 AS doc_id) FROM ({_BLOCKS})) GROUP BY doc_id, page HAVING count(*) > 1""")
+def column_clusters(spark, d):
+    """Pages of eight orders: two columns where there are enough blocks and they lie far enough apart."""
+    b = blocks(spark, d).withColumn("doc_id", F.expr("doc_id div 8"))
+    return long(layout.detect_columns_kmeans(b).select("doc_id", "page", "layout"), "page")
+
+
 @query("""WITH raw AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, (l_partkey % 40) * 10.0 AS x0, (l_suppkey % 70) * 10.0::DOUBLE AS y0, l_quantity AS w, (l_partkey % 3) * 6.0 + 2 AS h, 'text ' || l_partkey AS text FROM lineitem),
 poor AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page FROM lineitem GROUP BY ALL HAVING sum((l_returnflag = 'A')::INT) < 3),
 a AS (SELECT doc_id, page, 'raw_blocks' AS source, text, y0 FROM raw JOIN poor USING (doc_id, page) WHERE h > 10 AND w > 30 AND length(text) > 10),
@@ -432,6 +439,23 @@ def generation_ledger(spark, d):
     return e.select("step", "model", "input_tokens", "output_tokens", F.concat_ws("/", F.col("meta.doc_id"), F.col("meta.window"), F.col("meta.attempt")).alias("call"))
 
 
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE length(trim(coalesce(text, ''))) >= 100")
+def content_minimum(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return enrichment.long_enough(rows).select("doc_id", F.length("content").cast("long").alias("n"))
+
+
+@query("""SELECT event_id::VARCHAR AS doc_id, event_id % 3 AS "window", k AS ordinal, CASE WHEN event_id % 4 = 0 THEN 'risk' WHEN event_id % 4 = 1 THEN event_type ELSE 'general' END AS type, CASE WHEN k = 0 THEN 'Untitled' ELSE 'T' || event_id END AS title, CASE WHEN k = 0 THEN 0.8 ELSE 0.25 END::DOUBLE AS confidence, CASE WHEN k = 0 THEN NULL ELSE event_id % 10 END AS priority FROM events, (SELECT unnest([0, 1]) AS k) WHERE event_id % 5 <> 4""")
+def item_defaults(spark, d):
+    """Generated items with the type under either name or missing, and with defaults for title and confidence."""
+    k = F.col("event_id")
+    kind = F.when(k % 4 == 0, '"type": "risk", "enhancement_type": "other"').when(k % 4 == 1, F.concat(F.lit('"enhancement_type": "'), "event_type", F.lit('"'))).otherwise('"content": "c"')
+    full = F.concat(F.lit('", "confidence": 0.25, "priority": '), (k % 10).cast("string"))
+    raw = F.concat(F.lit('{"enhancements": [{'), kind, F.lit("}, {"), kind, F.lit(', "title": "T'), k.cast("string"), full, F.lit("}]}"))
+    rows = table(spark, d, "events").select(k.cast("string").alias("doc_id"), (k % 3).alias("window"), F.when(k % 5 == 4, "no json").otherwise(raw).alias("response"))
+    return long(enrichment.items_of(rows).select("doc_id", "window", "ordinal", "type", "title", "confidence", "priority"), "window", "ordinal", "priority")
+
+
 # --- synthesis
 
 
