@@ -25,6 +25,8 @@ from .common import fold_bucket, materialise, slices, table
 
 #: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
+#: Texts whose scores are begun by one matrix product.
+TOGETHER = 64
 #: Commonest terms whose postings lie in a table, if a share of the examples holds them.
 DENSE, DENSE_SHARE = 512, 1 / 64
 #: Lengths of beginnings; least examples of a term that tells the labels apart, and how many times commoner it is in label 1.
@@ -302,22 +304,29 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else np.zeros(0)
         self.of_term = np.searchsorted(term[self.first], np.arange(n_terms + 1))
 
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, ties by position. skip: an example to leave out."""
+    def from_table(self, queries: list[dict[int, float]]):
+        """(lower bounds of all examples' scores, upper bounds of the table's part by block), a row a query: one matrix product for many."""
+        np = self.np
+        whole = np.zeros((len(queries), len(self.table)))
+        for at, query in enumerate(queries):
+            row = self.row[np.fromiter(query, np.int64, len(query))]
+            whole[at, row[row >= 0]] = np.fromiter(query.values(), float, len(query))[row >= 0]
+        return whole @ self.table, whole @ self.table_most
+
+    def search(self, query: dict[int, float], k: int, skip: int = -1, table: tuple | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine over 0, ties by position. skip: an example to leave out. table: the query's rows of from_table()."""
         np = self.np
         if not query or not self.n:
             return []
         terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        row = self.row[terms]
-        whole = np.zeros(len(self.table))
-        whole[row[row >= 0]] = weights[row >= 0]
-        base = whole @ self.table
-        terms, weights = terms[row < 0], weights[row < 0]
+        base, most = table if table is not None else (x[0] for x in self.from_table([query]))
+        rare = self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         begin = self.of_term[terms]
         held = self.of_term[terms + 1] - begin
         at, by = spread(begin, held), np.repeat(weights, held)
         block = self.block[at]
-        bounds = np.bincount(block, by * self.most[at], self.blocks) + whole @ self.table_most
+        bounds = np.bincount(block, by * self.most[at], self.blocks) + most
         scores = base[: self.n]
         if 0 <= skip < self.n:
             scores[skip] = -1.0
@@ -392,13 +401,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
 
 
 def judge_of(m: Model):
-    """(text, id) -> (score, neighbours); an example isn't its own neighbour."""
+    """(texts, ids) -> [(score, neighbours)]; an example isn't its own neighbour."""
     index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
     own = {i: k for k, i in enumerate(m.ids)}
 
-    def judge(text: str | None, doc_id: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        found = index.search(vector(counted(text or "", m.terms, m.clean, cache), m.idf), NEIGHBOURS, own.get(doc_id, -1)) if m.terms else []
-        return min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found
+    def judge(texts: list, ids: list) -> list[tuple[float, list[tuple[float, int]]]]:
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            queries = [vector(counted(t or "", m.terms, m.clean, cache), m.idf) if m.terms else {} for t in some]
+            lower, upper = index.from_table(queries) if m.terms else ([()] * len(some),) * 2
+            for query, i, a, b in zip(queries, ids[at : at + TOGETHER], lower, upper, strict=True):
+                found = index.search(query, NEIGHBOURS, own.get(i, -1), (a, b)) if query else []
+                out.append((min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found))
+        return out
 
     return judge
 
@@ -418,8 +434,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in slices(batches, 2000):
             scores, proof = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                value, found = judge(t, i)
+            for value, found in judge(batch.column(2).to_pylist(), batch.column(0).to_pylist()):
                 scores.append(value)
                 proof.append([{"doc_id": m.ids[i], "label": m.labels[i], "cosine": c} for c, i in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(proof, evidence)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -438,7 +453,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
         judge = judge_of(given.value)
         for batch in slices(batches, 2000):
             texts, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, doc_id))
-            yield batch.filter(pa.array([judge(t, i)[0] < THRESHOLD for t, i in zip(texts, ids, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([value < THRESHOLD for value, _ in judge(texts, ids)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
