@@ -127,34 +127,56 @@ def at_places(features: DataFrame, examples: list[tuple[int, int, int]], **more:
     return features.join(F.broadcast(features.sparkSession.createDataFrame(rows, kind)), ["doc_id", "h", "label"])
 
 
-def counted(text: str, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
+def counted(text: str, terms: dict[str, int], clean: set[str], cache: dict) -> dict[int, float]:
     """Frequencies of terms in a whole text, at ALL its number of words, at OTHER what its other words add to the norm. cache: word -> its terms, bounded."""
     return counted_words(Counter(WORD.findall(text.lower())), terms, clean, cache)
 
 
-def counted_words(words: Counter, terms: dict[str, int], clean: set[str], cache: dict[str, tuple[int, ...]]) -> Counter:
-    got: Counter = Counter()
+def counted_words(words: Counter, terms: dict[str, int], clean: set[str], cache: dict) -> dict[int, float]:
     total = words.total()
-    others: Counter = Counter()  # frequencies of words that are no terms
-    got[ALL] = total
+    got: dict[int, float] = {ALL: total}
+    others: list[int] = []  # frequencies of words that are no terms
+    get = cache.get
     for word, n in words.items():
-        known = cache.get(word)
+        known = get(word)
         if known is None:
             known = tuple(terms[x] for x in terms_of(word, clean) if x in terms)
             if word not in terms:
                 known = (OTHER, *known)
+            if len(known) == 1:  # most words are one term or none
+                known = known[0]
             if len(cache) < CACHE and len(word) < 64:
                 cache[word] = known
+        if known.__class__ is int:
+            if known >= 0:
+                got[known] = got.get(known, 0) + n
+            else:
+                others.append(n)
+            continue
         for x in known:
             if x == OTHER:
-                others[n] += 1
+                others.append(n)
             else:
-                got[x] += n
-    got[OTHER] = sum(m * math.log1p(100 * n / total) ** 2 for n, m in others.items())
+                got[x] = got.get(x, 0) + n
+    got[OTHER] = sum(m * math.log1p(100 * n / total) ** 2 for n, m in Counter(others).items())
     return got
 
 
-def vector(counts: Counter, idf: list[float]) -> dict[int, float]:
+def weighed(counts: dict[int, float], idf):
+    """vector() as arrays (terms, weights); idf as an array."""
+    import numpy as np
+
+    n = len(counts)
+    terms, sizes = np.fromiter(counts, np.int64, n), np.fromiter(counts.values(), float, n)
+    keep = terms >= 0
+    terms, sizes = terms[keep], sizes[keep]
+    if not len(terms):
+        return terms, sizes
+    weights = np.log1p(100 * sizes / counts[ALL]) * idf[terms]
+    return terms, weights / math.sqrt(float(weights @ weights) + counts[OTHER] * float(idf[-1]) ** 2)
+
+
+def vector(counts: dict[int, float], idf: list[float]) -> dict[int, float]:
     """Unit TF-IDF vector of a text, frequencies as damped shares of it; empty if it has no term. What isn't a term lengthens the vector before it is made one long."""
     total = counts[ALL]
     share = {n: math.log1p(100 * n / total) for n in {n for k, n in counts.items() if k >= 0}}
@@ -210,7 +232,7 @@ def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]
     return terms, apart, clean_words, measured
 
 
-def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[Counter]:
+def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[dict[int, float]]:
     """counted() of each example's whole text."""
     given = features.sparkSession.sparkContext.broadcast((terms, clean))
 
@@ -221,14 +243,14 @@ def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], te
         cache: dict = {}
         for batch in slices(batches, 50):
             got = [counted_words(Counter(dict(zip(w, n, strict=True))), *given.value, cache) for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            lists = [pa.array([np.fromiter(f(g), t).tobytes() for g in got], pa.binary()) for f, t in ((Counter.keys, np.int32), (Counter.values, np.float64))]
+            lists = [pa.array([np.fromiter(f(g), t).tobytes() for g in got], pa.binary()) for f, t in ((dict.keys, np.int32), (dict.values, np.float64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["place", "terms", "n"])
 
     import numpy as np
 
     rows = at_places(features, examples).select("place", "words", "sizes").mapInArrow(work, "place int, terms binary, n binary").toArrow()
     by = {p: (t, n) for p, t, n in zip(*(rows.column(c).to_pylist() for c in ("place", "terms", "n")), strict=True)}
-    return [Counter(dict(zip(np.frombuffer(by[k][0], np.int32).tolist(), np.frombuffer(by[k][1], np.float64).tolist(), strict=True))) for k in range(len(examples))]
+    return [dict(zip(np.frombuffer(by[k][0], np.int32).tolist(), np.frombuffer(by[k][1], np.float64).tolist(), strict=True)) for k in range(len(examples))]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]) -> tuple[int, list[int]]:
@@ -304,21 +326,25 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else np.zeros(0)
         self.of_term = np.searchsorted(term[self.first], np.arange(n_terms + 1))
 
-    def from_table(self, queries: list[dict[int, float]]):
+    def arrays(self, query):
+        return query if isinstance(query, tuple) else (self.np.fromiter(query, self.np.int64, len(query)), self.np.fromiter(query.values(), float, len(query)))
+
+    def from_table(self, queries: list):
         """(lower bounds of all examples' scores, upper bounds of the table's part by block), a row a query: one matrix product for many."""
         np = self.np
         whole = np.zeros((len(queries), len(self.table)))
         for at, query in enumerate(queries):
-            row = self.row[np.fromiter(query, np.int64, len(query))]
-            whole[at, row[row >= 0]] = np.fromiter(query.values(), float, len(query))[row >= 0]
+            terms, weights = self.arrays(query)
+            row = self.row[terms]
+            whole[at, row[row >= 0]] = weights[row >= 0]
         return whole @ self.table, whole @ self.table_most
 
-    def search(self, query: dict[int, float], k: int, skip: int = -1, table: tuple | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, ties by position. skip: an example to leave out. table: the query's rows of from_table()."""
+    def search(self, query: dict[int, float] | tuple, k: int, skip: int = -1, table: tuple | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine over 0, ties by position. query: term -> weight, or arrays of both. skip: an example to leave out. table: the query's rows of from_table()."""
         np = self.np
-        if not query or not self.n:
+        terms, weights = self.arrays(query)
+        if not len(terms) or not self.n:
             return []
-        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
         base, most = table if table is not None else (x[0] for x in self.from_table([query]))
         rare = self.row[terms] < 0
         terms, weights = terms[rare], weights[rare]
@@ -402,17 +428,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
 
 def judge_of(m: Model):
     """(texts, ids) -> [(score, neighbours)]; an example isn't its own neighbour."""
-    index, cache = BlockMaxIndex(m.vectors, len(m.terms)), {}
+    import numpy as np
+
+    index, cache, idf = BlockMaxIndex(m.vectors, len(m.terms)), {}, np.array(m.idf)
     own = {i: k for k, i in enumerate(m.ids)}
 
     def judge(texts: list, ids: list) -> list[tuple[float, list[tuple[float, int]]]]:
         out = []
         for at in range(0, len(texts), TOGETHER):
             some = texts[at : at + TOGETHER]
-            queries = [vector(counted(t or "", m.terms, m.clean, cache), m.idf) if m.terms else {} for t in some]
-            lower, upper = index.from_table(queries) if m.terms else ([()] * len(some),) * 2
+            if not m.terms:
+                out += [(min(1.0, max(0.0, calibrate(vote([], m.labels, m.prior), m.knots))), [])] * len(some)
+                continue
+            queries = [weighed(counted(t or "", m.terms, m.clean, cache), idf) for t in some]
+            lower, upper = index.from_table(queries)
             for query, i, a, b in zip(queries, ids[at : at + TOGETHER], lower, upper, strict=True):
-                found = index.search(query, NEIGHBOURS, own.get(i, -1), (a, b)) if query else []
+                found = index.search(query, NEIGHBOURS, own.get(i, -1), (a, b))
                 out.append((min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found))
         return out
 
