@@ -7,12 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Where the public tokenizer files lie; every operator that needs one takes the path as a parameter.
 TOKENIZER_DIR = os.environ.get("FOLIOFORGE_TOKENIZERS", "/opt/tokenizers")
@@ -68,7 +69,7 @@ def given_back(spark: SparkSession):
     try:
         yield keep
     finally:
-        _HELD.remove(made)
+        _HELD[:] = [x for x in _HELD if x is not made]
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in set(made) - set(keep):
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -87,6 +88,25 @@ def written(df: DataFrame, partitions: int | None = None, **options: str) -> tup
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keep_rows(docs: DataFrame, columns: list[str], judge: Callable) -> DataFrame:
+    """Rows of docs, whole, for which the function that ``judge()`` makes in each task says so: given these columns of some rows (Arrow), a list of booleans.
+
+    Rows travel as one struct, so columns may have any name and type.
+    """
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), *(quoted(c).alias(f"_{k}") for k, c in enumerate(columns)))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        says = judge()
+        for batch in slices(batches, 2000):
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["_row"]).filter(pa.array(says(*batch.columns[1:]), pa.bool_()))
+
+    kept = rows.mapInArrow(work, StructType([StructField("_row", StructType(docs.schema.fields))]))
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
 def fold_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

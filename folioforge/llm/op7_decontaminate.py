@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import keep_rows, table, utf8
 
 #: Bytes of a q-gram, edits allowed for each byte of an item, and the smallest item (in bytes) that edits are allowed in.
 Q, EDIT_RATE, MIN_ITEM = 10, 0.08, 32
@@ -253,18 +253,21 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kept = docs
     for given in item_blocks(benchmark):
 
-        def work(batches: Iterator, given=given) -> Iterator:
+        def task(given=given):
             import numpy as np
             import pyarrow as pa
 
             found, short = Filter(given.value), ShortItems([x for x in given.value if len(x[1]) < MIN_ITEM])
-            for batch in batches:
-                texts = utf8(batch, "text")
+
+            def says(column):
+                texts = [x or b"" for x in column.cast(pa.binary()).to_pylist()]
                 keep = np.ones(len(texts), bool)
                 keep[[d for d, *_ in found.search(texts)] + [d for d, *_ in short.search(texts)]] = False
-                yield batch.filter(pa.array(keep))
+                return keep
+
+            return says
 
-        kept = kept.mapInArrow(work, docs.schema)
+        kept = keep_rows(kept, ["text"], task)
     return kept
 
 

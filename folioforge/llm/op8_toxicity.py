@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, materialise, slices, table
+from .common import fold_bucket, keep_rows, materialise, slices, table
 
 #: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
@@ -478,15 +478,11 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", doc_id: str =
     """The rows of docs, all columns, that aren't predicted toxic; a filter on each row alone, without a join. Null texts and ids, repeated rows and columns of any name pass through it."""
     given = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+    def task():
         judge = judge_of(given.value)
-        for batch in slices(batches, 2000):
-            texts, ids = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, doc_id))
-            yield batch.filter(pa.array([value < THRESHOLD for value, _ in judge(texts, ids)], pa.bool_()))
+        return lambda texts, ids: [value < THRESHOLD for value, _ in judge(texts.to_pylist(), ids.to_pylist())]
 
-    return docs.mapInArrow(work, docs.schema)
+    return keep_rows(docs, [text, doc_id], task)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
