@@ -6,3 +6,5 @@ from . import config_queries, document_queries, engine_queries, relational_queri
 
 QUERIES: dict = {**document_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES, **config_queries.QUERIES, **engine_queries.QUERIES}
 ORACLES: dict[str, str] = {**document_queries.ORACLES, **text_queries.ORACLES, **relational_queries.ORACLES, **config_queries.ORACLES, **engine_queries.ORACLES}
+# The same results under two names.
+ORACLES |= {"usage_report": ORACLES["usage_summary"], "window_pack_overlap": ORACLES["window_pack_suffix"]}
