@@ -403,7 +403,7 @@ def test_banded_alignment_against_the_whole_table():
 
 def test_common_grams_are_spared_without_a_loss(spark, monkeypatch):
     rng = random.Random(13)
-    items = [(k, f"question number one of the long list: {sentence(700 + k, 8)}") for k in range(30)]
+    items = [(k, f"question number one of the long list: {sentence(700 + k, 60)}") for k in range(30)]  # long enough to spare their common beginning
     rows = [(k, f"{sentence(800 + k, 9)} {dict(items)[rng.randrange(30)]} {sentence(850 + k, 9)}") for k in range(40)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(tuple, leak.find_leaks(docs, bench).collect()))
