@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens, op11_whitening, op13_clusters
+from . import op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens, op11_whitening, op12_setsketch, op13_clusters
 
-MODULES = [op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens, op11_whitening, op13_clusters]
+MODULES = [op1_sentencepiece, op2_language, op3_license, op4_jaccard, op5_chat, op6_media, op7_decontaminate, op8_toxicity, op9_substrings, op10_tokens, op11_whitening, op12_setsketch, op13_clusters]
 
 
 def queries() -> dict:
