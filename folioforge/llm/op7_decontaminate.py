@@ -129,8 +129,8 @@ class Filter:
         idx = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return np.repeat(at, n), self.owner[idx], self.place[idx]
 
-    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, start, end, edits) of each place that passes; texts are searched whole, several at a time."""
+    def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, start, end, edits, bytes of the item) of each place that passes; texts are searched whole, several at a time."""
         np = self.np
         if not self.items:
             return
@@ -170,7 +170,7 @@ class Filter:
                         if (at == 0 or kept[at - 1][1] <= p[0]) and (at == len(kept) or p[1] <= kept[at][0]):
                             kept.insert(at, p)
                     for start, end, edits in kept:
-                        yield batch[d][0], self.items[k][0], start, end, edits
+                        yield batch[d][0], self.items[k][0], start, end, edits, len(self.items[k][1])
             batch, size = [], 0
 
 
@@ -232,10 +232,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             import pyarrow as pa
 
             found, short = Filter(given.value), ShortItems([x for x in given.value if len(x[1]) < MIN_ITEM])
-            sizes = {i: len(t) for i, t in found.items}
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), utf8(batch, "text")
-                rows = [(ids[d], i, a, b, e, sizes[i]) for d, i, a, b, e in found.search(texts)]
+                rows = [(ids[d], *place) for d, *place in found.search(texts)]
                 rows += [(ids[d], short.ids[k], a, b, 0, short.sizes[k]) for d, k, a, b in short.search(texts)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate(kinds)], names=["doc_id", "item_id", "start", "end", "edits", "item_bytes"])

@@ -198,6 +198,14 @@ def test_leaks_with_edits_are_found_and_bounded(spark):
     assert all(distance(dict(items)[r["item_id"]].encode(), dict(rows)[r["doc_id"]].encode()[r["start"] : r["end"]].translate(leak.FOLD)) <= r["edits"] for r in got)
 
 
+def test_items_that_share_an_id_keep_their_own_sizes(spark):
+    items = [sentence(40, 9), sentence(41, 14), sentence(42, 10), "short one", "another short"]
+    bench = spark.createDataFrame(list(zip([1, 1, None, None, 1], items, strict=True)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"head {t} tail") for k, t in enumerate(items)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["item_bytes"]) for r in leak.find_leaks(docs, bench).collect())
+    assert got == [(k, -1 if k in (2, 3) else 1, len(t)) for k, t in enumerate(items)]
+
+
 def test_leak_edges(spark, docs, empty):
     items = spark.createDataFrame([(1, sentence(2, 40)), (2, None), (3, "short"), (None, sentence(7, 13)), (5, "")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in leak.find_leaks(docs, items).collect()}
