@@ -27,6 +27,8 @@ SIGNS = ".,;:!?"
 ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts of one file, aimed at; bounds what one task encodes and what a reader opens, whatever the corpus holds.
 FILE_BYTES = 256 << 20
+#: Characters of a text that deal out rows of one id, or of none, which may be many.
+RANGE_CHARS = 128
 
 
 class Known(dict):
@@ -65,7 +67,8 @@ class WordCoder:
 
     The pre-tokenizer starts a new piece at every single blank and at either side of every single newline that
     stand between other characters, and where signs follow letters; a piece's ids depend on nothing else. Texts with
-    any other white space, with two white-space signs in a row, or with one at either end are given to the library whole.
+    any other white space, with two white-space signs in a row, or with one at either end are given to the library whole,
+    and so are texts that spell one of its added tokens, which it takes for that token wherever it stands.
     """
 
     def __init__(self, path: str, room: int = CACHE):
@@ -74,13 +77,13 @@ class WordCoder:
 
         self.np = np
         self.coder = Tokenizer.from_file(path)
-        self.coder.encode_special_tokens = True
         self.coder.no_padding()
         self.coder.no_truncation()
 
         # one piece goes straight to the library's model, in its alphabet of printable bytes (a fixed rule of byte-level BPE)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self.piece = self.coder.model.tokenize
         self.newline = self.ask("\n")
@@ -98,7 +101,7 @@ class WordCoder:
         if not text:
             return b""
         alone = text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
-        if not alone or any(c in text for c in ODD_SPACE):
+        if not alone or any(c in text for c in ODD_SPACE) or any(t in text for t in self.added):
             return self.ask(text)
         out, later = [], self.later.__getitem__
         for line in text.split("\n"):
@@ -120,6 +123,7 @@ def coder(path: str) -> WordCoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Write (doc_id, part, local_start, n_tokens, ids) in ascending order of doc_id, null ids first, equal ids by text.
 
+    Ids are those of the library as it is, with add_special_tokens off: a text that spells an added token has that token.
     Null texts count as empty: they hold the end id alone. Rows that repeat an id stay, each with its own ids; an empty
     table gives files without rows; other columns of docs are left out. Ids are held for one slice of rows at a time.
     Files are as many as the texts' bytes ask for (FILE_BYTES), and the shuffle setting at least.
@@ -128,7 +132,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // FILE_BYTES))
-    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np

@@ -327,7 +327,6 @@ def test_token_files(spark, docs, empty, tmp_path):
     op10_tokens.write_tokens(docs, path, partitions=3)
     got = op10_tokens.digest_tokens(spark, path).collect()
     lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     start, want = 0, []
     for i, t in sorted(((i, t or "") for i, t in texts(docs)), key=lambda x: (x[0] is not None, x[0], x[1])):
         ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
@@ -347,3 +346,30 @@ def test_token_files_are_dictionary_coded_and_indexed(spark, docs, tmp_path):
     ids = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema.startswith("ids"))
     doc = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "doc_id")
     assert "RLE_DICTIONARY" in ids.encodings and doc.has_column_index and doc.has_offset_index
+
+
+def test_ids_are_those_of_an_untouched_library():
+    """10,000 random texts with the library's added tokens, signs and white space among words."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("byte_bpe_50k.json"), random.Random(11)
+    lib = Tokenizer.from_file(path)
+    added = [t.content for t in lib.get_added_tokens_decoder().values()]
+    assert added
+    parts = [*added, *(a[:-1] for a in added), "a", "word", "it's", "Zebra,", "é", "漢字", "12", "3.5", "!?", "x" * 70, "<|", "|>", ""]
+    words = op10_tokens.WordCoder(path, room=50)
+    for _ in range(10_000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", "\n", "", "  ", "\t"]) for _ in range(rng.randrange(12)))
+        text = text.strip() if rng.random() < 0.7 else text
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
+def test_rows_without_id_are_dealt_over_files(spark, tmp_path):
+    rows = [(None if i % 2 else i, f"text {i * 7919 % 2000} of some words") for i in range(2000)]
+    path = str(tmp_path / "t")
+    op10_tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, partitions=8)
+    sizes = [r["count"] for r in op10_tokens.read_tokens(spark, path).groupBy("part").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 500
+    order = [(r["doc_id"], r["start"]) for r in op10_tokens.digest_tokens(spark, path).collect()]
+    ids = [i for i, _ in sorted(order, key=lambda x: x[1])]
+    assert ids == [None] * 1000 + sorted(i for i in ids if i is not None)
