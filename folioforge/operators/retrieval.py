@@ -6,16 +6,13 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import text as X
 
 CHUNK, OVERLAP = 1800, 350
 # Separators of the recursive splitter, from coarse to fine.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", " ", ""]
-#: Queries scored at once, as one matrix.
-QUERY_BLOCK = 1024
 
 
 def fixed_chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -157,62 +154,10 @@ def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, id_column: str = "
 
 
 def multi_query_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", *by: str) -> DataFrame:
-    """(query_id, *by, id, score, rank): exact top-k of each query (within each value of ``by``) by blocked matrix products.
+    """(query_id, *by, id, score, rank): exact top-k of each query (within each value of ``by``); queries and vectors meet as a grid of shards, see vector_index. Null vectors and those without a direction, of either side, score 0."""
+    from . import vector_index
 
-    Queries are packed into blocks of QUERY_BLOCK rows; vectors meet every block as rows of one frame, in one scan of the
-    table for all blocks. A block is held by a worker at a time, and each task keeps k rows for each query, so what is
-    shuffled is k rows for each query, value of ``by`` and task. Zero vectors, of either side, score 0.
-    The queries themselves (ids and vectors, as many as are asked) go through the driver once.
-    """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", "q").collect()
-    blocks = [([r["query_id"] for r in part], [list(r["q"]) for r in part]) for at in range(0, len(rows), QUERY_BLOCK) if (part := rows[at : at + QUERY_BLOCK])]
-    given = spark.sparkContext.broadcast(blocks)
-    kinds = [vectors.schema[c].dataType for c in by]
-    schema = StructType([StructField("query_id", LongType()), *(StructField(c, t) for c, t in zip(by, kinds, strict=True)), StructField("id", LongType()), StructField("score", DoubleType())])
-
-    def work(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        # state by group and block: the k best scores and ids so far
-        best: dict[tuple, list] = {}
-        unit = []
-        for _, q in given.value:
-            q = np.array(q, np.float64)
-            n = np.linalg.norm(q, axis=1, keepdims=True)
-            unit.append(q / np.where(n > 0, n, 1))
-        for batch in batches:
-            flat = batch.column(1)
-            v = np.array(flat.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(flat), -1)
-            n = np.linalg.norm(v, axis=1)
-            v = v / np.where(n > 0, n, 1)[:, None]
-            ids = batch.column(0).to_numpy()
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)) if by else [()] * len(ids)
-            groups: dict[tuple, list[int]] = {}
-            for at, key in enumerate(keys):
-                groups.setdefault(key, []).append(at)
-            for key, at in groups.items():
-                for number, q in enumerate(unit):
-                    s = np.round(q @ v[at].T, 6) + 0.0
-                    i = np.broadcast_to(ids[at], s.shape)
-                    if (key, number) in best:
-                        s, i = np.concatenate([best[key, number][0], s], 1), np.concatenate([best[key, number][1], i], 1)
-                    if s.shape[1] > k:
-                        keep = np.argsort(i, 1, kind="stable")
-                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                        keep = np.argsort(-s, 1, kind="stable")[:, :k]
-                        s, i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-                    best[key, number] = [s, i]
-        for (key, number), (s, i) in best.items():
-            m = s.shape[1]
-            asked = pa.array(np.repeat(np.array(given.value[number][0], np.int64), m))
-            yield pa.RecordBatch.from_arrays([asked, *(pa.array([x] * len(asked), t) for x, t in zip(key, arrow, strict=True)), pa.array(i.ravel()), pa.array(s.ravel())], names=schema.names)
-
-    arrow = [to_arrow_type(t) for t in kinds]
-    got = vectors.select(F.col(id_column).cast("long").alias("id"), "embedding", *by).mapInArrow(work, schema)
-    w = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "id")
-    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return vector_index.multi_query_topk(vectors, queries, k, id_column, *by)
 
 
 def compare_versions(results: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import config_queries, document_queries, engine_queries, relational_queries, text_queries
+from . import config_queries, document_queries, engine_queries, index_queries, relational_queries, stream_queries, text_queries, udf_queries
 
-QUERIES: dict = {**document_queries.QUERIES, **text_queries.QUERIES, **relational_queries.QUERIES, **config_queries.QUERIES, **engine_queries.QUERIES}
-ORACLES: dict[str, str] = {**document_queries.ORACLES, **text_queries.ORACLES, **relational_queries.ORACLES, **config_queries.ORACLES, **engine_queries.ORACLES}
+MODULES = [document_queries, text_queries, relational_queries, config_queries, engine_queries, index_queries, stream_queries, udf_queries]
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: sql for m in MODULES for k, sql in m.ORACLES.items()}
 # The same results under two names.
 ORACLES |= {"usage_report": ORACLES["usage_summary"], "window_pack_overlap": ORACLES["window_pack_suffix"]}

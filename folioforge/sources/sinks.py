@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as X
 
@@ -41,19 +43,23 @@ def upsert_partitions(spark: SparkSession, new: DataFrame, path: str, key: str =
     """Upsert into partitioned Parquet, through a staging folder.
 
     Rewritten are the partitions that ``new`` writes to and those where its keys stood before, so a key that moves to
-    another partition leaves no old row behind; a partition that loses its last row is removed.
+    another partition leaves no old row behind; a partition that loses its last row is removed. Partition values are
+    read back as what ``new`` has them as, never guessed from folder names: "007" stays a text, and null, which shares
+    its folder with the empty text, is a value like any other.
     """
     by = list(partition_by)
+    for c in (c for c in by if new.schema[c].dataType == StringType()):
+        new = new.withColumn(c, F.nullif(F.col(c), F.lit("")))
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    old = _existing(spark, path)
+    old = _existing(spark, path, new.schema)
     if old is None:
         one_of_each(new, key, order).write.partitionBy(*by).parquet(path)
         return
     moved = old.join(new.select(key).distinct(), key, "left_semi").select(*by)
     touched = new.select(*by).unionByName(moved).distinct()
-    same = old.join(touched, by, "left_semi").select(*new.columns)
+    same = _on_equal(old, touched, by, "left_semi").select(*new.columns)
     keep_latest(same, new, key, order).write.parquet(staging)
-    gone = touched.join(spark.read.parquet(staging).select(*by).distinct(), by, "left_anti").collect()  # partitions, not rows
+    gone = _on_equal(touched, spark.read.parquet(staging).select(*by).distinct(), by, "left_anti").select(*(F.col(c).cast("string").alias(c) for c in by)).collect()  # partitions, not rows
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     for row in gone:
         _remove(spark, _partition(path, {c: row[c] for c in by}))
@@ -75,15 +81,16 @@ def delete_namespace(chunks: DataFrame, namespaces: DataFrame, names: list[str])
 def remove_namespaces(spark: SparkSession, path: str, namespaces: DataFrame, names: list[str], confirm: list[str]) -> list[str]:
     """Delete the named namespaces' partitions below ``path`` (partitioned by namespace first); gives the names that were there.
 
-    ``confirm`` must repeat the names. Unknown names are skipped; namespaces of type 'final' are refused before anything goes.
+    ``confirm`` must repeat the names. Unknown names are skipped; namespaces of type 'final' are refused before anything
+    goes. Names are compared as texts: "007" isn't "7". Rows without a namespace stay.
     """
     if sorted(confirm) != sorted(names):
         raise ValueError("the names must be confirmed")
     _guard(namespaces, names)
-    old = _existing(spark, path)
+    old = _existing(spark, path, StructType([StructField("namespace", StringType())]))
     if old is None:
         return []
-    there = {r["namespace"] for r in old.select(F.col("namespace").cast("string").alias("namespace")).filter(F.col("namespace").isin(names)).distinct().collect()}
+    there = {r["namespace"] for r in old.select("namespace").filter(F.col("namespace").isin(names)).distinct().collect()}
     for name in sorted(there):
         _remove(spark, _partition(path, {"namespace": name}))
     return sorted(there)
@@ -131,9 +138,17 @@ def latest(events: DataFrame, key: str, by: str) -> DataFrame:
     return one_of_each(events, key, (by,))
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def _on_equal(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Join in which nulls are equal."""
+    same = [left[c].eqNullSafe(right[c]) for c in columns]
+    return left.join(right, reduce(lambda a, b: a & b, same), how)
+
+
+def _existing(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """What is stored at ``path``, its columns and partition values of the given types; other partition columns are guessed."""
     try:
-        return spark.read.parquet(path)
+        stored = spark.read.parquet(path).columns
+        return spark.read.schema(StructType([f for f in schema if f.name in stored])).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise

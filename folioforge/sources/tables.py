@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -24,10 +24,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def file_name() -> Column:
+    """A file source's file name as it is on disk; Spark gives it as a part of a URL."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, path, text): one row per Markdown file, doc_id from the file's name."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1).alias("doc_id"), "path", F.col("value").alias("text"))
+    """(doc_id, path, text): one row per Markdown file, doc_id from the file's name as it is on disk."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_extract(file_name(), r"([^/]+?)(?:\.md)?$", 1).alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
@@ -179,7 +184,7 @@ SWITCHES = "struct<client_name:string,enhancement_types:map<string,int>,domains:
 
 def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """(profile, client_name, part, key, value) of all profiles in a folder, without templates; comments are left out, a switch that is neither 0 nor 1 is an error when it is read."""
-    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("profile"), F.from_json("value", SWITCHES).alias("p"))
+    files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_extract(file_name(), r"([^/]+)\.json$", 1).alias("profile"), F.from_json("value", SWITCHES).alias("p"))
     rows = files.filter(~F.col("profile").contains("template"))
     parts = [rows.select("profile", "p.client_name", F.lit(c).alias("part"), F.explode(f"p.{c}").alias("key", "value")) for c in ("enhancement_types", "domains")]
     switches = parts[0].unionByName(parts[1]).filter(~F.col("key").startswith("_"))

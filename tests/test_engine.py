@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import config, enrichment, layout, observe, retrieval, tabular
+from folioforge.operators import config, enrichment, layout, observe, retrieval, tabular, vector_index
 from folioforge.session import scratch
 from folioforge.sources import sinks, tables
 
@@ -145,7 +145,7 @@ def test_queries_in_several_blocks(spark, monkeypatch):
     v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(5)
     q = v.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     whole = sorted(map(tuple, retrieval.multi_query_topk(v, q, 4, "vec_id", "label").collect()))
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_index, "QUERY_SHARD", 7)
     assert sorted(map(tuple, retrieval.multi_query_topk(v, q, 4, "vec_id", "label").collect())) == whole and len(whole) == 50 * 3 * 4
 
 
