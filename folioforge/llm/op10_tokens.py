@@ -22,7 +22,8 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 #: Words whose ids a worker remembers, in each of two generations.
 CACHE = 400_000
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
-SIGNS = ".,;:!?"
+#: Signs that end a piece of letters and make one of their own; the apostrophe isn't among them, as it may begin a short form.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Every sign but the blank and the newline that Python or the library's pre-tokenizer takes for white space (fixed values).
 ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts of one file, aimed at; bounds what one task encodes and what a reader opens, whatever the corpus holds.
@@ -47,8 +48,8 @@ class Known(dict):
             got = self.old[word]
         elif word.isalpha():
             got = self.owner.one_piece(self.lead + word)
-        elif len(word) > 1 and word[-1] in SIGNS and word[:-1].isalpha():
-            got = self[word[:-1]] + self.owner.sign(word[-1])
+        elif (body := word.rstrip(SIGNS)) != word and body.isalpha():
+            got = self[body] + self.owner.signs[word[len(body) :]]
             self.joined += 1
             if 4 * self.joined > self.room:  # soon made again, so they take a quarter of the room at most
                 return got
@@ -62,6 +63,20 @@ class Known(dict):
         return got
 
 
+class Signs(dict):
+    """Ids of runs of signs behind letters; a bounded number of them is remembered."""
+
+    def __init__(self, owner: WordCoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) > 20_000:
+            self.clear()
+        got = self[run] = self.owner.ask(run)
+        return got
+
+
 class WordCoder:
     """Ids of whole texts, word by word; the tokenizers library is asked once for each word that is remembered.
 
@@ -87,8 +102,7 @@ class WordCoder:
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self.piece = self.coder.model.tokenize
         self.newline = self.ask("\n")
-        self.signs = {c: self.ask(c) for c in SIGNS}
-        self.sign = self.signs.__getitem__
+        self.signs = Signs(self)
         self.first, self.later = Known(self, "", room), Known(self, " ", room)
 
     def ask(self, text: str) -> bytes:
@@ -97,11 +111,15 @@ class WordCoder:
     def one_piece(self, text: str) -> bytes:
         return array("I", [t.id for t in self.piece(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
+    def plain(self, text: str) -> bool:
+        """Whether a text's words can be encoded one by one."""
+        alone = text[:1] not in " \n" and text[-1:] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
+        return alone and not any(c in text for c in ODD_SPACE) and not any(t in text for t in self.added)
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        alone = text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
-        if not alone or any(c in text for c in ODD_SPACE) or any(t in text for t in self.added):
+        if not self.plain(text):
             return self.ask(text)
         out, later = [], self.later.__getitem__
         for line in text.split("\n"):
