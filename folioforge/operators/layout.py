@@ -57,13 +57,14 @@ def is_table_caption(text: Column, y0: Column, zone_bottom: Column) -> Column:
 
 def zone_verdicts(blocks: DataFrame, areas: DataFrame) -> DataFrame:
     """Blocks with _drop (some zone of the page covers too much), _inside (some zone holds it) and _alone (the page would lose every block)."""
-    z = areas.select(*PAGE, *(F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")))
+    z = areas.select(*PAGE, *(F.col(c).alias(f"z_{c}") for c in ("x0", "y0", "x1", "y1")), F.lit(True).alias("_zone"))
     mine, zone = G.box(), G.box("z_")
     covered = G.overlap_ratio(mine, zone)
     text = F.coalesce(F.col("text"), F.lit(""))
     labelled = is_table_title(text, F.col("y1"), F.col("z_y0")) | is_table_caption(text, F.col("y0"), F.col("z_y1"))
     large = (G.area(mine) > LARGE_AREA) | (F.length(text) > LONG_TEXT)
-    dropped = (covered > F.when(labelled, OVERLAP_TITLE).otherwise(OVERLAP)) & ~large
+    # a page without zones has a row without one, which covers nothing
+    dropped = F.col("_zone") & (covered > F.when(labelled, OVERLAP_TITLE).otherwise(OVERLAP)) & ~large
     # one pass over (block, zone) pairs of a page gives both verdicts
     marked = blocks.join(z, PAGE, "left").groupBy(*blocks.columns).agg(
         F.bool_or(F.coalesce(dropped, F.lit(False))).alias("_drop"), F.bool_or(F.coalesce(G.contains(zone, mine), F.lit(False))).alias("_inside")

@@ -45,7 +45,7 @@ def _int(df: DataFrame, *names: str) -> DataFrame:
 
 
 _ZONES = f"SELECT doc_id, page, greatest(0, x0 - 5) AS zx0, greatest(0, y0 - 5) AS zy0, least(612, x1 + 5) AS zx1, least(792, y1 + 5) AS zy1 FROM ({_BLOCKS}) WHERE l_returnflag = 'R'"
-_MARKED = f"""SELECT b.doc_id, b.page, b.block_idx, b.x0, b.y0, b.x1, b.y1, b.text, b.l_suppkey, b.l_partkey, b.l_returnflag, bool_or(coalesce(
+_MARKED = f"""SELECT b.doc_id, b.page, b.block_idx, b.x0, b.y0, b.x1, b.y1, b.text, b.l_suppkey, b.l_partkey, b.l_returnflag, bool_or(coalesce(zx0 IS NOT NULL AND
 greatest(0, least(x1, zx1) - greatest(x0, zx0)) * greatest(0, least(y1, zy1) - greatest(y0, zy0)) / ((x1 - x0) * (y1 - y0)) > CASE WHEN (y1 <= zy0 + 5 AND contains(text, ':')) OR y0 >= zy1 - 5 THEN 0.5 ELSE 0.15 END AND NOT ((x1 - x0) * (y1 - y0) > 5000 OR length(text) > 100), false)) AS dropped,
 bool_or(coalesce(x0 >= zx0 AND y0 >= zy0 AND x1 <= zx1 AND y1 <= zy1, false)) AS inside
 FROM (SELECT * FROM ({_BLOCKS}) WHERE l_returnflag <> 'R') b LEFT JOIN ({_ZONES}) z ON b.doc_id = z.doc_id AND b.page = z.page GROUP BY ALL"""
