@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,11 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ..functions import cells as C
 from ..functions import text as X
+from ..functions.tokens import TokenCounter
+from . import json_repair as J
 
 WINDOW_TOKENS, OVERLAP_TOKENS = 10_000, 1_500
 ITEM = "struct<type:string,enhancement_type:string,title:string,content:string,source_units:array<string>,confidence:double,priority:int>"
-RESPONSE = f"struct<enhancements:array<{ITEM}>>"
 # What raises an item's priority.
 HIGH_TYPES = ["formula_discovery", "compliance_mapping", "risk_identification"]
 MEDIUM_TYPES = ["implication_analysis", "pattern_recognition", "requirement_synthesis"]
@@ -192,13 +194,8 @@ def system_prompt(selected: DataFrame, domain: str, *keys: str) -> DataFrame:
 
 
 def recover_json(raw: Column) -> Column:
-    """Items of a generated response by the first strategy that works: as it is, fenced, repaired, the outermost object, a bare array."""
-    parse = lambda s: F.from_json(s, RESPONSE)["enhancements"]
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    repaired = F.regexp_replace(F.regexp_replace(raw, r",\s*([}\]])", "$1"), "[“”]", '"')
-    outer = F.regexp_extract(raw, r'(?s)(\{.*"enhancements".*\})', 1)
-    array = F.regexp_extract(raw, r"(?s)(\[\s*\{.*\}\s*\])", 1)
-    return F.coalesce(parse(raw), parse(fenced), parse(repaired), parse(outer), F.from_json(array, f"array<{ITEM}>"), F.from_json(F.lit("[]"), f"array<{ITEM}>"))
+    """Items of a generated response by the first of json_repair.strategies() that gives whole JSON with the list; none if no one does."""
+    return F.coalesce(J.typed(F.coalesce(*map(J.items_in, J.strategies(raw)))), F.from_json(F.lit("[]"), f"array<{ITEM}>"))
 
 
 def stub_generator(doc: str, content: str) -> str:
@@ -271,8 +268,8 @@ def generation_events(calls: DataFrame, prompts: DataFrame, model: str, ts: Colu
 
 
 def items_of(responses: DataFrame) -> DataFrame:
-    """(doc_id, window, ordinal, type, title, content, source_units, confidence, priority) with defaults; 'type' and 'enhancement_type' are the same field."""
-    rows = responses.select("doc_id", "window", F.posexplode(recover_json(F.col("response"))).alias("ordinal", "i"))
+    """(doc_id, window, ordinal, type, title, content, source_units, confidence, priority) with defaults; 'type' and 'enhancement_type' are the same field. Answers that were cut off give the items they have."""
+    rows = J.recover(responses.select("doc_id", "window", "response")).select("doc_id", "window", F.posexplode("items").alias("ordinal", "i"))
     return rows.select("doc_id", "window", "ordinal", F.coalesce("i.type", "i.enhancement_type", F.lit("general")).alias("type"), F.coalesce("i.title", F.lit("Untitled")).alias("title"), "i.content", "i.source_units", F.coalesce("i.confidence", F.lit(0.8)).alias("confidence"), F.col("i.priority").alias("priority"))
 
 
@@ -409,24 +406,29 @@ def _find_by_runs(texts: DataFrame, items: DataFrame, words: int = 8) -> DataFra
     return both.withColumn("position", F.instr("text", F.col("anchor")).cast("long"))
 
 
-def synthesise(docs: DataFrame, notes: DataFrame) -> DataFrame:
+def synthesise(docs: DataFrame, notes: DataFrame, tokens: Callable[[], TokenCounter] | None = None) -> DataFrame:
     """(doc_id, markdown, anchored, appendixed): footnotes woven into texts.
 
     All places are found on the original text; a marker goes behind its anchor's last word, never into a table row
     (it moves to the row's end) nor into another marker, because insertion runs from right to left. Notes without a
-    place go to an appendix. notes: doc_id, ordinal, anchor, title, content, type.
+    place go to an appendix. notes: doc_id, ordinal, anchor, title, content, type. tokens: makes a tokenizer, once in each
+    task; a marker then stands where the first token behind its anchor begins, instead of behind the last word.
     """
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     items = notes.select(F.col("doc_id").cast("string").alias("doc_id"), F.struct("ordinal", "anchor", "title", "content", "type").alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("notes"))
 
-    def weave(text: str, notes: list) -> tuple[str, int, int]:
+    def weave(text: str, notes: list, ready: TokenCounter | None) -> tuple[str, int, int]:
         placed, loose = [], []
+        starts = ready.starts(text) if ready and any(n["span"]["start"] for n in notes) else []
         for n in notes:
             if not n["span"]["start"]:
                 loose.append(n)
                 continue
             end = min(len(text), n["span"]["start"] - 1 + n["span"]["length"])
-            while end < len(text) and not text[end].isspace() and text[end] != "|":
+            if ready:
+                at = bisect_left(starts, end)
+                end = starts[at] if at < len(starts) else len(text)
+            while not ready and end < len(text) and not text[end].isspace() and text[end] != "|":
                 end += 1
             start = text.rfind("\n", 0, end) + 1
             if text[start:].lstrip(" ").startswith("|"):
@@ -448,8 +450,9 @@ def synthesise(docs: DataFrame, notes: DataFrame) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        ready = tokens() if tokens else None
         for batch in batches:
-            got = [weave(t or "", n or []) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            got = [weave(t or "", n or [], ready) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32())))], names=["doc_id", "markdown", "anchored", "appendixed"])
 
     found = F.transform("notes", lambda n: n.withField("span", anchor_span(F.coalesce("text", F.lit("")), F.coalesce(n["anchor"], F.lit("")))))

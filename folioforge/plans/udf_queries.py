@@ -1,2 +1,139 @@
+"""Queries of the page source, the table function, cells of pages, shared pace, observed writes, JSON repair and token boundaries, with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.tokens import FixedWidth
+from ..operators import enrichment, json_repair, layout, pacing, spatial, window_table
+from ..session import scratch, ship
+from ..sources import observed, pages, sinks
+from ..sources.tables import table
+from .engine_queries import ORACLES as _ENGINE
+from .engine_queries import long, s
+from .relational_queries import _BLOCKS, blocks
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _paged(spark, d):
+    path = scratch(spark)
+    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(F.concat(s("doc_id"), F.lit(".pdf")).alias("file"), "text"), path)
+    return pages.read_pages(ship(spark), path, pages_per_task=2)
+
+
+def _block_digests(b):
+    return long(b.select("doc_id", "page", F.col("block_idx").cast("long").alias("block_no"), "type", F.round("area_ratio", 6).alias("area_ratio"), F.md5("text").alias("text_md5")), "page")
+
+
+@query(_ENGINE["parsed_blocks"])
+def paged_blocks(spark, d):
+    """parsed_blocks by the page source: a file is several tasks, two pages each."""
+    return _block_digests(_paged(spark, d))
+
+
+@query(f"SELECT * FROM ({_ENGINE['parsed_blocks']}) WHERE page BETWEEN 2 AND 3")
+def paged_blocks_filtered(spark, d):
+    """A filter on pages that the source takes: other ranges aren't read."""
+    return _block_digests(_paged(spark, d).filter("page >= 2 and page <= 3"))
+
+
+@query(_ENGINE["window_pack_suffix"])
+def sql_windows(spark, d):
+    """window_pack_overlap as a table function in SQL."""
+    window_table.register(ship(spark))
+    units = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.col("turn").cast("string").alias("unit_id"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("tokens"))
+    return spark.sql("SELECT doc_id AS conv_id, CAST(window AS BIGINT) AS window_no, array_join(members, ',') AS members, tokens FROM pack_windows(TABLE(SELECT * FROM {units}) PARTITION BY doc_id ORDER BY (ordinal), 200, 60)", units=units)
+
+
+_SCROLL = f"SELECT * REPLACE (y0 + doc_id * 6 AS y0, y1 + doc_id * 6 AS y1) FROM ({_BLOCKS})"
+
+
+@query(f"""WITH b AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM ({_SCROLL})), z AS (SELECT DISTINCT greatest(0, x0 - 5) AS zx0, greatest(0, y0 - 5) AS zy0, least(612, x1 + 5) AS zx1, y1 + 5 AS zy1 FROM b WHERE l_returnflag = 'R'), t AS (SELECT * FROM b WHERE l_returnflag <> 'R'),
+m AS (SELECT r, bool_or(greatest(0, least(x1, zx1) - greatest(x0, zx0)) * greatest(0, least(y1, zy1) - greatest(y0, zy0)) / ((x1 - x0) * (y1 - y0)) > CASE WHEN (y1 <= zy0 + 5 AND contains(text, ':')) OR y0 >= zy1 - 5 THEN 0.5 ELSE 0.15 END AND NOT ((x1 - x0) * (y1 - y0) > 5000 OR length(text) > 100)) AS dropped, bool_or(x0 >= zx0 AND y0 >= zy0 AND x1 <= zx1 AND y1 <= zy1) AS inside FROM t JOIN z ON y0 <= zy1 AND y1 >= zy0 AND x0 <= zx1 AND x1 >= zx0 GROUP BY r),
+v AS (SELECT t.doc_id, t.block_idx, coalesce(dropped, false) AS dropped, coalesce(inside, false) AS inside FROM t LEFT JOIN m ON m.r = t.r)
+SELECT doc_id, block_idx FROM (SELECT *, bool_and(dropped) OVER () AS alone FROM v) WHERE CASE WHEN alone THEN NOT inside ELSE NOT dropped END""")
+def zone_exclusion_one_page(spark, d):
+    """Every block on one page, as long as it must be: zones and blocks meet by cells."""
+    b = blocks(spark, d).withColumn("order_id", F.col("doc_id")).withColumn("y0", F.col("y0") + F.col("order_id") * 6).withColumn("y1", F.col("y1") + F.col("order_id") * 6)
+    b = b.withColumn("doc_id", F.lit(0)).withColumn("page", F.lit(0)).withColumn("page_height", F.lit(1e12))
+    kept = spatial.outside_zones(b.filter("l_returnflag <> 'R'"), layout.zones(b.filter("l_returnflag = 'R'")))
+    return long(kept.select(F.col("order_id").alias("doc_id"), "block_idx"), "block_idx")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM conversations) SELECT s AS second, least(400, n - 400 * s) AS calls FROM n, unnest(range(0, (n + 399) // 400)) AS t(s)")
+def paced_calls(spark, d):
+    """Calls of two tasks that share 400 a second, on a clock that only waiting moves: so many begin in each second."""
+
+    def clock():
+        now = [0.0]
+        return lambda: now[0], lambda seconds: now.__setitem__(0, now[0] + seconds)
+
+    rows = table(ship(spark), d, "conversations").select("conv_id", "turn", F.col("text").alias("content"))
+    called = pacing.paced_calls(rows, lambda text: str(len(text)), 400.0, 2, clock)
+    return called.groupBy(F.floor(F.col("at") + 1e-6).alias("second")).agg(F.count("*").alias("calls"))
+
+
+_UNITS = "SELECT event_id, user_id AS doc_id, CASE WHEN event_type = 'click' THEN 'table' WHEN event_type = 'error' THEN 'figure' ELSE 'paragraph' END AS unit_type, CASE WHEN event_id % 5 = 0 THEN 'ocr_page' WHEN event_id % 5 = 1 THEN 'native_ocr' WHEN event_id % 5 = 2 THEN NULL ELSE 'native' END AS source FROM events"
+
+
+@query(f"SELECT count(*) AS written, count(*) AS total_units, count(*) FILTER (unit_type = 'paragraph') AS text_units, count(*) FILTER (unit_type = 'table') AS table_units, count(*) FILTER (contains(source, 'ocr')) AS ocr_units, bool_or(unit_type = 'table') AS has_tables, bool_or(starts_with(source, 'ocr')) AS has_images FROM ({_UNITS})")
+def observed_units(spark, d):
+    """Units counted while they are written, and how many rows lie there."""
+    t, k = F.col("event_type"), F.col("event_id") % 5
+    source = F.when(k == 0, "ocr_page").when(k == 1, "native_ocr").when(k == 2, None).otherwise("native")
+    units = table(spark, d, "events").select("event_id", F.col("user_id").alias("doc_id"), F.when(t == "click", "table").when(t == "error", "figure").otherwise("paragraph").alias("unit_type"), source.alias("source"))
+    path = scratch(spark)
+    seen = observed.write_observed(units, path)
+    there = spark.read.parquet(path).agg(F.count("*").alias("written"))
+    return there.select("written", *(F.lit(v).alias(c) for c, v in seen.items()))
+
+
+_SHAPE = r"""CASE doc_id % 10 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 7 THEN 7 WHEN 8 THEN 7 ELSE NULL END"""
+
+
+@query(rf"""SELECT doc_id, {_SHAPE} AS strategy, CASE doc_id % 10 WHEN 8 THEN substr(md5(text), 1, 9) WHEN 9 THEN NULL ELSE md5(text) END AS content, CASE doc_id % 10 WHEN 3 THEN 'a' WHEN 7 THEN 'a' WHEN 8 THEN 'a' WHEN 9 THEN NULL ELSE 'b' END AS kind, CASE WHEN doc_id % 10 = 9 THEN 0 ELSE 1 END AS items FROM documents WHERE text IS NOT NULL""")
+def json_shapes(spark, d):
+    """A response for every strategy, and what it gives: whole, fenced, trailing commas, a string open at its line's end, typographic quotation marks, an object among words, the list alone, two cut off, none."""
+    body, k = F.md5("text"), F.col("doc_id") % 10
+    item = F.concat(F.lit('{"type": "b", "content": "'), body, F.lit('"}'))
+    whole = F.concat(F.lit('{"enhancements": ['), item, F.lit("]}"))
+    raw = (
+        F.when(k == 0, whole).when(k == 1, F.concat(F.lit("Here:\n```json\n"), whole, F.lit("\n```\nDone.")))
+        .when(k == 2, F.concat(F.lit('{"enhancements": [{"type": "b", "content": "'), body, F.lit('",},],}')))
+        .when(k == 3, F.concat(F.lit('{"enhancements": [{"type": "a", "content": "'), body, F.lit("\n}]}")))
+        .when(k == 4, F.concat(F.lit('{"enhancements": [{“type”: “b”, "content": "'), body, F.lit('"}]}')))
+        .when(k == 5, F.concat(F.lit("I found this: "), whole, F.lit(" and no more.")))
+        .when(k == 6, F.concat(F.lit('{"note": nothing, "enhancements": ['), item, F.lit('], "end"')))
+        .when(k == 7, F.concat(F.lit('{"enhancements": [{"type": "a", "source_units": ["u1", "u2"], "content": "'), body, F.lit('", "priority')))
+        .when(k == 8, F.concat(F.lit('Sure: {"enhancements": [{"type": "a", "content": "'), F.substring(body, 1, 9)))
+        .otherwise(F.concat(F.lit("no items, "), body))
+    )
+    got = json_repair.recover(table(spark, d, "documents").filter("text is not null").select("doc_id", raw.alias("response")))
+    one = F.get("items", F.lit(0))
+    return long(got.select("doc_id", "strategy", one["content"].alias("content"), one["type"].alias("kind"), F.size("items").alias("items")), "strategy", "items")
+
+
+@query("""WITH a AS (SELECT doc_id, text AS t, substr(text, 11, 1 + doc_id % 23) AS a FROM documents WHERE length(text) > 40), p AS (SELECT *, instr(t, a) - 1 + length(a) AS e FROM a),
+q AS (SELECT *, least(length(t), (e + 6) // 7 * 7) AS c FROM p), f AS (SELECT *, length(substr(t, 1, c)) - CASE WHEN instr(reverse(substr(t, 1, c)), chr(10)) = 0 THEN length(substr(t, 1, c)) ELSE instr(reverse(substr(t, 1, c)), chr(10)) - 1 END AS line FROM q),
+g AS (SELECT *, CASE WHEN starts_with(ltrim(substr(t, line + 1), ' '), '|') THEN CASE WHEN instr(substr(t, c + 1), chr(10)) = 0 THEN length(t) ELSE c + instr(substr(t, c + 1), chr(10)) - 1 END ELSE c END AS place FROM f)
+SELECT doc_id, md5(substr(t, 1, place) || '[^1]' || substr(t, place + 1)) AS woven FROM g""")
+def token_boundaries(spark, d):
+    """A marker behind a piece of each text, at the next boundary of tokens of seven characters."""
+    docs = table(spark, d, "documents").filter("length(text) > 40")
+    anchor = F.substring("text", F.lit(11), (1 + F.col("doc_id") % 23).cast("int"))
+    notes = docs.select("doc_id", F.lit(0).alias("ordinal"), anchor.alias("anchor"), F.lit("T").alias("title"), F.lit("c").alias("content"), F.lit("other").alias("type"))
+    got = enrichment.synthesise(docs, notes, lambda: FixedWidth(7))
+    body = F.substring_index("markdown", "\n\n---\n\n[^1]: **Note: T** c", 1)
+    return long(got.select("doc_id", F.md5(body).alias("woven")), "doc_id")
