@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold_bucket, keep_rows, materialise, slices, table
 
 #: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 128
 #: Texts whose scores are begun by one matrix product.
 TOGETHER = 64
 #: Commonest terms whose postings lie in a table, if a share of the examples holds them.
@@ -162,6 +162,62 @@ def counted_words(words: Counter, terms: dict[str, int], clean: set[str], cache:
     return got
 
 
+class WordCodes(dict):
+    """word -> its term, or OTHER for a word that is none, or a code under OTHER for a word of several terms: ``several[OTHER - 1 - code]``. A bounded number of words is remembered."""
+
+    def __init__(self, terms: dict[str, int], clean: set[str]):
+        super().__init__()
+        self.terms, self.clean, self.several, self.place = terms, clean, [], {}
+
+    def __missing__(self, word: str) -> int:
+        known = tuple(self.terms[x] for x in terms_of(word, self.clean) if x in self.terms)
+        if word not in self.terms:
+            known = (OTHER, *known)
+        if len(known) == 1:
+            code = known[0]
+        else:
+            if known not in self.place:
+                self.place[known] = len(self.several)
+                self.several.append(known)
+            code = OTHER - 1 - self.place[known]
+        if len(self) < CACHE and len(word) < 64:
+            self[word] = code
+        return code
+
+    def query(self, text: str, idf):
+        """weighed(counted()) of a whole text, most of it without a loop."""
+        import numpy as np
+
+        words = Counter(WORD.findall(text.lower()))
+        m, total = len(words), words.total()
+        codes, sizes = np.fromiter(map(self.__getitem__, words), np.int64, m), np.fromiter(words.values(), float, m)
+        others = float((np.log1p(100 * sizes[codes == OTHER] / max(1, total)) ** 2).sum())
+        alone = codes >= 0
+        terms, n = codes[alone], sizes[alone]
+        more: dict[int, float] = {}
+        for k in np.flatnonzero(codes < OTHER).tolist():
+            for x in self.several[OTHER - 1 - int(codes[k])]:
+                if x == OTHER:
+                    others += math.log1p(100 * float(sizes[k]) / total) ** 2
+                else:
+                    more[x] = more.get(x, 0.0) + float(sizes[k])
+        if more:
+            terms, n = np.append(terms, list(more)), np.append(n, list(more.values()))
+        if not len(terms):
+            return terms, n
+        weights = np.log1p(100 * n / total) * idf[terms]
+        return terms, weights / math.sqrt(float(weights @ weights) + others * float(idf[-1]) ** 2)
+
+    def held(self, text: str):
+        """The distinct terms of a whole text."""
+        import numpy as np
+
+        words = set(WORD.findall(text.lower()))
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        more = {x for c in codes[codes < OTHER].tolist() for x in self.several[OTHER - 1 - c] if x != OTHER}
+        return np.append(codes[codes >= 0], np.fromiter(more, np.int64, len(more)))
+
+
 def weighed(counts: dict[int, float], idf):
     """vector() as arrays (terms, weights); idf as an array."""
     import numpy as np
@@ -262,20 +318,11 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]
         import pyarrow as pa
 
         known, clean = given.value
-        df, n = np.zeros(len(known), np.int64), 0
-        cache: dict = {}
+        df, n, codes = np.zeros(len(known), np.int64), 0, WordCodes(known, clean)
         for batch in slices(batches, 2000):
             for text in batch.column(0).to_pylist():
                 n += 1
-                held: set[int] = set()
-                for word in set(WORD.findall((text or "").lower())):
-                    of = cache.get(word)
-                    if of is None:
-                        of = tuple(known[x] for x in terms_of(word, clean) if x in known)
-                        if len(cache) < CACHE and len(word) < 64:
-                            cache[word] = of
-                    held.update(of)
-                df[list(held)] += 1
+                df[codes.held(text or "")] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
@@ -339,34 +386,49 @@ class BlockMaxIndex:
             whole[at, row[row >= 0]] = weights[row >= 0]
         return whole @ self.table, whole @ self.table_most
 
-    def search(self, query: dict[int, float] | tuple, k: int, skip: int = -1, table: tuple | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine over 0, ties by position. query: term -> weight, or arrays of both. skip: an example to leave out. table: the query's rows of from_table()."""
-        np = self.np
-        terms, weights = self.arrays(query)
-        if not len(terms) or not self.n:
-            return []
-        base, most = table if table is not None else (x[0] for x in self.from_table([query]))
+    def search(self, query: dict[int, float] | tuple, k: int, skip: int = -1) -> list[tuple[float, int]]:
+        """The k examples of largest cosine over 0, ties by position. query: term -> weight, or arrays of both. skip: an example to leave out."""
+        return self.search_many([query], k, [skip])[0]
+
+    def search_many(self, queries: list, k: int, skips: list[int]) -> list[list[tuple[float, int]]]:
+        """search() for some queries at once: bounds, blocks and scores are arrays over all of them."""
+        np, n, blocks = self.np, self.n, self.blocks
+        if not n or not queries:
+            return [[] for _ in queries]
+        m = len(queries)
+        base, most = self.from_table(queries)
+        scores = np.ascontiguousarray(base[:, :n])
+        for q, skip in enumerate(skips):
+            if 0 <= skip < n:
+                scores[q, skip] = -1.0
+        pairs = [self.arrays(q) for q in queries]
+        of = np.repeat(np.arange(m), [len(t) for t, _ in pairs])
+        terms, weights = np.concatenate([t for t, _ in pairs]).astype(np.int64), np.concatenate([w for _, w in pairs])
         rare = self.row[terms] < 0
-        terms, weights = terms[rare], weights[rare]
+        of, terms, weights = of[rare], terms[rare], weights[rare]
         begin = self.of_term[terms]
         held = self.of_term[terms + 1] - begin
-        at, by = spread(begin, held), np.repeat(weights, held)
-        block = self.block[at]
-        bounds = np.bincount(block, by * self.most[at], self.blocks) + most
-        scores = base[: self.n]
-        if 0 <= skip < self.n:
-            scores[skip] = -1.0
-        least = max(1e-12, np.partition(scores, -k)[-k] - 1e-9) if self.n > k else 1e-12
-        wanted = bounds >= least
-        use = wanted[block]
-        size = self.size[at[use]]
-        places = spread(self.first[at[use]], size)
-        scores = np.round(scores + np.bincount(self.example[places], self.weight[places] * np.repeat(by[use], size), self.n), 12)
-        scores[~np.repeat(wanted, BLOCK)[: self.n]] = 0.0
-        if 0 <= skip < self.n:
-            scores[skip] = 0.0
-        where = np.flatnonzero(scores >= max(1e-12, np.partition(scores, -k)[-k])) if self.n > k else np.flatnonzero(scores > 0)
-        return [(-s, i) for s, i in sorted((-s, i) for s, i in zip(scores[where].tolist(), where.tolist(), strict=True))[:k]]
+        at, by, of = spread(begin, held), np.repeat(weights, held), np.repeat(of, held)
+        cell = of * blocks + self.block[at]
+        bounds = np.bincount(cell, by * self.most[at], m * blocks).reshape(m, blocks) + most
+        least = np.maximum(1e-12, np.partition(scores, -k, axis=1)[:, -k] - 1e-9) if n > k else np.full(m, 1e-12)
+        wanted = bounds >= least[:, None]
+        use = np.flatnonzero(wanted.ravel()[cell])
+        at, by, of = at[use], by[use], of[use]
+        size = self.size[at]
+        places = spread(self.first[at], size)
+        found = np.bincount(np.repeat(of * n, size) + self.example[places], self.weight[places] * np.repeat(by, size), m * n)
+        scores = np.round(scores + found.reshape(m, n), 12)
+        scores[~np.repeat(wanted, BLOCK, axis=1)[:, :n]] = 0.0
+        for q, skip in enumerate(skips):
+            if 0 <= skip < n:
+                scores[q, skip] = 0.0
+        least = np.maximum(1e-12, np.partition(scores, -k, axis=1)[:, -k]) if n > k else np.full(m, 1e-12)
+        where, example = np.nonzero(scores >= least[:, None])
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        for q, s, i in zip(where.tolist(), scores[where, example].tolist(), example.tolist(), strict=True):
+            out[q].append((-s, i))
+        return [[(-s, i) for s, i in sorted(x)[:k]] for x in out]
 
 
 def vote(found: list[tuple[float, int]], labels: list[int], prior: float) -> float:
@@ -430,7 +492,7 @@ def judge_of(m: Model):
     """(texts, ids) -> [(score, neighbours)]; an example isn't its own neighbour."""
     import numpy as np
 
-    index, cache, idf = BlockMaxIndex(m.vectors, len(m.terms)), {}, np.array(m.idf)
+    index, codes, idf = BlockMaxIndex(m.vectors, len(m.terms)), WordCodes(m.terms, m.clean), np.array(m.idf)
     own = {i: k for k, i in enumerate(m.ids)}
 
     def judge(texts: list, ids: list) -> list[tuple[float, list[tuple[float, int]]]]:
@@ -440,10 +502,8 @@ def judge_of(m: Model):
             if not m.terms:
                 out += [(min(1.0, max(0.0, calibrate(vote([], m.labels, m.prior), m.knots))), [])] * len(some)
                 continue
-            queries = [weighed(counted(t or "", m.terms, m.clean, cache), idf) for t in some]
-            lower, upper = index.from_table(queries)
-            for query, i, a, b in zip(queries, ids[at : at + TOGETHER], lower, upper, strict=True):
-                found = index.search(query, NEIGHBOURS, own.get(i, -1), (a, b))
+            queries = [codes.query(t or "", idf) for t in some]
+            for found in index.search_many(queries, NEIGHBOURS, [own.get(i, -1) for i in ids[at : at + TOGETHER]]):
                 out.append((min(1.0, max(0.0, calibrate(vote(found, m.labels, m.prior), m.knots))), found))
         return out
 
