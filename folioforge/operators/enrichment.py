@@ -174,6 +174,12 @@ def full_system_prompt(selected: DataFrame, domain: str, *keys: str) -> DataFram
     return per.select(*keys, prompt.alias("prompt"), "n_types")
 
 
+def prompts_of(owners: DataFrame, selected: DataFrame, domain: str, key: str) -> DataFrame:
+    """(key, prompt, n_types), a row for each key of owners: full_system_prompt() of its selected types, or STATIC_PROMPT where none is selected."""
+    made = full_system_prompt(selected, domain, key)
+    return owners.select(key).distinct().join(made, key, "left").select(key, F.coalesce("prompt", F.lit(STATIC_PROMPT)).alias("prompt"), F.coalesce("n_types", F.lit(0)).alias("n_types"))
+
+
 SYSTEM_HEAD = """You analyse documents of any field and bring out what they imply but do not say.
 
 Each item tells why it matters, how it can be used, which decision it supports, and what risk or chance it carries.
@@ -184,6 +190,10 @@ SYSTEM_TAIL = """
 One JSON object: {"enhancements": [{"type", "title", "content", "source_units", "confidence", "priority"}], "metadata": {}}
 - type: one of the ids above and no other; title: specific; content: 150 words at least, with figures of the document
 - source_units: ids of this window's units; confidence: 0.0 to 1.0; priority: 1 to 10"""
+#: What is asked for without a selection of types.
+STATIC_PROMPT = f"""{SYSTEM_HEAD}
+
+Look for formulas behind the figures, implications, patterns, risks and open requirements, and name each item's type in lower case with underscores.{SYSTEM_TAIL.replace("one of the ids above and no other", "the item's kind")}"""
 
 
 def system_prompt(selected: DataFrame, domain: str, *keys: str) -> DataFrame:

@@ -6,10 +6,12 @@ Everything is keyed by (doc_id, page), so a page's rows meet in one task and no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import geometry as G
 from ..functions import text as X
@@ -124,23 +126,50 @@ def merge_paragraphs(blocks: DataFrame) -> DataFrame:
 
     A true fold: what a block is compared with is the box that has grown so far. Merged if the gap is under 20, over
     seven tenths of the common width overlap, heights differ by less than half their mean, unless the text so far
-    ends a sentence and the gap exceeds three tenths of it.
+    ends a sentence and the gap exceeds three tenths of it. Blocks come sorted, one by one, and only the open paragraph is
+    held, so a column's time grows with its blocks. A block with a null in its box merges with nothing; a null text makes
+    its paragraph's text null.
     """
-    item = F.struct("y0", "x0", "block_idx", "x1", "y1", "text")
-    fold = """
-      aggregate(blocks, cast(array() as array<struct<x0:double,y0:double,x1:double,y1:double,text:string>>), (acc, b) ->
-        case when size(acc) = 0 then array(named_struct('x0', b.x0, 'y0', b.y0, 'x1', b.x1, 'y1', b.y1, 'text', b.text))
-        when transform(slice(acc, -1, 1), p ->
-            b.y0 - p.y1 < 20
-            and coalesce((least(p.x1, b.x1) - greatest(p.x0, b.x0)) / nullif(greatest(p.x1, b.x1) - least(p.x0, b.x0), 0D), 0D) > 0.7
-            and abs((b.y1 - b.y0) - (p.y1 - p.y0)) < ((p.y1 - p.y0) + (b.y1 - b.y0)) / 2 * 0.5
-            and not (trim(p.text) rlike '[.!?]$' and b.y0 - p.y1 > ((p.y1 - p.y0) + (b.y1 - b.y0)) / 2 * 0.3))[0]
-        then concat(slice(acc, 1, size(acc) - 1), transform(slice(acc, -1, 1), p -> named_struct('x0', least(p.x0, b.x0), 'y0', least(p.y0, b.y0), 'x1', greatest(p.x1, b.x1), 'y1', greatest(p.y1, b.y1), 'text', concat(p.text, ' ', b.text))))
-        else concat(acc, array(named_struct('x0', b.x0, 'y0', b.y0, 'x1', b.x1, 'y1', b.y1, 'text', b.text))) end)
-    """
-    per = blocks.groupBy(*PAGE, "column").agg(F.array_sort(F.collect_list(item)).alias("blocks"))
-    out = per.select(*PAGE, "column", F.posexplode(F.expr(fold)).alias("paragraph", "p"))
-    return out.select(*PAGE, "column", "paragraph", "p.text", "p.x0", "p.y0", "p.x1", "p.y1")
+    key, box = [*PAGE, "column"], ["y0", "x0", "block_idx", "x1", "y1", "text"]
+    rows = blocks.select(*key, "y0", "x0", "block_idx", F.col("x1").cast("double").alias("x1"), F.col("y1").cast("double").alias("y1"), "text").withColumn("y0", F.col("y0").cast("double")).withColumn("x0", F.col("x0").cast("double"))
+    schema = StructType([*(rows.schema[c] for c in key), StructField("paragraph", IntegerType()), StructField("text", StringType()), *(StructField(c, DoubleType()) for c in ("x0", "y0", "x1", "y1"))])
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, *(F.asc_nulls_first(c) for c in box))
+
+    def joins(p: list, b: tuple) -> bool:
+        """Whether block (y0, x0, x1, y1, text) goes on paragraph [text, x0, y0, x1, y1]."""
+        if None in p[1:] or None in b[:4]:
+            return False
+        text, px0, py0, px1, py1 = p
+        y0, x0, x1, y1, _ = b
+        gap, mean = y0 - py1, ((py1 - py0) + (y1 - y0)) / 2
+        width = max(px1, x1) - min(px0, x0)
+        if not (gap < 20 and width and (min(px1, x1) - max(px0, x0)) / width > 0.7 and abs((y1 - y0) - (py1 - py0)) < mean * 0.5):
+            return False
+        return not gap > mean * 0.3 or text is not None and re.search(r"[.!?](?:\r\n|[\n\r\u0085\u2028\u2029])?\Z", text.strip(" ")) is None
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in schema]
+        place, number, held = None, 0, None
+        for batch in batches:
+            out = []
+            for *where, y0, x0, _, x1, y1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = (y0, x0, x1, y1, text)
+                if where == place and joins(held, b):
+                    held = [None if held[0] is None or text is None else f"{held[0]} {text}", min(held[1], x0), min(held[2], y0), max(held[3], x1), max(held[4], y1)]
+                    continue
+                if held is not None:
+                    out.append((*place, number, *held))
+                number = number + 1 if where == place else 0
+                place, held = where, [text, x0, y0, x1, y1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in enumerate(kinds)], names=schema.names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*place, number, *held), kinds, strict=True)], names=schema.names)
+
+    return ordered.mapInArrow(work, schema)
 
 
 def scanned_pages(blocks: DataFrame) -> DataFrame:

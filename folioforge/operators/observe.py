@@ -84,6 +84,38 @@ def render_summary(costed: DataFrame, last: int = 10) -> DataFrame:
     )
 
 
+def render_report(costed: DataFrame, generated: Column, last: int = 10) -> DataFrame:
+    """render_summary() with a head, the times of the report and of the latest event (the report's where there is none), and thousands separated by commas."""
+    stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss 'UTC'")
+
+    def listed(level: int, key: str, line: Column) -> Column:
+        kept = F.collect_list(F.when(F.col("level") == level, F.struct(F.col(key).alias("k"), line.alias("line"))))
+        return F.array_join(F.transform(F.array_sort(kept), lambda x: x["line"]), "\n")
+
+    number = lambda c: F.format_string("%,d", F.coalesce(F.col(c), F.lit(0)).cast("long"))
+    cell = lambda *parts: F.concat(F.lit("| "), *(p for part in parts for p in (part, F.lit(" | "))))
+    money = lambda: F.format_string("$%.4f", F.coalesce(F.col("cost_usd"), F.lit(0.0)))
+    name = lambda c: F.concat(F.lit("`"), F.coalesce(F.col(c), F.lit("unknown")), F.lit("`"))
+    all_tokens = F.format_string("%,d", F.coalesce(F.col("input_tokens") + F.col("output_tokens"), F.lit(0)).cast("long"))
+    whole = F.concat(F.lit("**Total events:** "), number("events"), F.lit("\n\n- Tokens: "), all_tokens, F.lit("\n  - Input: "), number("input_tokens"), F.lit("\n  - Output: "), number("output_tokens"), F.lit("\n- Estimated cost: "), money())
+    parts = usage(costed).agg(
+        F.max(F.when(F.col("level") == 3, whole)).alias("total"), listed(1, "model", cell(name("model"), number("input_tokens"), number("output_tokens"), money())).alias("models"),
+        listed(2, "step", cell(name("step"), number("events"), number("input_tokens"), number("output_tokens"))).alias("steps"),
+    )
+    at = F.col("ts").cast("timestamp")
+    event = cell(F.date_format(at, "HH:mm:ss"), name("step"), name("model"), F.concat(number("input_tokens"), F.lit("/"), number("output_tokens")))
+    newest = recent(costed, last).select(F.struct((-F.unix_micros(at)).alias("o"), "event_id", event.alias("line")).alias("x"), at.alias("t"))
+    newest = newest.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("newest"), F.max("t").alias("latest"))
+    row = parts.crossJoin(F.broadcast(newest))  # a row each
+    return row.select(
+        F.concat(
+            F.lit("# Token usage\n\n**Generated:** "), stamp(generated), F.lit("\n**Latest event:** "), stamp(F.coalesce("latest", generated)), F.lit("\n"), F.coalesce("total", F.lit("**Total events:** 0\n\n- Tokens: 0\n  - Input: 0\n  - Output: 0\n- Estimated cost: $0.0000")),
+            F.lit("\n\n## By model\n\n| Model | Input | Output | Cost |\n|---|---|---|---|\n"), "models", F.lit("\n\n## By step\n\n| Step | Events | Input | Output |\n|---|---|---|---|\n"), "steps",
+            F.lit("\n\n## Last events\n\n| Time | Step | Model | In/Out |\n|---|---|---|---|\n"), "newest",
+        ).alias("markdown")
+    )
+
+
 def stage_durations(events: DataFrame, key: str = "doc_id") -> DataFrame:
     """Events with the seconds since the entity's previous one."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")

@@ -52,10 +52,10 @@ def window_prompt(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(p).alias("prompt_md5"))
 
 
-@query("SELECT string_agg('- ' || p_type || '_' || p_partkey || ': ' || p_name || CASE WHEN p_size > 25 THEN ' (e.g. ' || p_brand || ')' ELSE '' END, chr(10) ORDER BY p_size, p_type || '_' || p_partkey) AS instructions, count(*) AS n_types FROM part WHERE p_partkey <= 20")
+@query("SELECT p_brand, string_agg('- ' || p_type || '_' || p_partkey || ': ' || p_name || CASE WHEN p_size > 25 THEN ' (e.g. ' || p_brand || ')' ELSE '' END, chr(10) ORDER BY p_size, p_type || '_' || p_partkey) AS instructions, count(*) AS n_types FROM part GROUP BY p_brand")
 def system_prompt(spark, d):
-    """The registry that its SQL names: parts up to 20. system_prompt_registries reads all."""
-    return enrichment.system_prompt(part_types(table(spark, d, "part").filter("p_partkey <= 20")), "finance")
+    """A registry for each brand, of all its parts."""
+    return enrichment.system_prompt(part_types(table(spark, d, "part")), "finance", "p_brand")
 
 
 def part_types(parts):

@@ -300,10 +300,10 @@ def batch_results(spark, d):
 
 
 @query("""SELECT n AS namespace, sum(d)::BIGINT AS document_count, sum(c)::BIGINT AS total_chunks, sum(t)::BIGINT AS total_tokens, epoch_us(min(ts)) AS created_us, epoch_us(max(ts)) AS updated_us FROM (
-SELECT s_suppkey AS n, 10 AS d, 100 AS c, 1000 AS t, TIMESTAMP '2020-01-01' AS ts FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT user_id % 80, 1, event_id % 5, event_id, ts FROM events) GROUP BY n""")
+SELECT s_suppkey AS n, 10 AS d, 100 AS c, 1000 AS t, TIMESTAMP '2020-01-01' AS ts FROM supplier UNION ALL SELECT user_id % 80, 1, event_id % 5, event_id, ts FROM events) GROUP BY n""")
 def namespace_counters(spark, d):
     then = F.lit("2020-01-01 00:00:00").cast("timestamp")
-    old = table(spark, d, "supplier").filter("s_suppkey < 50").select(F.col("s_suppkey").alias("namespace"), F.lit(10).alias("document_count"), F.lit(100).alias("total_chunks"), F.lit(1000).alias("total_tokens"), then.alias("created_at"), then.alias("last_updated"))
+    old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("namespace"), F.lit(10).alias("document_count"), F.lit(100).alias("total_chunks"), F.lit(1000).alias("total_tokens"), then.alias("created_at"), then.alias("last_updated"))
     new = table(spark, d, "events").select((F.col("user_id") % 80).alias("namespace"), F.lit(1).alias("documents"), (F.col("event_id") % 5).alias("chunks"), F.col("event_id").alias("tokens"), F.col("ts").cast("timestamp").alias("ts"))
     got = observe.add_counts(old, new)
     return got.select("namespace", "document_count", "total_chunks", "total_tokens", F.unix_micros("created_at").alias("created_us"), F.unix_micros("last_updated").alias("updated_us"))
@@ -673,35 +673,6 @@ def profile_files(spark, d):
     return long(T.read_profiles(spark, path).join(T.list_profiles(spark, path), "profile", "left_semi").select("profile", "part", "key", "value"), "value")
 
 
-_TYPES_YAML = """categories:
-  - id: analysis
-    display_order: 2
-    types:
-      - id: risk
-        name: Risk
-        applicable_domains: [finance, legal]
-        default_priority: 8
-        examples: {finance: interest}
-      - id: trend
-  - id: process
-    display_order: 1
-    types:
-      - id: steps
-        default_enabled: false
-        prompt_instructions: Find steps
-"""
-
-
-@query("SELECT * FROM (VALUES ('risk', 'analysis', 'Risk', 'finance,legal', 8, true, '', 'interest', 2), ('trend', 'analysis', 'trend', 'all', 5, true, '', NULL, 2), ('steps', 'process', 'steps', 'all', 5, false, 'Find steps', NULL, 1)) AS t(type_id, category, name, domains, priority, enabled, instructions, example, display_order)")
-def type_registry(spark, d):
-    """A registry file with fields left out."""
-    path = scratch(spark)
-    sinks.write_files(spark.createDataFrame([("types.yaml", _TYPES_YAML)], "file string, text string"), path)
-    t = T.read_types(spark, path)
-    got = t.select("type_id", "category", "name", F.array_join("applicable_domains", ",").alias("domains"), F.col("default_priority").alias("priority"), F.col("default_enabled").alias("enabled"), F.col("prompt_instructions").alias("instructions"), F.try_element_at("examples", F.lit("finance")).alias("example"), "display_order")
-    return long(got, "priority", "display_order")
-
-
 def line_parser(data: bytes):
     """A parser hook for files of lines: each line of a file is a block of one page, ten points high."""
     for k, line in enumerate(data.decode().split("\n")):

@@ -91,10 +91,10 @@ _PAGES = """SELECT l_suppkey % 50 AS doc_id, l_linenumber AS page, (l_partkey %
 
 
 @query(f"""SELECT doc_id, page, CASE WHEN n >= 5 AND l > 3 AND r > 3 AND coalesce(rmin - lmax > 0.05 * 612, false) THEN 'two_column' ELSE 'single' END AS layout FROM (
-SELECT doc_id, page, count(*) AS n, count(*) FILTER (x < 306) AS l, count(*) FILTER (x >= 306) AS r, max(x) FILTER (x < 306) AS lmax, min(x) FILTER (x >= 306) AS rmin FROM (SELECT * FROM ({_PAGES}) WHERE x < 270 OR x > 340 OR doc_id % 2 = 0) GROUP BY doc_id, page)""")
+SELECT doc_id, page, count(*) AS n, count(*) FILTER (x < 306) AS l, count(*) FILTER (x >= 306) AS r, max(x) FILTER (x < 306) AS lmax, min(x) FILTER (x >= 306) AS rmin FROM ({_PAGES}) GROUP BY doc_id, page)""")
 def column_detect(spark, d):
     b = table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("doc_id"), F.col("l_linenumber").alias("page"), ((F.col("l_partkey") % 40) * 10.0).alias("x0"), F.col("l_quantity"), F.lit("text").alias("type"), F.lit(612.0).alias("page_width"))
-    b = b.withColumn("x1", F.col("x0") + 50 + F.col("l_quantity") * 4).withColumn("_x", F.col("x0") + (50 + F.col("l_quantity") * 4) / 2).filter("_x < 270 or _x > 340 or doc_id % 2 = 0")
+    b = b.withColumn("x1", F.col("x0") + 50 + F.col("l_quantity") * 4)
     return _int(layout.detect_columns(b).select("doc_id", "page", "layout"), "page")
 
 
@@ -102,7 +102,7 @@ def column_detect(spark, d):
 SELECT doc_id, page, count(*) AS n, count(*) FILTER (x < 306) AS l, count(*) FILTER (x >= 306) AS r, max(x) FILTER (x < 306) AS lmax, min(x) FILTER (x >= 306) AS rmin FROM (
 SELECT l_orderkey // 4 AS doc_id, l_linenumber % 2 AS page, (l_partkey % 40) * 10.0::DOUBLE + (50 + l_quantity * 4) / 2 AS x FROM lineitem) GROUP BY doc_id, page)""")
 def column_detect_all(spark, d):
-    """Every block, on pages small enough that some have two columns by themselves; column_detect keeps the filter of its SQL."""
+    """Every block, on pages small enough that some have two columns by themselves."""
     x0 = (F.col("l_partkey") % 40) * 10.0
     b = table(spark, d, "lineitem").select(F.expr("l_orderkey div 4").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), x0.alias("x0"), (x0 + 50 + F.col("l_quantity") * 4).alias("x1"), F.lit("text").alias("type"), F.lit(612.0).alias("page_width"))
     return _int(layout.detect_columns(b).select("doc_id", "page", "layout"), "page")
@@ -223,11 +223,17 @@ def enabled_types(spark, d):
     return observe.primary_domain(c.select("owner", switch.alias("x")).select("owner", "x.ordinal", "x.key", on.alias("value")))
 
 
-@query("SELECT * FROM (VALUES (1, 'risk'), (2, 'summary')) AS t(rank, type_id)")
+_RECOMMENDED = "SELECT '{asked}' AS asked, p_size AS rank, p_partkey AS type_id FROM part WHERE p_brand = '{brand}' AND p_type IN ('ECONOMY', '{kind}')"
+
+
+@query(" UNION ALL ".join(_RECOMMENDED.format(asked=a, brand=b, kind="SMALL") for a, b in (("Brand#2", "Brand#2"), ("nowhere", "Brand#1"))))
 def recommended_types(spark, d):
-    types = spark.createDataFrame([("risk", ["all"]), ("summary", ["finance"]), ("legal", ["legal"])], "type_id string, applicable_domains array<string>")
-    sets = spark.createDataFrame([("default", "risk", 1), ("default", "summary", 2), ("legal", "legal", 1)], "domain string, type_id string, rank int")
-    return observe.recommend(types, sets, "health").select("rank", "type_id")
+    """Sets of a registry of parts, a domain a brand, Brand#1's the default one: for a domain that has a set, and for one that has none. Types of other kinds aren't in the registry."""
+    parts = table(spark, d, "part")
+    types = parts.filter("p_type in ('ECONOMY', 'SMALL')").select(F.col("p_partkey").alias("type_id"))
+    sets = parts.select(F.when(F.col("p_brand") == "Brand#1", "default").otherwise(F.col("p_brand")).alias("domain"), F.col("p_partkey").alias("type_id"), F.col("p_size").alias("rank"))
+    asked = [observe.recommend(types, sets, name).select(F.lit(name).alias("asked"), "rank", "type_id") for name in ("Brand#2", "nowhere")]
+    return asked[0].unionByName(asked[1])
 
 
 @query("SELECT sha256(c_name) AS k, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_name")

@@ -69,3 +69,15 @@ def ledger_stream(spark, d):
 def table_of_events(spark, d) -> DataFrame:
     """Token events without their costs."""
     return ledger(spark, d).drop("cost_usd")
+
+
+@query(f"""WITH e AS ({_LEDGER}), t AS (SELECT count(*) AS n, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o, round(sum(cost_usd), 4) AS c, strftime(max(ts), '%Y-%m-%d %H:%M:%S UTC') AS last FROM e),
+m AS (SELECT string_agg(format('| `{{}}` | {{:,}} | {{:,}} | ${{:.4f}} | ', model, i, o, c), chr(10) ORDER BY model) AS x FROM (SELECT model, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o, round(sum(cost_usd), 4) AS c FROM e GROUP BY model)),
+p AS (SELECT string_agg(format('| `{{}}` | {{:,}} | {{:,}} | {{:,}} | ', step, n, i, o), chr(10) ORDER BY step) AS x FROM (SELECT step, count(*) AS n, sum(input_tokens)::BIGINT AS i, sum(output_tokens)::BIGINT AS o FROM e GROUP BY step)),
+l AS (SELECT string_agg(format('| {{}} | `{{}}` | `{{}}` | {{:,}}/{{:,}} | ', strftime(ts, '%H:%M:%S'), step, model, input_tokens, output_tokens), chr(10) ORDER BY ts DESC, event_id) AS x FROM (SELECT * FROM e ORDER BY ts DESC, event_id LIMIT 10))
+SELECT '# Token usage' || chr(10) || chr(10) || '**Generated:** 2024-07-01 12:00:00 UTC' || chr(10) || '**Latest event:** ' || t.last || chr(10) || format('**Total events:** {{:,}}', t.n) || chr(10) || chr(10) || format('- Tokens: {{:,}}', t.i + t.o) || chr(10) || format('  - Input: {{:,}}', t.i) || chr(10) || format('  - Output: {{:,}}', t.o) || chr(10) || format('- Estimated cost: ${{:.4f}}', t.c)
+|| chr(10) || chr(10) || '## By model' || chr(10) || chr(10) || '| Model | Input | Output | Cost |' || chr(10) || '|---|---|---|---|' || chr(10) || m.x || chr(10) || chr(10) || '## By step' || chr(10) || chr(10) || '| Step | Events | Input | Output |' || chr(10) || '|---|---|---|---|' || chr(10) || p.x
+|| chr(10) || chr(10) || '## Last events' || chr(10) || chr(10) || '| Time | Step | Model | In/Out |' || chr(10) || '|---|---|---|---|' || chr(10) || l.x AS markdown FROM t, m, p, l""")
+def ledger_report(spark, d):
+    """The ledger's summary with its head, as of a given time."""
+    return observe.render_report(ledger(spark, d), F.lit("2024-07-01 12:00:00").cast("timestamp"))

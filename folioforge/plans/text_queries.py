@@ -152,7 +152,13 @@ def ocr_corrections(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.fix_ocr_words(F.replace("text", F.lit(" the "), F.lit(" Daan ")))).alias("fixed_md5"))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM documents),
+b AS (SELECT doc_id, l, len(l) AS n, list_transform(l, lambda x: regexp_full_match(x, '\d+\.?\d*\.?\s*')) AS b FROM t),
+e AS (SELECT doc_id, l, n, list_transform(range(1, n + 1), lambda i: coalesce(nullif(list_position(b[i:], false), 0) + i - 1, n + 1)) AS e FROM b),
+r AS (SELECT doc_id, 1::BIGINT AS i, 0 AS step, '' AS o FROM e UNION ALL
+SELECT doc_id, CASE WHEN alone THEN i + 1 ELSE j + j - i END, step + 1, CASE WHEN alone THEN l[i] ELSE array_to_string(list_transform(range(i, j), lambda k: l[k] || CASE WHEN j + k - i <= n AND l[j + k - i] <> '' THEN ' ' || l[j + k - i] ELSE '' END), chr(10)) END
+FROM (SELECT r.doc_id, r.i, r.step, e.l, e.n, e.e[r.i] AS j, e.e[r.i] - r.i < 2 AND (e.e[r.i] = r.i OR e.e[r.i] > e.n OR e.l[e.e[r.i]] = '') AS alone FROM r JOIN e ON e.doc_id = r.doc_id WHERE r.i <= e.n))
+SELECT doc_id, string_agg(o, chr(10) ORDER BY step) AS text FROM r WHERE step > 0 GROUP BY doc_id""")
 def numbered_sections(spark, d):
     return enrichment.repair_numbered_sections(docs(spark, d))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.tokens import FixedWidth
 from ..operators import enrichment, json_repair, layout, pacing, spatial, window_table
 from ..session import scratch, ship
-from ..sources import observed, pages, sinks
+from ..sources import observed, pages, sinks, tables
 from ..sources.tables import table
+from .config_queries import part_types
 from .engine_queries import ORACLES as _ENGINE
 from .engine_queries import long, s
 from .relational_queries import _BLOCKS, blocks
@@ -137,3 +138,41 @@ def token_boundaries(spark, d):
     got = enrichment.synthesise(docs, notes, lambda: FixedWidth(7))
     body = F.substring_index("markdown", "\n\n---\n\n[^1]: **Note: T** c", 1)
     return long(got.select("doc_id", F.md5(body).alias("woven")), "doc_id")
+
+
+@query("SELECT n_name AS profile, 'enhancement_types' AS part, key, value, value BETWEEN 0 AND 1 AS accepted FROM (SELECT n_name, unnest(['risk', 'trend']) AS key, unnest([n_nationkey % 4, n_regionkey - 1]) AS value FROM nation)")
+def refused_switches(spark, d):
+    """Switches of profiles that are neither 0 nor 1, beside those that are accepted."""
+    types = F.create_map(F.lit("_comment"), F.lit(9), F.lit("risk"), (F.col("n_nationkey") % 4).cast("int"), F.lit("trend"), (F.col("n_regionkey") - 1).cast("int"))
+    body = F.to_json(F.struct(F.col("n_name").alias("client_name"), types.alias("enhancement_types")))
+    path = scratch(spark)
+    sinks.write_files(table(spark, d, "nation").select(F.concat("n_name", F.lit(".json")).alias("file"), body.alias("text")), path)
+    return long(tables.profile_switches(spark, path).select("profile", "part", "key", "value", "accepted"), "value")
+
+
+@query("""SELECT 't' || p_partkey AS type_id, p_brand AS category, CASE WHEN p_partkey % 3 = 0 THEN 't' || p_partkey ELSE p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'all' ELSE p_type || ',other' END AS domains, CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE p_size END AS priority, p_partkey % 7 <> 0 AS enabled, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'Find "' || p_type || '": all' END AS instructions, CASE WHEN p_partkey % 6 = 0 THEN p_name END AS example, 0 AS display_order FROM part""")
+def type_registry(spark, d):
+    """A registry file a brand, a type a part, with fields left out: written and read by the executors."""
+    k, quoted = F.col("p_partkey"), lambda c: F.to_json(F.array(c))  # a list of one in JSON is one in YAML
+    inner = lambda c: F.regexp_replace(quoted(c), r"^\[|\]$", "")
+    lines = F.concat(
+        F.lit("  - id: t"), s("p_partkey"), F.when(k % 3 != 0, F.concat(F.lit("\n    name: "), inner(F.col("p_name")))).otherwise(""), F.when(k % 2 != 0, F.concat(F.lit("\n    applicable_domains: ["), inner(F.col("p_type")), F.lit(", other]"))).otherwise(""),
+        F.when(k % 5 != 0, F.concat(F.lit("\n    default_priority: "), s("p_size"))).otherwise(""), F.when(k % 7 == 0, F.lit("\n    default_enabled: false")).otherwise(""),
+        F.when(k % 4 != 0, F.concat(F.lit("\n    prompt_instructions: "), inner(F.concat(F.lit('Find "'), F.col("p_type"), F.lit('": all'))))).otherwise(""), F.when(k % 6 == 0, F.concat(F.lit("\n    examples: {finance: "), inner(F.col("p_name")), F.lit("}"))).otherwise(""),
+    )
+    body = F.array_join(F.array_sort(F.collect_list(lines)), "\n")
+    files = table(spark, d, "part").groupBy("p_brand").agg(body.alias("types")).select(F.concat("p_brand", F.lit(".yaml")).alias("file"), F.concat(F.lit("categories:\n- id: "), "p_brand", F.lit("\n  types:\n"), "types", F.lit("\n")).alias("text"))
+    path = scratch(spark)
+    sinks.write_files(files, path)
+    t = tables.read_types(spark, path)
+    got = t.select("type_id", "category", "name", F.array_join("applicable_domains", ",").alias("domains"), F.col("default_priority").alias("priority"), F.col("default_enabled").alias("enabled"), F.col("prompt_instructions").alias("instructions"), F.try_element_at("examples", F.lit("finance")).alias("example"), "display_order")
+    return long(got, "priority", "display_order")
+
+
+@query("SELECT p_brand, count(*) FILTER (p_size > 47 AND p_type = 'SMALL') AS n_types, count(*) FILTER (p_size > 47 AND p_type = 'SMALL') = 0 AS static FROM part GROUP BY p_brand")
+def prompts_of_all(spark, d):
+    """A system prompt for every brand: of its selected types, or the static one where none is selected."""
+    parts = table(spark, d, "part")
+    types = part_types(parts.filter("p_size > 47 and p_type = 'SMALL'")).withColumn("name", F.col("type_id")).withColumn("description", F.col("prompt_instructions"))
+    got = enrichment.prompts_of(parts, types, "finance", "p_brand")
+    return got.select("p_brand", "n_types", (F.col("prompt") == enrichment.STATIC_PROMPT).alias("static"))

@@ -156,16 +156,27 @@ def parse_tables(files: DataFrame, parse: Callable[[bytes], Iterator[dict]]) ->
     return files.select("path", "content").mapInArrow(work, RAW_TABLES)
 
 
+TYPES = "type_id string, category string, name string, name_en string, description string, applicable_domains array<string>, default_priority int, default_enabled boolean, prompt_instructions string, examples map<string,string>, display_order int"
+
+
 def read_types(spark: SparkSession, path: str) -> DataFrame:
-    """Enhancement type registry from YAML, with defaults for missing fields; small by nature."""
-    import yaml
+    """Enhancement type registry from YAML files, with defaults for missing fields; a file is parsed where it is read. Files without categories give no rows; one that isn't YAML, or a type without id, is an error when it is read."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import yaml
+
+        kinds = [*[pa.string()] * 5, pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32()]
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                for category in (yaml.safe_load(text or "") or {}).get("categories") or []:
+                    for t in category.get("types") or []:
+                        name, examples = t.get("name", t["id"]), [(str(k), str(v)) for k, v in (t.get("examples") or {}).items()]
+                        rows.append((str(t["id"]), category["id"], name, t.get("name_en", name), t.get("description", ""), list(t.get("applicable_domains", ["all"])), int(t.get("default_priority", 5)), bool(t.get("default_enabled", True)), t.get("prompt_instructions", ""), examples, int(category.get("display_order", 0))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=[c.split()[0] for c in TYPES.split(", ")])
 
-    rows = []
-    for file in spark.read.text(path, wholetext=True).collect():
-        for category in (yaml.safe_load(file["value"]) or {}).get("categories", []):
-            for t in category.get("types", []):
-                rows.append((t["id"], category["id"], t.get("name", t["id"]), t.get("name_en", t.get("name", t["id"])), t.get("description", ""), list(t.get("applicable_domains", ["all"])), int(t.get("default_priority", 5)), bool(t.get("default_enabled", True)), t.get("prompt_instructions", ""), {str(k): str(v) for k, v in (t.get("examples") or {}).items()}, int(category.get("display_order", 0))))
-    return spark.createDataFrame(rows, "type_id string, category string, name string, name_en string, description string, applicable_domains array<string>, default_priority int, default_enabled boolean, prompt_instructions string, examples map<string,string>, display_order int")
+    return ship(spark).read.text(path, wholetext=True).select("value").mapInArrow(work, TYPES)
 
 
 def read_profile(path: str) -> dict:
@@ -182,14 +193,19 @@ def read_profile(path: str) -> dict:
 SWITCHES = "struct<client_name:string,enhancement_types:map<string,int>,domains:map<string,int>>"
 
 
-def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """(profile, client_name, part, key, value) of all profiles in a folder, without templates; comments are left out, a switch that is neither 0 nor 1 is an error when it is read."""
+def profile_switches(spark: SparkSession, folder: str) -> DataFrame:
+    """(profile, client_name, part, key, value, accepted) of all profiles in a folder, without templates; comments are left out. accepted: whether a switch is 0 or 1, as it must be."""
     files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.regexp_extract(file_name(), r"([^/]+)\.json$", 1).alias("profile"), F.from_json("value", SWITCHES).alias("p"))
     rows = files.filter(~F.col("profile").contains("template"))
     parts = [rows.select("profile", "p.client_name", F.lit(c).alias("part"), F.explode(f"p.{c}").alias("key", "value")) for c in ("enhancement_types", "domains")]
     switches = parts[0].unionByName(parts[1]).filter(~F.col("key").startswith("_"))
-    checked = F.when(F.col("value").isin(0, 1), F.col("value")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("switch is neither 0 nor 1:"), "profile", "part", "key")))
-    return switches.withColumn("value", checked)
+    return switches.withColumn("accepted", F.coalesce(F.col("value").isin(0, 1), F.lit(False)))
+
+
+def read_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(profile, client_name, part, key, value): profile_switches(), of which one that isn't accepted is an error when it is read."""
+    refused = F.raise_error(F.concat_ws(" ", F.lit("switch is neither 0 nor 1:"), "profile", "part", "key"))
+    return profile_switches(spark, folder).withColumn("value", F.when(F.col("accepted"), F.col("value")).otherwise(refused)).drop("accepted")
 
 
 def list_profiles(spark: SparkSession, folder: str) -> DataFrame:

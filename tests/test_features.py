@@ -238,3 +238,42 @@ def test_file_names_are_as_on_disk(spark, tmp_path):
     names = ["a b.md", "100%25 c+é.md", "x%20y.md"]
     sinks.write_files(spark.createDataFrame([(n, n) for n in names], "file string, text string"), str(tmp_path))
     assert {r["doc_id"]: r["text"] for r in T.read_markdown(spark, str(tmp_path)).collect()} == {n[:-3]: n for n in names}
+
+
+def test_paragraphs_are_merged_in_one_pass(spark):
+    """Nulls merge with nothing, a null text stays null, and a long column takes time in proportion to its blocks."""
+    import time
+
+    kind = "doc_id long, page int, column string, block_idx int, x0 double, y0 double, x1 double, y1 double, text string"
+    rows = [(1, 0, "left", 0, 0.0, 0.0, 100.0, 10.0, "a"), (1, 0, "left", 1, 0.0, 12.0, 100.0, 22.0, "b."), (1, 0, "left", 2, 0.0, 27.0, 100.0, 37.0, "c"), (1, 0, "left", 3, 0.0, 39.0, 100.0, 49.0, None), (1, 0, "left", 4, 0.0, 51.0, 100.0, None, "e"), (1, 0, "left", 5, 0.0, None, 100.0, 60.0, "f")]
+    rows += [(None, None, None, 0, 0.0, 0.0, 100.0, 10.0, "n"), (None, None, None, 1, 1.0, 11.0, 100.0, 21.0, "m")]
+    got = sorted(((r["doc_id"], r["paragraph"], r["text"], r["y0"], r["y1"]) for r in layout.merge_paragraphs(spark.createDataFrame(rows, kind).repartition(3)).collect()), key=str)
+    assert got == sorted([(1, 0, "f", None, 60.0), (1, 1, "a b.", 0.0, 22.0), (1, 2, None, 27.0, 49.0), (1, 3, "e", 51.0, None), (None, 0, "n m", 0.0, 21.0)], key=str)
+    took = []
+    for n in (20_000, 80_000):
+        column = spark.range(n).select(F.lit(1).alias("doc_id"), F.lit(0).alias("page"), F.lit("single").alias("column"), F.col("id").cast("int").alias("block_idx"), F.lit(0.0).alias("x0"), (F.col("id") * 100.0).alias("y0"), F.lit(50.0).alias("x1"), (F.col("id") * 100.0 + 10).alias("y1"), F.lit("t").alias("text"))
+        begun = time.perf_counter()
+        assert layout.merge_paragraphs(column).count() == n
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 10 * took[0]
+
+
+def test_registry_files_are_parsed_where_they_are_read(spark, tmp_path):
+    files = [("a.yaml", "categories:\n- id: c\n  display_order: 2\n  types:\n  - id: t\n    examples: {x: 1}\n"), ("b.yaml", "other: 1"), ("c.yaml", "categories:\n- id: d\n")]
+    sinks.write_files(spark.createDataFrame(files, "file string, text string"), str(tmp_path))
+    (row,) = T.read_types(spark, str(tmp_path)).collect()
+    assert (row["type_id"], row["category"], row["name"], row["applicable_domains"], row["default_priority"], row["default_enabled"], row["examples"], row["display_order"]) == ("t", "c", "t", ["all"], 5, True, {"x": "1"}, 2)
+    sinks.write_files(spark.createDataFrame([("d.yaml", "categories: [{id: e, types: [{name: n}]}]")], "file string, text string"), str(tmp_path))
+    with pytest.raises(Exception, match="KeyError"):
+        T.read_types(spark, str(tmp_path)).collect()
+
+
+def test_a_report_of_no_events_has_its_head(spark):
+    from folioforge.operators import observe
+
+    none = spark.createDataFrame([], "event_id long, ts timestamp, model string, step string, input_tokens long, output_tokens long")
+    text = observe.render_report(observe.with_cost(none, observe.price_table(spark)), F.lit("2024-01-02 03:04:05").cast("timestamp")).first()["markdown"]
+    assert "**Generated:** 2024-01-02 03:04:05 UTC\n**Latest event:** 2024-01-02 03:04:05 UTC\n**Total events:** 0" in text and "- Tokens: 0" in text
+    one = spark.createDataFrame([(1, 1704164645, "gpt-4.1", None, 1234567, 1000)], "event_id long, ts long, model string, step string, input_tokens long, output_tokens long").withColumn("ts", F.timestamp_seconds("ts"))
+    text = observe.render_report(observe.with_cost(one, observe.price_table(spark)), F.lit("2024-01-02 03:04:05").cast("timestamp")).first()["markdown"]
+    assert "| `gpt-4.1` | 1,234,567 | 1,000 | $3.7157 | " in text and "- Tokens: 1,235,567" in text and "| `unknown` | 1 | 1,234,567 | 1,000 | " in text
