@@ -107,6 +107,11 @@ def keep_rows(docs: DataFrame, columns: list[str], judge: Callable) -> DataFrame
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
+def drawn(h, share):
+    """Whether a row whose 64-bit hash is h is among this share of all; 53 bits of the hash count, so the smallest shares are met too."""
+    return F.shiftrightunsigned(h, 11).cast("double") < share * float(1 << 53)
+
+
 def fold_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text, modulo; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

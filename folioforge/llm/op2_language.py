@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, slices, table, utf8
+from .common import drawn, fold_bucket, slices, table, utf8
 
 #: Bound of the training sample: so many slices of so many characters for each language, and so many languages.
-SAMPLE_SLICES, SLICE_CHARS, LABELS = 192, 600, 256
+SAMPLE_SLICES, SLICE_CHARS, LABELS = 192, 600, 1024
 BLOCK, SHORT = 512, 160
 #: A margin under this share of the second-best size is called narrow.
 NARROW = 0.01
@@ -45,9 +45,9 @@ def fit_dictionaries(docs: DataFrame, text: str = "text", label: str = "lang", e
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * SAMPLE_SLICES / n))])
-    drawn = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("l")] * 1_000_000)
+    chosen = rows.filter(drawn(F.col("h"), share[F.col("l")]))
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.col("n") - SLICE_CHARS)).cast("int") + 1
-    cut = drawn.select("l", "h", F.substring("t", start, F.lit(SLICE_CHARS)).alias("s")).groupBy("l", "h").agg(F.max("s").alias("s"))
+    cut = chosen.select("l", "h", F.substring("t", start, F.lit(SLICE_CHARS)).alias("s")).groupBy("l", "h").agg(F.max("s").alias("s"))
     found: dict[str, list[tuple[int, str]]] = {}
     for r in cut.collect():
         found.setdefault(r["l"], []).append((r["h"], r["s"]))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, keep_rows, materialise, slices, table
+from .common import drawn, fold_bucket, keep_rows, materialise, slices, table
 
 #: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 128
@@ -90,8 +90,8 @@ def sample_examples(texts: DataFrame, labels: DataFrame) -> tuple[DataFrame | No
     if not counts:
         return None, []
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * EXAMPLES / n))])
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("label")] * 1_000_000)
-    found = texts.filter("text is not null").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
+    chosen = rows.filter(drawn(F.xxhash64("doc_id"), share[F.col("label")]))
+    found = texts.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text")
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa

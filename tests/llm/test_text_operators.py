@@ -373,3 +373,25 @@ def test_rows_without_id_are_dealt_over_files(spark, tmp_path):
     order = [(r["doc_id"], r["start"]) for r in op10_tokens.digest_tokens(spark, path).collect()]
     ids = [i for i, _ in sorted(order, key=lambda x: x[1])]
     assert ids == [None] * 1000 + sorted(i for i in ids if i is not None)
+
+
+def test_the_smallest_shares_are_met(spark):
+    from folioforge.llm.common import drawn
+
+    rows = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    for share in (1.0, 0.25, 1e-3):
+        n = rows.filter(drawn(F.col("h"), F.lit(share))).count()
+        assert abs(n - 200_000 * share) <= 5 * (200_000 * share) ** 0.5 + 1 and (share < 1 or n == 200_000)
+    assert spark.range(1).filter(drawn(F.lit(5 << 11), F.lit(6 / 2**53))).count() == 1 and spark.range(1).filter(drawn(F.lit(6 << 11), F.lit(6 / 2**53))).count() == 0
+
+
+def test_three_hundred_languages(spark):
+    """Each of them has words of its own, and is told by them."""
+    rng = random.Random(5)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)] for k in range(300)}
+    text = lambda k: " ".join(rng.choices(words[k], k=60))
+    train = [(text(k), k) for k in words for _ in range(2)]
+    made = op2_language.fit_dictionaries(spark.createDataFrame(train, "text string, lang string"))
+    assert sorted(made) == sorted(words)
+    classify = op2_language.classifier(made)
+    assert sum(classify(text(k).encode())[0] == k for k in list(words)[::10]) == 30
