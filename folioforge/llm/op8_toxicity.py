@@ -48,14 +48,15 @@ def terms_of(word: str, clean: set[str] | frozenset[str] = frozenset()) -> tuple
 
 
 class Vectors:
-    """Sparse vectors end to end; each is read as a dict term -> weight."""
+    """Sparse vectors end to end, from dicts term -> weight or arrays of both; each is read as a dict."""
 
-    def __init__(self, rows: list[dict[int, float]]):
+    def __init__(self, rows: list):
         import numpy as np
 
-        self.ends = np.cumsum([len(v) for v in rows], dtype=np.int64)
-        self.terms = np.fromiter((k for v in rows for k in v), np.int32, int(self.ends[-1]) if rows else 0)
-        self.weights = np.fromiter((x for v in rows for x in v.values()), np.float64, len(self.terms))
+        pairs = [v if isinstance(v, tuple) else (np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))) for v in rows]
+        self.ends = np.cumsum([len(t) for t, _ in pairs], dtype=np.int64)
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in pairs)]).astype(np.int32)
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in pairs)])
 
     def __len__(self) -> int:
         return len(self.ends)
@@ -288,8 +289,8 @@ def choose_terms(features: DataFrame | None, examples: list[tuple[int, int, int]
     return terms, apart, clean_words, measured
 
 
-def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[dict[int, float]]:
-    """counted() of each example's whole text."""
+def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], terms: dict[str, int], clean: set[str]) -> list[tuple]:
+    """counted() of each example's whole text, as arrays of keys and values."""
     given = features.sparkSession.sparkContext.broadcast((terms, clean))
 
     def work(batches: Iterator) -> Iterator:
@@ -306,7 +307,7 @@ def example_counts(features: DataFrame, examples: list[tuple[int, int, int]], te
 
     rows = at_places(features, examples).select("place", "words", "sizes").mapInArrow(work, "place int, terms binary, n binary").toArrow()
     by = {p: (t, n) for p, t, n in zip(*(rows.column(c).to_pylist() for c in ("place", "terms", "n")), strict=True)}
-    return [dict(zip(np.frombuffer(by[k][0], np.int32).tolist(), np.frombuffer(by[k][1], np.float64).tolist(), strict=True)) for k in range(len(examples))]
+    return [(np.frombuffer(by[k][0], np.int32), np.frombuffer(by[k][1], np.float64)) for k in range(len(examples))]
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int], clean: set[str]) -> tuple[int, list[int]]:
@@ -467,6 +468,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
 
     Document frequencies are counted over all docs. Jobs run while this is called; without an example of label 1 the model scores everything alike.
     """
+    import numpy as np
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     if learn is not None:
@@ -479,12 +482,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, text: s
         return Model({}, set(), [], [], [], Vectors([]), prior, [])
     n, df = document_frequencies(texts, terms, clean)
     idf = [(math.log((1 + n) / (1 + x)) + 1) * (RELEVANT if k < apart else 1.0) for k, x in enumerate(df)] + [math.log(1 + n) + 1]
-    made = [(i, y, vector(counts, idf)) for (i, _, y), counts in zip(examples, example_counts(features, examples, terms, clean), strict=True)]
-    position = {k: j for j, k in enumerate(k for k, m in enumerate(made) if m[2])}
-    ids, ys = ([made[k][i] for k in position] for i in range(2))
-    vectors = Vectors([made[k][2] for k in position])
-    index = BlockMaxIndex(vectors, len(terms))
-    points = [(vote(index.search(made[k][2], NEIGHBOURS, skip=position.get(k, -1)), ys, prior), made[k][1]) for k in measured]
+    made = []  # as arrays: a dict for every example at once would be the most that the driver holds
+    for keys, values in example_counts(features, examples, terms, clean):
+        v = vector(dict(zip(keys.tolist(), values.tolist(), strict=True)), idf)
+        made.append((np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))))
+    position = {k: j for j, k in enumerate(k for k, v in enumerate(made) if len(v[0]))}
+    ids, ys = [examples[k][0] for k in position], [examples[k][2] for k in position]
+    vectors = Vectors([made[k] for k in position])
+    index, points = BlockMaxIndex(vectors, len(terms)), []
+    for at in range(0, len(measured), TOGETHER):
+        some = measured[at : at + TOGETHER]
+        found = index.search_many([made[k] for k in some], NEIGHBOURS, [position.get(k, -1) for k in some])
+        points += [(vote(f, ys, prior), examples[k][2]) for k, f in zip(some, found, strict=True)]
     return Model(terms, clean, idf, ids, ys, vectors, prior, isotonic(points))
 
 
