@@ -3,8 +3,10 @@
 grid_topk() meets queries and vectors as a grid of shards, both sides distributed. A vector index cuts the vectors into
 cells, each with a centre, and stores them by cell. A search visits the nearest cells first, and then those only that the
 triangle inequality can't rule out: a cell whose members lie between ``low`` and ``radius`` from its centre holds nothing
-nearer to a query than that ring is. What it finds is what a full scan finds; what it saves depends on how clustered the
-vectors are, and share_read() tells it.
+nearer to a query than that ring is, nor than the box of its members' sketches is to the query's. A sketch has the vector's
+AXES principal coordinates and the length of what they leave over; sketches are never farther apart than their vectors.
+What a search finds is what a full scan finds; what it saves depends on how clustered the vectors are, and share_read()
+tells it.
 
 Vectors that are null, empty, of another length than the query, all zeros or not finite score 0 with every query.
 """
@@ -15,12 +17,16 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from ..session import scratch
 
 #: Vectors and queries of a shard: what a task holds of either side.
 SHARD, QUERY_SHARD = 65_536, 8_192
 #: Vectors that an index is fitted on, at most: those of smallest hash. Every vector is indexed.
 SAMPLE = 50_000
+#: Principal coordinates of a sketch.
+AXES = 16
 #: The cell of vectors without a direction.
 ODD_CELL = -1
 #: What rounding to six digits can move a score by, and float64 sums besides.
@@ -137,9 +143,22 @@ class VectorIndex:
 
     @property
     def cells(self) -> DataFrame:
-        """(cell, centre, n, low, radius), a row for each cell that has vectors; ODD_CELL has no centre."""
+        """(cell, centre, n, low, radius, box_low, box_high), a row for each cell that has vectors; ODD_CELL has no centre."""
         return self.spark.read.parquet(f"{self.path}/cells")
 
+    @property
+    def axes(self) -> list[list[float]]:
+        """Principal axes of the sample the index was fitted on, one long each."""
+        return [r["axis"] for r in self.spark.read.parquet(f"{self.path}/axes").orderBy("k").collect()]
+
+
+def sketched(u, axes):
+    """Sketches of unit rows: coordinates on orthonormal axes, and the length of the rest."""
+    import numpy as np
+
+    p = u @ axes.T
+    return np.concatenate([p, np.sqrt(np.maximum(0.0, (u * u).sum(axis=1) - (p * p).sum(axis=1)))[:, None]], 1)
+
 
 def unit(v: Column) -> Column:
     """A vector on the unit sphere; null for one without a direction."""
@@ -150,45 +169,50 @@ def unit(v: Column) -> Column:
 def build_index(vectors: DataFrame, path: str, cells: int = 64, id_column: str = "vec_id", seed: int = 7, rounds: int = 8) -> VectorIndex:
     """Index of all rows of vectors at ``path``.
 
-    Centres come from k-means over the SAMPLE vectors of smallest hash, at most; then every vector goes to its nearest
-    centre. A cell's ring (low, radius) is measured on all its members, so searches are exact however good the centres are.
+    Centres come from k-means over the SAMPLE vectors of smallest hash, at most, and axes from their principal components;
+    then every vector goes to its nearest centre. A cell's ring and box are measured on all its members, so searches are
+    exact however good centres and axes are.
     """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     spark, path = vectors.sparkSession, path.rstrip("/")
     dims = _dims(vectors, "embedding")
     directed = vectors.select(F.when(F.size("embedding") == dims, unit(F.col("embedding"))).alias("u")).filter("u is not null")
     sample = directed.orderBy(F.xxhash64("u")).limit(SAMPLE).select(array_to_vector("u").alias("features"))
-    centres = []
-    if sample.limit(1).count():
+    centres, axes = [], []
+    if (n := sample.count()) > 0:
+        axes = PCA(k=min(AXES, dims), inputCol="features", outputCol="p").fit(sample).pc.toArray().T.tolist() if n > 1 else []
         centres = [c.tolist() for c in KMeans(k=max(2, cells), seed=seed, maxIter=rounds).fit(sample).clusterCenters()]
-    schema = StructType([StructField("cell", LongType()), StructField("gap", DoubleType()), StructField("row", vectors.schema)])
+    schema = StructType([StructField("cell", LongType()), StructField("gap", DoubleType()), StructField("sketch", ArrayType(DoubleType())), StructField("row", vectors.schema)])
 
     def place(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        c = np.array(centres, np.float64).reshape(len(centres), dims)
+        c, a = np.array(centres, np.float64).reshape(len(centres), dims), np.array(axes, np.float64).reshape(len(axes), dims)
         for batch in batches:
             u, good = directions(batch.column(1), dims)
             far = np.full((len(u), 1), np.inf) if not len(c) else np.sqrt(np.maximum(0, (u * u).sum(axis=1)[:, None] - 2 * u @ c.T + (c * c).sum(axis=1)))
             at = far.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(good, at, ODD_CELL)), pa.array(np.where(good, far.min(axis=1), 0.0)), batch.column(0)], names=["cell", "gap", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(good, at, ODD_CELL)), pa.array(np.where(good, far.min(axis=1), 0.0)), pa.array(list(sketched(u, a)), pa.list_(pa.float64())), batch.column(0)], names=["cell", "gap", "sketch", "row"])
 
     rows = vectors.select(F.struct(*(F.col(f"`{c}`") for c in vectors.columns)).alias("row"), "embedding").mapInArrow(place, schema)
-    rows = rows.select(*(F.col("row").getField(c).alias("id" if c == id_column else c) for c in vectors.columns), "cell", "gap")
+    rows = rows.select(*(F.col("row").getField(c).alias("id" if c == id_column else c) for c in vectors.columns), "cell", "gap", "sketch")
     # a small cell is one file, a large one is split over as many tasks as its size asks for
     spark.sql("SELECT /*+ REBALANCE(cell) */ * FROM {rows}", rows=rows).sortWithinPartitions("cell", "gap").write.partitionBy("cell").parquet(f"{path}/vectors")
     index = VectorIndex(spark, path)
     centre = F.get(F.from_json(F.lit(str(centres)), "array<array<double>>"), F.col("cell").cast("int"))
-    index.vectors.groupBy(F.col("cell").cast("long").alias("cell")).agg(F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("radius")).withColumn("centre", centre).coalesce(1).write.parquet(f"{path}/cells")
+    box = [F.array(*(f(F.col("sketch")[k]) for k in range(len(axes) + 1))).alias(name) for f, name in ((F.min, "box_low"), (F.max, "box_high"))]
+    index.vectors.groupBy(F.col("cell").cast("long").alias("cell")).agg(F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("radius"), *box).withColumn("centre", centre).coalesce(1).write.parquet(f"{path}/cells")
+    spark.createDataFrame(list(enumerate(axes)), "k int, axis array<double>").coalesce(1).write.parquet(f"{path}/axes")
     return index
 
 
 def bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
     """(query_id, q, cell, n, bound, place): every cell for every query by how near its ring comes. place: the number of vectors in nearer cells. There are as many rows as queries times cells; vectors don't count."""
-    cells = index.cells.collect()  # a row for each cell, as many as the index was built with
+    cells, axes = index.cells.collect(), index.axes  # a row for each cell, as many as the index was built with
     schema = "query_id long, q array<double>, cell long, n long, bound double, place long"
 
     def work(batches: Iterator) -> Iterator:
@@ -198,13 +222,18 @@ def bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
         inner = [c for c in cells if c["centre"] is not None]
         dims = len(inner[0]["centre"]) if inner else 1
         centre = np.array([c["centre"] for c in inner]).reshape(len(inner), dims)
-        low, high = np.array([c["low"] for c in inner]), np.array([c["radius"] for c in inner])
+        low, high, axis = np.array([c["low"] for c in inner]), np.array([c["radius"] for c in inner]), np.array(axes).reshape(len(axes), dims)
+        box_low, box_high = (np.array([c[k] for c in inner]).reshape(len(inner), len(axes) + 1) for k in ("box_low", "box_high"))
         order = [*inner, *(c for c in cells if c["centre"] is None)]
         names, sizes = np.array([c["cell"] for c in order], np.int64), np.array([c["n"] for c in order], np.int64)
         for batch in batches:
             u, good = directions(batch.column(1), dims)
             d = np.sqrt(np.maximum(0, (u * u).sum(axis=1)[:, None] - 2 * u @ centre.T + (centre * centre).sum(axis=1)))
             ring = np.maximum(0, np.maximum(d - high, low - d))
+            sketch = sketched(u, axis)
+            for at in range(0, len(u), 64):
+                away = np.maximum(0, np.maximum(box_low - sketch[at : at + 64, None], sketch[at : at + 64, None] - box_high))
+                ring[at : at + 64] = np.maximum(ring[at : at + 64], np.sqrt((away * away).sum(axis=2)))
             # vectors without a direction score 0, as if they stood at a right angle; so do all for a query without one
             near = np.concatenate([ring, np.full((len(u), len(order) - len(inner)), 2**0.5)], 1)
             first = np.concatenate([d, np.full((len(u), len(order) - len(inner)), 2**0.5)], 1)
@@ -229,19 +258,26 @@ def _visit(index: VectorIndex, wanted: DataFrame, k: int) -> DataFrame:
     return grid_topk(there.select("id", "embedding", "cell"), wanted.select("query_id", "q", "cell"), k, centred["n"] if centred else 1, ["cell"])
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """What later steps read more than once, written to the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """((query_id, id, score, rank), (query_id, cell, n) that were read): exact top-k by cosine.
+    """((query_id, id, score, rank), (query_id, cell, n) that were read): exact top-k by cosine. Jobs run while this is called.
 
     First each query's nearest cells that hold k vectors are read; the k-th score is a bound on how far others may be, and
     then the cells whose rings come that near are. Queries that repeat an id are one query's: give ids of their own.
     """
     ways = bounds(index, queries)
     home = F.col("place") < k
-    first = _visit(index, ways.filter(home), k)
+    first = _kept(best(_visit(index, _kept(ways.filter(home)), k), k).drop("rank"))
     # cosine s on the unit sphere is a distance of sqrt(2 - 2 s)
-    least = best(first, k).groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_s"))
+    least = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_s"))
     reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_s") - SLACK))) + SLACK)
-    more = ways.filter(~home).join(least, "query_id", "left").filter(F.coalesce(F.col("bound") <= reach, F.lit(True)))
+    more = _kept(ways.filter(~home).join(least, "query_id", "left").filter(F.coalesce(F.col("bound") <= reach, F.lit(True))))
     second = _visit(index, more, k)
     read = ways.filter(home).select("query_id", "cell", "n").unionByName(more.select("query_id", "cell", "n"))
     return best(first.unionByName(second), k), read

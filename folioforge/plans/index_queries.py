@@ -48,7 +48,7 @@ SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, row_number()
 def indexed_documents(spark, d):
     """The documents nearest to every twentieth one, by an index over their hashed vectors."""
     v, q = document_vectors(spark, d)
-    return searched(v, q, 5, 32).withColumn("score", F.round("score", 4))
+    return searched(v, q, 5, 200).withColumn("score", F.round("score", 4))
 
 
 def document_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
