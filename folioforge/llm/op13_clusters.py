@@ -179,5 +179,23 @@ def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(vectors, cluster(vectors))
 
 
+def oracle() -> str:
+    """The same clusters in SQL, a pair of steps for each round: assign, then move."""
+    far = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = f"SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x, min({{{{'d': {far}, 'k': c.k}}}}) AS best FROM v, c{{n}} c GROUP BY v.r"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({SCALE} * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {CLUSTERS}))",
+    ]
+    for n in range(ROUNDS + 1):
+        steps.append(f"a{n} AS MATERIALIZED ({assign.format(n=n)})")
+        if n < ROUNDS:
+            sums = f"SELECT k, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(x) AS y, unnest(range(1, {DIMS + 1})) AS i FROM a{n}) GROUP BY k, i"
+            moved = f"SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM ({sums}) GROUP BY k"
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN ({moved}) m ON m.k = c.k)")
+    last = f"SELECT a.vec_id, a.best.k::INT AS cluster, a.best.d::BIGINT AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.k))::BIGINT AS cluster_inertia, (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{ROUNDS} a JOIN c{ROUNDS} c ON c.k = a.best.k"
+    return f"WITH {', '.join(steps)} {last}"
+
+
 QUERIES = {"op13_clusters": op13_clusters}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_clusters": oracle()}
