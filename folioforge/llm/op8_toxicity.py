@@ -26,7 +26,7 @@ from .common import drawn, fold_bucket, keep_rows, materialise, slices, table
 #: Bounds: examples of each label, terms that tell the labels apart, neighbours, examples a block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 2000, 512, 8, 128
 #: Texts whose scores are begun by one matrix product.
-TOGETHER = 64
+TOGETHER = 16
 #: Commonest terms whose postings lie in a table, if a share of the examples holds them.
 DENSE, DENSE_SHARE = 512, 1 / 64
 #: Lengths of beginnings; least examples of a term that tells the labels apart, and how many times commoner it is in label 1.
@@ -39,7 +39,7 @@ RELEVANT = 10.0
 ALL, OTHER = -1, -2
 THRESHOLD = 0.7
 WORD = re.compile(r"\w+")
-CACHE = 200_000
+CACHE = 100_000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,label:int,cosine:double>>"
 
 
@@ -365,12 +365,12 @@ class BlockMaxIndex:
         self.table_most = self.table.reshape(len(common), self.blocks, BLOCK).max(axis=2, initial=0.0)
         order = np.lexsort((example, vectors.terms))
         order = order[~dense[order]]
-        self.example, self.weight, term = example[order], vectors.weights[order], vectors.terms[order]
+        self.example, self.weight, term = example[order].astype(np.int32), vectors.weights[order], vectors.terms[order]
         block = self.example // BLOCK
         new = np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])] if len(term) else np.zeros(0, bool)
-        self.first = np.flatnonzero(new)  # of each term and block, its first posting
-        self.size = np.diff(np.append(self.first, len(term)))
-        self.block = block[self.first]
+        self.first = np.flatnonzero(new).astype(np.int32)  # of each term and block, its first posting
+        self.size = np.diff(np.append(self.first, len(term))).astype(np.int32)
+        self.block = block[self.first].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, self.first) if len(term) else np.zeros(0)
         self.of_term = np.searchsorted(term[self.first], np.arange(n_terms + 1))
 
