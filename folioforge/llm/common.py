@@ -91,17 +91,18 @@ def written(df: DataFrame, partitions: int | None = None, **options: str) -> tup
 def keep_rows(docs: DataFrame, columns: list[str], judge: Callable) -> DataFrame:
     """Rows of docs, whole, for which the function that ``judge()`` makes in each task says so: given these columns of some rows (Arrow), a list of booleans.
 
-    Rows travel as one struct, so columns may have any name and type.
+    Rows travel as one struct, so columns may have any name and type, and texts are sent once.
     """
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), *(quoted(c).alias(f"_{k}") for k, c in enumerate(columns)))
+    rows, places = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row")), [docs.columns.index(c) for c in columns]
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         says = judge()
         for batch in slices(batches, 500):
-            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["_row"]).filter(pa.array(says(*batch.columns[1:]), pa.bool_()))
+            yield batch.filter(pa.array(says(*(pc.struct_field(batch.column(0), [k]) for k in places)), pa.bool_()))
 
     kept = rows.mapInArrow(work, StructType([StructField("_row", StructType(docs.schema.fields))]))
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
