@@ -47,9 +47,16 @@ def table_units(tables: DataFrame) -> DataFrame:
     )
 
 
-def more_accurate(tables: DataFrame, first: str = "lattice") -> DataFrame:
-    """Of a page's tables by ``flavour`` those of the flavour with the larger mean accuracy (missing ones count 0), ``first`` among equals, then by name."""
-    per = tables.groupBy("doc_id", "page", "flavour").agg(F.avg(F.coalesce("accuracy", F.lit(0.0))).alias("_mean"))
+def more_accurate(tables: DataFrame, first: str = "lattice", order: tuple[str, ...] = ()) -> DataFrame:
+    """Of a page's tables by ``flavour`` those of the flavour with the larger mean accuracy (missing ones count 0), ``first`` among equals, then by name.
+
+    Floats add up to slightly different sums in different orders, which decides between means that are nearly equal:
+    with columns ``order`` a page's accuracies are added in that order, however the rows are dealt.
+    """
+    accuracy = F.coalesce("accuracy", F.lit(0.0))
+    in_order = F.array_sort(F.collect_list(F.struct(*order, accuracy.alias("_accuracy"))))
+    mean = F.aggregate(in_order, F.lit(0.0), lambda s, x: s + x["_accuracy"].cast("double")) / F.size(in_order) if order else F.avg(accuracy)
+    per = tables.groupBy("doc_id", "page", "flavour").agg(mean.alias("_mean"))
     w = Window.partitionBy("doc_id", "page").orderBy(F.desc("_mean"), F.desc(F.col("flavour") == first), "flavour")
     best = per.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("doc_id", "page", "flavour")
     return tables.join(best, ["doc_id", "page", "flavour"], "left_semi")

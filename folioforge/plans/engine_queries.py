@@ -165,9 +165,10 @@ def unit_tables(spark, d):
 @query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_returnflag = 'R' THEN 'stream' ELSE 'lattice' END AS flavour, l_partkey, coalesce(CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_discount END, 0) AS acc FROM lineitem), m AS (SELECT doc_id, page, flavour, avg(acc) AS mean FROM t GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY mean DESC, flavour) AS n FROM m) SELECT t.doc_id, t.page, t.flavour, t.l_partkey FROM t JOIN b USING (doc_id, page, flavour) WHERE n = 1""")
 def table_flavour(spark, d):
+    """Accuracies are added in the order of the file's rows."""
     accuracy = F.when(F.col("l_partkey") % 7 != 0, F.col("l_discount"))
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.when(F.col("l_returnflag") == "R", "stream").otherwise("lattice").alias("flavour"), "l_partkey", accuracy.alias("accuracy"))
-    return tabular.more_accurate(t).drop("accuracy")
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.when(F.col("l_returnflag") == "R", "stream").otherwise("lattice").alias("flavour"), "l_partkey", accuracy.alias("accuracy"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return tabular.more_accurate(t, order=("file", "row")).drop("accuracy", "file", "row")
 
 
 # --- configuration and registry

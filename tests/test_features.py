@@ -277,3 +277,13 @@ def test_a_report_of_no_events_has_its_head(spark):
     one = spark.createDataFrame([(1, 1704164645, "gpt-4.1", None, 1234567, 1000)], "event_id long, ts long, model string, step string, input_tokens long, output_tokens long").withColumn("ts", F.timestamp_seconds("ts"))
     text = observe.render_report(observe.with_cost(one, observe.price_table(spark)), F.lit("2024-01-02 03:04:05").cast("timestamp")).first()["markdown"]
     assert "| `gpt-4.1` | 1,234,567 | 1,000 | $3.7157 | " in text and "- Tokens: 1,235,567" in text and "| `unknown` | 1 | 1,234,567 | 1,000 | " in text
+
+
+def test_accuracies_are_added_in_the_order_of_rows(spark):
+    """0.1 + 0.2 + 0.3 is more than 0.3 + 0.2 + 0.1: the order decides, not how rows are dealt."""
+    from folioforge.operators import tabular
+
+    rows = [(page, flavour, page + n, a) for page in range(0, 600, 6) for flavour, values in (("stream", (0.1, 0.2, 0.3)), ("lattice", (0.3, 0.2, 0.1))) for n, a in enumerate(values)]
+    t = spark.createDataFrame(rows, "page int, flavour string, row int, accuracy double").withColumn("doc_id", F.lit(1))
+    for dealt in (t, t.orderBy(F.desc("row")).repartition(7)):
+        assert {r["flavour"] for r in tabular.more_accurate(dealt, order=("row",)).collect()} == {"stream"}
