@@ -3,8 +3,9 @@
 What opens a file is a reader: an importable object ``module:name`` with ``plan(path, step)``, which yields ranges of at
 most ``step`` pages as (first, last, hint), and ``blocks(path, first, last, hint)``, which yields the blocks of such a range
 as dicts (page, block_idx, type, bbox, text, size). LineReader is one for plain text; a PDF library takes a few lines.
-Plans are made by a Spark job, a task a share of the files; the driver holds ranges, as it does of any source, and opens
-no file. Readers run in the executors, so paths are URIs or places that all of them reach.
+Plans are made by a Spark job, a task a share of the files, and kept in the shared folder, in parts of many ranges where
+there are many; a part is a task. The driver holds the parts' names and the pages they lie between, and opens no file.
+Readers run in the executors, so paths are URIs or places that all of them reach.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..session import ship
-from .tables import BLOCKS, file_name
+from ..session import scratch, ship
+from .files import listed, open_file
+from .tables import BLOCKS
 
-#: Pages that a task reads at most.
+#: Pages of a file's range at most.
 PAGES_PER_TASK = 64
+#: Up to so many ranges are a task each; of more, a task has several, of some PART_PAGES pages.
+MOST_SINGLE, PART_PAGES = 256, 4096
 
 
 def load(reader: str):
@@ -30,18 +34,6 @@ def load(reader: str):
     return getattr(importlib.import_module(module), name)()
 
 
-def open_file(path: str):
-    """A file of any file system that pyarrow knows, with seek(). Names are taken as they are, with blanks and per cent signs, as Spark lists them."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if not colon or "/" in scheme or scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/") if scheme == "file" and colon else path)
-    host, _, name = rest.lstrip("/").partition("/")
-    where, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-    return where.open_input_file(f"{root.rstrip('/')}/{name}")
-
-
 class LineReader:
     """Files of lines: LINES_A_PAGE lines a page, each line a block ten points high. A range's hint is the bytes it begins and ends at."""
 
@@ -83,11 +75,18 @@ class Pages(InputPartition):
     wanted: list[int] | None
 
 
+@dataclass
+class Part(InputPartition):
+    """Ranges of a stored plan."""
+
+    path: str
+
+
 class PageReader(DataSourceReader):
-    """Ranges of the plan as tasks. Filters on ``page`` leave ranges out, so pages that nobody asks for are never read."""
+    """Ranges or parts of the plan as tasks. Filters on ``page`` leave ranges out, so pages that nobody asks for are never read."""
 
     def __init__(self, options: dict):
-        self.plan, self.reader = json.loads(options["plan"]), options["reader"]
+        self.plan, self.parts, self.reader = json.loads(options.get("plan", "[]")), json.loads(options.get("parts", "[]")), options["reader"]
         self.low, self.high = 1, float("inf")
         self.only: set[int] | None = None
 
@@ -106,26 +105,42 @@ class PageReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Pages]:
-        tasks = []
-        for doc, path, first, last, hint in self.plan:
-            inner = [p for p in range(max(first, self.low), min(last, self.high) + 1) if self.only is None or p in self.only]
-            if inner:
-                tasks.append(Pages(doc, path, first, last, hint, None if len(inner) == last - first + 1 else inner))
+    def chosen(self, doc: str, path: str, first: int, last: int, hint: str) -> Pages | None:
+        """A range, if any of its pages is asked for."""
+        inner = [p for p in range(max(first, self.low), min(last, self.high) + 1) if self.only is None or p in self.only]
+        return Pages(doc, path, first, last, hint, None if len(inner) == last - first + 1 else inner) if inner else None
+
+    def partitions(self) -> list[InputPartition]:
+        tasks = [p for p in (self.chosen(*r) for r in self.plan) if p]
+        asked = lambda low, high: high >= self.low and low <= self.high and (self.only is None or any(low <= p <= high for p in self.only))
+        tasks += [Part(path) for path, low, high in self.parts if asked(low, high)]
         return tasks or [Pages("", "", 1, 0, "", [])]
 
-    def read(self, partition: Pages) -> Iterator[tuple]:
-        if partition.last < partition.first:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        ready = load(self.reader)
+        if isinstance(partition, Pages):
+            yield from self.rows(ready, partition)
+            return
+        import pyarrow.parquet as pq
+
+        with open_file(partition.path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(4096):
+                for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if some := self.chosen(*r):
+                        yield from self.rows(ready, some)
+
+    def rows(self, ready, pages: Pages) -> Iterator[tuple]:
+        if pages.last < pages.first:
             return
-        for b in load(self.reader).blocks(partition.path, partition.first, partition.last, partition.hint):
-            if partition.wanted is None or b["page"] in partition.wanted:
+        for b in ready.blocks(pages.path, pages.first, pages.last, pages.hint):
+            if pages.wanted is None or b["page"] in pages.wanted:
                 x0, y0, x1, y1 = map(float, b["bbox"])
                 w, h = map(float, b["size"])
-                yield partition.doc_id, b["page"], b["block_idx"], b["type"], x0, y0, x1, y1, b["text"], (x1 - x0) * (y1 - y0) / (w * h) if w * h else 0.0, None, w, h
+                yield pages.doc_id, b["page"], b["block_idx"], b["type"], x0, y0, x1, y1, b["text"], (x1 - x0) * (y1 - y0) / (w * h) if w * h else 0.0, None, w, h
 
 
 class PageSource(DataSource):
-    """Options: plan (JSON rows doc_id, path, first, last, hint), reader (module:name). read_pages() fills them in."""
+    """Options: parts (JSON rows: a stored plan's file, its smallest and largest page) or plan (JSON rows doc_id, path, first, last, hint), and reader (module:name). read_pages() fills them in."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,24 +154,39 @@ class PageSource(DataSource):
 
 
 def plan_pages(spark: SparkSession, path: str, reader: str, step: int) -> DataFrame:
-    """(doc_id, path, first, last, hint): ranges of all files below ``path``, planned where the files are read. Contents aren't moved: of the listing only names are used. Files of no bytes have no pages."""
+    """(doc_id, path, first, last, hint): ranges of all files below ``path``, planned where the files are read. Files of no bytes have no pages."""
 
     def work(batches: Iterator) -> Iterator:
+        import re
+
         import pyarrow as pa
 
         ready = load(reader)
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            rows = [(doc, where, *r) for doc, where in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in ready.plan(where, step)]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=["doc_id", "path", "first", "last", "hint"])
+            held = []
+            for where in batch.column(0).to_pylist():
+                doc = re.sub(r"\.[^.]*$", "", where.rsplit("/", 1)[-1])
+                for r in ready.plan(where, step):
+                    held.append((doc, where, *r))
+                    if len(held) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], k) for n, k in enumerate(kinds)], names=names)
+                        held = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], k) for n, k in enumerate(kinds)], names=names)
 
-    files = ship(spark).read.format("binaryFile").load(path).select(F.regexp_replace(file_name(), r"\.[^.]*$", "").alias("doc_id"), "path")
-    return files.mapInArrow(work, "doc_id string, path string, first int, last int, hint string")
+    names = ["doc_id", "path", "first", "last", "hint"]
+    return listed(ship(spark), path).filter("size > 0").select("path").mapInArrow(work, "doc_id string, path string, first int, last int, hint string")
 
 
 def read_pages(spark: SparkSession, path: str, reader: str = f"{__name__}:LineReader", pages_per_task: int = PAGES_PER_TASK) -> DataFrame:
-    """Blocks of all files below ``path``, a task a range of pages; a filter on ``page`` decides which ranges are read."""
+    """Blocks of all files below ``path``, a task a range of pages, or a part of many ranges; a filter on ``page`` decides which ranges are read."""
     spark.dataSource.register(PageSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    plan = sorted(tuple(r) for r in plan_pages(spark, path, reader, pages_per_task).collect())  # ranges, as the scan's tasks
-    return spark.read.format("folioforge_pages").option("plan", json.dumps(plan)).option("reader", reader).load()
+    planned, dealt = scratch(spark), scratch(spark)
+    plan_pages(spark, path, reader, pages_per_task).write.parquet(planned)
+    plan = spark.read.parquet(planned)
+    n, most = plan.agg(F.count("*"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()
+    # by their first pages, so that a filter leaves whole parts out
+    plan.repartitionByRange(max(1, min(n, max(MOST_SINGLE, most // PART_PAGES))), "first", F.xxhash64("path")).write.parquet(dealt)
+    parts = spark.read.parquet(dealt).groupBy(F.col("_metadata.file_path").alias("part")).agg(F.min("first"), F.max("last")).collect()  # parts, not ranges
+    return spark.read.format("folioforge_pages").option("parts", json.dumps(sorted(tuple(r) for r in parts))).option("reader", reader).load()

@@ -101,13 +101,13 @@ def markdown_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(X.safe_name(F.col("doc_id").cast("string")), F.when(F.col("version") == "v2", "_enhanced.md").otherwise(".md")).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def write_markdown(docs: DataFrame, path: str) -> int:
+def write_markdown(docs: DataFrame, path: str, folders: int = 0) -> int:
     """One Markdown file a row of docs, see markdown_files(); gives the number of files."""
-    return write_files(markdown_files(docs), path)
+    return write_files(markdown_files(docs), path, folders)
 
 
-def write_files(rows: DataFrame, path: str) -> int:
-    """One file a row of (file, text) below ``path``, written by the executors; gives the number of files.
+def write_files(rows: DataFrame, path: str, folders: int = 0) -> int:
+    """One file a row of (file, text) below ``path``, written by the executors; gives the number of files. Many files are better dealt over ``folders`` below it, by a hash of their names.
 
     ``path`` is a URI that all executors reach. A file is written under a name of its own and then moved, so a task that
     is run again, or twice at once, leaves whole files. Rows that repeat a file name give one file, the largest text.
@@ -115,18 +115,24 @@ def write_files(rows: DataFrame, path: str) -> int:
 
     def work(batches: Iterator) -> Iterator:
         import uuid
+        import zlib
 
         import pyarrow as pa
         from pyarrow import fs
 
         where, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         where.create_dir(root, recursive=True)
+        made = {root}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                folder = f"{root}/{zlib.crc32(name.encode()) % folders:04d}" if folders else root
+                if folder not in made:
+                    where.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with where.open_output_stream(part) as out:
                     out.write(text.encode())
-                where.move(part, f"{root}/{name}")
+                where.move(part, f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     files = rows.groupBy("file").agg(F.max("text").alias("text"))

@@ -287,3 +287,25 @@ def test_accuracies_are_added_in_the_order_of_rows(spark):
     t = spark.createDataFrame(rows, "page int, flavour string, row int, accuracy double").withColumn("doc_id", F.lit(1))
     for dealt in (t, t.orderBy(F.desc("row")).repartition(7)):
         assert {r["flavour"] for r in tabular.more_accurate(dealt, order=("row",)).collect()} == {"stream"}
+
+
+def test_many_ranges_are_few_tasks(spark, tmp_path):
+    """The driver gets parts of the plan, not its ranges; a filter on pages leaves parts out."""
+    files = {f"{k}.txt": "\n".join(f"{k} {n}" for n in range(1 + k % 8)) for k in range(700)}
+    sinks.write_files(spark.createDataFrame(list(files.items()), "file string, text string"), str(tmp_path / "in"), folders=3)
+    df = pages.read_pages(spark, str(tmp_path / "in"), f"{__name__}:WidePages", 1)
+    assert df.rdd.getNumPartitions() <= pages.MOST_SINGLE
+    assert block_rows(df) == by_hand(files, 3)
+    late = df.filter("page = 3")
+    assert late.rdd.getNumPartitions() < df.rdd.getNumPartitions() / 2
+    assert block_rows(late) == [r for r in by_hand(files, 3) if r[2] == 3]
+
+
+def test_files_are_listed_and_read_by_executors(spark, tmp_path):
+    """Files in folders, empty ones, and names as on disk; hidden ones are left out."""
+    files = {"a b.md": "x", "100% +é.md": "y", "empty.md": "", "_no.md": "n", "plain": "z"}
+    assert sinks.write_files(spark.createDataFrame(list(files.items()), "file string, text string"), str(tmp_path / "in"), folders=4) == 5
+    got = {r["doc_id"]: r["text"] for r in T.read_markdown(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a b": "x", "100% +é": "y", "empty": "", "plain": "z"}
+    blocks = T.read_pdfs(spark, str(tmp_path / "in"), lambda data: [{"page": 1, "block_idx": "0", "type": "text", "bbox": (0, 0, 6, 5), "text": data.decode(), "size": (60, 50)}]).collect()
+    assert {(r["doc_id"], r["text"], r["area_ratio"]) for r in blocks} == {("a b", "x", 0.01), ("100% +é", "y", 0.01), ("empty", "", 0.01), ("plain", "z", 0.01)}
