@@ -637,7 +637,7 @@ def markdown_files(spark, d):
     """A file a document, base.md or base_enhanced.md, by the executors, and read_markdown() on them."""
     docs = table(spark, d, "documents").filter("text is not null").select(s("doc_id").alias("doc_id"), F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1").alias("version"), "text")
     path = scratch(spark)
-    sinks.write_markdown(docs, path)
+    sinks.write_markdown(docs, path, 256)
     return T.read_markdown(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -685,7 +685,7 @@ def line_parser(data: bytes):
 def parsed_blocks(spark, d):
     """Blocks of files through a parser hook, every file whole."""
     path = scratch(spark)
-    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(F.concat(s("doc_id"), F.lit(".pdf")).alias("file"), "text"), path)
+    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(F.concat(s("doc_id"), F.lit(".pdf")).alias("file"), "text"), path, 256)
     b = T.read_pdfs(spark, path, line_parser)
     return long(b.select("doc_id", "page", F.col("block_idx").cast("long").alias("block_no"), "type", F.round("area_ratio", 6).alias("area_ratio"), F.md5("text").alias("text_md5")), "page")
 

@@ -108,5 +108,5 @@ def blank_file_names(spark, d):
     k = F.col("doc_id") % 3
     name = F.concat(s("doc_id"), F.when(k == 0, " a b").when(k == 1, " 100% +x").otherwise(" %20é"), F.lit(".md"))
     path = scratch(spark)
-    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(name.alias("file"), "text"), path)
+    sinks.write_files(table(spark, d, "documents").filter("text is not null").select(name.alias("file"), "text"), path, 256)
     return T.read_markdown(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
