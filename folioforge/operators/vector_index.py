@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from ..functions.batches import pieces
 from ..session import scratch
 
-#: Vectors and queries of a shard: what a task holds of either side.
+#: Vectors and queries of a shard: what a task holds of either side (fewer vectors where they have over 64 components).
 SHARD, QUERY_SHARD = 65_536, 8_192
+#: Vectors and queries of one matrix product within a shard.
+BLOCK, QUERY_BLOCK = 4096, 512
 #: Vectors that an index is fitted on, at most: those of smallest hash. Every vector is indexed.
 SAMPLE = 50_000
 #: Principal coordinates of a sketch.
@@ -65,7 +68,7 @@ def sharded(df: DataFrame, part: list[str], size: int, name: str) -> tuple[DataF
 def grid_topk(vectors: DataFrame, queries: DataFrame, k: int, dims: int, part: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, *by, id, score): at least the k best of vectors (id, embedding, *part, *by) for each of queries (query_id, q, *part), of the same part.
 
-    Each part is a grid of vector shards and query shards; a cell of the grid is a matrix product in one task, which gives
+    Each part is a grid of vector shards and query shards; a cell of the grid is one task of matrix products in blocks, which gives
     k rows a query (and value of ``by``). Vectors are sent once for each QUERY_SHARD queries, queries once for each SHARD
     vectors, and nothing through the driver. best() takes the k best of all.
     """
@@ -77,7 +80,7 @@ def grid_topk(vectors: DataFrame, queries: DataFrame, k: int, dims: int, part: l
         vectors, queries = vectors.withColumn("_part", F.lit(0)), queries.withColumn("_part", F.lit(0))
     vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding", *part, *by)
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "q", *part)
-    v, v_counts = sharded(vectors, part, SHARD, "vs")
+    v, v_counts = sharded(vectors, part, max(1, SHARD * 64 // max(64, dims)), "vs")
     q, q_counts = sharded(queries, part, QUERY_SHARD, "qs")
     every = lambda df, counts, name: df.join(counts, part).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1))).drop(f"n_{name}")
     key = [*part, "vs", "qs"]
@@ -93,19 +96,32 @@ def grid_topk(vectors: DataFrame, queries: DataFrame, k: int, dims: int, part: l
         u, _ = directions(qs.column("q"), dims)
         asked, keys = qs.column("query_id"), vs.select(list(by))
         groups: dict[tuple, list[int]] = {}
+        vectors = vs.column("embedding").combine_chunks()
         for at, value in enumerate(zip(*(c.to_pylist() for c in keys.columns), strict=True) if by else [()] * vs.num_rows):
             groups.setdefault(value, []).append(at)
-        ids, (x, _) = vs.column("id").to_numpy(), directions(vs.column("embedding"), dims)
+        ids = vs.column("id").to_numpy()
         out = []
         for value, at in groups.items():
             order = np.array(at)[np.argsort(ids[at], kind="stable")]
-            for first in range(0, len(u), 512):
-                score = np.round(u[first : first + 512] @ x[order].T, 6) + 0.0
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k] if score.shape[1] > k else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                m = top.shape[1]
-                rows = np.repeat(np.arange(first, first + len(top)), m)
-                found = [asked.take(pa.array(rows)), *(pa.array([v] * len(rows), arrow.field(c).type) for c, v in zip(by, value, strict=True))]
-                out.append(pa.table([*found, pa.array(ids[order][top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], schema=arrow))
+            n, m = len(order), min(k, len(order))
+            # a key is one number: the score's digits, larger ones first, then the place by id; so the m smallest keys are the m best
+            top = np.zeros((len(u), 0), np.int64)
+            for start in range(0, n, BLOCK):
+                some = order[start : start + BLOCK]
+                x, _ = directions(vectors.take(pa.array(some)), dims)
+                held = []
+                for first in range(0, len(u), QUERY_BLOCK):
+                    key = np.rint(u[first : first + QUERY_BLOCK] @ x.T * 1e6).astype(np.int64)
+                    key *= -n
+                    key += np.arange(start, start + len(some))
+                    key = np.concatenate([top[first : first + QUERY_BLOCK], np.partition(key, m - 1, axis=1)[:, :m] if len(some) > m else key], axis=1)
+                    held.append(np.partition(key, m - 1, axis=1)[:, :m] if key.shape[1] > m else key)
+                top = np.concatenate(held)
+            top.sort(axis=1)
+            place = top % n
+            rows = np.repeat(np.arange(len(u)), m)
+            found = [asked.take(pa.array(rows)), *(pa.array([v] * len(rows), arrow.field(c).type) for c, v in zip(by, value, strict=True))]
+            out.append(pa.table([*found, pa.array(ids[order][place].ravel()), pa.array(((place - top) // n / 1e6).ravel())], schema=arrow))
         return pa.concat_tables(out)
 
     left = every(v, q_counts, "qs").groupBy(*key)
@@ -192,7 +208,7 @@ def build_index(vectors: DataFrame, path: str, cells: int = 64, id_column: str =
         import pyarrow as pa
 
         c, a = np.array(centres, np.float64).reshape(len(centres), dims), np.array(axes, np.float64).reshape(len(axes), dims)
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             u, good = directions(batch.column(1), dims)
             far = np.full((len(u), 1), np.inf) if not len(c) else np.sqrt(np.maximum(0, (u * u).sum(axis=1)[:, None] - 2 * u @ c.T + (c * c).sum(axis=1)))
             at = far.argmin(axis=1)
@@ -226,7 +242,7 @@ def bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
         box_low, box_high = (np.array([c[k] for c in inner]).reshape(len(inner), len(axes) + 1) for k in ("box_low", "box_high"))
         order = [*inner, *(c for c in cells if c["centre"] is None)]
         names, sizes = np.array([c["cell"] for c in order], np.int64), np.array([c["n"] for c in order], np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 64):  # a query becomes a row for each cell
             u, good = directions(batch.column(1), dims)
             d = np.sqrt(np.maximum(0, (u * u).sum(axis=1)[:, None] - 2 * u @ centre.T + (centre * centre).sum(axis=1)))
             ring = np.maximum(0, np.maximum(d - high, low - d))

@@ -95,3 +95,41 @@ def test_index_without_vectors(spark, tmp_path):
     v, q = frames(spark, [(1, None), (2, [0.0, 0.0])], [(1, [1.0, 0.0])])
     index = vi.build_index(v, str(tmp_path / "index"), cells=3)
     assert got(vi.search(index, q, 5)[0]) == {1: [(1, 0.0), (2, 0.0)]}
+
+
+def test_blocks_of_a_shard_give_one_ranking(spark, monkeypatch):
+    """Blocks smaller than a shard: equal scores go to the smaller id across blocks, and no product holds a whole shard."""
+    import numpy as np
+
+    monkeypatch.setattr(vi, "BLOCK", 7)
+    monkeypatch.setattr(vi, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.integers(-1, 2, 4)]) for i in rng.permutation(150)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    got = {}
+    for r in sorted(vi.multi_query_topk(v, q, 9).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    unit = {i: np.array(e) / (np.linalg.norm(e) or 1) for i, e in rows}
+    for i in range(0, 150, 10):
+        every = sorted(((-(round(float(unit[i] @ unit[j]), 6) + 0.0), j) for j in unit))[:9]
+        assert got[i] == [(j, -s + 0.0) for s, j in every]
+
+
+def test_pieces_keep_rows_and_their_order():
+    import pyarrow as pa
+
+    from folioforge.functions.batches import pieces
+
+    batch = pa.record_batch({"a": list(range(1000)), "t": ["x" * 100] * 1000})
+    got = list(pieces([batch, batch.slice(0, 0)], 300, 20_000))
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(1000)) and max(b.num_rows for b in got) < 200 and len(got[-1]) == 0
+
+
+def test_bounds_of_many_queries_come_in_small_batches(spark, tmp_path):
+    """A batch of queries times cells is never made at once; the index gives what a full scan gives."""
+    v = spark.range(3000).selectExpr("id as vec_id", "transform(sequence(0, 7), k -> cast(sin(id * (k + 1)) as float)) as embedding")
+    q = v.filter("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as q")
+    index = vi.build_index(v, str(tmp_path / "i"), 12)
+    found = vi.search(index, q, 3)[0].select("query_id", "id", "rank").collect()
+    assert sorted(found) == sorted(vi.multi_query_topk(v, q, 3).select("query_id", "id", "rank").collect()) and len(found) == 1800
