@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from ..functions import cells as C
 from ..functions import text as X
+from ..functions.batches import pieces
 from ..functions.tokens import TokenCounter
 from . import json_repair as J
 
@@ -56,7 +57,7 @@ def pack_windows(units: DataFrame, size: int = WINDOW_TOKENS, overlap: int = OVE
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             of, number, members, tokens = [], [], [], []
             for row, (names, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for k, (held, total) in enumerate(windows(names, sizes)):
@@ -96,7 +97,7 @@ def pattern_spans(documents: DataFrame) -> DataFrame:
 
         compiled = [(k, c, re.compile(p)) for k, c, p in patterns]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for kind, currency, p in compiled:
@@ -237,7 +238,7 @@ def attempts(
 
         rest = sleep or time.sleep
         pace = Pace(rate, tasks, sleep=rest) if rate else None
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for at, (doc, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for k in range(1, retries + 1):
@@ -388,7 +389,7 @@ def find_anchors(texts: DataFrame, items: DataFrame, most_bytes: int = ANCHOR_BY
         for a in by:
             search.add_word(a, a)
         search.make_automaton()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 first: dict[str, int] = {}
@@ -461,7 +462,7 @@ def synthesise(docs: DataFrame, notes: DataFrame, tokens: Callable[[], TokenCoun
         import pyarrow as pa
 
         ready = tokens() if tokens else None
-        for batch in batches:
+        for batch in pieces(batches):
             got = [weave(t or "", n or [], ready) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32())))], names=["doc_id", "markdown", "anchored", "appendixed"])
 
@@ -498,7 +499,7 @@ def repair_numbered_sections(documents: DataFrame) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([repair(t or "") for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, text string")

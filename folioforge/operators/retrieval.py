@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import text as X
+from ..functions.batches import pieces
 
 CHUNK, OVERLAP = 1800, 350
 # Separators of the recursive splitter, from coarse to fine.
@@ -70,7 +71,7 @@ def recursive_chunks(documents: DataFrame, size: int = CHUNK, overlap: int = OVE
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [(i, k, a, b, t[a:b]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t for k, (a, b) in enumerate(split_recursively(t, size, overlap))]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=["doc_id", "chunk", "char_start", "char_end", "text"])
@@ -119,7 +120,7 @@ def hash_embedding(documents: DataFrame, dim: int = 64, embed: Callable[[list[st
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(call(texts), pa.list_(pa.float32()))], names=[*batch.schema.names, "embedding"])
 
