@@ -192,6 +192,41 @@ def test_toxic_words_behind_a_long_beginning_are_learned(spark):
     assert set(model.ids) >= {i for i, _, y in rows if y}
 
 
+def test_words_are_those_of_the_pattern():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(8)
+    made = ["".join(rng.choices("aÉß_9²½ \n-.«—'\u00a0\u200b漢İ\x1c\x85", k=rng.randrange(30))) for _ in range(5000)]
+    for text in ["", " ", "a" + "a".join(every), " ".join(every), *made]:
+        assert op8_toxicity.words_of(text) == op8_toxicity.WORD.findall(text.lower())
+
+
+def toxicity_model():
+    words = [f"w{k}" for k in range(3000)] + ["grobian", "grobians", "groberian"]
+    terms = {t: k for k, t in enumerate(["grob*", "grobian", "grobi*", *(w for w in words if w != "grobian")])}
+    vectors = [{terms["grobian"]: 0.8, terms["grob*"]: 0.6}, {terms["w1"]: 1.0}]
+    return op8_toxicity.Model(terms, {"groberian"}, [1.0 + k % 7 / 8 for k in range(len(terms) + 1)], [1, 2], [1, 0], op8_toxicity.Vectors(vectors), 0.5, [])
+
+
+def test_arrays_of_words_give_what_the_words_do_one_by_one():
+    m, rng = toxicity_model(), random.Random(9)
+    codes, idf = op8_toxicity.WordCodes(m.terms, m.clean), np.array(m.idf)
+    texts = [" ".join(rng.choice(["grobian", "grobianissimo", "grob", "gro", "groberian", "new", f"w{rng.randrange(4000)}"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    held = codes.held(texts)
+    counts = [op8_toxicity.counted(t, m.terms, m.clean, {}) for t in texts]
+    assert sorted(held.tolist()) == sorted(k for c in counts for k in c if k >= 0)
+    for c, (terms, weights) in zip(counts, codes.queries(texts, idf), strict=True):
+        assert dict(zip(terms.tolist(), weights.tolist(), strict=True)) == pytest.approx(op8_toxicity.vector(c, m.idf))
+    assert codes.queries([], idf) == [] and len(codes.held([])) == 0
+
+
+def test_new_words_are_not_looked_at_one_by_one(monkeypatch):
+    looked, plain = [], op8_toxicity.terms_of
+    monkeypatch.setattr(op8_toxicity, "terms_of", lambda word, *more: looked.append(word) or plain(word, *more))
+    judge = op8_toxicity.judge_of(toxicity_model())
+    judge([" ".join(f"new{k}" for k in range(i, i + 500)) + " grobianissimo" for i in range(0, 5000, 500)], list(range(10)))
+    assert looked == ["grobianissimo"]
+
+
 # --- chat
 
 
