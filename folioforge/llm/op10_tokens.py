@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, table, tokenizer_path
+from .wordhash import BYTE_BASES, mix, powers
 
 END_ID = 2
 #: Bytes of a row group and of a page: a reader that wants one document reads a page of ids, not a file.
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
-#: Words whose ids a worker remembers, in each of two generations.
-CACHE = 400_000
+#: Words whose ids a worker remembers.
+CACHE = 1_000_000
+#: Bytes of texts whose words are looked up together, most bytes of two such texts, and of a word that is looked up.
+GROUP, MOST, LONGEST = 1 << 16, 1 << 21, 64
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Signs that end a piece of letters and make one of their own; the apostrophe isn't among them, as it may begin a short form.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -32,36 +35,59 @@ FILE_BYTES = 256 << 20
 RANGE_CHARS = 128
 
 
-class Known(dict):
-    """word -> ids (little-endian uint32 bytes) of the word behind ``lead``, from the tokenizers library.
+class Known:
+    """Words with the blank or newline before them, as bytes, and their ids, in arrays: open addressing by a 64-bit hash, and the bytes are compared.
 
-    What is remembered is bounded: when ``room`` words are held they become the old generation, and words that are met
-    again are taken over from it, so frequent words stay however many rare ones pass by.
+    When ``room`` words are held all are forgotten.
     """
 
-    def __init__(self, owner: WordCoder, lead: str, room: int):
-        super().__init__()
-        self.owner, self.lead, self.room, self.old, self.joined = owner, lead, room, {}, 0
-
-    def __missing__(self, word: str) -> bytes:
-        if word in self.old:
-            got = self.old[word]
-        elif word.isalpha():
-            got = self.owner.one_piece(self.lead + word)
-        elif (body := word.rstrip(SIGNS)) != word and body.isalpha():
-            got = self[body] + self.owner.signs[word[len(body) :]]
-            self.joined += 1
-            if 4 * self.joined > self.room:  # soon made again, so they take a quarter of the room at most
-                return got
-        else:
-            got = self.owner.ask(self.lead + word)
-        if len(word) < 64:
-            if len(self) >= self.room:
-                self.old, self.joined = dict(self), 0
-                self.clear()
-            self[word] = got
+    def __init__(self, room: int):
+        import numpy as np
+
+        self.np, self.room = np, room
+        most = room + MOST // 2
+        self.last = (1 << (2 * most).bit_length()) - 1  # under half of the places are taken
+        self.place = np.zeros(self.last + 1, np.int32)  # 1 + number of the word
+        self.hash, self.size, self.n_ids = np.zeros(most, np.uint64), np.zeros(most, np.int32), np.zeros(most, np.int32)
+        self.start, self.ids_at = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        self.bytes, self.ids = np.zeros(12 * room + 2 * MOST, np.uint8), np.zeros(6 * room + 4 * MOST, np.uint32)
+        self.n = 0
+
+    def find(self, hashes):
+        """Number of the word with each hash, or -1."""
+        np = self.np
+        at = (hashes & np.uint64(self.last)).astype(np.int64)
+        got = self.place[at] - 1
+        left = np.flatnonzero((got >= 0) & (self.hash[got] != hashes))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            got[left] = self.place[at[left]] - 1
+            left = left[(got[left] >= 0) & (self.hash[got[left]] != hashes[left])]
         return got
 
+    def full(self, words: int, size: int) -> bool:
+        """Whether so many more words of so many bytes ask for a new start."""
+        return self.n + words > self.room or self.start[self.n] + size > len(self.bytes) or self.ids_at[self.n] + 2 * size > len(self.ids)
+
+    def forget(self) -> None:
+        self.place[:], self.n = 0, 0
+
+    def add(self, hashes, words: list[bytes], ids: list[bytes]) -> None:
+        """Words with hashes that aren't held yet."""
+        np, a, b = self.np, self.n, self.n + len(words)
+        self.hash[a:b], self.size[a:b], self.n_ids[a:b] = hashes, list(map(len, words)), [len(x) // 4 for x in ids]
+        self.start[a + 1 : b + 1] = self.start[a] + np.cumsum(self.size[a:b])
+        self.ids_at[a + 1 : b + 1] = self.ids_at[a] + np.cumsum(self.n_ids[a:b])
+        self.bytes[self.start[a] : self.start[b]] = np.frombuffer(b"".join(words), np.uint8)
+        self.ids[self.ids_at[a] : self.ids_at[b]] = np.frombuffer(b"".join(ids), "<u4")
+        self.n = b
+        at, number = (hashes & np.uint64(self.last)).astype(np.int64), np.arange(a + 1, b + 1, dtype=np.int32)
+        while len(at):
+            free = self.place[at] == 0
+            self.place[at[free]] = number[free]
+            on = self.place[at] != number
+            at, number = (at[on] + 1) & self.last, number[on]
+
 
 class Signs(dict):
     """Ids of runs of signs behind letters; a bounded number of them is remembered."""
@@ -103,7 +129,13 @@ class WordCoder:
         self.piece = self.coder.model.tokenize
         self.newline = self.ask("\n")
         self.signs = Signs(self)
-        self.first, self.later = Known(self, "", room), Known(self, " ", room)
+        self.blank = chr(self.alphabet[32])
+        vocabulary = self.coder.get_vocab(with_added_tokens=False)
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a blank
+        self.leads[[k for t, k in vocabulary.items() if t.startswith(self.blank)]] = True
+        self.apart = self.words_stay_apart(vocabulary)
+        self.known = Known(room)
+        self.sign, self.letter = (np.array([b < 128 and f(chr(b)) for b in range(256)]) for f in (SIGNS.__contains__, str.isalpha))
 
     def ask(self, text: str) -> bytes:
         return self.np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -111,21 +143,110 @@ class WordCoder:
     def one_piece(self, text: str) -> bytes:
         return array("I", [t.id for t in self.piece(text.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
+    def words_stay_apart(self, vocabulary: dict[str, int]) -> bool:
+        """Whether the model never merges letters with a blank behind them, so that it may be given many words at once."""
+        model, back = self.coder.model, {chr(c): b for b, c in self.alphabet.items()}
+        if any(getattr(model, x, None) for x in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+            return False
+        before = [t[:k] for t in vocabulary if self.blank in t[1:] for k in range(1, len(t)) if t[k] == self.blank]
+        last = [bytes(back.get(c, 0) for c in t).decode(errors="replace")[-1] for t in before]
+        return not any(c.isalpha() or c == "\ufffd" for c in last)  # that sign stands for the end of a letter's bytes
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """one_piece() of words of letters, each behind a blank, in one call. Each has as its first token the only one that begins with a blank."""
+        if not self.apart or not words:
+            return [self.one_piece(" " + w) for w in words]
+        raw = self.one_piece(" " + " ".join(words))
+        bounds = [*(4 * self.np.flatnonzero(self.leads[self.np.frombuffer(raw, "<u4")])).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the blank or newline before it, and of signs that stand behind letters."""
+        body = {w: w[1:].rstrip(SIGNS) if not w[1:].isalpha() else w[1:] for w in words}
+        alone = list(dict.fromkeys(b for w, b in body.items() if w[0] == " " and b.isalpha()))
+        made, out = dict(zip(alone, self.pieces(alone), strict=True)), []
+        for w in words:
+            b, ahead = body[w], b"" if w[0] == " " else self.newline
+            if w[0] in SIGNS:
+                out.append(self.signs[w])
+            elif b.isalpha():
+                end = w[1 + len(b) :]
+                out.append(ahead + (self.one_piece(b) if ahead else made[b]) + (self.signs[end] if end else b""))
+            else:
+                out.append(ahead + self.ask(w[1:] if ahead else w))
+        return out
+
     def plain(self, text: str) -> bool:
         """Whether a text's words can be encoded one by one."""
         alone = text[:1] not in " \n" and text[-1:] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
         return alone and not any(c in text for c in ODD_SPACE) and not any(t in text for t in self.added)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text):
-            return self.ask(text)
-        out, later = [], self.later.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.first[words[0]] + b"".join(map(later, words[1:])))
-        return self.newline.join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. The words of texts of GROUP bytes are looked up together; texts of over MOST bytes are given to the library whole."""
+        out: list[bytes] = [b""] * len(texts)
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            raw = text.encode() if self.plain(text) else b""
+            if not raw or len(raw) > MOST // 2:
+                out[k] = self.ask(text)
+                continue
+            group.append((k, raw))
+            size += len(raw) + 1
+            if size > GROUP:
+                self.encode_group(group, texts, out)
+                group, size = [], 0
+        self.encode_group(group, texts, out)
+        return out
+
+    def encode_group(self, group: list[tuple[int, bytes]], texts: list[str], out: list[bytes]) -> None:
+        if not group:
+            return
+        np, known = self.np, self.known
+        whole = b"\n" + b"\n".join(x for _, x in group)  # so a blank or newline stands before each word
+        raw = np.frombuffer(whole, np.uint8)
+        starts = np.flatnonzero((raw == 32) | (raw == 10))
+        # signs at a word's end, behind a letter of ASCII, are a piece and so a word of their own
+        behind = np.maximum.reduceat(np.where(self.sign[raw], 0, np.arange(1, len(raw) + 1)), starts)
+        cut = np.flatnonzero((behind < np.append(starts[1:], len(raw))) & self.letter[raw[behind - 1]])
+        starts = np.insert(starts, cut + 1, behind[cut])
+        sizes = np.diff(np.append(starts, len(raw)))
+        inside = np.minimum(np.arange(len(raw)) - np.repeat(starts, sizes), LONGEST)
+        hashes = mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASES[0], LONGEST + 1)[inside], starts) + sizes.astype(np.uint64) * BYTE_BASES[0])
+        short = sizes <= LONGEST
+        got = np.where(short, known.find(hashes), -1)
+        if ((got < 0) & short).any() and known.full(len(starts), len(raw)):
+            known.forget()
+            got[:] = -1
+        new = np.flatnonzero((got < 0) & short)
+        if len(new):
+            one, at, to = np.unique(hashes[new], return_index=True, return_inverse=True)
+            words = [whole[a:b] for a, b in zip(starts[new[at]].tolist(), (starts + sizes)[new[at]].tolist(), strict=True)]
+            got[new] = known.n + to
+            known.add(one, words, self.learn([w.decode() for w in words]))
+        right = short & (known.size[got] == sizes)
+        same = np.flatnonzero(right)
+        if len(same):
+            differ = known.bytes[spread(known.start[got[same]], sizes[same])] != raw[spread(starts[same], sizes[same])]
+            right[same] = ~np.logical_or.reduceat(differ, np.cumsum(sizes[same]) - sizes[same])
+        counts = np.where(right, known.n_ids[got], 0)
+        ids = known.ids[spread(known.ids_at[got], counts)].astype("<u4").tobytes()
+        first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for _, x in group)]))
+        ends, wrong = np.append(0, np.cumsum(counts))[first].tolist(), np.append(0, np.cumsum(~right))[first].tolist()
+        for j, (k, _) in enumerate(group):  # a long word, or two words of one hash: the library has the whole text
+            out[k] = self.ask(texts[k]) if wrong[j + 1] > wrong[j] else ids[4 * ends[j] + len(self.newline) : 4 * ends[j + 1]]
+
+
+def spread(starts, sizes):
+    """All places of ranges that start and are as long as said, end to end."""
+    import numpy as np
+
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -158,7 +279,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
         words, start, end = coder(tokens), 0, np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, 200):
-            coded = [words.encode(x) for x in batch.column(1).to_pylist()]
+            coded = words.encode_all(batch.column(1).to_pylist())
             sizes = np.array([len(x) // 4 + 1 for x in coded], np.int64)
             flat = np.frombuffer(b"".join(x for c in coded for x in (c, end)), "<i4")
             bounds = np.concatenate([[0], np.cumsum(sizes)])

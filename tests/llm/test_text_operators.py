@@ -355,6 +355,28 @@ def test_a_small_cache_changes_nothing():
     assert small.encode(text) == small.ask(text)
 
 
+def test_new_words_go_to_the_library_together(monkeypatch):
+    coder, asked = op10_tokens.WordCoder(tokenizer_path("byte_bpe_50k.json")), []
+    plain = coder.piece
+    monkeypatch.setattr(coder, "piece", lambda text: asked.append(text) or plain(text))
+    texts = [" ".join(f"{sentence(800 + i, 30)} wörd{chr(97 + i)}, {'漢' * (1 + i)}!? it's 3.5" for _ in range(3)) for i in range(9)]
+    assert [coder.encode(t) for t in texts[:1]] == [coder.ask(t) for t in texts[:1]] and len(asked) <= 2
+    every = ["", *texts, "x" * 70 + " a", "a\nb, c.\nd", "a" * 3_000_000 + " b", *texts]
+    assert coder.encode_all(every) == [coder.ask(t) if t else b"" for t in every]
+
+
+def test_words_of_one_hash_and_a_small_room_change_nothing(monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = [sentence(900 + i, 40) + ("!?\nAnd, so (on)." if i % 2 else " ...") for i in range(60)]
+    small = op10_tokens.WordCoder(path, room=3)
+    monkeypatch.setattr(op10_tokens, "GROUP", 300)
+    assert small.encode_all(texts) == [small.ask(t) for t in texts]
+    for keep in (7, 0):  # few hashes, then one for all words
+        coder = op10_tokens.WordCoder(path, room=500)
+        monkeypatch.setattr(op10_tokens, "mix", lambda x, keep=keep: x & np.uint64(keep))
+        assert coder.encode_all(texts) == [coder.ask(t) for t in texts]
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
