@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table, tokenizer_path
+from .common import materialise, slices, table, tokenizer_path, trim
 
 BLANK = "\u2581"
 #: Units the relational lattice encodes, and characters of a unit that it takes (boundaries are the bits of a long).
@@ -302,29 +302,29 @@ class _Units(dict):
         return got
 
 
-_MEMORY: dict[str, _Units] = {}
+class Lattice:
+    """What is broadcast of a lattice. A worker's units hang on it, so they last from task to task and go when Spark takes the broadcast from the worker."""
 
+    def __init__(self, known: dict[str, bytes], model: Model):
+        self.known, self.model, self.held = known, model, None
 
-def memory(key: str, given, shared) -> _Units:
-    """The worker's units for a broadcast lattice, kept from task to task; only the newest lattice's."""
-    if key not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[key] = _Units(given.value, shared.value)
-    return _MEMORY[key]
+    def units(self) -> _Units:
+        if self.held is None:
+            self.held = _Units(self.known, self.model)
+        return self.held
 
 
 def _encoded(docs: DataFrame, model_path: str | None, most: int, finish, schema: str) -> DataFrame:
     """Rows made by finish(batch, coded, model): coded are the ids of each text as bytes. One pass over the documents."""
     model = Model.load(model_path or tokenizer_path("piece_bpe_32k.model"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sc = rows.sparkSession.sparkContext
-    given, shared = sc.broadcast(known_units(rows, model, most)), sc.broadcast(model)
-    run = sc._jsc.sc().applicationId() + str(given._jbroadcast.id())
+    given = rows.sparkSession.sparkContext.broadcast(Lattice(known_units(rows, model, most), model))
 
     def work(batches: Iterator) -> Iterator:
-        held = memory(run, given, shared)
+        trim()
+        held = given.value.units()
         for batch in slices(batches, 200):
-            yield finish(batch, [b"".join(map(held.__getitem__, units(t or ""))) for t in batch.column(1).to_pylist()], shared.value)
+            yield finish(batch, [b"".join(map(held.__getitem__, units(t or ""))) for t in batch.column(1).to_pylist()], given.value.model)
 
     return rows.mapInArrow(work, schema)
 

@@ -421,3 +421,33 @@ def test_common_grams_are_spared_without_a_loss(spark, monkeypatch):
     assert len(spared.owner) < len(small.owner) and (spared.needed < small.needed).all()
     places = [list(f.search([t.encode() for _, t in rows])) for f in (small, spared)]
     assert places[0] == places[1] and len(want) >= 40
+
+
+def test_workers_keep_no_lattice_beyond_its_job(spark, docs):
+    assert sp.sentencepiece_round_trip(docs).count() == docs.count()
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ == "_Units" for x in gc.get_objects())]})
+
+    assert [r["n"] for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()] == [0] * 16
+
+
+def test_a_task_gives_back_what_was_freed():
+    """Freed blocks with one in use behind them, as other tasks leave them."""
+    import re
+    from pathlib import Path
+
+    from folioforge.llm.common import slices
+
+    def megabytes():
+        return sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    blocks = [bytes(2000) for _ in range(100_000)]
+    most, last = megabytes(), blocks[-1]
+    del blocks
+    assert list(slices(iter([]), 1)) == [] and len(last) == 2000
+    assert most - megabytes() > 150
