@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, slices, table, tokenizer_path
-from .wordhash import BYTE_BASES, mix, powers
+from .wordhash import BYTE_BASES, FIRST_BYTES, mix
 
 END_ID = 2
 #: Bytes of a row group and of a page: a reader that wants one document reads a page of ids, not a file.
@@ -24,11 +24,14 @@ ROW_GROUP, PAGE = 16 << 20, 256 << 10
 CACHE = 1_000_000
 #: Bytes of texts whose words are looked up together, most bytes of two such texts, and of a word that is looked up.
 GROUP, MOST, LONGEST = 1 << 16, 1 << 21, 64
+#: Bytes of a word that are compared as numbers.
+WIDE = 16
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Signs that end a piece of letters and make one of their own; the apostrophe isn't among them, as it may begin a short form.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Every sign but the blank and the newline that Python or the library's pre-tokenizer takes for white space (fixed values).
 ODD_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ASCII_SPACE = "".join(c for c in ODD_SPACE if c.isascii())
 #: Texts of one file, aimed at; bounds what one task encodes and what a reader opens, whatever the corpus holds.
 FILE_BYTES = 256 << 20
 #: Characters of a text that deal out rows of one id, or of none, which may be many.
@@ -36,9 +39,9 @@ RANGE_CHARS = 128
 
 
 class Known:
-    """Words with the blank or newline before them, as bytes, and their ids, in arrays: open addressing by a 64-bit hash, and the bytes are compared.
+    """Words with the blank or newline before them, as bytes, and their ids, in arrays: open addressing by a 64-bit hash, and the bytes are compared, the first WIDE as numbers of eight bytes.
 
-    When ``room`` words are held all are forgotten.
+    What is asked of a word stands in one row: hash, bytes, ids, place of the ids, the first WIDE bytes. When ``room`` words are held all are forgotten.
     """
 
     def __init__(self, room: int):
@@ -48,38 +51,43 @@ class Known:
         most = room + MOST // 2
         self.last = (1 << (2 * most).bit_length()) - 1  # under half of the places are taken
         self.place = np.zeros(self.last + 1, np.int32)  # 1 + number of the word
-        self.hash, self.size, self.n_ids = np.zeros(most, np.uint64), np.zeros(most, np.int32), np.zeros(most, np.int32)
-        self.start, self.ids_at = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        self.rows = np.zeros((most, 4 + WIDE // 8), np.int64)
+        self.start, self.ids_at = np.zeros(most + 1, np.int64), 0
         self.bytes, self.ids = np.zeros(12 * room + 2 * MOST, np.uint8), np.zeros(6 * room + 4 * MOST, np.uint32)
         self.n = 0
 
     def find(self, hashes):
-        """Number of the word with each hash, or -1."""
+        """(number of the word with each hash, or -1; its row)."""
         np = self.np
-        at = (hashes & np.uint64(self.last)).astype(np.int64)
+        hashes = hashes.view(np.int64)
+        at = hashes & self.last
         got = self.place[at] - 1
-        left = np.flatnonzero((got >= 0) & (self.hash[got] != hashes))
+        rows = self.rows[got]
+        left = np.flatnonzero((got >= 0) & (rows[:, 0] != hashes))
         while len(left):
             at[left] = (at[left] + 1) & self.last
             got[left] = self.place[at[left]] - 1
-            left = left[(got[left] >= 0) & (self.hash[got[left]] != hashes[left])]
-        return got
+            rows[left] = self.rows[got[left]]
+            left = left[(got[left] >= 0) & (rows[left, 0] != hashes[left])]
+        return got, rows
 
     def full(self, words: int, size: int) -> bool:
         """Whether so many more words of so many bytes ask for a new start."""
-        return self.n + words > self.room or self.start[self.n] + size > len(self.bytes) or self.ids_at[self.n] + 2 * size > len(self.ids)
+        return self.n + words > self.room or self.start[self.n] + size > len(self.bytes) or self.ids_at + 2 * size > len(self.ids)
 
     def forget(self) -> None:
-        self.place[:], self.n = 0, 0
+        self.place[:], self.n, self.ids_at = 0, 0, 0
 
-    def add(self, hashes, words: list[bytes], ids: list[bytes]) -> None:
-        """Words with hashes that aren't held yet."""
+    def add(self, hashes, heads, words: list[bytes], ids: list[bytes]) -> None:
+        """Words with hashes that aren't held yet. heads: eights() of each up to WIDE bytes."""
         np, a, b = self.np, self.n, self.n + len(words)
-        self.hash[a:b], self.size[a:b], self.n_ids[a:b] = hashes, list(map(len, words)), [len(x) // 4 for x in ids]
-        self.start[a + 1 : b + 1] = self.start[a] + np.cumsum(self.size[a:b])
-        self.ids_at[a + 1 : b + 1] = self.ids_at[a] + np.cumsum(self.n_ids[a:b])
+        sizes, n_ids = np.array(list(map(len, words)), np.int64), np.array([len(x) // 4 for x in ids], np.int64)
+        ends = self.ids_at + np.cumsum(n_ids)
+        self.rows[a:b] = np.column_stack([hashes.view(np.int64), sizes, n_ids, ends - n_ids, heads.view(np.int64)])
+        self.start[a + 1 : b + 1] = self.start[a] + np.cumsum(sizes)
         self.bytes[self.start[a] : self.start[b]] = np.frombuffer(b"".join(words), np.uint8)
-        self.ids[self.ids_at[a] : self.ids_at[b]] = np.frombuffer(b"".join(ids), "<u4")
+        self.ids[self.ids_at : ends[-1]] = np.frombuffer(b"".join(ids), "<u4")
+        self.ids_at = int(ends[-1])
         self.n = b
         at, number = (hashes & np.uint64(self.last)).astype(np.int64), np.arange(a + 1, b + 1, dtype=np.int32)
         while len(at):
@@ -177,9 +185,8 @@ class WordCoder:
         return out
 
     def plain(self, text: str) -> bool:
-        """Whether a text's words can be encoded one by one."""
-        alone = text[:1] not in " \n" and text[-1:] not in " \n" and not any(c in text for c in ("  ", "\n\n", " \n", "\n "))
-        return alone and not any(c in text for c in ODD_SPACE) and not any(t in text for t in self.added)
+        """Whether a text's words can be encoded one by one, if single blanks and newlines stand between them."""
+        return not any(c in text for c in (ASCII_SPACE if text.isascii() else ODD_SPACE)) and not any(t in text for t in self.added)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -211,14 +218,21 @@ class WordCoder:
         raw = np.frombuffer(whole, np.uint8)
         starts = np.flatnonzero((raw == 32) | (raw == 10))
         # signs at a word's end, behind a letter of ASCII, are a piece and so a word of their own
-        behind = np.maximum.reduceat(np.where(self.sign[raw], 0, np.arange(1, len(raw) + 1)), starts)
-        cut = np.flatnonzero((behind < np.append(starts[1:], len(raw))) & self.letter[raw[behind - 1]])
+        ends = np.append(starts[1:], len(raw))
+        behind = ends.copy()
+        left = np.flatnonzero(self.sign[raw[behind - 1]])
+        for _ in range(LONGEST):  # a word of more signs isn't looked up
+            if not len(left):
+                break
+            behind[left] -= 1
+            left = left[self.sign[raw[behind[left] - 1]]]
+        cut = np.flatnonzero((behind < ends) & self.letter[raw[behind - 1]])
         starts = np.insert(starts, cut + 1, behind[cut])
         sizes = np.diff(np.append(starts, len(raw)))
-        inside = np.minimum(np.arange(len(raw)) - np.repeat(starts, sizes), LONGEST)
-        hashes = mix(np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * powers(BYTE_BASES[0], LONGEST + 1)[inside], starts) + sizes.astype(np.uint64) * BYTE_BASES[0])
-        short = sizes <= LONGEST
-        got = np.where(short, known.find(hashes), -1)
+        heads, hashes = eights(whole, starts, sizes)
+        short = (sizes <= LONGEST) & ((sizes > 1) | self.sign[raw[starts]])
+        got, rows = known.find(hashes)
+        got[~short] = -1
         if ((got < 0) & short).any() and known.full(len(starts), len(raw)):
             known.forget()
             got[:] = -1
@@ -227,20 +241,41 @@ class WordCoder:
             one, at, to = np.unique(hashes[new], return_index=True, return_inverse=True)
             words = [whole[a:b] for a, b in zip(starts[new[at]].tolist(), (starts + sizes)[new[at]].tolist(), strict=True)]
             got[new] = known.n + to
-            known.add(one, words, self.learn([w.decode() for w in words]))
-        right = short & (known.size[got] == sizes)
-        same = np.flatnonzero(right)
+            known.add(one, heads[new[at]], words, self.learn([w.decode() for w in words]))
+            rows[new] = known.rows[got[new]]
+        right = short & (rows[:, 1] == sizes)
+        for k in range(WIDE // 8):
+            right &= rows[:, 4 + k] == heads[:, k].view(np.int64)
+        same = np.flatnonzero(right & (sizes > WIDE))
         if len(same):
             differ = known.bytes[spread(known.start[got[same]], sizes[same])] != raw[spread(starts[same], sizes[same])]
             right[same] = ~np.logical_or.reduceat(differ, np.cumsum(sizes[same]) - sizes[same])
-        counts = np.where(right, known.n_ids[got], 0)
-        ids = known.ids[spread(known.ids_at[got], counts)].astype("<u4").tobytes()
+        counts = np.where(right, rows[:, 2], 0)
+        ids = known.ids[spread(rows[:, 3], counts)].astype("<u4").tobytes()
         first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for _, x in group)]))
         ends, wrong = np.append(0, np.cumsum(counts))[first].tolist(), np.append(0, np.cumsum(~right))[first].tolist()
-        for j, (k, _) in enumerate(group):  # a long word, or two words of one hash: the library has the whole text
+        for j, (k, _) in enumerate(group):  # a long word, two white-space signs in a row or one at an end, or two words of one hash: the library has the whole text
             out[k] = self.ask(texts[k]) if wrong[j + 1] > wrong[j] else ids[4 * ends[j] + len(self.newline) : 4 * ends[j + 1]]
 
 
+def eights(whole: bytes, starts, sizes):
+    """(the first WIDE bytes of each word as numbers of eight bytes, zeros behind its end; hash of its size and first LONGEST bytes)."""
+    import numpy as np
+
+    at = np.ndarray(len(whole), "<u8", whole + bytes(8), strides=(1,))  # the eight bytes from each place on
+    heads, hashes = np.zeros((len(starts), WIDE // 8), np.uint64), sizes.astype(np.uint64) * BYTE_BASES[0]
+    some = np.arange(len(starts))
+    for k in range(LONGEST // 8):
+        some = some[sizes[some] > 8 * k]
+        if not len(some):
+            break
+        eight = at[starts[some] + 8 * k] & FIRST_BYTES[np.minimum(sizes[some] - 8 * k, 8)]
+        if k < WIDE // 8:
+            heads[some, k] = eight
+        hashes[some] = mix(hashes[some] ^ eight) * BYTE_BASES[1]
+    return heads, hashes ^ (hashes >> np.uint64(32))
+
+
 def spread(starts, sizes):
     """All places of ranges that start and are as long as said, end to end."""
     import numpy as np

@@ -7,6 +7,8 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers of two independent polynomial hashes of a word's bytes.
 BYTE_BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 #: Odd multiplier of the hash of a run of words, and its inverse modulo 2**64.
 RUN_BASE = U(0xD6E8FEB86659FD93)
 RUN_INVERSE = U(pow(int(RUN_BASE), -1, 1 << 64))

@@ -377,6 +377,25 @@ def test_words_of_one_hash_and_a_small_room_change_nothing(monkeypatch):
         assert coder.encode_all(texts) == [coder.ask(t) for t in texts]
 
 
+def test_known_words_are_compared_as_numbers(monkeypatch):
+    coder, spread, sizes = op10_tokens.WordCoder(tokenizer_path("byte_bpe_50k.json")), op10_tokens.spread, []
+    texts = [sentence(700 + i, 40) + ", and so on." for i in range(20)]
+    coder.encode_all(texts)
+    monkeypatch.setattr(op10_tokens, "spread", lambda starts, n: sizes.append(int(n.sum())) or spread(starts, n))
+    coded = coder.encode_all(texts)
+    assert coded == [coder.ask(t) for t in texts]
+    assert sum(sizes) == sum(len(x) // 4 + 1 for x in coded)  # ids and the newline before each text, no bytes
+
+
+def test_long_words_and_runs_of_signs_around_the_bounds():
+    coder = op10_tokens.WordCoder(tokenizer_path("byte_bpe_50k.json"))
+    texts = [x + "!" * n for x in ("abc", "é", "", "a b") for n in (*range(1, 10), *range(55, 70), 200)]
+    texts += [f"{c * n} {c * (n + 1)}.,; b\0 b \0{c}\0\0" for c in "aé漢" for n in range(1, 70)]
+    texts += [" lead", "trail ", "a  b", "a\n\nb", "a \nb", "\n", " ", "a\n"]
+    for _ in range(2):
+        assert coder.encode_all(texts) == [coder.ask(t) if t else b"" for t in texts]
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
