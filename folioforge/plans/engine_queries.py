@@ -10,6 +10,7 @@ from ..operators import assembly, config, enrichment, layout, observe, retrieval
 from ..session import scratch
 from ..sources import sinks
 from ..sources import tables as T
+from ..sources.pages import BLANKS
 from ..sources.tables import table
 from .document_queries import _DOT, _NORM, vectors
 from .relational_queries import _BLOCKS, _LEDGER, _STAGES, _STATES, blocks, ledger, states
@@ -677,8 +678,8 @@ def profile_files(spark, d):
 def line_parser(data: bytes):
     """A parser hook for files of lines: each line of a file is a block of one page, ten points high."""
     for k, line in enumerate(data.decode().split("\n")):
-        spans = [x for x in line.split(" ") if x.strip()]
-        yield {"page": 1 + k // 50, "block_idx": str(k), "type": "text" if spans else "figure", "bbox": (0, 10 * (k % 50), 6 * len(line), 10 * (k % 50) + 10), "text": " ".join(spans), "size": (600, 500)}
+        spans = [x for x in line.split(" ") if x]
+        yield {"page": 1 + k // 50, "block_idx": str(k), "type": "text" if spans else "figure", "bbox": (0, 10 * (k % 50), 6 * len(line), 10 * (k % 50) + 10), "text": " ".join(spans).strip(BLANKS), "size": (600, 500)}
 
 
 @query(r"""SELECT doc_id::VARCHAR AS doc_id, 1 + k // 50 AS page, k AS block_no, CASE WHEN regexp_replace(t, ' +', '', 'g') = '' THEN 'figure' ELSE 'text' END AS type, round(6.0 * length(t) * 10 / 300000, 6) AS area_ratio, md5(trim(regexp_replace(t, ' +', ' ', 'g'))) AS text_md5 FROM (SELECT doc_id, generate_subscripts(p, 1) - 1 AS k, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))""")

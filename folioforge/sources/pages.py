@@ -25,6 +25,8 @@ from .tables import BLOCKS
 
 #: Pages of a file's range at most.
 PAGES_PER_TASK = 64
+#: What stands around a line's words: separators of words (Unicode's class Zs). Tabs and the like are signs of a word.
+BLANKS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 #: Up to so many ranges are a task each; of more, a task has several, of some PART_PAGES pages.
 MOST_SINGLE, PART_PAGES = 256, 4096
 
@@ -59,8 +61,8 @@ class LineReader:
             f.seek(begin)
             text = f.read(end - begin).decode()
         for k, line in enumerate(text.split("\n"), (first - 1) * self.LINES_A_PAGE):
-            row, spans = k % self.LINES_A_PAGE, [x for x in line.split(" ") if x.strip()]
-            yield {"page": 1 + k // self.LINES_A_PAGE, "block_idx": str(k), "type": "text" if spans else "figure", "bbox": (0, 10 * row, 6 * len(line), 10 * row + 10), "text": " ".join(spans), "size": (600, 500)}
+            row, spans = k % self.LINES_A_PAGE, [x for x in line.split(" ") if x]
+            yield {"page": 1 + k // self.LINES_A_PAGE, "block_idx": str(k), "type": "text" if spans else "figure", "bbox": (0, 10 * row, 6 * len(line), 10 * row + 10), "text": " ".join(spans).strip(BLANKS), "size": (600, 500)}
 
 
 @dataclass
@@ -153,8 +155,8 @@ class PageSource(DataSource):
         return PageReader(dict(self.options))
 
 
-def plan_pages(spark: SparkSession, path: str, reader: str, step: int) -> DataFrame:
-    """(doc_id, path, first, last, hint): ranges of all files below ``path``, planned where the files are read. Files of no bytes have no pages."""
+def plan_pages(spark: SparkSession, path: str, reader: str, step: int, empty: bool = False) -> DataFrame:
+    """(doc_id, path, first, last, hint): ranges of all files below ``path``, planned where the files are read. Files of no bytes have no pages, or with ``empty`` those that the reader gives them."""
 
     def work(batches: Iterator) -> Iterator:
         import re
@@ -175,15 +177,16 @@ def plan_pages(spark: SparkSession, path: str, reader: str, step: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in held], k) for n, k in enumerate(kinds)], names=names)
 
     names = ["doc_id", "path", "first", "last", "hint"]
-    return listed(ship(spark), path).filter("size > 0").select("path").mapInArrow(work, "doc_id string, path string, first int, last int, hint string")
+    files = listed(ship(spark), path)
+    return (files if empty else files.filter("size > 0")).select("path").mapInArrow(work, "doc_id string, path string, first int, last int, hint string")
 
 
-def read_pages(spark: SparkSession, path: str, reader: str = f"{__name__}:LineReader", pages_per_task: int = PAGES_PER_TASK) -> DataFrame:
-    """Blocks of all files below ``path``, a task a range of pages, or a part of many ranges; a filter on ``page`` decides which ranges are read."""
+def read_pages(spark: SparkSession, path: str, reader: str = f"{__name__}:LineReader", pages_per_task: int = PAGES_PER_TASK, empty: bool = False) -> DataFrame:
+    """Blocks of all files below ``path``, a task a range of pages, or a part of many ranges; a filter on ``page`` decides which ranges are read. empty: see plan_pages()."""
     spark.dataSource.register(PageSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     planned, dealt = scratch(spark), scratch(spark)
-    plan_pages(spark, path, reader, pages_per_task).write.parquet(planned)
+    plan_pages(spark, path, reader, pages_per_task, empty).write.parquet(planned)
     plan = spark.read.parquet(planned)
     n, most = plan.agg(F.count("*"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0))).first()
     # by their first pages, so that a filter leaves whole parts out

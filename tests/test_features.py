@@ -320,3 +320,19 @@ def test_registry_files_stay_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(udf_queries.sinks, "write_files", lambda rows, *a: (sizes.extend(r["n"] for r in rows.selectExpr("size(split(text, 'id: t')) - 1 as n").collect()), write(rows, *a))[1])
     got = udf_queries.type_registry(spark, str(tmp_path))
     assert got.select("type_id").distinct().count() == 30_000 and sorted(sizes) == [10_000] * 3
+
+
+def test_empty_texts_and_odd_blanks_are_blocks(spark, tmp_path):
+    """An empty text is one empty line; only blanks part words, and a line of other white space isn't empty."""
+    import duckdb
+
+    from folioforge.plans.registry import ORACLES, QUERIES
+
+    texts = ["", " ", "\n", "a\tb", "\t", "a \t b", "\u00a0", "\u00a0x \u3000", "a \u00a0 b", "one\r\ntwo\r", "\n" * 120 + "end", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("paged_blocks", "paged_blocks_filtered", "parsed_blocks"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want), name
