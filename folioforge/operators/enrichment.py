@@ -220,12 +220,14 @@ def stub_generator(doc: str, content: str) -> str:
 def attempts(
     windows: DataFrame, generator: Callable[[str, str], str] | None = None, retries: int = 3, back_off: float = 1.0,
     rate: float | None = None, tasks: int = 1, check: Callable[[str], None] | None = None, sleep: Callable[[float], None] | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, window, attempt, response, error, final): every call of a generator hook, the failed ones too.
+    """(doc_id, window, attempt, response, error, final, *keep): every call of a generator hook, the failed ones too.
 
     A failed call is followed by another after back_off * 2 ** (attempt - 1) seconds, ``retries`` calls in all. rate: calls
     a second over all ``tasks`` that run at once; each task paces its share. check: raises on a response that isn't
     good enough (too many invalid types, say), which counts as a failed call. Without a generator stub_generator answers.
+    keep: columns of the windows that go along.
     """
     call = generator or stub_generator
 
@@ -258,16 +260,18 @@ def attempts(
                         rest(back_off * 2 ** (k - 1))
             at = pa.array([r[0] for r in rows], pa.int64())
             made = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int32()), (2, pa.string()), (3, pa.string()), (4, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made], names=["doc_id", "window", "attempt", "response", "error", "final"])
+            kept = [batch.column(3 + n).take(at) for n in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *made, *kept], names=["doc_id", "window", "attempt", "response", "error", "final", *keep])
 
-    rows = windows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("window").cast("int").alias("window"), "content")
-    return rows.mapInArrow(work, "doc_id string, window int, attempt int, response string, error string, final boolean")
+    rows = windows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("window").cast("int").alias("window"), "content", *keep)
+    schema = StructType().add("doc_id", "string").add("window", "integer").add("attempt", "integer").add("response", "string").add("error", "string").add("final", "boolean")
+    return rows.mapInArrow(work, StructType([*schema, *(rows.schema[c] for c in keep)]))
 
 
 def generate(windows: DataFrame, generator: Callable[[str, str], str] | None = None, retries: int = 3, **how) -> DataFrame:
-    """(doc_id, window, response, error): the last of a window's attempts(); a window whose last call failed has no response."""
+    """(doc_id, window, response, error, *keep): the last of a window's attempts(); a window whose last call failed has no response."""
     last = attempts(windows, generator, retries, **how).filter("final")
-    return last.select("doc_id", "window", F.when(F.col("error").isNull(), F.col("response")).alias("response"), "error")
+    return last.select("doc_id", "window", F.when(F.col("error").isNull(), F.col("response")).alias("response"), "error", *how.get("keep", ()))
 
 
 def generation_events(calls: DataFrame, prompts: DataFrame, model: str, ts: Column | None = None) -> DataFrame:
@@ -278,10 +282,10 @@ def generation_events(calls: DataFrame, prompts: DataFrame, model: str, ts: Colu
     return calls.join(asked, ["doc_id", "window"]).select(when.alias("ts"), F.lit("enhancement").alias("step"), F.lit(model).alias("model"), "input_tokens", X.token_estimate(F.col("response")).cast("long").alias("output_tokens"), meta.alias("meta"))
 
 
-def items_of(responses: DataFrame) -> DataFrame:
-    """(doc_id, window, ordinal, type, title, content, source_units, confidence, priority) with defaults; 'type' and 'enhancement_type' are the same field. Answers that were cut off give the items they have."""
-    rows = J.recover(responses.select("doc_id", "window", "response")).select("doc_id", "window", F.posexplode("items").alias("ordinal", "i"))
-    return rows.select("doc_id", "window", "ordinal", F.coalesce("i.type", "i.enhancement_type", F.lit("general")).alias("type"), F.coalesce("i.title", F.lit("Untitled")).alias("title"), "i.content", "i.source_units", F.coalesce("i.confidence", F.lit(0.8)).alias("confidence"), F.col("i.priority").alias("priority"))
+def items_of(responses: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, window, ordinal, type, title, content, source_units, confidence, priority, *keep) with defaults; 'type' and 'enhancement_type' are the same field. Answers that were cut off give the items they have."""
+    rows = J.recover(responses.select("doc_id", "window", "response", *keep)).select("doc_id", "window", *keep, F.posexplode("items").alias("ordinal", "i"))
+    return rows.select("doc_id", "window", "ordinal", F.coalesce("i.type", "i.enhancement_type", F.lit("general")).alias("type"), F.coalesce("i.title", F.lit("Untitled")).alias("title"), "i.content", "i.source_units", F.coalesce("i.confidence", F.lit(0.8)).alias("confidence"), F.col("i.priority").alias("priority"), *keep)
 
 
 def long_enough(items: DataFrame, least: int = 100) -> DataFrame:

@@ -240,17 +240,18 @@ def hashed_embeddings(spark, d):
 def enrichment_flow(spark, d):
     """Units, windows, stub generation, recovery, validation, ranking and synthesis in one plan.
 
-    Every window is generated for. A generator gets the window's whole content, not user_prompt, which has a cap.
+    Every window is generated for. Notes go by rank: of those at one place, and in the appendix, the first come first. A generator gets the window's whole content, not user_prompt, which has a cap.
     """
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     chunks = retrieval.recursive_chunks(table(spark, d, "documents").select("doc_id", "text"), overlap=0)
     units = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk").alias("ordinal"), F.col("chunk").cast("string").alias("unit_id"), F.lit("paragraph").alias("unit_type"), F.col("text").alias("content"), X.token_estimate(F.col("text")).alias("tokens"))
-    windows = enrichment.window_content(enrichment.pack_windows(units), units)
-    items = enrichment.long_enough(enrichment.items_of(enrichment.generate(windows)))
+    windows = enrichment.analyse_window(enrichment.window_content(enrichment.pack_windows(units), units))
+    items = enrichment.long_enough(enrichment.items_of(enrichment.generate(windows, keep=("content_type",)), "content_type"))
     selected = spark.createDataFrame([(t,) for t in enrichment.HIGH_TYPES + enrichment.MEDIUM_TYPES], "type string")
     items = enrichment.valid_types(items, F.broadcast(selected))
     # ordinals count within a window; from here on within the document
     items = items.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("window", "ordinal")) - 1)
+    items = items.withColumn("priority", enrichment.priority_score(F.col("type"), F.col("content_type"), F.col("confidence")))
     items = enrichment.rank(enrichment.drop_near_duplicates(items))
-    notes = items.select("doc_id", "ordinal", F.col("title").alias("anchor"), "title", "content", "type")
+    notes = items.select("doc_id", F.col("rank").alias("ordinal"), F.col("title").alias("anchor"), "title", "content", "type")
     return enrichment.synthesise(docs, notes)

@@ -240,6 +240,18 @@ def test_every_window_of_a_long_document_is_enriched(spark, tmp_path):
     assert starts[0] == 0 and starts == sorted(starts) and starts[-1] > 14_000
 
 
+def test_notes_go_by_rank(spark, tmp_path):
+    from folioforge.plans.registry import QUERIES
+
+    # double blanks, so that no title is found; percentages in the last window alone make it financial
+    text = "  ".join([f"w{i}" for i in range(20_000)] + [f"{i}%" for i in range(10, 60)])
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["enrichment_flow"](spark, str(tmp_path)).first()
+    assert got["anchored"] == 0 and got["appendixed"] > 3
+    starts = [int(n.split(": w")[1].split()[0]) for n in got["markdown"].split("\n") if n.startswith("- **")]
+    assert starts[0] == max(starts) and starts[1:] == sorted(starts[1:])
+
+
 def test_short_anchors_are_found_and_fallbacks_hold(spark, tmp_path):
     from folioforge.plans.registry import QUERIES
 
