@@ -100,16 +100,19 @@ def hash_embedding(documents: DataFrame, dim: int = 64, embed: Callable[[list[st
 
         import numpy as np
 
-        out = []
-        known: dict[str, tuple[int, float]] = {}
+        class Known(dict):
+            """Twice a word's slot, and one more for those that add -1."""
+
+            def __missing__(self, w: str) -> int:
+                h = hashlib.md5(w.encode()).hexdigest()
+                self[w] = at = int(h[:8], 16) % dim * 2 + int(h[8], 16) % 2
+                return at
+
+        out, known = [], Known()
         for t in texts:
-            v = np.zeros(dim)
-            for w in (t or "").lower().split():
-                if w not in known:
-                    h = hashlib.md5(w.encode()).hexdigest()
-                    known[w] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-                at, sign = known[w]
-                v[at] += sign
+            words = (t or "").lower().split()
+            n = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=2 * dim)
+            v = (n[0::2] - n[1::2]).astype(np.float64)
             n = np.sqrt(v @ v)
             out.append((v / n if n else v).astype(np.float32).tolist())
         return out

@@ -196,7 +196,8 @@ def build_index(vectors: DataFrame, path: str, cells: int = 64, id_column: str =
     spark, path = vectors.sparkSession, path.rstrip("/")
     dims = _dims(vectors, "embedding")
     directed = vectors.select(F.when(F.size("embedding") == dims, unit(F.col("embedding"))).alias("u")).filter("u is not null")
-    sample = directed.orderBy(F.xxhash64("u")).limit(SAMPLE).select(array_to_vector("u").alias("features"))
+    # fitting goes over the sample in many passes
+    sample = kept(directed.orderBy(F.xxhash64("u")).limit(SAMPLE)).select(array_to_vector("u").alias("features"))
     centres, axes = [], []
     if (n := sample.count()) > 0:
         axes = PCA(k=min(AXES, dims), inputCol="features", outputCol="p").fit(sample).pc.toArray().T.tolist() if n > 1 else []
@@ -229,7 +230,8 @@ def build_index(vectors: DataFrame, path: str, cells: int = 64, id_column: str =
 def bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
     """(query_id, q, cell, n, bound, place): every cell for every query by how near its ring comes. place: the number of vectors in nearer cells. There are as many rows as queries times cells; vectors don't count."""
     cells, axes = index.cells.collect(), index.axes  # a row for each cell, as many as the index was built with
-    schema = "query_id long, q array<double>, cell long, n long, bound double, place long"
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q")
+    schema = StructType([*asked.schema, *(StructField(c, t) for c, t in (("cell", LongType()), ("n", LongType()), ("bound", DoubleType()), ("place", LongType())))])
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -258,11 +260,11 @@ def bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
             many = np.cumsum(sizes[by], axis=1) - sizes[by]
             take = pa.array(np.repeat(np.arange(len(u)), len(order)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).cast(pa.list_(pa.float64())).take(take), pa.array(names[by].ravel()), pa.array(sizes[by].ravel()), pa.array(np.take_along_axis(near, by, 1).ravel()), pa.array(many.ravel())],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(names[by].ravel()), pa.array(sizes[by].ravel()), pa.array(np.take_along_axis(near, by, 1).ravel()), pa.array(many.ravel())],
                 names=["query_id", "q", "cell", "n", "bound", "place"],
             )
 
-    return queries.select(F.col("query_id").cast("long").alias("query_id"), "q").mapInArrow(work, schema)
+    return asked.mapInArrow(work, schema)
 
 
 def _visit(index: VectorIndex, wanted: DataFrame, k: int) -> DataFrame:
@@ -274,8 +276,8 @@ def _visit(index: VectorIndex, wanted: DataFrame, k: int) -> DataFrame:
     return grid_topk(there.select("id", "embedding", "cell"), wanted.select("query_id", "q", "cell"), k, centred["n"] if centred else 1, ["cell"])
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """What later steps read more than once, written to the shared folder."""
+def kept(df: DataFrame) -> DataFrame:
+    """What later steps read more than once, computed once and written to the shared folder."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -289,11 +291,11 @@ def search(index: VectorIndex, queries: DataFrame, k: int) -> tuple[DataFrame, D
     """
     ways = bounds(index, queries)
     home = F.col("place") < k
-    first = _kept(best(_visit(index, _kept(ways.filter(home)), k), k).drop("rank"))
+    first = kept(best(_visit(index, kept(ways.filter(home)), k), k).drop("rank"))
     # cosine s on the unit sphere is a distance of sqrt(2 - 2 s)
     least = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_s"))
     reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_s") - SLACK))) + SLACK)
-    more = _kept(ways.filter(~home).join(least, "query_id", "left").filter(F.coalesce(F.col("bound") <= reach, F.lit(True))))
+    more = kept(ways.filter(~home).join(least, "query_id", "left").filter(F.coalesce(F.col("bound") <= reach, F.lit(True))))
     second = _visit(index, more, k)
     read = ways.filter(home).select("query_id", "cell", "n").unionByName(more.select("query_id", "cell", "n"))
     return best(first.unionByName(second), k), read

@@ -52,8 +52,8 @@ def indexed_documents(spark, d):
 
 
 def document_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of all documents, and every twentieth one as a query."""
-    v = retrieval.hash_embedding(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")).drop("text")
+    """Vectors of all documents, hashed once and stored, and every twentieth one as a query."""
+    v = vector_index.kept(retrieval.hash_embedding(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")).drop("text"))
     return v, v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 

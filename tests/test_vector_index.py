@@ -133,3 +133,23 @@ def test_bounds_of_many_queries_come_in_small_batches(spark, tmp_path):
     index = vi.build_index(v, str(tmp_path / "i"), 12)
     found = vi.search(index, q, 3)[0].select("query_id", "id", "rank").collect()
     assert sorted(found) == sorted(vi.multi_query_topk(v, q, 3).select("query_id", "id", "rank").collect()) and len(found) == 1800
+
+
+def test_vectors_are_computed_few_times(spark, tmp_path, data):
+    """However many passes fitting takes: once each for the length, the sample and the cells. Documents' vectors are stored, so their texts are hashed once."""
+    from folioforge.plans import index_queries
+
+    seen, n = spark.sparkContext.accumulator(0), 400
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").mapInArrow(count, "vec_id long, embedding array<double>")
+    vi.build_index(v, str(tmp_path / "index"), 6)
+    assert n <= seen.value <= 3 * n
+    plan = index_queries.document_vectors(spark, data)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan and "MapInArrow" not in plan
